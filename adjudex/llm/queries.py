@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import round_trip_digests
 from .chat_format import conversation_digests, format_turns, turns_of_frame
 from .common import table
 from .exact_dedup import exact_dedup
@@ -24,6 +26,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, laid out a row a turn, and conversation -1, laid out as prompt and response."""
     own = "</s>[INST] ok [/INST]"
@@ -72,7 +78,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op8_exact_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op3_url_filter, op8_exact_dedup, op9_byte_bpe, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
