@@ -59,6 +59,18 @@ def may_contain(bitmap: Column, key: Column) -> Column:
     return F.when(bitmap.isNull(), F.lit(False)).otherwise(F.forall(bits_of(key), is_set))
 
 
+def split_by_keys(df: DataFrame, key: str, keys: DataFrame, n_keys: int) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``key`` may be among ``keys``, rows whose ``key`` is not), told apart without a shuffle of ``df``.
+
+    ``keys`` has a column of that name. Null keys are in the second part.
+    """
+    n_blocks = blocks_for(n_keys)
+    made = filter_table(keys, key, n_blocks)
+    probed = df.withColumn("__block", block_of(F.col(key), n_blocks)).join(F.broadcast(made.withColumnRenamed("block", "__block").withColumnRenamed("bitmap", "__bitmap")), "__block", "left")
+    probed = probed.withColumn("__maybe", F.col(key).isNotNull() & may_contain(F.col("__bitmap"), F.col(key))).drop("__block", "__bitmap")
+    return probed.filter("__maybe").drop("__maybe"), probed.filter("not __maybe").drop("__maybe")
+
+
 def words_for(n_keys: int, bits_per_key: int = 16, max_words: int = MAX_WORDS) -> int:
     return max(4, min(max_words, 4 * ceil(n_keys * bits_per_key / 256)))
 

@@ -12,6 +12,7 @@ from .chat_format import conversation_digests, format_turns, turns_of_frame
 from .common import table
 from .exact_dedup import exact_dedup
 from .near_dedup import near_duplicates
+from .toxicity import corpus_chain, score_chain
 from .url_filter import url_filter
 
 #: (host, path, verdict)
@@ -23,6 +24,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_chain(docs.select("doc_id", "text"), corpus_chain(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85, bands=26, rows=5)
 
@@ -83,7 +89,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op7_near_dedup, op8_exact_dedup, op9_byte_bpe, op10_chat_format)}
+    return {f.__name__: f for f in (op3_url_filter, op6_toxicity, op7_near_dedup, op8_exact_dedup, op9_byte_bpe, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:

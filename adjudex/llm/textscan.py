@@ -30,14 +30,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _byte_values() -> np.ndarray:
+def _byte_values(fold: bool) -> np.ndarray:
     x = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-    upper = np.arange(ord("A"), ord("Z") + 1)
-    x[upper] = x[upper + 32]
+    if fold:
+        upper = np.arange(ord("A"), ord("Z") + 1)
+        x[upper] = x[upper + 32]
     return x
 
 
-_VALUE = _byte_values()
+#: A pseudorandom number for each byte; in the first, A-Z have those of a-z.
+FOLDED, EXACT = _byte_values(True), _byte_values(False)
 
 
 @lru_cache(maxsize=2)
@@ -83,14 +85,14 @@ def scan(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, bounds)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word, A-Z as a-z."""
+def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = FOLDED) -> np.ndarray:
+    """A 64-bit hash of every byte range."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     size = 1 << max(12, (len(raw) + 1).bit_length())
     up, down = _powers(size)
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUE[raw] * up[: len(raw)], out=total[1:])
+    np.cumsum(values[raw] * up[: len(raw)], out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
     h += (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
     return mix(h)
@@ -100,7 +102,7 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first) of all words of a slice of texts."""
     raw, bounds = text_bytes(column)
     starts, ends, first = scan(raw, bounds)
-    return word_hashes(raw, starts, ends), first
+    return range_hashes(raw, starts, ends), first
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
