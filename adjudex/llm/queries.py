@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .byte_bpe import round_trip_digests
 from .chat_format import conversation_digests, format_turns, turns_of_frame
 from .common import table
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
+from .maxscore import top_k
+from .mixing import mix_documents
 from .near_dedup import near_duplicates
 from .toxicity import corpus_chain, score_chain
 from .url_filter import url_filter
@@ -19,11 +23,25 @@ from .url_filter import url_filter
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
+def op1_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text after removal, as doc_id, chars and SHA-256."""
+    kept = line_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_chars", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(table(spark, sf_dir, "documents"), 1.0, 4).select("doc_id", "lang", "source", "epoch", "n_tokens")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_chain(docs.select("doc_id", "text"), corpus_chain(docs, table(spark, sf_dir, "labels"))).drop("text")
@@ -51,6 +69,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WS = "[\\x20\\x09-\\x0D]"
 
+_OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 _OP3_SQL = r"""
 WITH p AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -89,8 +118,8 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op6_toxicity, op7_near_dedup, op8_exact_dedup, op9_byte_bpe, op10_chat_format)}
+    return {f.__name__: f for f in (op1_maxscore, op3_url_filter, op4_line_dedup, op5_mixing, op6_toxicity, op7_near_dedup, op8_exact_dedup, op9_byte_bpe, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": _OP3_SQL, "op8_exact_dedup": _OP8_SQL, "op10_chat_format": _OP10_SQL}
+    return {"op1_maxscore": _OP1_SQL, "op3_url_filter": _OP3_SQL, "op8_exact_dedup": _OP8_SQL, "op10_chat_format": _OP10_SQL}
