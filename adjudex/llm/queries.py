@@ -16,6 +16,7 @@ from .line_dedup import line_dedup
 from .maxscore import top_k
 from .mixing import mix_documents
 from .near_dedup import near_duplicates
+from .ngram_lm import score_corpus
 from .toxicity import corpus_chain, score_chain
 from .url_filter import url_filter
 
@@ -27,6 +28,10 @@ def op1_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_corpus(table(spark, sf_dir, "documents"))[0]
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter(table(spark, sf_dir, "pages"), rules)
@@ -118,7 +123,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_maxscore, op3_url_filter, op4_line_dedup, op5_mixing, op6_toxicity, op7_near_dedup, op8_exact_dedup, op9_byte_bpe, op10_chat_format)}
+    return {f.__name__: f for f in (op1_maxscore, op2_ngram_lm, op3_url_filter, op4_line_dedup, op5_mixing, op6_toxicity, op7_near_dedup, op8_exact_dedup, op9_byte_bpe, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
