@@ -18,16 +18,19 @@ character whose bytes lie in several tokens or chunks comes out whole.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import textscan as ts
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a vocabulary file with a base64 token and its rank a line."""
@@ -35,6 +38,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines) if token}
 
 
+#: Shared by all states that no step has left yet.
+_NO_STEPS: dict[int, tuple[int, tuple[int, ...]]] = {}
+
+
+_NODE = (1 << 24) - 1
+_BEFORE = _NODE << 24
+
+
 class Transducer:
     """Encodes byte strings by the merge ranks of a vocabulary.
 
@@ -42,28 +53,37 @@ class Transducer:
     costs time and changes no result.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
         self.ranks = ranks
         self.max_states = max_states
         self.token_bytes = {rank: token for token, rank in ranks.items()}
-        #: Every prefix of a token: its rank or -1, and whether longer tokens begin with it.
-        self.prefixes: dict[bytes, int] = {}
-        longer = set()
-        for token in ranks:
-            for n in range(1, len(token)):
-                longer.add(token[:n])
-        self.prefixes = dict.fromkeys(longer, -1)
-        self.prefixes.update(ranks)
-        self.longer = longer
+        # The prefixes of tokens are nodes of a trie, 0 its root.
+        self._child: dict[int, int] = {}
+        self._token = [-1]
+        self._has_longer = bytearray(1)
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self._has_longer[node] = 1
+                step = node << 8 | byte
+                node = self._child.get(step, 0)
+                if not node:
+                    node = self._child[step] = len(self._token)
+                    self._token.append(-1)
+                    self._has_longer.append(0)
+            self._token[node] = rank
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._clear()
 
     def _clear(self) -> None:
-        start = ((b"", -1, ()),)
+        # A guess is one number: node, 1 + the token before (0: none), and the place of its pending tokens in a pool.
+        self._pool: list[tuple[int, ...]] = [()]
+        self._places: dict[tuple[int, ...], int] = {(): 0}
+        start = (0,)
         self._ids = {start: 0}
         self._guesses = [start]
-        self._steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self._steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [_NO_STEPS]
         self._ends: list[tuple[int, ...]] = [()]
 
     def halves(self, token: int) -> tuple[int, int] | None:
@@ -91,62 +111,70 @@ class Transducer:
         Undo merges beside the boundary, the latest first. A merge across it
         that comes before one undone would have been made.
         """
-        key = (left, right)
-        known = self._fits.get(key)
-        if known is not None:
-            return known
         ranks, data, a, b, before = self.ranks, self.token_bytes, left, right, None
-        ok = True
         while True:
             across = ranks.get(data[a] + data[b])
             if across is not None and (before is None or across < before):
-                ok = False
-                break
+                return False
             ha, hb = self.halves(a), self.halves(b)
             if ha is None and hb is None:
-                break
+                return True
             if hb is None or (ha is not None and a > b):
                 before, a = a, ha[1]
             else:
                 before, b = b + 1, hb[0]
-        self._fits[key] = ok
-        return ok
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        added = bytes((byte,))
-        open_guesses, last = [], None
-        for seen, before, pending in self._guesses[state]:
-            seen += added
-            token = self.prefixes.get(seen)
-            if token is None:
+        child, tokens, longer, pool, fits = self._child, self._token, self._has_longer, self._pool, self._fits
+        lows, chains = [], []
+        last, chain = -1, ()
+        for guess in self._guesses[state]:
+            node = child.get((guess & _NODE) << 8 | byte)
+            if node is None:
                 continue
-            if token >= 0 and last is None and self.halves(token) != (-1, -1) and (before < 0 or self.fits(before, token)):
-                last = (b"", token, (*pending, token))
-            if seen in self.longer:
-                open_guesses.append((seen, before, pending))
-        if last is None:
+            if last < 0:
+                token = tokens[node]
+                if token >= 0:
+                    before = guess >> 24 & _NODE
+                    key = before << 24 | token
+                    ok = fits.get(key)
+                    if ok is None:
+                        ok = fits[key] = self.halves(token) != (-1, -1) and (not before or self.fits(before - 1, token))
+                    if ok:
+                        last, chain = token, (*pool[guess >> 48], token)
+            if longer[node]:
+                lows.append(guess & _BEFORE | node)
+                chains.append(pool[guess >> 48])
+        if last < 0:
             raise ValueError(f"the vocabulary has no token for byte {byte}")
-        open_guesses.append(last)
-        agreed, out = 0, last[2]
-        for _, _, pending in open_guesses:
-            agreed = 0
-            for mine, theirs in zip(out, pending):
-                if mine != theirs:
-                    break
-                agreed += 1
-            out = out[:agreed]
-            if not out:
-                break
-        key = tuple((seen, before, pending[agreed:]) for seen, before, pending in open_guesses) if agreed else tuple(open_guesses)
+        agreed = len(chain)
+        for pending in chains:
+            if pending[:agreed] != chain[:agreed]:
+                agreed = min(agreed, len(pending))
+                while pending[:agreed] != chain[:agreed]:
+                    agreed -= 1
+        lows.append(last + 1 << 24)
+        chains.append(chain)
+        place = self._place
+        key = tuple([low | place(pending[agreed:]) << 48 for low, pending in zip(lows, chains)])
         to = self._ids.get(key)
         if to is None:
             to = self._ids[key] = len(self._guesses)
             self._guesses.append(key)
-            self._steps.append({})
-            self._ends.append(key[-1][2])
-        made = self._steps[state][byte] = (to, out)
+            self._steps.append(_NO_STEPS)
+            self._ends.append(pool[key[-1] >> 48])
+        if self._steps[state] is _NO_STEPS:
+            self._steps[state] = {}
+        made = self._steps[state][byte] = (to, chain[:agreed])
         return made
 
+    def _place(self, pending: tuple[int, ...]) -> int:
+        place = self._places.get(pending)
+        if place is None:
+            place = self._places[pending] = len(self._pool)
+            self._pool.append(pending)
+        return place
+
     def encode(self, data: bytes) -> list[int]:
         """The tokens of one piece of text."""
         whole = self.ranks.get(data)
@@ -168,22 +196,49 @@ class Transducer:
 
 
 class _Pieces(dict):
-    """Tokens of pieces met before; at most ``size`` short pieces are kept."""
+    """Tokens, as 32-bit numbers, of short pieces met before: two generations of at most ``size``, the older of which goes when the newer is full."""
 
-    def __init__(self, transducer: Transducer, size: int = 600_000, longest: int = 48):
+    def __init__(self, transducer: Transducer, size: int = 250_000, longest: int = 48):
         super().__init__()
         self.transducer, self.size, self.longest = transducer, size, longest
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        # Tuples of numbers are left alone by the garbage collector.
-        tokens = tuple(self.transducer.encode(piece.encode("utf-8", "surrogatepass")))
+    def __missing__(self, piece: str) -> bytes:
+        tokens = self.older.get(piece)
+        if tokens is None:
+            tokens = np.array(self.transducer.encode(piece.encode("utf-8", "surrogatepass")), np.int32).tobytes()
         if len(piece) <= self.longest:
             if len(self) >= self.size:
+                self.older = dict(self)
                 self.clear()
             self[piece] = tokens
         return tokens
 
 
+#: Character classes as they are in text of ASCII characters only.
+_ASCII = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\s": r" \t\n\r\f\v"}
+
+
+def ascii_pattern(pattern: str) -> str | None:
+    """An equal pattern for ASCII text, in the syntax of ``re``; None where it uses other classes than letters, numbers and space."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        found = next((c for c in _ASCII if pattern.startswith(c, at)), None)
+        if found:
+            out.append(_ASCII[found] if inside else f"[{_ASCII[found]}]")
+            at += len(found)
+        elif pattern.startswith(r"\S", at) and not inside:
+            out.append(f"[^{_ASCII[r'\s']}]")
+            at += 2
+        elif pattern[at] == "\\":
+            return None
+        else:
+            inside = pattern[at] == "[" or (inside and pattern[at] != "]")
+            out.append(pattern[at])
+            at += 1
+    return "".join(out)
+
+
 class Utf8Machine:
     """Splits a stream of bytes into characters.
 
@@ -232,21 +287,36 @@ class Utf8Machine:
         return left.decode("utf-8", "replace")
 
 
-class Codec:
-    """A vocabulary's encoder and decoder with a splitting pattern."""
+class Encoder:
+    """A vocabulary's encoder with a splitting pattern."""
 
     def __init__(self, path: str, pattern: str):
-        ranks = load_ranks(path)
-        self.transducer = Transducer(ranks)
+        self.transducer = Transducer(load_ranks(path))
         self.find = regex.compile(pattern).findall
+        plain = ascii_pattern(pattern)
+        # The standard library's expressions are faster, but know no character properties.
+        self.find_ascii = re.compile(plain, re.ASCII).findall if plain else self.find
         self.pieces = _Pieces(self.transducer)
-        self.bytes_of = self.transducer.token_bytes
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
+    def encode(self, text: str) -> np.ndarray:
+        find = self.find_ascii if text.isascii() else self.find
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, find(text))), np.int32)
+
+
+class Decoder:
+    """A vocabulary's streaming decoder."""
+
+    def __init__(self, path: str):
+        tokens = {rank: token for token, rank in load_ranks(path).items()}
+        size = np.array([len(tokens.get(i, b"")) for i in range(max(tokens, default=-1) + 1)], np.int64)
+        self.size, self.start = size, np.cumsum(size) - size
+        self.bytes_of = np.frombuffer(b"".join(tokens[i] for i in sorted(tokens)), np.uint8)
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        ids = np.asarray(ids, np.int64)
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        return self.bytes_of[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[ids] - ends + size, size)].tobytes()
 
     def decode_stream(self, chunks: Iterable[Iterable[int]]) -> Iterator[str]:
         """Text of token chunks as it comes; a character split between chunks waits for its rest."""
@@ -258,14 +328,22 @@ class Codec:
             yield text
 
 
-@lru_cache(maxsize=4)
-def codec(path: str, pattern: str) -> Codec:
-    """One codec for each worker process."""
-    return Codec(path, pattern)
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One encoder for a worker process."""
+    return Encoder(path, pattern)
+
+
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    """One decoder for a worker process."""
+    return Decoder(path)
 
 
 #: Tokens of one streamed chunk.
 CHUNK = 4096
+#: Rows decoded for one batch of results.
+ROWS = 500
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
@@ -277,32 +355,32 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
     schema = T.StructType([*kept.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = encoder(path, pattern)
         for batch in batches:
-            offsets, flat = [0], []
-            for text in batch.column(text_col).to_pylist():
-                if text:
-                    flat.extend(own.encode(text))
-                offsets.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, out_col])
+            for a, b in ts.slices(batch.column(text_col)):
+                part = batch.slice(a, b - a)
+                found = [own.encode(text.as_py() or "") for text in part.column(text_col)]
+                offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, out_col])
 
     return kept.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Replace the tokens of each row by the text that a streaming decoder gives for them (null tokens: empty)."""
     kept = [f for f in encoded.schema.fields if f.name not in (ids_col, out_col)]
     schema = T.StructType([*kept, T.StructField(out_col, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for batch in batches:
-            texts = []
-            for ids in batch.column(ids_col):
-                values = ids.values.to_pylist() if ids.is_valid else []
-                texts.append("".join(own.decode_stream(values[i : i + CHUNK] for i in range(0, len(values), CHUNK))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(texts, pa.string())], [*(f.name for f in kept), out_col])
+        own = decoder(path)
+        for whole in batches:
+            for a in range(0, len(whole), ROWS):
+                batch, texts = whole.slice(a, ROWS), []
+                for ids in batch.column(ids_col):
+                    values = ids.values.to_numpy() if ids.is_valid else ()
+                    texts.append("".join(own.decode_stream(values[i : i + CHUNK] for i in range(0, len(values), CHUNK))))
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(texts, pa.string())], [*(f.name for f in kept), out_col])
 
     return encoded.mapInArrow(run, schema)
 
@@ -312,4 +390,4 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     encoded = encode(docs.select("doc_id", "text"), path, pattern).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids"
     )
-    return decode(encoded, path, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return decode(encoded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
