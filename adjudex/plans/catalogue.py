@@ -1,15 +1,521 @@
-"""Queries of the driver contract and their SQL."""
+"""Queries of the driver contract and their SQL.
+
+Each pair computes the same columns; the SQL is for another engine, as an oracle.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from adjudex.functions import scalars as S
+from adjudex.functions import stats, textlint
+from adjudex.operators import evaluate as E
+from adjudex.operators import graph, metrics, perturb, sessions, validate
+from adjudex.operators.rules import Evidence, Exemption, Facts, Group, Leaf, Rule, Temporal, condition_column, leaf_column, temporal_column
+from adjudex.streaming import interview
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _order_facts(**more) -> Facts:
+    return Facts({f"order.{c[2:]}": F.col(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")}, **more)
+
+
+PRICE_CAP = Rule("ORD-1", "REQUIRE", Leaf("order", "totalprice", "<=", 400000), exceptions=(Exemption("finished orders", Leaf("order", "orderstatus", "==", "F")),), severity="high", action="review_order")
+URGENT = Rule("ORD-2", "TRIGGER", Leaf("order", "orderpriority", "==", "1-URGENT"), evidence=(Evidence("shipment", min_count=2),), exceptions=(Exemption("finished orders", Leaf("order", "orderstatus", "==", "F")),), severity="medium", action="expedite_order")
+
+
+def _order_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _t(spark, sf_dir, "orders").withColumn("subject_id", F.col("o_orderkey"))
+    shipments = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("subject_id"), F.lit("shipment").alias("type"), F.create_map(F.lit("flag"), F.col("l_returnflag")).alias("attrs"))
+    return E.evaluate(orders, [PRICE_CAP, URGENT], _order_facts(), shipments)
+
+
+_VERDICTS_SQL = """
+WITH s AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey),
+o AS (SELECT o.*, coalesce(n, 0) AS n FROM orders o LEFT JOIN s ON o_orderkey = l_orderkey),
+v AS (
+  SELECT o_orderkey, o_custkey, 'ORD-1' AS rule_id, 'high' AS sev,
+    CASE WHEN o_totalprice <= 400000 THEN 'COMPLIANT' WHEN o_orderstatus = 'F' THEN 'EXEMPT' ELSE 'VIOLATION' END AS verdict FROM o
+  UNION ALL
+  SELECT o_orderkey, o_custkey, 'ORD-2', 'medium',
+    CASE WHEN o_orderpriority <> '1-URGENT' THEN 'NOT_APPLICABLE' WHEN n >= 2 THEN 'COMPLIANT' WHEN o_orderstatus = 'F' THEN 'EXEMPT' ELSE 'VIOLATION' END FROM o)
+"""
+
+
+@query(
+    _VERDICTS_SQL
+    + """
+SELECT o_custkey, CASE WHEN count(*) FILTER (verdict = 'VIOLATION') > 0 THEN 'NON_COMPLIANT' WHEN count(*) FILTER (verdict = 'COMPLIANT') > 0 THEN 'COMPLIANT' ELSE 'NOT_APPLICABLE' END AS decision,
+  count(*) FILTER (verdict = 'VIOLATION') AS n_violation, count(*) FILTER (verdict = 'ACTION_REQUIRED') AS n_action_required, count(*) FILTER (verdict = 'INDETERMINATE') AS n_indeterminate,
+  count(*) FILTER (verdict = 'COMPLIANT') AS n_compliant, count(*) FILTER (verdict = 'NOT_APPLICABLE') AS n_not_applicable, count(*) FILTER (verdict = 'EXEMPT') AS n_exempt,
+  CASE WHEN count(*) FILTER (verdict = 'VIOLATION' AND sev = 'high') > 0 THEN 'high' WHEN count(*) FILTER (verdict = 'VIOLATION') > 0 THEN 'medium' END AS highest_severity
+FROM v GROUP BY o_custkey"""
+)
+def policy_decision_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.decide(_order_verdicts(spark, sf_dir), "o_custkey").drop("actions")
+
+
+@query(_VERDICTS_SQL + "SELECT rule_id, verdict, count(*) AS n FROM v GROUP BY ALL")
+def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_verdicts(spark, sf_dir).groupBy("rule_id", "verdict").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT o_orderkey, o_totalprice > 100000 AS gt, o_totalprice >= 100000 AS ge, o_totalprice < 100000 AS lt, o_totalprice <= 100000 AS le,
+    o_orderdate >= TIMESTAMP '1995-06-01' AS late, o_totalprice BETWEEN 50000 AND 150000 AS mid, NOT (o_totalprice > 50000 AND o_totalprice < 150000) AS outside FROM orders"""
+)
+def leaf_ordering_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, p = _order_facts(), "totalprice"
+    tests = {"gt": Leaf("order", p, ">", 100000), "ge": Leaf("order", p, ">=", 100000), "lt": Leaf("order", p, "<", 100000), "le": Leaf("order", p, "<=", 100000), "late": Leaf("order", "orderdate", ">=", "1995-06-01"), "mid": Leaf("order", p, "between", [50000, 150000]), "outside": Leaf("order", p, "not_between", [50000, 150000], inclusive=False)}
+    return _t(spark, sf_dir, "orders").select("o_orderkey", *[leaf_column(t, f).alias(n) for n, t in tests.items()])
+
+
+@query(
+    """SELECT p_partkey, lower(p_brand) IN ('brand#11', 'brand#22') AS in_set, lower(p_brand) NOT IN ('brand#11', 'brand#22') AS not_in_set, p_size IN (1, 5, 9) AS sized,
+    contains(lower(p_type), 'steel') AS has, NOT contains(lower(p_type), 'steel') AS has_not, lower(p_brand) = 'brand#11' AS same, p_size <> 7 AS differs, true AS there, true AS not_there FROM part"""
+)
+def leaf_membership_and_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = Facts({f"part.{c}": F.col(f"p_{c}") for c in ("brand", "type", "size")})
+    tests = {"in_set": Leaf("part", "brand", "in", ["Brand#11", "BRAND#22"]), "not_in_set": Leaf("part", "brand", "not_in", ["brand#11", "brand#22"]), "sized": Leaf("part", "size", "in", [1, 5, 9]), "has": Leaf("part", "type", "contains", "Steel"), "has_not": Leaf("part", "type", "not_contains", "STEEL"), "same": Leaf("part", "brand", "==", " brand#11 "), "differs": Leaf("part", "size", "!=", 7), "there": Leaf("part", "brand", "exists"), "not_there": Leaf("part", "colour", "not_exists")}
+    return _t(spark, sf_dir, "part").select("p_partkey", *[leaf_column(t, f).alias(n) for n, t in tests.items()])
+
+
+_KLEENE_SQL = """
+WITH e AS (SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS v, CASE WHEN event_type IN ('view', 'error') THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k FROM events)
+"""
+
+
+@query(_KLEENE_SQL + "SELECT event_id, (v > 50 AND k > 50) AS both_, (v > 50 OR k > 50) AS either, NOT (v > 50) AS neither, (NOT (v > 50) OR k > 50) AS implied FROM e")
+def kleene_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("v"), F.when(~F.col("event_type").isin("view", "error"), F.get_json_object("props", "$.k")).alias("k"))
+    f = Facts({"event.v": F.col("v"), "event.k": F.col("k")})
+    a, b = Leaf("event", "v", ">", 50), Leaf("event", "k", ">", 50)
+    tests = {"both_": Group("AND", (a, b)), "either": Group("OR", (a, b)), "neither": Group("NOT", (a,)), "implied": Group("IMPLIES", (a, b))}
+    return events.select("event_id", *[condition_column(t, f).alias(n) for n, t in tests.items()])
+
+
+@query(_KLEENE_SQL + "SELECT event_id AS subject_id, 'R' AS rule_id, ((v > 50 AND k > 50) OR v <= 10) AS result FROM e WHERE v IS NOT NULL OR k IS NOT NULL")
+def kleene_tabular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _t(spark, sf_dir, "events")
+    v = events.filter("event_type <> 'error'").select(F.col("event_id").alias("subject_id"), F.lit("event.v").alias("path"), F.col("value").cast("string").alias("raw"))
+    k = events.filter("event_type NOT IN ('view', 'error')").select(F.col("event_id").alias("subject_id"), F.lit("event.k").alias("path"), F.get_json_object("props", "$.k").alias("raw"))
+    nodes = spark.createDataFrame(
+        [("R", 1, None, 1, "OR", None, None, None), ("R", 2, 1, 2, "AND", None, None, None), ("R", 3, 2, 3, None, "event.v", ">", 50.0), ("R", 4, 2, 3, None, "event.k", ">", 50.0), ("R", 5, 1, 2, None, "event.v", "<=", 10.0)],
+        "rule_id string, node_id int, parent_id int, depth int, logic string, path string, op string, number double",
+    ).withColumn("text", F.lit(None).cast("string"))
+    return E.evaluate_tabular(v.unionByName(k), nodes, max_depth=3)
+
+
+@query(
+    """SELECT o_orderkey, o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-01-01' + INTERVAL 6 MONTH AS within_after, o_orderdate BETWEEN TIMESTAMP '1996-01-01' - INTERVAL 90 DAY AND TIMESTAMP '1996-01-01' AS within_before,
+    o_orderdate BETWEEN TIMESTAMP '1996-01-01' - INTERVAL 1 YEAR AND TIMESTAMP '1996-01-01' + INTERVAL 1 YEAR AS around, o_orderdate < TIMESTAMP '1996-01-01' - INTERVAL 14 DAY AS old, o_orderdate < TIMESTAMP '1996-01-01' AS before_, o_orderdate > TIMESTAMP '1996-01-01' AS after_,
+    o_orderdate BETWEEN TIMESTAMP '1994-02-01' AND TIMESTAMP '1994-12-31' AS inside FROM orders"""
+)
+def temporal_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _order_facts(now=F.lit("1996-01-01").cast("timestamp_ntz"))
+    made = {"within_after": Temporal("within", "order", "orderdate", "1996-01-01", 6, "months"), "within_before": Temporal("within", "order", "orderdate", "now", 90, "days", "before"), "around": Temporal("within", "order", "orderdate", "now", 1, "years", "either"), "old": Temporal("older_than", "order", "orderdate", "now", 2, "weeks"), "before_": Temporal("before", "order", "orderdate", "1996-01-01"), "after_": Temporal("after", "order", "orderdate", "now"), "inside": Temporal("between", "order", "orderdate", start="1994-02-01", end="1994-12-31")}
+    return _t(spark, sf_dir, "orders").select("o_orderkey", *[temporal_column(t, f).alias(n) for n, t in made.items()])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAY AS on_time FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def temporal_field_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    f = Facts({"line.shipdate": F.col("l_shipdate"), "order.orderdate": F.col("o_orderdate")})
+    return both.select("l_orderkey", "l_linenumber", temporal_column(Temporal("within", "line", "shipdate", "order.orderdate", 30, "days"), f).alias("on_time"))
+
+
+@query(
+    """WITH e AS (SELECT event_id, value, CASE event_id % 4 WHEN 0 THEN 'hours' WHEN 1 THEN 'min' WHEN 2 THEN 'kg' ELSE NULL END AS u FROM events)
+    SELECT event_id, CASE event_id % 4 WHEN 0 THEN value * 3600.0 / 60.0 > 3000 WHEN 1 THEN value > 3000 WHEN 3 THEN value > 3000 END AS over_50_hours, round(CASE event_id % 4 WHEN 0 THEN value * 3600 / 86400 WHEN 1 THEN value * 60 / 86400 END, 3) AS days FROM e"""
+)
+def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = F.when(F.col("event_id") % 4 == 0, "hours").when(F.col("event_id") % 4 == 1, "min").when(F.col("event_id") % 4 == 2, "kg")
+    events = _t(spark, sf_dir, "events").withColumn("u", unit)
+    f = Facts({"event.length": F.col("value")}, {"event.length": F.col("u")})
+    days = S.convert(F.col("value"), S.unit_name(F.col("u")), F.lit("days"))
+    return events.select("event_id", leaf_column(Leaf("event", "length", ">", 3000, "minutes"), f).alias("over_50_hours"), F.round(days, 3).alias("days"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_totalprice > 200000 WHEN 1 THEN o_totalprice * 1.25 > 200000 ELSE o_totalprice / 80.0 > 200000 END AS over FROM orders")
+def fx_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = F.when(F.col("o_orderkey") % 3 == 0, "usd").when(F.col("o_orderkey") % 3 == 1, "£").otherwise("INR")
+    f = Facts({"order.total": F.col("o_totalprice")}, {"order.total": unit}, rates={"GBP->USD": 1.25, "USD->INR": 80.0})
+    return _t(spark, sf_dir, "orders").select("o_orderkey", leaf_column(Leaf("order", "total", ">", 200000, "USD"), f).alias("over"))
+
+
+@query("SELECT l_orderkey AS subject_id, count(*) AS shipped, count(*) FILTER (l_returnflag = 'R') AS returned FROM lineitem GROUP BY l_orderkey")
+def evidence_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("subject_id"), F.lit("Line Shipment").alias("type"), F.create_map(F.lit("flag"), F.col("l_returnflag")).alias("attrs"))
+    return E.count_evidence(items, "subject_id", {"shipped": Evidence("line_shipment"), "returned": Evidence("line_shipment", match=(("flag", "r"),))})
+
+
+@query(_VERDICTS_SQL + "SELECT o_custkey, max(CASE WHEN verdict = 'VIOLATION' THEN 1 ELSE 0 END) = 1 AS confirmed FROM v WHERE rule_id = 'ORD-1' GROUP BY o_custkey")
+def derived_trigger_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.confirm_violations(_order_verdicts(spark, sf_dir), "o_custkey", ["ORD-1"])
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS record_index FROM orders")
+def record_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("records"))
+    return E.fan_out(lists, "records", record="o_orderkey").select("o_custkey", "o_orderkey", F.col("record_index").cast("long").alias("record_index"))
+
+
+@query(
+    r"""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.;!?])[ \t\n\f\r\v]+', '\1' || chr(10), 'g'), '\n+')) AS s FROM documents),
+    t AS (SELECT doc_id, trim(s, ' ') AS s FROM s WHERE trim(s, ' ') <> '')
+    SELECT doc_id, count(*) AS sentences, count(*) FILTER (regexp_matches(s, '\d') OR regexp_matches(s, '(?i)\b(one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|fifteen|twenty|thirty|forty|fifty|sixty|ninety|hundred|thousand)\b')) AS with_number FROM t GROUP BY doc_id"""
+)
+def sentence_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _t(spark, sf_dir, "documents").select("doc_id", F.explode(textlint.sentences(F.col("text"))).alias("s"))
+    return each.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.count_if(textlint.states_number(F.col("s"))).alias("with_number"))
+
+
+_CLAUSES = (
+    (1, "Expenses over $2,000 must have written approval within 2 weeks.", "high"),
+    (2, "Severity: critical. No employee may share passwords.", "critical"),
+    (3, "Reports should be timely unless exempted.", "medium"),
+    (4, "Discounts between 5% and 20% are of low priority.", "high"),
+    (5, "Severe incidents are escalated in one day.", "high"),
+    (6, "Payments not exceeding 1.5 lakh need no review.", None),
+)
+
+
+def _clauses(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_CLAUSES, "clause_id int, clause string, returned string")
+
+
+@query(
+    "SELECT * FROM (VALUES (1, 7, 20160.0), (2, 0, NULL), (3, 0, NULL), (4, 4, 20.0), (5, 6, 1440.0), (6, 2, 150000.0)) AS v(clause_id, n_numbers, largest)"
+)
+def number_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = textlint.numbers_in(F.col("clause"))
+    return _clauses(spark).select("clause_id", F.size(pool).alias("n_numbers"), F.array_max(pool).alias("largest"))
+
+
+@query("SELECT * FROM (VALUES (1, 'schema_default'), (2, 'policy_stated'), (3, 'schema_default'), (4, 'schema_default'), (5, 'ambiguous'), (6, 'schema_default')) AS v(clause_id, severity_source)")
+def severity_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clauses(spark).select("clause_id", textlint.severity_grounding(F.col("returned"), F.col("clause"), F.col("clause")).alias("severity_source"))
+
+
+@query("SELECT * FROM (VALUES (1, 'time_limit_dropped', NULL), (2, 'negation_dropped', 'may'), (3, 'exception_dropped', 'timely'), (4, 'range_dropped', NULL), (5, '', NULL), (6, 'negation_dropped', NULL)) AS v(clause_id, findings, vague)")
+def clause_crosschecks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    no = F.lit(False)
+    found = textlint.crosschecks(F.col("clause"), negated=no, excepted=no, timed=no, ranged=no)
+    return _clauses(spark).select("clause_id", F.array_join(found, ",").alias("findings"), textlint.ambiguity(F.col("clause")).alias("vague"))
+
+
+@query("WITH h AS (SELECT sha256(text) AS content_hash, source FROM documents) SELECT content_hash, count(*) AS n_rows, count(DISTINCT source) AS n_splits FROM h GROUP BY 1 HAVING count(DISTINCT source) > 1")
+def content_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.leakage(_t(spark, sf_dir, "documents"), F.col("text"), "source")
+
+
+@query("SELECT text AS content, count(*) AS n FROM benchmark GROUP BY text HAVING count(*) > 1 UNION ALL SELECT sha256(text), count(*) FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = metrics.duplicate_keys(_t(spark, sf_dir, "benchmark").select(F.col("text").alias("content")), "content")
+    b = metrics.duplicate_keys(_t(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("content")), "content")
+    return a.unionByName(b)
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT 'r' || r_regionkey AS src, 'n' || n_nationkey AS dst FROM region JOIN nation ON r_regionkey = n_regionkey UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
+    w(root, id, hop) AS (SELECT 'r' || r_regionkey, 'r' || r_regionkey, 0 FROM region UNION ALL SELECT root, dst, hop + 1 FROM w JOIN e ON id = src WHERE hop < 3) SELECT root, id, hop FROM w"""
+)
+def graph_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region, nation, supplier = (_t(spark, sf_dir, n) for n in ("region", "nation", "supplier"))
+    tag = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    edges = nation.select(tag("r", "n_regionkey").alias("src"), tag("n", "n_nationkey").alias("dst")).unionByName(supplier.select(tag("n", "s_nationkey").alias("src"), tag("s", "s_suppkey").alias("dst")))
+    return graph.traverse(edges, region.select(tag("r", "r_regionkey").alias("id")), 3)
+
+
+@query("SELECT c_custkey AS key, 'customer' AS kind FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def missing_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.lit("customer").alias("kind"))
+    return graph.missing_references(wanted, _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")), "key")
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 100.0 AS paid FROM lineitem GROUP BY 1)
+    SELECT CASE WHEN paid IS NULL THEN 'MISSING_EVIDENCE' WHEN abs(paid - o_totalprice) <= 0.01 THEN 'CONSISTENT' WHEN paid - o_totalprice > 0.01 THEN 'MAJOR' WHEN o_orderstatus = 'P' THEN 'CONSISTENT' ELSE 'UNRESOLVED' END AS state, count(*) AS n
+    FROM orders LEFT JOIN l ON o_orderkey = l_orderkey GROUP BY 1"""
+)
+def contradiction_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paid = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / 100.0).alias("paid"))
+    both = _t(spark, sf_dir, "orders").join(paid, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return both.groupBy(graph.amount_contradiction(F.col("o_totalprice"), F.col("paid"), F.col("o_orderstatus") == "P").alias("state")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_totalprice <= 150000 THEN 'NOT_REQUIRED' ELSE 'ESTABLISHED' END AS status, '<=' AS region_op, CASE WHEN o_totalprice > 150000 THEN round(150000 - o_totalprice, 2) END AS delta,
+    CASE WHEN o_totalprice > 150000 THEN 'decrease' END AS direction, CASE WHEN o_totalprice > 150000 THEN 150000.0 END AS target FROM orders"""
+)
+def counterfactual_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = graph.counterfactual(F.lit("FORBID"), F.lit(">"), F.lit(150000.0), F.col("o_totalprice"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", c.alias("c")).select("o_orderkey", "c.status", "c.region_op", F.round("c.delta", 2).alias("delta"), "c.direction", "c.target")
+
+
+@query(
+    """WITH s AS (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'VIOLATION' WHEN o_totalprice > 250000 THEN 'INCONCLUSIVE' WHEN o_totalprice > 200000 THEN 'UNEVALUATED' ELSE 'SATISFIED' END AS verdict, o_orderstatus = 'P' AS gap, o_orderkey % 7 = 0 AS open_ FROM orders)
+    SELECT o_orderkey, CASE WHEN verdict = 'INCONCLUSIVE' OR gap THEN 'INSUFFICIENT_EVIDENCE' WHEN verdict = 'UNEVALUATED' OR open_ THEN 'CONDITIONAL' WHEN verdict = 'VIOLATION' THEN 'NON_COMPLIANT' ELSE 'COMPLIANT' END AS state,
+    concat_ws(',', CASE WHEN gap THEN 'CRITICAL_EVIDENCE_MISSING' END, CASE WHEN open_ THEN 'UNRESOLVED_CONTRADICTION' END, CASE WHEN verdict = 'VIOLATION' THEN 'HIGH_RISK' END) AS reasons FROM s"""
+)
+def uncertainty_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("o_totalprice")
+    verdict = F.when(p > 300000, "VIOLATION").when(p > 250000, "INCONCLUSIVE").when(p > 200000, "UNEVALUATED").otherwise("SATISFIED")
+    gap, open_, fine = F.col("o_orderstatus") == "P", F.col("o_orderkey") % 7 == 0, F.lit("VERIFIED")
+    reasons = graph.escalation_reasons(gap, fine, open_, F.lit(False), verdict == "VIOLATION")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", graph.uncertainty_state(fine, verdict, gap, fine, open_).alias("state"), F.array_join(reasons, ",").alias("reasons"))
+
+
+def _scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels beside two plain heuristics."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    rows = _t(spark, sf_dir, "labels").join(docs, "doc_id")
+    return rows.select("doc_id", "lang", "source", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("expected"), F.when(F.col("n_chars") > 600, "good").otherwise("bad").alias("by_size"), F.when(F.col("n_chars") % 5 > 0, "good").otherwise("bad").alias("by_chance"), ((F.col("n_chars") % 101) / 100.0).alias("confidence"))
+
+
+_LABELS_SQL = """WITH r AS (SELECT doc_id, lang, source, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS expected, CASE WHEN n_chars > 600 THEN 'good' ELSE 'bad' END AS by_size, CASE WHEN n_chars % 5 > 0 THEN 'good' ELSE 'bad' END AS by_chance, (n_chars % 101) / 100.0 AS confidence FROM labels JOIN documents USING (doc_id))
+"""
+
+
+@query(
+    _LABELS_SQL
+    + """, c AS (SELECT lang, count(*) AS n, count(*) FILTER (expected = 'good' AND by_size = 'good') AS gg, count(*) FILTER (expected = 'bad' AND by_size = 'bad') AS bb, count(*) FILTER (expected = 'bad' AND by_size = 'good') AS bg, count(*) FILTER (expected = 'good' AND by_size = 'bad') AS gb FROM r GROUP BY lang)
+    SELECT lang, n, round((gg + bb) / n, 6) AS accuracy, round((2 * gg / nullif(2 * gg + bg + gb, 0) + 2 * bb / nullif(2 * bb + bg + gb, 0)) / 2, 6) AS macro_f1, round((bb / nullif(bb + bg, 0) + gg / nullif(gg + gb, 0)) / 2, 6) AS specificity,
+    round((gg * bb - bg * gb) / nullif(sqrt((gg + bg) * (gg + gb) * (bb + bg) * (bb + gb)), 0), 6) AS mcc FROM c"""
+)
+def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = metrics.classification(_scored_labels(spark, sf_dir), "expected", "by_size", ("good", "bad"), "lang")
+    return m.select("lang", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "specificity", "mcc")])
+
+
+@query(
+    _LABELS_SQL
+    + """, x AS (SELECT least(floor(confidence * 10), 9) AS bin, confidence AS c, CASE WHEN expected = by_size THEN 1.0 ELSE 0.0 END AS ok FROM r), b AS (SELECT bin, count(*) AS n, avg(c) AS mc, avg(ok) AS acc FROM x GROUP BY bin)
+    SELECT CAST((SELECT count(*) FROM x) AS BIGINT) AS n, round((SELECT sum(n * abs(mc - acc)) / sum(n) FROM b), 6) AS ece, round((SELECT avg((c - ok) * (c - ok)) FROM x), 6) AS brier, round((SELECT avg(c) - avg(ok) FROM x), 6) AS mean_signed_error"""
+)
+def calibration_ece_brier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scored_labels(spark, sf_dir).withColumn("ok", F.col("expected") == F.col("by_size"))
+    c = metrics.calibration(rows.withColumn("confidence", metrics.usable_confidence(F.col("confidence"))), "confidence", "ok")
+    return c.select("n", *[F.round(x, 6).alias(x) for x in ("ece", "brier", "mean_signed_error")])
+
+
+@query(
+    _LABELS_SQL
+    + "SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'overall' END AS group_kind, coalesce(lang, source) AS group_value, count(*) AS n, round(avg(CASE WHEN expected = by_size THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM r GROUP BY GROUPING SETS ((), (lang), (source))"
+)
+def grouped_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ok = F.col("expected") == F.col("by_size")
+    return metrics.grouping_sets(_scored_labels(spark, sf_dir), ["lang", "source"], [F.count("*").alias("n"), F.round(metrics.boolean_accuracy(ok), 6).alias("accuracy")])
+
+
+@query(
+    _LABELS_SQL
+    + """, g AS (SELECT source, list(doc_id) FILTER (expected = 'good') AS e, list(doc_id) FILTER (by_size = 'good') AS p, count(*) FILTER (expected = 'good' AND by_size = 'good') AS tp, count(*) FILTER (by_size = 'good') AS pred, count(*) FILTER (expected = 'good') AS exp FROM r GROUP BY source)
+    SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(pred) AS BIGINT) AS predicted, CAST(sum(exp) AS BIGINT) AS expected, round(sum(tp) / sum(pred), 6) AS precision_, round(sum(tp) / sum(exp), 6) AS recall, round(2 * sum(tp) / (sum(pred) + sum(exp)), 6) AS f1 FROM g"""
+)
+def retrieval_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = lambda c: F.collect_list(F.when(F.col(c) == "good", F.col("doc_id")))
+    sets = _scored_labels(spark, sf_dir).groupBy("source").agg(good("expected").alias("e"), good("by_size").alias("p"))
+    o = metrics.set_overlap(F.col("e"), F.col("p"))
+    total = sets.agg(*[F.sum(c).cast("long").alias(n) for n, c in o.items()])
+    tp, p, e = F.col("tp"), F.col("predicted"), F.col("expected")
+    return total.select(tp, p, e, F.round(metrics.ratio(tp, p), 6).alias("precision_"), F.round(metrics.ratio(tp, e), 6).alias("recall"), F.round(metrics.f1_counts(tp, p, e), 6).alias("f1"))
+
+
+@query(
+    _LABELS_SQL
+    + """, k AS (SELECT source, count(*) AS n, count(*) FILTER (expected = by_size) AS k FROM r GROUP BY source), z AS (SELECT *, k / n AS p, 1.959963984540054 AS z FROM k)
+    SELECT source, k, n, round(p, 6) AS estimate, round(greatest(0, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 6) AS low, round(least(1, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 6) AS high FROM z"""
+)
+def wilson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = _scored_labels(spark, sf_dir).groupBy("source").agg(F.count_if(F.col("expected") == F.col("by_size")).alias("k"), F.count("*").alias("n"))
+    w = k.withColumn("w", stats.wilson(F.col("k"), F.col("n")))
+    return w.select("source", "k", "n", *[F.round(f"w.{c}", 6).alias(c) for c in ("estimate", "low", "high")])
+
+
+@query(
+    _LABELS_SQL
+    + "SELECT lang, count(*) AS n_pairs, count(*) FILTER (expected = by_size AND expected <> by_chance) AS b, count(*) FILTER (expected <> by_size AND expected = by_chance) AS c, count(*) FILTER ((expected = by_size) <> (expected = by_chance)) AS discordant FROM r GROUP BY lang"
+)
+def mcnemar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scored_labels(spark, sf_dir).select("lang", (F.col("expected") == F.col("by_size")).alias("x"), (F.col("expected") == F.col("by_chance")).alias("y"))
+    return stats.mcnemar(rows, "x", "y", "lang").select("lang", "n_pairs", "b", "c", "discordant")
+
+
+@query()
+def mcnemar_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scored_labels(spark, sf_dir).select("source", (F.col("expected") == F.col("by_size")).alias("x"), (F.col("expected") == F.col("by_chance")).alias("y"))
+    return stats.holm("p_value", ["source"])(stats.mcnemar(rows, "x", "y", "source"))
+
+
+@query(
+    """WITH p AS (SELECT n_nationkey, (n_nationkey * 37 % 25 + 1) / 500.0 AS p FROM nation), r AS (SELECT *, row_number() OVER (ORDER BY p, n_nationkey) AS k, count(*) OVER () AS m FROM p)
+    SELECT n_nationkey, round(max(least(1.0, (m - k + 1) * p)) OVER (ORDER BY p, n_nationkey ROWS UNBOUNDED PRECEDING), 9) AS p_adjusted FROM r"""
+)
+def holm_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _t(spark, sf_dir, "nation").select("n_nationkey", ((F.col("n_nationkey") * 37 % 25 + 1) / 500.0).alias("p"), F.lit(1).alias("family"))
+    return stats.holm("p", ["n_nationkey"], "family")(p).select("n_nationkey", F.round("p_adjusted", 9).alias("p_adjusted"))
+
+
+@query()
+def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scored_labels(spark, sf_dir).select("lang", F.pmod("doc_id", F.lit(40)).alias("family"), (F.col("expected") == F.col("by_size")).alias("ok"))
+    return stats.cluster_bootstrap(rows, "lang", "family", "ok", 500)
+
+
+@query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 3")
+def chat_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.last_n(_t(spark, sf_dir, "conversations"), "conv_id", ["turn"], 3).select("conv_id", "turn", "role", "text")
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS d, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM conversations) WHERE d <= 2 OR a = 1")
+def chat_history_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.with_first(_t(spark, sf_dir, "conversations"), "conv_id", ["turn"], 2).select("conv_id", "turn", "role")
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 4 < 2 THEN 'a' ELSE 'b' END AS role, text FROM conversations), g AS (SELECT *, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS ch FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), b AS (SELECT *, sum(ch) OVER (PARTITION BY conv_id ORDER BY turn) AS block FROM g)
+    SELECT conv_id, CAST(block AS BIGINT) AS block, role, string_agg(text, '|' ORDER BY turn) AS text, count(*) AS n FROM b GROUP BY conv_id, block, role"""
+)
+def chat_role_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 4 < 2, "a").otherwise("b").alias("role"), "text")
+    return sessions.merge_roles(c, "conv_id", "turn", "role", "text", "|")
+
+
+@query("SELECT conv_id, string_agg(upper(role) || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations WHERE role <> 'system' GROUP BY conv_id")
+def chat_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.transcript(_t(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+
+
+@query("SELECT min(page_id) AS page_id, host FROM (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host FROM pages) GROUP BY host ORDER BY 1 LIMIT 4")
+def source_dedupe_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _t(spark, sf_dir, "pages").select("page_id", F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host"))
+    return sessions.first_by_key(pages, "host", [F.col("page_id")])
+
+
+@query("SELECT page_id, substr(regexp_replace(html, '<[^>]+>', ' ', 'g'), 1, 3000) AS text FROM pages")
+def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", S.strip_html(F.col("html")).alias("text"))
+
+
+_WARNINGS = {"signup": "STRIKE: Candidate exited Full-Screen mode.", "purchase": "Browser window lost focus.", "view": "ordinary", "click": "Clipboard used.", "error": "FATAL STRIKE 3: Auto-terminated."}
+_PROCTOR_SQL = """WITH e AS (SELECT user_id, CASE event_type WHEN 'signup' THEN 10 WHEN 'purchase' THEN 15 WHEN 'click' THEN 25 ELSE 0 END AS lost, event_type = 'error' AND event_id % 10 = 0 AS fatal FROM events WHERE event_id % 9 = 0)"""
+
+
+@query(
+    _PROCTOR_SQL
+    + """, i AS (SELECT user_id, CASE WHEN bool_or(fatal) THEN 0 ELSE greatest(0, least(100, 100 - sum(lost))) END AS integrity, bool_or(fatal) AS is_terminated FROM e GROUP BY user_id)
+    SELECT user_id, CAST(integrity AS INTEGER) AS integrity, CASE WHEN is_terminated THEN 'Terminated' WHEN integrity < 100 THEN 'Warning/Violations Detected' ELSE 'Clean' END AS proctoring_status, is_terminated, CASE WHEN 0.7 * 80 + 0.3 * integrity < 70 THEN 'Consider with Reservations' ELSE 'Recommend Hire' END AS bucket FROM i"""
+)
+def proctor_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.create_map(*[F.lit(x) for kv in _WARNINGS.items() for x in kv])
+    # Every ninth event stands for an interview's warning; of errors every tenth is fatal.
+    events = _t(spark, sf_dir, "events").filter("event_id % 9 = 0").withColumn("d", F.when((F.col("event_type") != "error") | (F.col("event_id") % 10 == 0), F.element_at(text, F.col("event_type"))).otherwise("ordinary"))
+    i = sessions.integrity(events, "user_id", "ts", "d")
+    return i.withColumn("bucket", sessions.hire_bucket(F.lit(80.0) * 0.7 + F.col("integrity") * 0.3))
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS strike, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 3 AS fatal FROM events WHERE event_type = 'error'")
+def proctor_strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = _t(spark, sf_dir, "events").filter("event_type = 'error'")
+    return sessions.strikes(errors, "user_id", ["ts", "event_id"]).select("user_id", "event_id", F.col("strike").cast("long").alias("strike"), "fatal")
+
+
+@query(
+    """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS r FROM events),
+    w AS (SELECT user_id, event_id, r, t AS last, true AS ok FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.event_id, o.r, CASE WHEN o.t - w.last >= 3600000 THEN o.t ELSE w.last END, o.t - w.last >= 3600000 FROM w JOIN o ON o.user_id = w.user_id AND o.r = w.r + 1) SELECT user_id, event_id FROM w WHERE ok"""
+)
+def event_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.debounce(_t(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3_600_000)
+
+
+_CASES = (
+    ("OB-01-1A", 0, (("d1", "Invoice of $1,200 dated 2024-01-10 from Acme Trading Company."), ("d2", "written approval was granted with remark")), "EXP-1.0: The approval must be given within 30 days of receipt.", "COMPLIANT", False, ("d1",), (), (), "EXP-1.0"),
+    ("OB-02-1B", 1, (("d1", "Goods received on 2024-03-31."), ("d2", "Invoice dated 2024-01-01, 15% discount.")), "REC-2.0: Invoices must arrive within 45 days of delivery.", "NON_COMPLIANT", True, ("d1", "d2"), (), (), "REC-2.0"),
+    ("OB-03-2A", 2, (("d1", "The visitor log is missing."),), "VIS-3.0: A log must be kept; the newer record prevails.", "INSUFFICIENT_EVIDENCE", True, (), (), ("log",), "VIS-3.0"),
+)
+
+
+def _cases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_CASES, "case_id string, idx int, document_set array<struct<doc_id:string,text:string>>, policy string, expected_decision string, expected_escalation boolean, supporting_evidence array<string>, contradicting_evidence array<string>, missing_evidence array<string>, applicable_policy_rule string")
+
+
+@query()
+def suite_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.check_records(perturb.suite(_cases(spark)), perturb.TYPES)
+
+
+@query(
+    r"""SELECT doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w, i: CASE WHEN (i - 1) % 3 = 1 AND regexp_matches(trim(w, '.,:;''"()'), '^\p{Ll}{4,}$') AND trim(w, '.,:;''"()') NOT IN ('none','not','never','without','before','after','within','more','than','only','late','over','under','above','below','less','full','partial','pending','cleared','void','fake','valid','signed','unsigned','missing','absent')
+    THEN CASE WHEN contains(w, 'm') THEN regexp_replace(w, 'm', 'rn') WHEN contains(w, 'e') THEN regexp_replace(w, 'e', 'c') WHEN contains(w, 'i') THEN regexp_replace(w, 'i', 'l') WHEN contains(w, 'l') THEN regexp_replace(w, 'l', 'I') WHEN contains(w, 'a') THEN regexp_replace(w, 'a', 'o') ELSE w END ELSE w END), ' ') AS text FROM documents"""
+)
+def perturb_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", perturb.ocr_text(F.col("text")).alias("text"))
+
+
+@query(
+    """WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate + INTERVAL 100 DAY AS DATE) AS b FROM orders)
+    SELECT o_orderkey, date_diff('day', last_day(a), CAST(date_trunc('month', b) AS DATE)) AS low, date_diff('day', CAST(date_trunc('month', a) AS DATE), last_day(b)) AS high FROM d"""
+)
+def temporal_month_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.col("o_orderdate").cast("date")
+    low, high = perturb.month_bounds(day, F.date_add(day, 100))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", low.cast("long").alias("low"), high.cast("long").alias("high"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interview.tumbling(_t(spark, sf_dir, "events"), "ts", "1 hour", "event_type").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    """WITH o AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+    SELECT user_id, min(ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k"""
+)
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interview.session_windows(_t(spark, sf_dir, "events"), "ts", "6 hours", "user_id").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    """WITH a AS (SELECT doc_id, regexp_extract_all(text, '(?i)(CC BY|MIT License|Apache License|GNU General)', 1) AS l FROM documents), x AS (SELECT doc_id, unnest(list_distinct(list_transform(l, lambda v: upper(v)))) AS lic FROM a), h AS (SELECT lic, min(doc_id) AS hub FROM x GROUP BY lic)
+    SELECT hub, doc_id AS id, lic AS identifier FROM x JOIN h USING (lic) WHERE doc_id <> hub"""
+)
+def shared_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(?i)(CC BY|MIT License|Apache License|GNU General)"), F.lit(1)), lambda x: F.upper(x)))
+    terms = _t(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("identifier"), F.lit("licence").alias("kind"))
+    return graph.shared_identifiers(terms).select("hub", "id", "identifier")
+
+
+@query("SELECT 'a' AS side, c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'b', o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+def unpaired_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")).distinct()
+    return validate.unpaired(a, b, "key")
