@@ -138,11 +138,14 @@ def turns_of_json(df: DataFrame, id_col: str, json_col: str, layouts: tuple[Layo
     def at(path: str) -> Column:
         return F.try_variant_get(F.col("v"), f"$.{path}", "string")
 
+    def listed(x: Layout) -> Column:
+        items = F.try_variant_get(F.col("v"), f"$.{x.turns}", f"array<struct<`{x.role}`:string,`{x.text}`:string>>")
+        return F.transform(items, lambda t: _said(_canonical_role(t[x.role]), t[x.text]))
+
     turns = F.lit(None).cast(TURN)
     for mark, x in _by_fingerprint(layouts).items():
         if x.turns:
-            items = F.try_variant_get(F.col("v"), f"$.{x.turns}", f"array<struct<`{x.role}`:string,`{x.text}`:string>>")
-            own = F.transform(items, lambda t, x=x: _said(_canonical_role(t[x.role]), t[x.text]))
+            own = listed(x)
         else:
             own = F.array(*[_said(role, F.concat_ws("\n", *[F.nullif(at(p), F.lit("")) for p in path.split("\n")])) for role, path in x.parts])
         turns = F.when(F.col("fingerprint") == mark, own).otherwise(turns)
