@@ -38,12 +38,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines) if token}
 
 
-#: Shared by all states that no step has left yet.
-_NO_STEPS: dict[int, tuple[int, tuple[int, ...]]] = {}
-
-
 _NODE = (1 << 24) - 1
 _BEFORE = _NODE << 24
+_PLACE = (1 << 32) - 1
 
 
 class Transducer:
@@ -53,7 +50,7 @@ class Transducer:
     costs time and changes no result.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 260_000):
         self.ranks = ranks
         self.max_states = max_states
         self.token_bytes = {rank: token for token, rank in ranks.items()}
@@ -83,7 +80,8 @@ class Transducer:
         start = (0,)
         self._ids = {start: 0}
         self._guesses = [start]
-        self._steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [_NO_STEPS]
+        # By state and byte: the next state, and the place of what the step emits.
+        self._steps: dict[int, int] = {}
         self._ends: list[tuple[int, ...]] = [()]
 
     def halves(self, token: int) -> tuple[int, int] | None:
@@ -124,7 +122,7 @@ class Transducer:
             else:
                 before, b = b + 1, hb[0]
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _step(self, state: int, byte: int) -> int:
         child, tokens, longer, pool, fits = self._child, self._token, self._has_longer, self._pool, self._fits
         lows, chains = [], []
         last, chain = -1, ()
@@ -161,11 +159,8 @@ class Transducer:
         if to is None:
             to = self._ids[key] = len(self._guesses)
             self._guesses.append(key)
-            self._steps.append(_NO_STEPS)
             self._ends.append(pool[key[-1] >> 48])
-        if self._steps[state] is _NO_STEPS:
-            self._steps[state] = {}
-        made = self._steps[state][byte] = (to, chain[:agreed])
+        made = self._steps[state << 8 | byte] = to << 32 | place(chain[:agreed])
         return made
 
     def _place(self, pending: tuple[int, ...]) -> int:
@@ -183,14 +178,15 @@ class Transducer:
         if len(self._guesses) > self.max_states:
             self._clear()
         out: list[int] = []
-        state, steps = 0, self._steps
+        state, known, pool = 0, self._steps.get, self._pool
         for byte in data:
-            step = steps[state].get(byte)
+            step = known(state << 8 | byte)
             if step is None:
                 step = self._step(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
+            state = step >> 32
+            step &= _PLACE
+            if step:
+                out += pool[step]
         out += self._ends[state]
         return out
 
@@ -198,7 +194,7 @@ class Transducer:
 class _Pieces(dict):
     """Tokens, as 32-bit numbers, of short pieces met before: two generations of at most ``size``, the older of which goes when the newer is full."""
 
-    def __init__(self, transducer: Transducer, size: int = 250_000, longest: int = 48):
+    def __init__(self, transducer: Transducer, size: int = 120_000, longest: int = 48):
         super().__init__()
         self.transducer, self.size, self.longest = transducer, size, longest
         self.older: dict[str, bytes] = {}
@@ -385,9 +381,27 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     return encoded.mapInArrow(run, schema)
 
 
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """``encode``, then ``decode`` of its tokens, in one pass and one worker a task."""
+    kept = docs.drop(*{ids_col, out_col} - {text_col})
+    schema = T.StructType([*kept.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False), T.StructField(out_col, T.StringType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, back = encoder(path, pattern), decoder(path)
+        for batch in batches:
+            for a, b in ts.slices(batch.column(text_col), 2 << 20):
+                part = batch.slice(a, b - a)
+                found = [there.encode(text.as_py() or "") for text in part.column(text_col)]
+                texts = ["".join(back.decode_stream(ids[i : i + CHUNK] for i in range(0, len(ids), CHUNK))) for ids in found]
+                offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(texts, pa.string())], [*part.schema.names, ids_col, out_col])
+
+    return kept.mapInArrow(run, schema)
+
+
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
-    encoded = encode(docs.select("doc_id", "text"), path, pattern).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids"
-    )
-    return decode(encoded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = encode_and_decode(docs.select("doc_id", "text"), path, pattern)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

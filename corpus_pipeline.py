@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjudex.llm.byte_bpe import decode, encode
+from adjudex.llm.byte_bpe import encode_and_decode
 from adjudex.llm.common import small_batches, stored, table
 from adjudex.llm.line_dedup import line_dedup
 from adjudex.llm.mixing import mix_documents
@@ -50,9 +50,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens, and whether the ids decode to the text."""
     small_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN).withColumn("tokens", F.col("ids"))
-    back = decode(encoded, path)
-    return back.select("doc_id", "lang", "source", F.col("tokens").alias("ids"), F.size("tokens").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    both = encode_and_decode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
+    return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
 STAGES = [
