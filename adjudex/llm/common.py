@@ -38,6 +38,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, n_rows: int) -> DataFrame:
+    """Inner join of rows with their groups (one row a key), where some keys may hold a large share of all rows.
+
+    Groups of more than a thousandth of ``n_rows`` (and of 1,000 rows), of which
+    there can be 1,000 at most, are broadcast, so their rows do not shuffle.
+    ``groups`` should be a stored table, for it is read three times.
+    """
+    hot = groups.filter(F.col(size) > max(1000, n_rows // 1000))
+    large = rows.join(F.broadcast(hot), keys)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return large.unionByName(others.join(groups.filter(F.col(size) <= max(1000, n_rows // 1000)), keys))
+
+
 def release(spark: SparkSession, tables: list[DataFrame]) -> None:
     """Delete stored tables that no DataFrame in use reads any more."""
     for df in tables:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import WHITESPACE, stored
+from .common import WHITESPACE, join_groups, stored
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_blocks: int = bloom.MAX_BLOCKS) -> DataFrame:
@@ -17,8 +17,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts the bits that digests set in a blocked Bloom filter and keeps those
     set twice; pass two probes it. Only rows that it passes are shuffled by
     digest, the others go straight through as groups of one. Hot groups are
-    pre-aggregated before the shuffle, and the join back is one that adaptive
-    execution can split.
+    pre-aggregated before the shuffle, and the largest (1,000 at most) are
+    broadcast to their rows.
 
     The broadcast filter has at most ``max_blocks`` blocks of 4 KB. If there are
     more rows than it suits, more of the 48-byte digest rows shuffle; the result
@@ -35,7 +35,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(F.regexp_replace(text, f"{WHITESPACE}+", ""), 256)).alias("sha"), F.length(text).alias("n")),
         "dedup-digest",
     )
-    n_blocks = bloom.blocks_for(digest.count(), bits_per_row, max_blocks)
+    n_rows = digest.count()
+    n_blocks = bloom.blocks_for(n_rows, bits_per_row, max_blocks)
     repeated = bloom.filter_table(digest, "sha", n_blocks, at_least=2)
     probed = digest.withColumn("block", bloom.block_of(F.col("sha"), n_blocks)).join(F.broadcast(repeated), "block", "left")
     probed = probed.withColumn("maybe", bloom.may_contain(F.col("bitmap"), F.col("sha"))).select("id", "sha", "n", "maybe")
@@ -43,8 +44,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = probed.filter(~F.col("maybe")).select("id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     some = probed.filter("maybe").select("id", "sha", "n")
     first = F.min(F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id")))
-    groups = some.groupBy("sha").agg(F.count("*").alias("group_size"), first["id"].alias("keep_id"))
-    shared = some.select("id", "sha").join(groups, "sha").select("id", "sha", "keep_id", "group_size")
+    groups = stored(some.groupBy("sha").agg(F.count("*").alias("group_size"), first["id"].alias("keep_id")), "dedup-groups")
+    shared = join_groups(some.select("id", "sha"), groups, ["sha"], "group_size", n_rows).select("id", "sha", "keep_id", "group_size")
     return alone.unionByName(shared).select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from . import bloom
 from . import textscan as ts
-from .common import stored
+from .common import join_groups, stored
 
 #: A line of so many words or more is a chunk of its own.
 LONG_LINE = 8
@@ -128,10 +128,10 @@ def _without(docs: DataFrame, schema: T.StructType, text_col: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _later(occurrences: DataFrame, key: str) -> DataFrame:
+def _later(occurrences: DataFrame, key: str, n_rows: int) -> DataFrame:
     """Occurrences that are not the first of their key, with the first one's id and number. Minima are pre-aggregated."""
-    first = occurrences.groupBy(key).agg(F.count("*").alias("c"), F.min(F.struct("id", "number")).alias("first")).filter("c > 1").select(key, "first")
-    return occurrences.join(first, key).filter(F.struct("id", "number") != F.col("first"))
+    first = stored(occurrences.groupBy(key).agg(F.count("*").alias("c"), F.min(F.struct("id", "number")).alias("first")).filter("c > 1"), "line-firsts")
+    return join_groups(occurrences, first, [key], "c", n_rows).drop("c").filter(F.struct("id", "number") != F.col("first"))
 
 
 def repeated_chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -143,8 +143,9 @@ def repeated_chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     words go, their first occurrences and shorter runs stay.
     """
     occurrences = stored(_occurrences(docs), "line-chunks")
-    again = _later(occurrences.filter("words > 0"), "key")
-    linked = _later(occurrences.filter("pair is not null").select("id", "number", "pair"), "pair").select("id", "number", F.lit(True).alias("linked")).distinct()
+    n_rows = occurrences.count()
+    again = _later(occurrences.filter("words > 0"), "key", n_rows)
+    linked = _later(occurrences.filter("pair is not null").select("id", "number", "pair"), "pair", n_rows).select("id", "number", F.lit(True).alias("linked")).distinct()
     both = again.join(linked, ["id", "number"], "left")
     in_text = Window.partitionBy("id").orderBy("number")
     fresh = F.coalesce((F.lag("number").over(in_text) != F.col("number") - 1) | F.lag("linked").over(in_text).isNull(), F.lit(True))
@@ -160,8 +161,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs of chunks that repeat (``repeated_chunks``) are removed where their
     bytes equal those of the first occurrence. Only documents with such runs
     are shuffled, told apart by a Bloom filter; the others pass straight
-    through. A key that a third of all documents have is pre-aggregated, and
-    the joins on it are ones that adaptive execution can split.
+    through. A key that a third of all documents have is pre-aggregated and its
+    first occurrence broadcast.
 
     Returns every input row with all its columns, ``text_col`` without the
     removed lines (empty if all went). Null texts and rows with a null id stay

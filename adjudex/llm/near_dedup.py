@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
-from .common import stored
+from .common import join_groups, stored
 from .components import components
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -193,14 +193,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are copies in its component. Ids must be integers; other columns are ignored.
     """
     signed = stored(signatures(docs, id_col, text_col, k, bands, rows), "signatures")
+    n_rows = signed.count()
     usable = signed.filter("n > 0 and id is not null")
-    classes = usable.groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"))
-    member = stored(usable.select("id", "n", "fp1", "fp2").join(classes, ["fp1", "fp2", "n"]).select("id", "rep"), "members")
+    classes = stored(usable.groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
+    member = stored(join_groups(usable.select("id", "n", "fp1", "fp2"), classes, ["fp1", "fp2", "n"], "copies", n_rows).select("id", "rep"), "members")
     reps = usable.join(member.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
 
     placed = reps.select("id", "n", F.explode("bands").alias("key"))
-    shared = placed.groupBy("key").agg(F.count("*").alias("c"), F.min_by(F.struct("id", "n"), "id").alias("first")).filter("c > 1")
-    buckets = stored(placed.join(shared, "key").select("key", "id", "n", "c", F.col("first.id").alias("first"), F.col("first.n").alias("first_n")), "buckets")
+    shared = stored(placed.groupBy("key").agg(F.count("*").alias("c"), F.min_by(F.struct("id", "n"), "id").alias("first")).filter("c > 1"), "shared-bands")
+    buckets = stored(join_groups(placed, shared, ["key"], "c", n_rows * bands).select("key", "id", "n", "c", F.col("first.id").alias("first"), F.col("first.n").alias("first_n")), "buckets")
 
     involved = buckets.select("id").distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(involved, "id", "left_semi")
