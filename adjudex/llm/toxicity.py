@@ -52,16 +52,16 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
     """Weights (the constant last) of ridge logistic regression, by limited-memory quasi-Newton steps with backtracking."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    penalty = np.full(x.shape[1], ridge)
+    penalty = np.full(x.shape[1] + 1, ridge)
     penalty[-1] = 1e-3
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = x @ w.astype(x.dtype)
+        z = x @ w[:-1].astype(x.dtype) + x.dtype.type(w[-1])
         value = np.logaddexp(0, z).sum() - z[y > 0].sum() + 0.5 * (penalty * w * w).sum()
-        return float(value), x.T @ (_sigmoid(z) - y).astype(x.dtype) + penalty * w
+        gap = (_sigmoid(z) - y).astype(x.dtype)
+        return float(value), np.append(x.T @ gap, gap.sum()) + penalty * w
 
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     value, slope = loss(w)
     past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
