@@ -3,7 +3,8 @@ from adjudex.llm.common import stored
 
 
 def test_stages_in_turn(spark):
-    sf = "/root/testdata/sf0.001"
+    # Of sf0.001 eleven labels are toxic, too few to fit a chain on.
+    sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, ids = docs.columns, {r["doc_id"] for r in docs.select("doc_id").collect()}
     labels = spark.read.parquet(f"{sf}/labels.parquet")
