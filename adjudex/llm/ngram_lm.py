@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
-from .common import stored
 from .elias_fano import TrieLevel, pack, pack_sorted, unpack, unpack_sorted
 
 #: The hash that stands for the end of a text.
@@ -44,10 +43,10 @@ class Settings:
 
     order: int = 3
     mass: tuple[float, ...] = (12.0, 4.0)
-    least: tuple[int, ...] = (2, 16)
+    least: tuple[int, ...] = (2, 2)
     bits: int = 12
-    chunk_words: int = 1 << 21
-    shard_tokens: int = 1 << 22
+    chunk_words: int = 1 << 20
+    shard_tokens: int = 1 << 21
     hot_context: int = 1 << 21
     held_out_of: int = 5
     held_out_is: int = 1
@@ -107,8 +106,8 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataF
 
 _CHUNK = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("train", pa.int64()), ("id", pa.binary()), ("no_id", pa.binary()), ("held", pa.binary()), ("size", pa.binary()), ("word", pa.binary()), ("token", pa.binary())])
 _ASK = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("data", pa.list_(pa.binary()))])
-#: kind 0: an answer to a chunk; kind 1: a shard's level, with its number of known words as ``chunk``.
-_ANSWER = pa.schema([("kind", pa.int32()), ("level", pa.int32()), ("shard", pa.int64()), ("chunk", pa.int64()), ("data", pa.list_(pa.binary()))])
+#: kind 0: an answer to a chunk; kind 1: a shard's level and its number of n-grams.
+_ANSWER = pa.schema([("kind", pa.int32()), ("level", pa.int32()), ("shard", pa.int64()), ("chunk", pa.int64()), ("known", pa.int64()), ("data", pa.list_(pa.binary()))])
 
 
 def _spark(schema: pa.Schema) -> T.StructType:
@@ -173,7 +172,8 @@ class _State:
         prior = _quantise(self.score[rows][first], s.bits)
         pieces = 1 + n_own // s.hot_context
         shard = (ts.mix(own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (word % pieces).astype(np.uint64)) % np.uint64(self.shards)).astype(np.int64)
-        order = np.lexsort((word, own, shard))
+        order = _pair_order(own, word)
+        order = order[np.argsort(shard[order], kind="stable")]
         self.order = order
         cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for k in range(self.shards):
@@ -221,7 +221,7 @@ def _ask_words(shards: int):
     return run
 
 
-def _answer_words(s: Settings):
+def _answer_words(s: Settings, keep: bool):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         rows = table.select(["chunk", "data"]).to_pylist()
@@ -237,9 +237,9 @@ def _answer_words(s: Settings):
         for r, w in zip(rows, words):
             own = inverse[at : at + len(w)]
             at += len(w)
-            out.append({"kind": 0, "level": 1, "shard": shard, "chunk": r["chunk"], "data": [pack(total[own]), pack(rank[own])]})
+            out.append({"kind": 0, "level": 1, "shard": shard, "chunk": r["chunk"], "known": 0, "data": [pack(total[own]), pack(rank[own])]})
         level = [every[known].tobytes(), pack(rank[known]), pack(_quantise(np.log10((total[known] + 0.5) / 1e15), s.bits))]
-        out.append({"kind": 1, "level": 1, "shard": shard, "chunk": len(known), "data": level})
+        out.append({"kind": 1, "level": 1, "shard": shard, "chunk": -1 - shard, "known": len(known), "data": level if keep else []})
         return pa.Table.from_pylist(out, _ANSWER)
 
     return run
@@ -255,6 +255,14 @@ def _read_state(chunks: pa.Table, answers: pa.Table, upto: int, shards: int, tra
     return state
 
 
+def _pair_order(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The order by context, then word; as one number where they fit into it."""
+    shift = int(word.max(initial=0)).bit_length()
+    if int(context.max(initial=0)).bit_length() + shift < 63:
+        return np.argsort((context << shift) | word)
+    return np.lexsort((word, context))
+
+
 def _ask_grams(level: int, shards: int, train_tokens: int, known_words: int, s: Settings):
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(chunks):
@@ -271,46 +279,50 @@ def _ask_grams(level: int, shards: int, train_tokens: int, known_words: int, s:
     return run
 
 
-def _answer_grams(level: int, s: Settings):
+def _answer_grams(level: int, s: Settings, keep: bool):
     least = s.least[level - 1] if level < s.order else 0
     mass = s.mass[level - 2]
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         rows = table.select(["chunk", "data"]).to_pylist()
-        asked, context_count = [], {}
-        contexts, words, trained, priors, counts = [], [], [], [], []
+        sizes, parts = [], []
         for r in rows:
-            d = r["data"]
+            d = r.pop("data")
             run_length = unpack(d[2])
-            contexts.append(np.repeat(unpack_sorted(d[0]), run_length))
-            counts.append(np.repeat(unpack(d[1]), run_length))
-            words.append(unpack(d[3]))
-            trained.append(unpack(d[4]))
-            priors.append(unpack(d[5]))
-        context, word, count, train, prior = (np.concatenate(x) for x in (contexts, words, counts, trained, priors))
-        order = np.lexsort((word, context))
+            own = (np.repeat(unpack_sorted(d[0]), run_length), unpack(d[3]), np.repeat(unpack(d[1]), run_length), unpack(d[4]).astype(np.int32), unpack(d[5]).astype(np.int16))
+            sizes.append(len(own[1]))
+            parts.append(own)
+        context, word, count, train, prior = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        order = _pair_order(context, word)
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(context[order]) != 0) | (np.diff(word[order]) != 0)
-        group = np.cumsum(new) - 1
-        total = np.bincount(group, weights=train[order]).astype(np.int64)
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
         one = order[new]
+        total = np.bincount(group, weights=train, minlength=len(one)).astype(np.int64)
+        asked_context, asked_word = context[one], word[one]
         seen = np.flatnonzero(total)
-        one, total = one[seen], total[seen]
-        c, w, n = context[one], word[one], count[one]
-        p = np.log10((total + mass * 10 ** _dequantise(prior[one], s.bits)) / (n + mass))
+        c, w, n, known = asked_context[seen], asked_word[seen], count[one[seen]], total[seen]
+        p = np.log10((known + mass * 10 ** _dequantise(prior[one[seen]], s.bits)) / (n + mass))
+        del context, word, count, train, prior, order
         edge = np.flatnonzero(np.diff(c, prepend=-1))
         data = TrieLevel.write(c, w, _quantise(p, s.bits), _quantise(np.log10(mass / (n[edge] + mass)), s.bits), s.bits)
+        # All chunks' n-grams, each once and in order, meet the trie in one pass over its blocks.
         trie = TrieLevel.mapped(data)
-        out = []
-        for r, own_c, own_w in zip(rows, contexts, words):
-            place = trie.find(own_c, own_w)
-            hit = place >= 0
-            code = np.zeros(len(place), np.int64)
-            code[hit] = trie.code(place[hit]) + 1
-            onward = hit & (total[np.maximum(place, 0)] >= least) if least and len(total) else np.zeros(len(place), bool)
-            out.append({"kind": 0, "level": level, "shard": shard, "chunk": r["chunk"], "data": [pack(code), pack(np.where(onward, place + 1, 0)), pack(total[place[onward]])]})
-        out.append({"kind": 1, "level": level, "shard": shard, "chunk": len(total), "data": [data]})
+        place = trie.find(asked_context, asked_word)
+        hit = place >= 0
+        code = np.zeros(len(place), np.int64)
+        code[hit] = trie.code(place[hit]) + 1
+        onward = hit & (total >= least) if least else np.zeros(len(place), bool)
+        number = np.where(onward, place + 1, 0)
+        out, at = [], 0
+        for r, size in zip(rows, sizes):
+            g = group[at : at + size]
+            at += size
+            out.append({"kind": 0, "level": level, "shard": shard, "chunk": r["chunk"], "known": 0, "data": [pack(code[g]), pack(number[g]), pack(total[g[onward[g]]])]})
+        out.append({"kind": 1, "level": level, "shard": shard, "chunk": -1 - shard, "known": len(known), "data": [data] if keep else []})
         return pa.Table.from_pylist(out, _ANSWER)
 
     return run
@@ -341,14 +353,16 @@ def _score(level: int, shards: int, train_tokens: int, known_words: int, s: Sett
     return run
 
 
-def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), keep_model: bool = True) -> tuple[DataFrame, DataFrame]:
     """Train on the documents that aren't held out and score all of them.
 
     Returns the scores and the model. Scores: id, ``held_out`` (crc32 of the id
     as text, modulo ``held_out_of``, is ``held_out_is``), ``n_tokens``,
     ``n_known``, ``train_tokens``, ``base_score`` and ``score``, the sums of
     log10 probabilities by single words and by the model. Model: (level, shard,
-    data) of the trie shards; level 1 holds word hashes, numbers and counts.
+    known, data) of the trie shards; level 1 holds word hashes, numbers and
+    counts. Without ``keep_model`` a shard's trie goes once it has answered, and
+    ``data`` is empty.
 
     A text's tokens are its words (A-Z as a-z) and one end. Null and empty
     texts have only the end. Rows with a null id are trained on; rows that
@@ -357,33 +371,30 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     s = settings
     spark = docs.sparkSession
-    # Chunks are bucketed, so that no later step moves them again.
-    name = f"lm_chunks_{uuid.uuid4().hex}"
-    chunks = tokenised(docs, id_col, text_col, s)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks.write.bucketBy(buckets, "chunk").sortBy("chunk").format("parquet").saveAsTable(name)
-    chunks = spark.table(name)
+    run = uuid.uuid4().hex
+    # Chunks and answers are bucketed alike: chunks never move again, answers move once.
+    chunk_table, answer_table = f"lm_chunks_{run}", f"lm_answers_{run}"
+
+    def save(df: DataFrame, name: str) -> DataFrame:
+        df.write.bucketBy(buckets, "chunk").sortBy("chunk").format("parquet").mode("append").saveAsTable(name)
+        return spark.table(name)
+
+    chunks = save(tokenised(docs, id_col, text_col, s), chunk_table)
     sums = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("train"), F.lit(0)).alias("train")).first()
     shards = max(8, -(-sums["n"] // s.shard_tokens))
     train = sums["train"]
 
-    asked = chunks.mapInArrow(_ask_words(shards), _spark(_ASK))
-    found = stored(asked.groupBy("shard").applyInArrow(_answer_words(s), _spark(_ANSWER)), "lm-level-1")
-    known = found.filter("kind = 1").agg(F.coalesce(F.sum("chunk"), F.lit(0)).alias("v")).first()["v"]
-    levels = [found]
+    def answered(asked: DataFrame, function) -> DataFrame:
+        return save(asked.groupBy("shard").applyInArrow(function, _spark(_ANSWER)).repartition(buckets, "chunk"), answer_table)
 
     def with_answers(function, schema: pa.Schema) -> DataFrame:
-        answers = levels[0]
-        for x in levels[1:]:
-            answers = answers.unionByName(x)
         return chunks.groupBy("chunk").cogroup(answers.filter("kind = 0").groupBy("chunk")).applyInArrow(function, _spark(schema))
 
+    answers = answered(chunks.mapInArrow(_ask_words(shards), _spark(_ASK)), _answer_words(s, keep_model))
+    known = answers.filter("kind = 1 and level = 1").agg(F.coalesce(F.sum("known"), F.lit(0)).alias("v")).first()["v"]
     for level in range(2, s.order + 1):
-        asked = with_answers(_ask_grams(level, shards, train, known, s), _ASK)
-        levels.append(stored(asked.groupBy("shard").applyInArrow(_answer_grams(level, s), _spark(_ANSWER)), f"lm-level-{level}"))
+        answers = answered(with_answers(_ask_grams(level, shards, train, known, s), _ASK), _answer_grams(level, s, keep_model))
     scores = with_answers(_score(s.order, shards, train, known, s), _SCORED)
     scores = scores.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score")
-    model = levels[0]
-    for x in levels[1:]:
-        model = model.unionByName(x)
-    return scores, model.filter("kind = 1").select("level", "shard", "data")
+    return scores, answers.filter("kind = 1").select("level", "shard", "known", "data")

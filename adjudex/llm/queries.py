@@ -29,7 +29,7 @@ def op1_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_corpus(table(spark, sf_dir, "documents"))[0]
+    return score_corpus(table(spark, sf_dir, "documents"), keep_model=False)[0]
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
