@@ -64,20 +64,31 @@ def line_chunks(column: pa.Array) -> dict[str, np.ndarray]:
     return {"text": chunk_text, "number": number, "start": starts[first], "end": ends[first + size - 1], "key": key, "words": np.add.reduceat(words, first) if len(first) else words}
 
 
+def _worded(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Of pieces in order, those with words: index, place among them in the text, a key of it, the next one and what is between, whether it is the text's last."""
+    at = np.flatnonzero(c["words"] > 0)
+    text, key = c["text"][at], c["key"][at]
+    total = np.append(np.zeros(1, np.uint64), np.cumsum(ts.mix(c["key"].copy()), dtype=np.uint64))
+    between = total[np.roll(at, -1)] - total[at + 1]
+    pair = ts.mix(ts.mix(key * _ODD + between) * _ODD + np.roll(key, -1))
+    new = np.flatnonzero(np.append(True, text[1:] != text[:-1])[: len(text)])
+    last = np.append(text[1:] != text[:-1], True)[: len(text)]
+    return {"at": at, "place": np.arange(len(at)) - np.repeat(new, np.diff(np.append(new, len(at)))), "pair": pair, "last": last}
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """A row for each chunk of (id, text) rows: id, number, key, the key of it with the next chunk (null at the end), words."""
-    schema = T.StructType([docs.schema["id"], *[T.StructField(n, k) for n, k in (("number", T.IntegerType()), ("key", T.LongType()), ("pair", T.LongType()), ("words", T.IntegerType()))]])
+    """A row for each chunk with words of (id, text) rows: id, number, place among them, key, the key of it with the next (null at the end), words."""
+    schema = T.StructType([docs.schema["id"], *[T.StructField(n, k) for n, k in (("number", T.IntegerType()), ("place", T.IntegerType()), ("key", T.LongType()), ("pair", T.LongType()), ("words", T.IntegerType()))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
             for a, b in ts.slices(texts, 1 << 20):
                 c = line_chunks(texts.slice(a, b - a))
-                ids = batch.column("id").slice(a, b - a).take(pa.array(c["text"]))
-                following = np.roll(c["key"], -1)
-                ends = np.append(c["text"][1:] != c["text"][:-1], True)[: len(c["key"])]
-                pair = pa.array(ts.mix(c["key"] * _ODD + following).view(np.int64), mask=ends)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(c["number"].astype(np.int32)), pa.array(c["key"].view(np.int64)), pair, pa.array(c["words"].astype(np.int32))], schema.names)
+                w = _worded(c)
+                at = w["at"]
+                ids = batch.column("id").slice(a, b - a).take(pa.array(c["text"][at]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(c["number"][at].astype(np.int32)), pa.array(w["place"].astype(np.int32)), pa.array(c["key"][at].view(np.int64)), pa.array(w["pair"].view(np.int64), mask=w["last"]), pa.array(c["words"][at].astype(np.int32))], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -104,7 +115,7 @@ def _texts_of(wanted: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, schema: T.StructType, text_col: str) -> DataFrame:
-    """Drop the chunks that each row's ``__named`` (array of (number, bytes)) names, if their bytes are those given."""
+    """Drop the chunks that each row's ``__named`` (array of (number, run, bytes)) names, if their bytes are those given, and those without words inside a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,9 +130,13 @@ def _without(docs: DataFrame, schema: T.StructType, text_col: str) -> DataFrame:
                     if not named.is_valid:
                         out.append(texts[i].as_py())
                         continue
-                    gone = {x["number"]: x["bytes"] for x in named.as_py()}
                     chunks = [raw[c["start"][j] : c["end"][j]].tobytes() for j in range(first[i], first[i + 1])]
-                    out.append(b"\n".join(x for j, x in enumerate(chunks) if gone.get(j) != x).decode("utf-8"))
+                    gone = sorted((x["number"], x["run"]) for x in named.as_py() if x["number"] < len(chunks) and chunks[x["number"]] == x["bytes"])
+                    drop = {j for j, _ in gone}
+                    for (j, run_), (k, other) in zip(gone, gone[1:]):
+                        if run_ == other and not c["words"][first[i] + j + 1 : first[i] + k].any():
+                            drop.update(range(j + 1, k))
+                    out.append(b"\n".join(x for j, x in enumerate(chunks) if j not in drop).decode("utf-8"))
                 columns = [pa.array(out, pa.string()) if f.name == text_col else part.column(f.name) for f in schema.fields]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
@@ -135,23 +150,24 @@ def _later(occurrences: DataFrame, key: str, n_rows: int) -> DataFrame:
 
 
 def repeated_chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, number, key, first_id, first_number) of the chunks to remove from (id, text) rows.
+    """(id, number, run, key, first_id, first_number) of the chunks to remove from (id, text) rows.
 
     A chunk counts as repeated where an earlier occurrence (smaller id, then
     place) exists; neighbouring repeated chunks belong to one run where their
-    succession, too, has an earlier occurrence. Runs of more than ``min_words``
-    words go, their first occurrences and shorter runs stay.
+    succession, too, has an earlier occurrence. Chunks without words carry a run
+    on and are part of the succession. Runs of more than ``min_words`` words go,
+    their first occurrences and shorter runs stay.
     """
     occurrences = stored(_occurrences(docs), "line-chunks")
     n_rows = occurrences.count()
-    again = _later(occurrences.filter("words > 0"), "key", n_rows)
+    again = _later(occurrences, "key", n_rows)
     linked = _later(occurrences.filter("pair is not null").select("id", "number", "pair"), "pair", n_rows).select("id", "number", F.lit(True).alias("linked")).distinct()
     both = again.join(linked, ["id", "number"], "left")
-    in_text = Window.partitionBy("id").orderBy("number")
-    fresh = F.coalesce((F.lag("number").over(in_text) != F.col("number") - 1) | F.lag("linked").over(in_text).isNull(), F.lit(True))
+    in_text = Window.partitionBy("id").orderBy("place")
+    fresh = F.coalesce((F.lag("place").over(in_text) != F.col("place") - 1) | F.lag("linked").over(in_text).isNull(), F.lit(True))
     runs = both.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(in_text))
     total = F.sum("words").over(Window.partitionBy("id", "run"))
-    return runs.withColumn("total", total).filter(F.col("total") > min_words).select("id", "number", "key", F.col("first.id").alias("first_id"), F.col("first.number").alias("first_number"))
+    return runs.withColumn("total", total).filter(F.col("total") > min_words).select("id", "number", "run", "key", F.col("first.id").alias("first_id"), F.col("first.number").alias("first_number"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -177,8 +193,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = sources.groupBy("id").agg(F.collect_list(F.struct("number", "key")).alias("chunks"))
     holding, _ = bloom.split_by_keys(texts, "id", sources.select("id").distinct(), n)
     first_texts = _texts_of(holding.join(named, "id").dropDuplicates(["id"]).select("text", "chunks"))
-    compared = remove.select("id", "number", "key").join(first_texts, "key")
-    gone = compared.groupBy("id").agg(F.collect_list(F.struct("number", "bytes")).alias("__named")).withColumnRenamed("id", "__id")
+    compared = remove.select("id", "number", "run", "key").join(first_texts, "key")
+    gone = compared.groupBy("id").agg(F.collect_list(F.struct("number", "run", "bytes")).alias("__named")).withColumnRenamed("id", "__id")
 
     touched, untouched = bloom.split_by_keys(docs, id_col, remove.select(F.col("id").alias(id_col)).distinct(), n)
     cleaned = _without(touched.join(gone, touched[id_col] == F.col("__id"), "left").drop("__id"), docs.schema, text_col)

@@ -148,6 +148,14 @@ def test_line_dedup_removes_later_passages_only(spark):
     assert sum(x in got[6][0] for x in p) <= 1
 
 
+def test_line_dedup_sees_past_blank_lines(spark):
+    """Paragraphs of 40 words, parted by blank lines, are one passage; parted otherwise they are not."""
+    p = passage("p", 5, 40)
+    rows = [(1, "\n\n".join(p)), (2, "\n".join(["own", *"\n\n".join(p).split("\n"), "end"])), (3, "\n\n\n".join(["x", p[1], p[0], p[3]])), (4, "\n\n".join([p[4], p[2]]))]
+    got = table(line_dedup.line_dedup(spark.createDataFrame(rows, DOC)), "doc_id", "text")
+    assert got == {1: (rows[0][1],), 2: ("own\nend",), 3: (rows[2][1],), 4: (rows[3][1],)}
+
+
 def test_chunk_boundaries_resist_shifts():
     import pyarrow as pa
 
