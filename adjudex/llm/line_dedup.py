@@ -18,18 +18,13 @@ from .common import join_groups, stored
 LONG_LINE = 8
 #: A run of repeated chunks is removed if it has more words than this.
 MIN_WORDS = 50
+#: Chunks with words beside a repeated one that may hold lines of its passage: the first three lines may be cut apart unlike elsewhere.
+MARGIN = 3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def line_chunks(column: pa.Array) -> dict[str, np.ndarray]:
-    """The chunks of a slice of texts: text, number in the text, byte range (without the last line feed), key and words.
-
-    A rolling hash over two line hashes closes a chunk after a line unless its
-    low two bits are 0, so that chunks come out alike wherever the same lines
-    follow each other, and little is lost of a passage at its ends: a third of a
-    short line on average. A long line is closed off on both sides. The key is a
-    hash of the chunk's line hashes.
-    """
+def text_lines(column: pa.Array) -> dict[str, np.ndarray]:
+    """The lines of a slice of texts: text, number in the text, byte range (without the line feed), key and words."""
     raw, bounds = ts.text_bytes(column)
     n = len(bounds) - 1
     feeds = np.flatnonzero(raw == 0x0A)
@@ -49,9 +44,28 @@ def line_chunks(column: pa.Array) -> dict[str, np.ndarray]:
     hashes = ts.range_hashes(raw, starts, ends, ts.EXACT)
     word_starts, _, _ = ts.scan(raw, bounds)
     words = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts)
+    at = np.flatnonzero(new_text)
+    number = np.arange(len(text)) - np.repeat(at, np.diff(np.append(at, len(text))))
+    return {"text": text, "number": number, "start": starts, "end": ends, "key": hashes, "words": words}
+
+
+def line_chunks(column: pa.Array, lines: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """The chunks of a slice of texts: text, number in the text, byte range (without the last line feed), key, words and range of lines.
+
+    A rolling hash over two line hashes closes a chunk after a line unless its
+    low two bits are 0, and always after a line that follows one of which they
+    are, so that chunks come out alike wherever the same lines follow each
+    other, from the third line at the latest, and have two lines at most. A long
+    line is closed off on both sides. The key is a hash of the chunk's line
+    hashes.
+    """
+    lines = lines or text_lines(column)
+    text, starts, ends, hashes, words = (lines[x] for x in ("text", "start", "end", "key", "words"))
+    new_text = lines["number"] == 0
     before = np.roll(hashes, 1)
     before[new_text] = 0
-    closes = ((ts.mix(hashes * _ODD + before) & np.uint64(3)) != 0) | (words >= LONG_LINE)
+    stays = (ts.mix(hashes * _ODD + before) & np.uint64(3)) == 0
+    closes = ~stays | (np.roll(stays, 1) & ~new_text) | (words >= LONG_LINE)
     opens = new_text.copy()
     opens[1:] |= closes[:-1] | (words[1:] >= LONG_LINE)
     first = np.flatnonzero(opens)
@@ -61,7 +75,7 @@ def line_chunks(column: pa.Array) -> dict[str, np.ndarray]:
     chunk_text = text[first]
     at = np.flatnonzero(new_text[first])
     number = np.arange(len(first)) - np.repeat(at, np.diff(np.append(at, len(first))))
-    return {"text": chunk_text, "number": number, "start": starts[first], "end": ends[first + size - 1], "key": key, "words": np.add.reduceat(words, first) if len(first) else words}
+    return {"text": chunk_text, "number": number, "start": starts[first], "end": ends[first + size - 1], "key": key, "words": np.add.reduceat(words, first) if len(first) else words, "first": first, "next": first + size}
 
 
 def _worded(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -77,8 +91,9 @@ def _worded(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """A row for each chunk with words of (id, text) rows: id, number, place among them, key, the key of it with the next (null at the end), words."""
-    schema = T.StructType([docs.schema["id"], *[T.StructField(n, k) for n, k in (("number", T.IntegerType()), ("place", T.IntegerType()), ("key", T.LongType()), ("pair", T.LongType()), ("words", T.IntegerType()))]])
+    """A row for each chunk with words of (id, text) rows: id, place among them, key, words, and those of the ``MARGIN`` before and after."""
+    names = ("place", "words", "before", "after")
+    schema = T.StructType([docs.schema["id"], T.StructField("key", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,25 +101,58 @@ def _occurrences(docs: DataFrame) -> DataFrame:
             for a, b in ts.slices(texts, 1 << 20):
                 c = line_chunks(texts.slice(a, b - a))
                 w = _worded(c)
-                at = w["at"]
+                at, n = w["at"], len(w["at"])
+                words = c["words"][at]
+                total = np.append(0, np.cumsum(words))
+                start = np.arange(n) - w["place"]
+                end = np.searchsorted(start, start, "right")
+                i = np.arange(n)
+                before = total[i] - total[np.maximum(start, i - MARGIN)]
+                after = total[np.minimum(end, i + 1 + MARGIN)] - total[i + 1]
                 ids = batch.column("id").slice(a, b - a).take(pa.array(c["text"][at]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(c["number"][at].astype(np.int32)), pa.array(w["place"].astype(np.int32)), pa.array(c["key"][at].view(np.int64)), pa.array(w["pair"].view(np.int64), mask=w["last"]), pa.array(c["words"][at].astype(np.int32))], schema.names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(c["key"][at].view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (w["place"], words, before, after)]], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def _lines_of(wanted: DataFrame) -> DataFrame:
+    """A row for each line with words in the chunks that each (id, text, ranges: array of (low, high) places) row names, and ``MARGIN`` more at both sides: id, number, place among the text's, key, the key of it with the next (null at the end), words."""
+    schema = T.StructType([wanted.schema["id"], *[T.StructField(n, k) for n, k in (("number", T.IntegerType()), ("place", T.IntegerType()), ("key", T.LongType()), ("pair", T.LongType()), ("words", T.IntegerType()))]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in ts.slices(batch.column("text"), 1 << 20):
+                texts = batch.column("text").slice(a, b - a)
+                lines = text_lines(texts)
+                c = line_chunks(texts, lines)
+                chunks = _worded(c)["at"]
+                first = np.searchsorted(c["text"][chunks], np.arange(b - a + 1))
+                inside = np.zeros(len(lines["text"]) + 1, np.int64)
+                for i, ranges in enumerate(batch.column("ranges").slice(a, b - a).to_pylist()):
+                    for x in ranges:
+                        inside[c["first"][chunks[max(first[i], first[i] + x["low"] - MARGIN)]]] += 1
+                        inside[c["next"][chunks[min(first[i + 1] - 1, first[i] + x["high"] + MARGIN)]]] -= 1
+                w = _worded(lines)
+                keep = np.cumsum(inside)[w["at"]] > 0
+                at = w["at"][keep]
+                ids = batch.column("id").slice(a, b - a).take(pa.array(lines["text"][at]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(lines["number"][at].astype(np.int32)), pa.array(w["place"][keep].astype(np.int32)), pa.array(lines["key"][at].view(np.int64)), pa.array(w["pair"][keep].view(np.int64), mask=w["last"][keep]), pa.array(lines["words"][at].astype(np.int32))], schema.names)
+
+    return wanted.mapInArrow(run, schema)
+
+
 def _texts_of(wanted: DataFrame) -> DataFrame:
-    """(key, bytes) of the chunks that each (text, chunks: array of (number, key)) row names."""
+    """(key, bytes) of the lines that each (text, lines: array of (number, key)) row names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in ts.slices(batch.column("text"), 1 << 20):
                 texts = batch.column("text").slice(a, b - a)
                 raw, _ = ts.text_bytes(texts)
-                c = line_chunks(texts)
+                c = text_lines(texts)
                 first = np.searchsorted(c["text"], np.arange(b - a))
                 keys, parts = [], []
-                for i, named in enumerate(batch.column("chunks").slice(a, b - a).to_pylist()):
+                for i, named in enumerate(batch.column("lines").slice(a, b - a).to_pylist()):
                     for x in named:
                         j = first[i] + x["number"]
                         keys.append(x["key"])
@@ -115,7 +163,7 @@ def _texts_of(wanted: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, schema: T.StructType, text_col: str) -> DataFrame:
-    """Drop the chunks that each row's ``__named`` (array of (number, run, bytes)) names, if their bytes are those given, and those without words inside a run."""
+    """Drop the lines that each row's ``__named`` (array of (number, run, bytes)) names, if their bytes are those given, and those without words inside a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,20 +171,20 @@ def _without(docs: DataFrame, schema: T.StructType, text_col: str) -> DataFrame:
                 part = batch.slice(a, b - a)
                 texts = part.column(text_col)
                 raw, _ = ts.text_bytes(texts)
-                c = line_chunks(texts)
+                c = text_lines(texts)
                 first = np.append(np.searchsorted(c["text"], np.arange(b - a)), len(c["text"]))
                 out = []
                 for i, named in enumerate(part.column("__named")):
                     if not named.is_valid:
                         out.append(texts[i].as_py())
                         continue
-                    chunks = [raw[c["start"][j] : c["end"][j]].tobytes() for j in range(first[i], first[i + 1])]
-                    gone = sorted((x["number"], x["run"]) for x in named.as_py() if x["number"] < len(chunks) and chunks[x["number"]] == x["bytes"])
+                    lines = [raw[c["start"][j] : c["end"][j]].tobytes() for j in range(first[i], first[i + 1])]
+                    gone = sorted((x["number"], x["run"]) for x in named.as_py() if x["number"] < len(lines) and lines[x["number"]] == x["bytes"])
                     drop = {j for j, _ in gone}
                     for (j, run_), (k, other) in zip(gone, gone[1:]):
                         if run_ == other and not c["words"][first[i] + j + 1 : first[i] + k].any():
                             drop.update(range(j + 1, k))
-                    out.append(b"\n".join(x for j, x in enumerate(chunks) if j not in drop).decode("utf-8"))
+                    out.append(b"\n".join(x for j, x in enumerate(lines) if j not in drop).decode("utf-8"))
                 columns = [pa.array(out, pa.string()) if f.name == text_col else part.column(f.name) for f in schema.fields]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
@@ -149,19 +197,36 @@ def _later(occurrences: DataFrame, key: str, n_rows: int) -> DataFrame:
     return join_groups(occurrences, first, [key], "c", n_rows).drop("c").filter(F.struct("id", "number") != F.col("first"))
 
 
-def repeated_chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, number, run, key, first_id, first_number) of the chunks to remove from (id, text) rows.
-
-    A chunk counts as repeated where an earlier occurrence (smaller id, then
-    place) exists; neighbouring repeated chunks belong to one run where their
-    succession, too, has an earlier occurrence. Chunks without words carry a run
-    on and are part of the succession. Runs of more than ``min_words`` words go,
-    their first occurrences and shorter runs stay.
-    """
+def _candidates(docs: DataFrame, min_words: int) -> DataFrame:
+    """(id, low, high): runs of chunks, by place, that occur more than once, if they and the ``MARGIN`` at both sides have more than ``min_words`` words."""
     occurrences = stored(_occurrences(docs), "line-chunks")
-    n_rows = occurrences.count()
-    again = _later(occurrences, "key", n_rows)
-    linked = _later(occurrences.filter("pair is not null").select("id", "number", "pair"), "pair", n_rows).select("id", "number", F.lit(True).alias("linked")).distinct()
+    common = stored(occurrences.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "line-repeated")
+    repeated = join_groups(occurrences, common, ["key"], "c", occurrences.count())
+    # Rows that repeat an id have the same places and ranks.
+    island = F.col("place") - F.dense_rank().over(Window.partitionBy("id").orderBy("place"))
+    runs = repeated.withColumn("island", island).groupBy("id", "island").agg(F.min("place").alias("low"), F.max("place").alias("high"), (F.sum("words") + F.max_by("after", "place") + F.min_by("before", "place")).alias("total"))
+    return runs.filter(F.col("total") > min_words).select("id", "low", "high")
+
+
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, number, run, key, first_id, first_number) of the lines to remove from (id, text) rows.
+
+    Repeated chunks tell where to look (``_candidates``): a passage that occurs
+    twice and has more than ``min_words`` words has a chunk of its own in both
+    places, and all of its lines lie in repeated chunks or within ``MARGIN``
+    chunks of them. There, a line counts as repeated where an earlier occurrence
+    (smaller id, then place) exists; neighbouring repeated lines belong to one
+    run where their succession, too, has an earlier occurrence. Lines without
+    words carry a run on and are part of the succession. Runs of more than
+    ``min_words`` words go, their first occurrences and shorter runs stay.
+    """
+    found = stored(_candidates(docs, min_words), "line-candidates")
+    holding, _ = bloom.split_by_keys(docs, "id", found.select("id").distinct(), found.count())
+    ranges = found.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    lines = stored(_lines_of(holding.join(ranges, "id").dropDuplicates(["id", "text"])), "line-lines")
+    n_rows = lines.count()
+    again = _later(lines.select("id", "number", "place", "key", "words"), "key", n_rows)
+    linked = _later(lines.filter("pair is not null").select("id", "number", "pair"), "pair", n_rows).select("id", "number", F.lit(True).alias("linked")).distinct()
     both = again.join(linked, ["id", "number"], "left")
     in_text = Window.partitionBy("id").orderBy("place")
     fresh = F.coalesce((F.lag("place").over(in_text) != F.col("place") - 1) | F.lag("linked").over(in_text).isNull(), F.lit(True))
@@ -173,10 +238,10 @@ def repeated_chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Remove passages of more than ``min_words`` words that an earlier document or place has.
 
-    Texts are cut at line feeds into content-defined chunks (``line_chunks``);
-    runs of chunks that repeat (``repeated_chunks``) are removed where their
-    bytes equal those of the first occurrence. Only documents with such runs
-    are shuffled, told apart by a Bloom filter; the others pass straight
+    Texts are cut at line feeds into content-defined chunks (``line_chunks``),
+    which find the candidates; runs of lines that repeat (``repeated_lines``)
+    are removed where their bytes equal those of the first occurrence. Only
+    documents with such runs are shuffled, told apart by a Bloom filter; the others pass straight
     through. A key that a third of all documents have is pre-aggregated and its
     first occurrence broadcast.
 
@@ -186,13 +251,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives an empty result.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    remove = stored(repeated_chunks(texts, min_words), "line-removals")
+    remove = stored(repeated_lines(texts, min_words), "line-removals")
     n = remove.count()
 
     sources = remove.select(F.col("first_id").alias("id"), F.col("first_number").alias("number"), "key").distinct()
-    named = sources.groupBy("id").agg(F.collect_list(F.struct("number", "key")).alias("chunks"))
+    named = sources.groupBy("id").agg(F.collect_list(F.struct("number", "key")).alias("lines"))
     holding, _ = bloom.split_by_keys(texts, "id", sources.select("id").distinct(), n)
-    first_texts = _texts_of(holding.join(named, "id").dropDuplicates(["id"]).select("text", "chunks"))
+    first_texts = _texts_of(holding.join(named, "id").dropDuplicates(["id"]).select("text", "lines"))
     compared = remove.select("id", "number", "run", "key").join(first_texts, "key")
     gone = compared.groupBy("id").agg(F.collect_list(F.struct("number", "run", "bytes")).alias("__named")).withColumnRenamed("id", "__id")
 

@@ -156,6 +156,26 @@ def test_line_dedup_sees_past_blank_lines(spark):
     assert got == {1: (rows[0][1],), 2: ("own\nend",), 3: (rows[2][1],), 4: (rows[3][1],)}
 
 
+def test_line_dedup_takes_short_lines_at_the_ends(spark):
+    """Passages of 51 words count whole, whatever lines are before and after them; those of 50 stay."""
+    rng = np.random.default_rng(5)
+
+    def line(tag, n):
+        return " ".join(f"{tag}{j}" for j in range(n))
+
+    rows, left = [], {}
+    for i in range(60):
+        # A long line between two short ones, or short lines only.
+        p = [line(f"a{i}x", 3), line(f"b{i}x", 44 + (i % 6 > 0)), line(f"c{i}x", 3)] if i % 2 else [line(f"s{i}x{j}y", 7) for j in range(7)] + [line(f"t{i}x", 1 + (i % 6 > 0))]
+        rows.append((10 * i, p[1]))
+        for k in range(1, 4):
+            own = [line(f"o{i}x{k}y", int(rng.integers(1, 5))), line(f"e{i}x{k}y", int(rng.integers(1, 5)))]
+            rows.append((10 * i + k, "\n".join([own[0], *p, own[1]])))
+            left[10 * i + k] = "\n".join(own) if k > 1 and sum(len(x.split()) for x in p) > 50 else rows[-1][1]
+    got = table(line_dedup.line_dedup(spark.createDataFrame(rows, DOC)), "doc_id", "text")
+    assert {i: got[i][0] for i in left} == left
+
+
 def test_chunk_boundaries_resist_shifts():
     import pyarrow as pa
 
