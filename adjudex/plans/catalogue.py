@@ -438,8 +438,8 @@ _PROCTOR_SQL = """WITH e AS (SELECT user_id, CASE event_type WHEN 'signup' THEN
 )
 def proctor_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.create_map(*[F.lit(x) for kv in _WARNINGS.items() for x in kv])
-    # Every ninth event stands for an interview's warning; of errors every tenth is fatal.
-    events = _t(spark, sf_dir, "events").filter("event_id % 9 = 0").withColumn("d", F.when((F.col("event_type") != "error") | (F.col("event_id") % 10 == 0), F.element_at(text, F.col("event_type"))).otherwise("ordinary"))
+    # Of errors every tenth is fatal.
+    events = _t(spark, sf_dir, "events").withColumn("d", F.when((F.col("event_type") != "error") | (F.col("event_id") % 10 == 0), F.element_at(text, F.col("event_type"))).otherwise("ordinary"))
     i = sessions.integrity(events, "user_id", "ts", "d")
     return i.withColumn("bucket", sessions.hire_bucket(F.lit(80.0) * 0.7 + F.col("integrity") * 0.3))
 

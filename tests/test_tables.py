@@ -152,3 +152,17 @@ def test_streamed_windows(spark, tmp_path):
 def test_every_query_has_rows_or_an_empty_schema(spark):
     assert len(catalogue.queries()) >= 40 and set(catalogue.oracle_sql()) <= set(catalogue.queries())
     assert catalogue.queries()["policy_decision_by_customer"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_proctor_scoring_counts_every_event(spark, tmp_path):
+    kinds = ["signup", "purchase", "view", "click", "error"]
+    events = [(i % 7, i, kinds[i % 5], datetime(2024, 1, 1, 0, i)) for i in range(1, 30)]
+    spark.createDataFrame(events, "user_id long, event_id long, event_type string, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    lost = {"signup": 10, "purchase": 15, "click": 25}
+    want = {}
+    for user in range(7):
+        own = [(i, k) for u, i, k, _ in events if u == user]
+        fatal = any(k == "error" and i % 10 == 0 for i, k in own)
+        want[user] = (0 if fatal else max(0, 100 - sum(lost.get(k, 0) for _, k in own)), fatal)
+    got = catalogue.queries()["proctor_scoring"](spark, str(tmp_path)).collect()
+    assert {r["user_id"]: (r["integrity"], r["is_terminated"]) for r in got} == want
