@@ -39,6 +39,15 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _distinct(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first k different pairs by falling score, then id."""
+    order = np.lexsort((ids, -scores))
+    scores, ids = scores[order], ids[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (scores[1:] != scores[:-1]) | (ids[1:] != ids[:-1])
+    return scores[new][:k], ids[new][:k]
+
+
 class Shard:
     """The best k of the vectors seen so far, for each query of a block."""
 
@@ -54,7 +63,7 @@ class Shard:
         score. Terms are sorted by the range of what they can add. The last
         ones, whose bounds cannot lift a vector over the threshold (the k-th
         best score so far) unless the first ones bring it near, are not
-        essential: the essential postings are traversed for all vectors, and
+        essential; they are as many as have bounds of a smaller sum than it. The essential postings are traversed for all vectors, and
         the others are probed, term by term, only for vectors that are still
         competitive. Equal scores stay competitive, for their ids decide.
         """
@@ -78,9 +87,8 @@ class Shard:
             if threshold is not None:
                 if rest[0] < threshold:
                     continue
-                # The fewest first terms that can decide about most vectors: those with half of the spread.
-                total = np.cumsum(spread[order])
-                essential = int(np.searchsorted(total, 0.7 * total[-1])) + 1 if len(total) else 0
+                below = np.flatnonzero(rest < threshold)
+                essential = int(below[0]) if len(below) else len(terms)
             weights = q[terms].astype(exact.dtype)
             part = weights[:essential] @ exact[terms[:essential]] if essential else np.zeros(len(ids), exact.dtype)
             rows = np.arange(len(ids)) if threshold is None else np.flatnonzero(part + rest[essential] >= threshold)
@@ -96,11 +104,14 @@ class Shard:
             if len(rows):
                 scores = np.concatenate([scores, part.astype(np.int64)])
                 found = np.concatenate([found, ids[rows]])
+                best = None
                 if len(scores) > 4 * self.k:
-                    edge = np.partition(scores, -self.k)[-self.k]
-                    scores, found = scores[scores >= edge], found[scores >= edge]
-                first = np.lexsort((found, -scores))[: self.k]
-                self.best[i] = scores[first], found[first]
+                    near = scores >= np.partition(scores, -self.k)[-self.k]
+                    best = _distinct(scores[near], found[near], self.k)
+                # Repeated rows may leave fewer than k of the nearest.
+                if best is None or len(best[0]) < self.k:
+                    best = _distinct(scores, found, self.k)
+                self.best[i] = best
 
     def results(self) -> pa.RecordBatch:
         sizes = [len(s) for s, _ in self.best]

@@ -54,6 +54,13 @@ def test_top_k_with_few_candidates(spark):
     assert top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_top_k_counts_repeated_rows_once(spark):
+    rows = [(0, [1.0])] + [(1, [9.0])] * 60 + [(i, [float(i % 7)]) for i in range(2, 20)]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), F.col("vec_id") == 0).orderBy("rank").collect()
+    want = sorted((-1024 * 1024 * (9 if i == 1 else i % 7), i) for i in range(1, 20))[:10]
+    assert [(-r["score"], r["vec_id"]) for r in got] == want
+
+
 def test_shard_keeps_ties_by_id():
     shard = Shard(np.array([9]), np.array([[1, -1]]), 2)
     for ids in ([5, 7], [3, 9], [1, 8]):
