@@ -66,20 +66,23 @@ def cluster_bootstrap(df: DataFrame, group: str, cluster: str, correct: str, res
     """95% percentile interval of accuracy by resampling whole clusters.
 
     Spark adds up each cluster first, so that a group's resampling works on one
-    row a cluster. The seed comes from the group and its cluster names; fewer
-    than ``MIN_CLUSTERS`` clusters give a NULL interval.
+    row a cluster. The seed comes from the group and its cluster names in string
+    order, and draws follow each other, so that the ends are the reference's;
+    rows without a cluster name don't count for anything, and fewer than
+    ``MIN_CLUSTERS`` clusters give a NULL interval.
     """
-    sums = df.filter(F.col(correct).isNotNull()).groupBy(group, cluster).agg(F.count("*").alias("n"), F.count_if(F.col(correct)).alias("k"))
+    named = F.col(cluster).isNotNull() & (F.col(cluster).cast("string") != "")
+    sums = df.filter(F.col(correct).isNotNull() & named).groupBy(group, cluster).agg(F.count("*").alias("n"), F.count_if(F.col(correct)).alias("k"))
     schema = f"{group} string, n_clusters long, estimate double, low double, high double"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(cluster)
+        rows = rows.sort_values(cluster, key=lambda x: x.astype(str))
         name, m = str(rows[group].iloc[0]), len(rows)
         n, k = rows["n"].tolist(), rows["k"].tolist()
         estimate = sum(k) / sum(n)
         if m < MIN_CLUSTERS:
             return pd.DataFrame([[name, m, estimate, None, None]], columns=[group, "n_clusters", "estimate", "low", "high"])
-        seed = int(hashlib.sha256("\n".join([name, *map(str, rows[cluster])]).encode()).hexdigest()[:16], 16)
+        seed = int(hashlib.sha256(f"{name}|{'|'.join(map(str, rows[cluster]))}".encode()).hexdigest()[:16], 16)
         draw = random.Random(seed)
         means = []
         for _ in range(resamples):

@@ -389,7 +389,7 @@ def holm_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored_labels(spark, sf_dir).select("lang", F.pmod("doc_id", F.lit(40)).alias("family"), (F.col("expected") == F.col("by_size")).alias("ok"))
-    return stats.cluster_bootstrap(rows, "lang", "family", "ok", 500)
+    return stats.cluster_bootstrap(rows, "lang", "family", "ok")
 
 
 @query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 3")

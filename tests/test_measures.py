@@ -1,8 +1,12 @@
+import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from adjudex.functions import stats, textlint
 from adjudex.operators import metrics
+from adjudex.plans import catalogue
 
 
 def test_calibration_by_hand(spark):
@@ -76,6 +80,22 @@ def test_bootstrap(spark):
     assert many["low"] <= many["estimate"] <= many["high"] and many == run(24)
 
 
+def test_bootstrap_query_has_the_reference_interval(spark, monkeypatch):
+    """2,000 resamples of families in string order, seeded with ``version|family|...``."""
+    families = {str(f): [(f + i) % 3 > 0 for i in range(f % 5 + 1)] for f in range(24)}
+    data = spark.createDataFrame([("en", int(f), "good", "good" if ok else "bad") for f, x in families.items() for ok in x], "lang string, doc_id long, expected string, by_size string")
+    monkeypatch.setattr(catalogue, "_scored_labels", lambda *_: data)
+    got = catalogue.queries()["cluster_bootstrap"](spark, "").first()
+    names = sorted(families)
+    draw = random.Random(int(hashlib.sha256(("en|" + "|".join(names)).encode()).hexdigest()[:16], 16))
+    values = []
+    for _ in range(2000):
+        outcomes = [v for f in [names[draw.randrange(24)] for _ in names] for v in families[f]]
+        values.append(sum(outcomes) / len(outcomes))
+    values.sort()
+    assert (got["n_clusters"], got["low"], got["high"]) == (24, values[int(0.025 * 1999)], values[int(0.975 * 1999)])
+
+
 @pytest.mark.parametrize("text,numbers", [("20% of 3 lakh", {20.0, 0.2, 3.0, 300000.0}), ("within 2 weeks", {2.0, 20160.0, 336.0, 14.0}), ("two managers", {2.0}), ("1,200.50 only", {1200.5}), ("", set())])
 def test_numbers_in_text(spark, text, numbers):
     got = spark.range(1).select(textlint.numbers_in(F.lit(text)).alias("n")).first()["n"]
