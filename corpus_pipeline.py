@@ -28,9 +28,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that an earlier document has."""
+    """Texts without passages that an earlier document has; documents that had words and have none left go."""
     small_batches(spark)
-    return line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    left = line_dedup(docs.withColumn("__had_words", has_words)).filter(~F.col("__had_words") | has_words)
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,3 +20,11 @@ def test_stages_in_turn(spark):
             assert docs.columns == columns
         ids = now
     assert docs.filter("not round_trip").isEmpty() and docs.count() == len(ids)
+
+
+def test_documents_emptied_by_line_dedup_go(spark):
+    p = "\n\n".join(" ".join(f"w{i}x{j}" for j in range(40)) for i in range(3))
+    rows = [(1, p), (2, p), (3, f"\n{p}\n\n"), (4, f"{p}\nown"), (5, ""), (6, None), (7, " \n"), (None, p)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_lines(spark, docs, "").collect()}
+    assert got == {1: p, 4: "own", 5: "", 6: None, 7: " \n", None: p}
