@@ -106,18 +106,23 @@ def strikes(events: DataFrame, session: str, order: list[str]) -> DataFrame:
 def debounce(events: DataFrame, session: str, moment: str, event_id: str, gap_ms: int = 2000) -> DataFrame:
     """(session, event_id) of the events accepted: those ``gap_ms`` or more after the last accepted one.
 
-    What counts is the accepted event before, so this is a fold over a session's
-    ordered events, not a lag.
+    What counts is the accepted event before, so this is a fold over ordered
+    events, not a lag. An event ``gap_ms`` or more after the one before it is
+    always accepted, though, so the fold needs no more than the run from there on.
     """
-    item = F.struct(F.unix_millis(F.col(moment).cast("timestamp")).alias("t"), F.col(event_id).alias("id"))
+    order = Window.partitionBy("s").orderBy("t", "id")
+    timed = events.select(F.col(session).alias("s"), F.unix_millis(F.col(moment).cast("timestamp")).alias("t"), F.col(event_id).alias("id"))
+    fresh = F.coalesce(F.col("t") - F.lag("t").over(order) >= gap_ms, F.lit(True))
+    runs = timed.withColumn("fresh", fresh.cast("long")).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    item = F.struct("t", "id")
     start = F.struct(F.lit(None).cast("long").alias("t"), F.array().cast("array<long>").alias("ids"))
 
     def step(acc: Column, x: Column) -> Column:
         ok = acc["t"].isNull() | (x["t"] - acc["t"] >= gap_ms)
         return F.when(ok, F.struct(x["t"].alias("t"), F.array_append(acc["ids"], x["id"].cast("long")).alias("ids"))).otherwise(acc)
 
-    folded = events.groupBy(session).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step, lambda a: a["ids"]).alias("ids"))
-    return folded.select(session, F.explode("ids").alias(event_id))
+    folded = runs.groupBy("s", "run").agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step, lambda a: a["ids"]).alias("ids"))
+    return folded.select(F.col("s").alias(session), F.explode("ids").alias(event_id))
 
 
 def qa_score(scores: Column) -> Column:

@@ -20,6 +20,22 @@ def test_debounce_counts_from_the_last_accepted(spark):
     assert rows(sessions.debounce(events, "s", "ts", "id"), "id") == [(0,), (2,), (4,), (5,)]
 
 
+def test_debounce_folds_run_by_run(spark):
+    """No array is longer than a run of close events, and the accepted ones are those of one fold."""
+    at = [(i * i * 37 % 1000) * 700 for i in range(300)]
+    events = spark.createDataFrame([("ab"[i % 2], datetime.fromtimestamp(t / 1000), i) for i, t in enumerate(at)], "s string, ts timestamp, id long")
+    want = []
+    for s in "ab":
+        last = None
+        for t, i in sorted((t, i) for i, t in enumerate(at) if "ab"[i % 2] == s):
+            if last is None or t - last >= 2000:
+                want.append((s, i))
+                last = t
+    got = sessions.debounce(events, "s", "ts", "id")
+    assert rows(got, "s", "id") == sorted(want)
+    assert "run" in got._jdf.queryExecution().analyzed().toString()
+
+
 def test_integrity(spark):
     events = spark.createDataFrame([("a", 1, "STRIKE 1: Candidate exited Full-Screen mode."), ("a", 2, "Browser window lost focus."), ("b", 1, "Clipboard used"), ("b", 2, "FATAL STRIKE 3: Auto-terminated."), ("c", 1, "hello"), *[("d", i, "Multiple faces seen") for i in range(9)]], "s string, n int, d string")
     assert rows(sessions.integrity(events, "s", "n", "d"), "s", "integrity", "proctoring_status") == [("a", 75, "Warning/Violations Detected"), ("b", 0, "Terminated"), ("c", 100, "Clean"), ("d", 0, "Warning/Violations Detected")]
