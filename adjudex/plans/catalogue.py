@@ -428,7 +428,7 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WARNINGS = {"signup": "STRIKE: Candidate exited Full-Screen mode.", "purchase": "Browser window lost focus.", "view": "ordinary", "click": "Clipboard used.", "error": "FATAL STRIKE 3: Auto-terminated."}
-_PROCTOR_SQL = """WITH e AS (SELECT user_id, CASE event_type WHEN 'signup' THEN 10 WHEN 'purchase' THEN 15 WHEN 'click' THEN 25 ELSE 0 END AS lost, event_type = 'error' AND event_id % 10 = 0 AS fatal FROM events WHERE event_id % 9 = 0)"""
+_PROCTOR_SQL = """WITH e AS (SELECT user_id, CASE event_type WHEN 'signup' THEN 10 WHEN 'purchase' THEN 15 WHEN 'click' THEN 25 ELSE 0 END AS lost, event_type = 'error' AND event_id % 10 = 0 AS fatal FROM events)"""
 
 
 @query(
