@@ -1,62 +1,78 @@
 """Blocked Bloom filters made of built-in SQL functions only.
 
-Two shapes are used:
+A key has one 64-bit word and a pattern of up to four bits in it, so a probe
+reads one word. Two shapes are used:
 
-* a *table* of (block, bitmap) rows, one 4 KB bitmap (32,768 bits) per block,
-  which is joined by block and may have up to ``MAX_BLOCKS`` rows (128 MB);
-* an *array* of 64-bit words in one row, four consecutive words a block and one
-  bit per word, for tests of many candidates inside a row (at most 8 MB).
-
-Every bit of a key lies in the key's block, so a probe reads one block.
+* a *table* of (block, words) rows, 512 words (4 KB) a block, which is joined by
+  block and may have up to ``MAX_BLOCKS`` rows (128 MB);
+* an *array* of words in one row, four consecutive words a block and one bit per
+  word, for tests of many candidates inside a row (at most 8 MB).
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 32768
+BLOCK_WORDS = 512
 MAX_BLOCKS = 32768
 MAX_WORDS = 1 << 20
-_PER_KEY = 3
+_PER_KEY = 4
 
 
 def blocks_for(n_keys: int, bits_per_key: int = 16, max_blocks: int = MAX_BLOCKS) -> int:
-    return max(1, min(max_blocks, ceil(n_keys * bits_per_key / BLOCK_BITS)))
+    return max(1, min(max_blocks, ceil(n_keys * bits_per_key / (64 * BLOCK_WORDS))))
+
+
+def place_of(key: Column, n_blocks: int) -> tuple[Column, Column]:
+    """(word, pattern): the number of a key's word and its bits in it."""
+    one, h = F.lit(1).cast("long"), F.xxhash64(key, F.lit(1))
+    bits = [F.call_function("shiftleft", one, F.shiftright(h, 6 * i).bitwiseAND(F.lit(63).cast("long")).cast("int")) for i in range(_PER_KEY)]
+    return F.pmod(F.xxhash64(key), F.lit(n_blocks * BLOCK_WORDS).cast("long")), reduce(Column.bitwiseOR, bits)
+
+
+def block_of(word: Column) -> Column:
+    return F.shiftright(word, 9)
 
 
-def block_of(key: Column, n_blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n_blocks).cast("long"))
+def filter_table(places: DataFrame) -> DataFrame:
+    """(block, words) of the patterns of (word, pattern) rows; blocks without any bit are left out."""
+    by_word = places.groupBy("word").agg(F.bit_or("pattern").alias("bits"))
+    inside = F.col("word").bitwiseAND(F.lit(BLOCK_WORDS - 1).cast("long")).cast("int")
+    made = by_word.groupBy(block_of(F.col("word")).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct(inside, "bits"))).alias("set"))
+    every = F.sequence(F.lit(0), F.lit(BLOCK_WORDS - 1))
+    return made.select("block", F.transform(every, lambda i: F.coalesce(F.element_at("set", i), F.lit(0).cast("long"))).alias("words"))
 
 
-def bits_of(key: Column) -> Column:
-    """The key's bit numbers inside its block."""
-    h = F.xxhash64(key, F.lit(1))
-    return F.array_distinct(F.array(*[F.shiftright(h, 15 * i).bitwiseAND(F.lit(BLOCK_BITS - 1).cast("long")) for i in range(_PER_KEY)]))
+def places(keys: DataFrame, key: str, n_blocks: int) -> DataFrame:
+    word, pattern = place_of(F.col(key), n_blocks)
+    return keys.select(word.alias("word"), pattern.alias("pattern"))
 
 
-def filter_table(keys: DataFrame, key: str, n_blocks: int, at_least: int = 1) -> DataFrame:
-    """(block, bitmap) of the bits that at least ``at_least`` rows of ``keys`` set.
+def repeated_places(keys: DataFrame, key: str, n_blocks: int) -> DataFrame:
+    """(word, pattern) that more than one row has: those of every key that occurs twice, and few others.
 
-    With ``at_least=2`` this is the second of two filters: it passes every key
-    that occurs twice or more, and few of the others.
+    A row gives 16 bytes here, pre-aggregated before they are shuffled.
     """
-    bits = keys.select(block_of(F.col(key), n_blocks).alias("block"), F.explode(bits_of(F.col(key))).alias("bit"))
-    counted = bits.groupBy("block", "bit").agg(F.count("*").alias("n")).filter(F.col("n") >= at_least)
-    return counted.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    return places(keys, key, n_blocks).groupBy("word", "pattern").agg(F.count("*").alias("n")).filter("n > 1").select("word", "pattern")
 
 
-def may_contain(bitmap: Column, key: Column) -> Column:
-    """Whether all bits of ``key`` are set in its block's ``bitmap`` (null: none set)."""
+def may_contain(words: Column, word: Column, pattern: Column) -> Column:
+    """Whether all bits of a key are set in its block's ``words`` (null: none set)."""
+    own = F.get(words, word.bitwiseAND(F.lit(BLOCK_WORDS - 1).cast("long")).cast("int"))
+    return F.coalesce(own.bitwiseAND(pattern) == pattern, F.lit(False))
 
-    def is_set(bit: Column) -> Column:
-        byte = F.substring(bitmap, F.shiftright(bit, 3).cast("int") + 1, F.lit(1))
-        value = F.conv(F.hex(byte), 16, 10).cast("int")
-        return F.call_function("shiftright", value, bit.bitwiseAND(F.lit(7).cast("long")).cast("int")).bitwiseAND(F.lit(1)) == 1
 
-    return F.when(bitmap.isNull(), F.lit(False)).otherwise(F.forall(bits_of(key), is_set))
+def marked(df: DataFrame, key: str, made: DataFrame, n_blocks: int, mark: str) -> DataFrame:
+    """``df`` with a column that tells whether the filter table ``made`` may hold its ``key``; nothing of ``df`` is shuffled."""
+    word, pattern = place_of(F.col(key), n_blocks)
+    own = made.select(F.col("block").alias("__block"), F.col("words").alias("__words"))
+    probed = df.withColumns({"__word": word, "__pattern": pattern}).withColumn("__block", block_of(F.col("__word"))).join(F.broadcast(own), "__block", "left")
+    found = F.col(key).isNotNull() & may_contain(F.col("__words"), F.col("__word"), F.col("__pattern"))
+    return probed.withColumn(mark, found).drop("__block", "__words", "__word", "__pattern")
 
 
 def split_by_keys(df: DataFrame, key: str, keys: DataFrame, n_keys: int) -> tuple[DataFrame, DataFrame]:
@@ -65,10 +81,8 @@ def split_by_keys(df: DataFrame, key: str, keys: DataFrame, n_keys: int) -> tupl
     ``keys`` has a column of that name. Null keys are in the second part.
     """
     n_blocks = blocks_for(n_keys)
-    made = filter_table(keys, key, n_blocks)
-    probed = df.withColumn("__block", block_of(F.col(key), n_blocks)).join(F.broadcast(made.withColumnRenamed("block", "__block").withColumnRenamed("bitmap", "__bitmap")), "__block", "left")
-    probed = probed.withColumn("__maybe", F.col(key).isNotNull() & may_contain(F.col("__bitmap"), F.col(key))).drop("__block", "__bitmap")
-    return probed.filter("__maybe").drop("__maybe"), probed.filter("not __maybe").drop("__maybe")
+    told = marked(df, key, filter_table(places(keys, key, n_blocks)), n_blocks, "__maybe")
+    return told.filter("__maybe").drop("__maybe"), told.filter("not __maybe").drop("__maybe")
 
 
 def words_for(n_keys: int, bits_per_key: int = 16, max_words: int = MAX_WORDS) -> int:

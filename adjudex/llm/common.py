@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,13 +14,15 @@ WHITESPACE = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset
-    (tests in one process) a temporary folder is made and set.
+    Where that is unset, a temporary folder is made and set if everything runs
+    in one process, as in tests; on a cluster that raises ``RuntimeError``.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -51,24 +54,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return large.unionByName(others.join(groups.filter(F.col(size) <= max(1000, n_rows // 1000)), keys))
 
 
-def release(spark: SparkSession, tables: list[DataFrame]) -> None:
-    """Delete stored tables that no DataFrame in use reads any more."""
-    for df in tables:
-        for part in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(part)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and leave every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand at most ``rows`` rows at once to Python workers: texts may be long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
-        spark.conf.set(name, str(rows))
+#: Texts may be long, so that fewer rows than usual are read, handed to Python or held back by a Parquet writer at once.
+_SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.parquet.columnarReaderBatchSize": 512, "parquet.block.size": 16 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's batch sizes to what executors of little memory can take; smaller ones stay."""
+    for name, most in _SMALL.items():
+        if not 0 < int(spark.conf.get(name, "0")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,15 +13,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Find rows whose texts are equal once all white space is deleted.
 
     Each text is read once and reduced to a digest row (id, SHA-256 of the
-    normalised text, code points of the original), which is stored. Pass one
-    counts the bits that digests set in a blocked Bloom filter and keeps those
-    set twice; pass two probes it. Only rows that it passes are shuffled by
-    digest, the others go straight through as groups of one. Hot groups are
-    pre-aggregated before the shuffle, and the largest (1,000 at most) are
-    broadcast to their rows.
-
-    The broadcast filter has at most ``max_blocks`` blocks of 4 KB. If there are
-    more rows than it suits, more of the 48-byte digest rows shuffle; the result
+    normalised text, code points of the original), which is stored. A blocked
+    Bloom filter gives each digest a word and a pattern of bits; pass one counts
+    these, pre-aggregated, and sets in the filter only what occurs twice. Pass
+    two probes it. Only rows that it passes are shuffled by digest, the others
+    go straight through as groups of one. Hot groups are pre-aggregated before
+    the shuffle, and the largest (1,000 at most) are broadcast to their rows.
+
+    The broadcast filter has at most ``max_blocks`` blocks of 4 KB. As it holds
+    repeated patterns only, that suits ten and more times as many rows as its
+    bits would; beyond, more of the 48-byte digest rows shuffle, and the result
     stays the same.
 
     Returns one row per input row: id, ``keep_id``, ``group_size``, ``kept``,
@@ -37,9 +38,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     n_rows = digest.count()
     n_blocks = bloom.blocks_for(n_rows, bits_per_row, max_blocks)
-    repeated = bloom.filter_table(digest, "sha", n_blocks, at_least=2)
-    probed = digest.withColumn("block", bloom.block_of(F.col("sha"), n_blocks)).join(F.broadcast(repeated), "block", "left")
-    probed = probed.withColumn("maybe", bloom.may_contain(F.col("bitmap"), F.col("sha"))).select("id", "sha", "n", "maybe")
+    made = bloom.filter_table(bloom.repeated_places(digest, "sha", n_blocks))
+    probed = bloom.marked(digest, "sha", made, n_blocks, "maybe")
 
     alone = probed.filter(~F.col("maybe")).select("id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     some = probed.filter("maybe").select("id", "sha", "n")

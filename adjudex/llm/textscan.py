@@ -6,6 +6,7 @@ partitions the rows; what is here works on one batch inside a task.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer single text is worked on alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -30,6 +32,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def release() -> None:
+    """Give freed memory back to the system, as a worker is kept for later tasks, of other stages too."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def _byte_values(fold: bool) -> np.ndarray:
     x = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
     if fold:
