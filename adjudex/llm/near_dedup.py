@@ -10,17 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bloom
 from . import textscan as ts
 from .common import join_groups, stored
 from .components import components
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint32(0xFFFFFFFF)
-#: Bytes of text signed at once.
-_SLICE = 1 << 20
-#: Buckets of up to so many members are compared pair by pair, larger ones in tiles of blocks of ``_BLOCK``.
+#: Buckets of up to so many members are compared pair by pair, larger ones by pivots, then in tiles.
 _SMALL = 48
-_BLOCK = 256
+#: A block of a tile has so many members at most, and about so many shingles.
+_BLOCK, _BLOCK_SHINGLES = 256, 1 << 20
+#: Times that large buckets are compared with one more pivot each before tiles are made.
+_PIVOTS = 3
 
 
 def distinct_shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,38 +82,45 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, fp1, fp2, bands): set size, a 128-bit hash of the set, and its band keys."""
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = kept.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("fp1", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+def _prints(h: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """Two 64-bit sums over each set's mixed hashes: a 128-bit hash of the set."""
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(ts.mix(h + np.uint64(s)), dtype=np.uint64)]) for s in (11, 23)]
+    return [pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)) for s in sums]
+
+
+def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    """(id, n, fp1, fp2, bands) of (id, text) rows: set size, a 128-bit hash of the set, and its band keys."""
+    names = ["id", "n", "fp1", "fp2", "bands"]
+    schema = T.StructType([docs.schema["id"], *[T.StructField(x, T.LongType()) for x in names[1:4]], T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            for a, b in ts.slices(texts, _SLICE):
+            for a, b in ts.slices(texts):
                 h, bounds = distinct_shingles(texts.slice(a, b - a), k)
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(ts.mix(h + np.uint64(s)), dtype=np.uint64)]) for s in (11, 23)]
-                fp = [(s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums]
                 keys = band_keys(super_minhash(h, bounds, bands * rows), rows).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * bands + 1, bands), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(np.diff(bounds)), pa.array(fp[0]), pa.array(fp[1]), lists], ["id", "n", "fp1", "fp2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(np.diff(bounds)), *_prints(h, bounds), lists], names)
+        ts.release()
 
-    return kept.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, set) with the sorted shingle hashes of (id, text) rows."""
-    schema = T.StructType([docs.schema["id"], T.StructField("set", T.ArrayType(T.LongType()))])
+    """(id, n, fp1, fp2, set) with the sorted shingle hashes of (id, text) rows."""
+    names = ["id", "n", "fp1", "fp2", "set"]
+    schema = T.StructType([docs.schema["id"], *[T.StructField(x, T.LongType()) for x in names[1:4]], T.StructField("set", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            for a, b in ts.slices(texts, _SLICE):
+            for a, b in ts.slices(texts):
                 h, bounds = distinct_shingles(texts.slice(a, b - a), k)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))], ["id", "set"])
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(np.diff(bounds)), *_prints(h, bounds), lists], names)
+        ts.release()
 
-    return docs.select("id", "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -121,8 +130,8 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those (a, b) whose full sets have ``100 * common >= percent * united``."""
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
+    left = sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a"))
+    right = sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     return both.filter(common * 100 >= (F.size("set_a") + F.size("set_b") - common) * percent).select("a", "b")
@@ -132,7 +141,7 @@ def _tile_links(percent: int):
     """For the rows of a tile: a spanning forest of the links that join different components."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
+        ids, labels = table.column("cls").to_numpy(), table.column("label").to_numpy()
         lists = table.column("set").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         bounds = lists.offsets.to_numpy()
@@ -170,6 +179,35 @@ def _tile_links(percent: int):
     return run
 
 
+def _tiles(members: DataFrame, percent: int, n_rows: int) -> DataFrame:
+    """(key, tile, cls, label): each large bucket's members in pairs of blocks whose sets may be alike in size.
+
+    Members are classed by the logarithm of their size, so that sets that can
+    be linked lie in one class or in neighbours. Classes are cut into blocks of
+    bounded shingles, and a tile has two blocks of one class or of neighbours.
+    """
+    base = 100.0 / percent
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(base)) + 1e-9).cast("int")
+    classed = members.select("key", "cls", "label", size.alias("size"))
+    per_block = F.greatest(F.lit(2.0), F.least(F.lit(float(_BLOCK)), F.floor(_BLOCK_SHINGLES / F.pow(F.lit(base), F.col("size") + 1))))
+    counted = classed.groupBy("key", "size").agg(F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("c") / per_block).cast("int"))
+    sizes = stored(counted.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("size", "blocks"))).alias("blocks"), F.sum("c").alias("members")), "tile-sizes")
+    dealt = join_groups(classed, sizes, ["key"], "members", n_rows)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cls"), F.element_at("blocks", F.col("size")).cast("long")).cast("int"))
+    here, own = F.col("size"), F.col("own")
+
+    def with_blocks(at: Column, tile) -> Column:
+        return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.coalesce(F.element_at("blocks", at), F.lit(0)) - 1, F.lit(0))), lambda o: o < F.coalesce(F.element_at("blocks", at), F.lit(0))), tile)
+
+    def tile(low: Column, high: Column, i: Column, j: Column) -> Column:
+        return F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"))
+
+    same = with_blocks(here, lambda o: tile(here, here, F.least(own, o), F.greatest(own, o)))
+    above = with_blocks(here + 1, lambda o: tile(here, here + 1, own, o))
+    below = with_blocks(here - 1, lambda o: tile(here - 1, here, o, own))
+    return dealt.select("key", "cls", "label", F.explode(F.concat(same, above, below)).alias("tile"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
     """Components of documents linked by the Jaccard similarity of their word-shingle sets.
 
@@ -177,58 +215,86 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets of distinct ``k``-word shingles (A-Z as a-z; a text with fewer words is
     one shingle). Candidates share a band of a SuperMinHash signature; a pair of
     similarity s has none with probability ``(1 - s**rows) ** bands`` (defaults:
-    5e-8 at 0.8). Documents with equal sets are collapsed first, so that copies
-    are compared once.
+    5e-8 at 0.8). Links are confirmed on full sets, of 64-bit hashes of the
+    shingles. Documents with equal sets (by a 128-bit hash and the size) form a
+    class, so that copies are compared once.
 
-    A bucket is first compared with its smallest member only, on full sets. If
-    its members are then in one component, it is done. In others, members of
-    different components are compared: pair by pair in small buckets, in tiles
-    of member blocks, by products of incidence matrices, in large ones. So no
-    group's pairs are all listed, and none that could join components is left out.
+    A bucket is first compared with its smallest member only. If its members
+    are then in one component, it is done. In other buckets, members of
+    different components are compared: pair by pair in small buckets; in large
+    ones with some more pivots, then in tiles of blocks of like size, by
+    products of incidence matrices. So no group's pairs are all listed, and none
+    that could join components is left out.
 
     Returns one row per input row: id, ``n_shingles``, ``component_id`` (smallest
     id reachable) and ``kept`` (whether that is the row's own). Empty, blank or
-    null texts have the empty set and are linked with nothing. Null ids take no
-    part in links and are their own (null) component, kept. Rows repeating an id
-    are copies in its component. Ids must be integers; other columns are ignored.
+    null texts have the empty set and are linked with nothing: such a row is its
+    own component. Null ids take no part in links and are their own (null)
+    component, kept. Rows repeating an id are one document: the classes of its
+    texts are tied together. Ids must be integers; other columns are ignored. An
+    empty table gives an empty result.
     """
-    signed = stored(signatures(docs, id_col, text_col, k, bands, rows), "signatures")
+    same = ["fp1", "fp2", "n"]
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    signed = stored(signatures(texts, k, bands, rows), "signatures")
     n_rows = signed.count()
-    usable = signed.filter("n > 0 and id is not null")
-    classes = stored(usable.groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    member = stored(join_groups(usable.select("id", "n", "fp1", "fp2"), classes, ["fp1", "fp2", "n"], "copies", n_rows).select("id", "rep"), "members")
-    reps = usable.join(member.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-
-    placed = reps.select("id", "n", F.explode("bands").alias("key"))
-    shared = stored(placed.groupBy("key").agg(F.count("*").alias("c"), F.min_by(F.struct("id", "n"), "id").alias("first")).filter("c > 1"), "shared-bands")
-    buckets = stored(join_groups(placed, shared, ["key"], "c", n_rows * bands).select("key", "id", "n", "c", F.col("first.id").alias("first"), F.col("first.n").alias("first_n")), "buckets")
-
-    involved = buckets.select("id").distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(involved, "id", "left_semi")
-    sets = stored(shingle_sets(texts, k).dropDuplicates(["id"]), "sets")
-
-    stars = buckets.filter("id <> first").filter(_sizes_fit(F.col("n"), F.col("first_n"), percent)).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(_verified(stars, sets, percent), "star-links")
-    labels = components(links)
-
-    labelled = buckets.filter("c > 2").select("key", "id", "n", "c").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    open_buckets = stored(labelled.join(mixed, "key"), "open-buckets")
-
+    usable = signed.filter("n > 0 and id is not null").select("id", *same, "bands")
+    classes = usable.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    n_classes = classes.count()
+
+    ends = [x for c in same for x in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]
+    several = usable.groupBy("id").agg(*ends).filter(" or ".join(f"lo_{c} < hi_{c}" for c in same)).select("id")
+    held = stored(usable.select("id", *same).join(several, "id").distinct().join(classes.select(*same, "cls"), same).select("id", "cls"), "shared-ids")
+    star = stored(held.groupBy("id").agg(F.min("cls").alias("a"), F.count("*").alias("c")), "shared-id-firsts")
+    ties = join_groups(held, star, ["id"], "c", n_rows).filter("cls <> a").select("a", F.col("cls").alias("b"))
+
+    placed = classes.select("cls", "n", F.explode("bands").alias("key"))
+    shared = stored(placed.groupBy("key").agg(F.count("*").alias("c"), F.min_by(F.struct("cls", "n"), "cls").alias("first")).filter("c > 1"), "shared-bands")
+    buckets = stored(join_groups(placed, shared, ["key"], "c", n_classes * bands).select("key", "cls", "n", "c", F.col("first.cls").alias("first"), F.col("first.n").alias("first_n")), "buckets")
+
+    # Sets of one document for each class that has company; texts are not shuffled for them.
+    wanted = stored(classes.join(buckets.select("cls").distinct(), "cls", "left_semi").select(F.col("rep").alias("id"), *same, "cls"), "wanted-sets")
+    holding, _ = bloom.split_by_keys(texts, "id", wanted.select("id").distinct(), wanted.count())
+    every_set = shingle_sets(holding, k).dropDuplicates(["id", *same])
+    sets = stored(every_set.join(wanted, ["id", *same]).select("cls", "set"), "sets")
+
+    stars = buckets.filter("cls <> first").filter(_sizes_fit(F.col("n"), F.col("first_n"), percent)).select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()
+    links = stored(ties.unionByName(_verified(stars, sets, percent)), "star-links")
+
+    def still_open(known: DataFrame, held_by: DataFrame) -> DataFrame:
+        """Rows of buckets whose members are in more than one component, with their labels."""
+        labels = components(known).withColumnRenamed("id", "cls")
+        labelled = held_by.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        mixed = stored(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("label", "cls").alias("of_first"), F.count("*").alias("members")).filter("lo < hi"), "mixed-buckets")
+        return stored(join_groups(labelled, mixed.select("key", "of_first", "members"), ["key"], "members", n_classes * bands), "open-buckets")
+
+    open_buckets = still_open(links, buckets.filter("c > 2").select("key", "cls", "n", "c"))
     small = open_buckets.filter(F.col("c") <= _SMALL)
     one, two = small.alias("one"), small.alias("two")
-    cross = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.id") < F.col("two.id")) & (F.col("one.label") != F.col("two.label")) & _sizes_fit(F.col("one.n"), F.col("two.n"), percent))
-    pairs = cross.select(F.col("one.id").alias("a"), F.col("two.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _verified(pairs, sets, percent)
-
-    large = open_buckets.filter(F.col("c") > _SMALL).withColumn("blocks", F.ceil(F.col("c") / _BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
-    tiles = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.withColumn("tile", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
-    tiled = tiles.select("key", "tile", "id", "label").join(sets, "id").groupBy("key", "tile").applyInArrow(_tile_links(percent), "a long, b long")
-
-    every = stored(links.unionByName(more).unionByName(tiled), "all-links")
-    final = components(every).withColumnRenamed("id", "rep")
-    named = member.distinct().join(final, "rep", "left").select("id", F.coalesce("label", "rep").alias("component_id"))
-    out = signed.select("id", F.col("n").alias("n_shingles")).join(named, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    cross = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.cls") < F.col("two.cls")) & (F.col("one.label") != F.col("two.label")) & _sizes_fit(F.col("one.n"), F.col("two.n"), percent))
+    pairs = cross.select(F.col("one.cls").alias("a"), F.col("two.cls").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    links = stored(links.unionByName(_verified(pairs, sets, percent)), "pair-links")
+
+    large = open_buckets.filter(F.col("c") > _SMALL)
+    for _ in range(_PIVOTS):
+        if large.isEmpty():
+            break
+        # One more pivot: the smallest member that isn't in the first one's component.
+        pivots = large.filter("label <> of_first").groupBy("key").agg(F.min_by(F.struct("cls", "n", "label"), "cls").alias("p"), F.max("members").alias("members"))
+        asked = join_groups(large.drop("members", "of_first"), stored(pivots, "pivots"), ["key"], "members", n_classes * bands)
+        asked = asked.filter("label <> p.label").filter(_sizes_fit(F.col("n"), F.col("p.n"), percent))
+        pairs = asked.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
+        links = stored(links.unionByName(_verified(pairs, sets, percent)), "pivot-links")
+        large = still_open(links, large.select("key", "cls", "n", "c"))
+    if not large.isEmpty():
+        tiled = _tiles(large, percent, n_classes * bands).join(sets, "cls").groupBy("key", "tile").applyInArrow(_tile_links(percent), "a long, b long")
+        links = stored(links.unionByName(tiled), "tile-links")
+
+    linked = classes.select(*same, "copies", "rep", "cls").join(components(links).withColumnRenamed("id", "cls"), "cls", "left")
+    linked = stored(linked.withColumn("label", F.coalesce("label", "cls")), "labelled-classes")
+    firsts = stored(linked.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("c")), "component-firsts")
+    named = stored(join_groups(linked, firsts, ["label"], "c", n_classes).select(*same, "copies", "component_id"), "named-classes")
+    grouped = join_groups(usable.select("id", *same), named, same, "copies", n_rows).select("id", "n", "component_id")
+    alone = signed.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
+    return grouped.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
