@@ -14,12 +14,12 @@ from . import bloom
 from . import textscan as ts
 from .common import join_groups, stored
 
-#: A line of so many words or more is a chunk of its own.
-LONG_LINE = 8
-#: A run of repeated chunks is removed if it has more words than this.
+#: A run of repeated lines is removed if it has more words than this.
 MIN_WORDS = 50
-#: Chunks with words beside a repeated one that may hold lines of its passage: the first three lines may be cut apart unlike elsewhere.
-MARGIN = 3
+#: One line in so many (a power of 2) ends a chunk.
+CHUNK_LINES = 4
+#: Removals that one copy of a first occurrence's bytes is compared with.
+SPLIT = 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,11 +52,9 @@ def text_lines(column: pa.Array) -> dict[str, np.ndarray]:
 def line_chunks(column: pa.Array, lines: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
     """The chunks of a slice of texts: text, number in the text, byte range (without the last line feed), key, words and range of lines.
 
-    A rolling hash over two line hashes closes a chunk after a line unless its
-    low two bits are 0, and always after a line that follows one of which they
-    are, so that chunks come out alike wherever the same lines follow each
-    other, from the third line at the latest, and have two lines at most. A long
-    line is closed off on both sides. The key is a hash of the chunk's line
+    A hash that rolls over two line hashes ends a chunk after one line in
+    ``CHUNK_LINES``, so that chunks come out alike wherever the same lines
+    follow each other, whatever is before. The key is a hash of the chunk's line
     hashes.
     """
     lines = lines or text_lines(column)
@@ -64,10 +62,9 @@ def line_chunks(column: pa.Array, lines: dict[str, np.ndarray] | None = None) ->
     new_text = lines["number"] == 0
     before = np.roll(hashes, 1)
     before[new_text] = 0
-    stays = (ts.mix(hashes * _ODD + before) & np.uint64(3)) == 0
-    closes = ~stays | (np.roll(stays, 1) & ~new_text) | (words >= LONG_LINE)
+    closes = (ts.mix(hashes * _ODD + before) & np.uint64(CHUNK_LINES - 1)) == 0
     opens = new_text.copy()
-    opens[1:] |= closes[:-1] | (words[1:] >= LONG_LINE)
+    opens[1:] |= closes[:-1]
     first = np.flatnonzero(opens)
     size = np.diff(np.append(first, len(text)))
     place = np.arange(len(text)) - np.repeat(first, size)
@@ -90,84 +87,88 @@ def _worded(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {"at": at, "place": np.arange(len(at)) - np.repeat(new, np.diff(np.append(new, len(at)))), "pair": pair, "last": last}
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """A row for each chunk with words of (id, text) rows: id, place among them, key, words, and those of the ``MARGIN`` before and after."""
-    names = ("place", "words", "before", "after")
-    schema = T.StructType([docs.schema["id"], T.StructField("key", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in names]])
+_INTS = ("number", "last", "low", "high", "words")
+
+
+def _chunks(docs: DataFrame) -> DataFrame:
+    """A row for each chunk with words of (id, text) rows: id, key, numbers of its first and last line with words, their places among the text's lines with words, words."""
+    names = ["id", "key", *_INTS]
+    schema = T.StructType([docs.schema["id"], T.StructField("key", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in _INTS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            for a, b in ts.slices(texts, 1 << 20):
-                c = line_chunks(texts.slice(a, b - a))
-                w = _worded(c)
-                at, n = w["at"], len(w["at"])
-                words = c["words"][at]
-                total = np.append(0, np.cumsum(words))
-                start = np.arange(n) - w["place"]
-                end = np.searchsorted(start, start, "right")
-                i = np.arange(n)
-                before = total[i] - total[np.maximum(start, i - MARGIN)]
-                after = total[np.minimum(end, i + 1 + MARGIN)] - total[i + 1]
+            for a, b in ts.slices(batch.column("text")):
+                texts = batch.column("text").slice(a, b - a)
+                lines = text_lines(texts)
+                c, w = line_chunks(texts, lines), _worded(lines)
+                low, high = np.searchsorted(w["at"], c["first"]), np.searchsorted(w["at"], c["next"]) - 1
+                at = np.flatnonzero(low <= high)
+                low, high = low[at], high[at]
+                ints = (lines["number"][w["at"][low]], lines["number"][w["at"][high]], w["place"][low], w["place"][high], c["words"][at])
                 ids = batch.column("id").slice(a, b - a).take(pa.array(c["text"][at]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(c["key"][at].view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (w["place"], words, before, after)]], schema.names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(c["key"][at].view(np.int64)), *[pa.array(x.astype(np.int32)) for x in ints]], names)
+        ts.release()
 
     return docs.mapInArrow(run, schema)
 
 
-def _lines_of(wanted: DataFrame) -> DataFrame:
-    """A row for each line with words in the chunks that each (id, text, ranges: array of (low, high) places) row names, and ``MARGIN`` more at both sides: id, number, place among the text's, key, the key of it with the next (null at the end), words."""
-    schema = T.StructType([wanted.schema["id"], *[T.StructField(n, k) for n, k in (("number", T.IntegerType()), ("place", T.IntegerType()), ("key", T.LongType()), ("pair", T.LongType()), ("words", T.IntegerType()))]])
+def _lines(docs: DataFrame) -> DataFrame:
+    """A row for each line with words of (id, text, ranges) rows that lies in no (low, high) of the ranges of places, or is the last of one: id, number, place, key (null in a range), the key of its succession by the next (null at the end), words."""
+    ints = ("number", "place", "words")
+    names = ["id", *ints, "key", "pair"]
+    schema = T.StructType([docs.schema["id"], *[T.StructField(n, T.IntegerType()) for n in ints], T.StructField("key", T.LongType()), T.StructField("pair", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in ts.slices(batch.column("text"), 1 << 20):
-                texts = batch.column("text").slice(a, b - a)
-                lines = text_lines(texts)
-                c = line_chunks(texts, lines)
-                chunks = _worded(c)["at"]
-                first = np.searchsorted(c["text"][chunks], np.arange(b - a + 1))
-                inside = np.zeros(len(lines["text"]) + 1, np.int64)
-                for i, ranges in enumerate(batch.column("ranges").slice(a, b - a).to_pylist()):
-                    for x in ranges:
-                        inside[c["first"][chunks[max(first[i], first[i] + x["low"] - MARGIN)]]] += 1
-                        inside[c["next"][chunks[min(first[i + 1] - 1, first[i] + x["high"] + MARGIN)]]] -= 1
+            for a, b in ts.slices(batch.column("text")):
+                lines = text_lines(batch.column("text").slice(a, b - a))
                 w = _worded(lines)
-                keep = np.cumsum(inside)[w["at"]] > 0
-                at = w["at"][keep]
+                n = len(w["at"])
+                first = np.searchsorted(lines["text"][w["at"]], np.arange(b - a))
+                edges, last = np.zeros(n + 1, np.int64), np.zeros(n + 1, bool)
+                for i, ranges in enumerate(batch.column("ranges").slice(a, b - a).to_pylist()):
+                    for x in ranges or ():
+                        edges[first[i] + x["low"]] += 1
+                        edges[first[i] + x["high"] + 1] -= 1
+                        last[first[i] + x["high"]] = True
+                inside = np.cumsum(edges)[:n] > 0
+                keep = ~inside | last[:n]
+                at, inside = w["at"][keep], inside[keep]
                 ids = batch.column("id").slice(a, b - a).take(pa.array(lines["text"][at]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(lines["number"][at].astype(np.int32)), pa.array(w["place"][keep].astype(np.int32)), pa.array(lines["key"][at].view(np.int64)), pa.array(w["pair"][keep].view(np.int64), mask=w["last"][keep]), pa.array(lines["words"][at].astype(np.int32))], schema.names)
+                numbers = (lines["number"][at], w["place"][keep], lines["words"][at])
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(x.astype(np.int32)) for x in numbers], pa.array(lines["key"][at].view(np.int64), mask=inside), pa.array(w["pair"][keep].view(np.int64), mask=w["last"][keep])], names)
+        ts.release()
 
-    return wanted.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _texts_of(wanted: DataFrame) -> DataFrame:
-    """(key, bytes) of the lines that each (text, lines: array of (number, key)) row names."""
+    """(key, bytes) of the runs of lines, from ``number`` to ``last``, that each (text, units: array of (number, last, key)) row names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in ts.slices(batch.column("text"), 1 << 20):
+            for a, b in ts.slices(batch.column("text")):
                 texts = batch.column("text").slice(a, b - a)
                 raw, _ = ts.text_bytes(texts)
                 c = text_lines(texts)
                 first = np.searchsorted(c["text"], np.arange(b - a))
                 keys, parts = [], []
-                for i, named in enumerate(batch.column("lines").slice(a, b - a).to_pylist()):
+                for i, named in enumerate(batch.column("units").slice(a, b - a).to_pylist()):
                     for x in named:
-                        j = first[i] + x["number"]
                         keys.append(x["key"])
-                        parts.append(raw[c["start"][j] : c["end"][j]].tobytes())
+                        parts.append(raw[c["start"][first[i] + x["number"]] : c["end"][first[i] + x["last"]]].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.binary())], ["key", "bytes"])
+        ts.release()
 
     return wanted.mapInArrow(run, "key long, bytes binary")
 
 
 def _without(docs: DataFrame, schema: T.StructType, text_col: str) -> DataFrame:
-    """Drop the lines that each row's ``__named`` (array of (number, run, bytes)) names, if their bytes are those given, and those without words inside a run."""
+    """Drop the lines that each row's ``__named`` (array of (number, last, run, bytes)) names, if their bytes are those given, and those without words inside a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in ts.slices(batch.column(text_col), 1 << 20):
+            for a, b in ts.slices(batch.column(text_col)):
                 part = batch.slice(a, b - a)
                 texts = part.column(text_col)
                 raw, _ = ts.text_bytes(texts)
@@ -178,89 +179,99 @@ def _without(docs: DataFrame, schema: T.StructType, text_col: str) -> DataFrame:
                     if not named.is_valid:
                         out.append(texts[i].as_py())
                         continue
-                    lines = [raw[c["start"][j] : c["end"][j]].tobytes() for j in range(first[i], first[i + 1])]
-                    gone = sorted((x["number"], x["run"]) for x in named.as_py() if x["number"] < len(lines) and lines[x["number"]] == x["bytes"])
-                    drop = {j for j, _ in gone}
-                    for (j, run_), (k, other) in zip(gone, gone[1:]):
-                        if run_ == other and not c["words"][first[i] + j + 1 : first[i] + k].any():
+                    start, end, words = (c[x][first[i] : first[i + 1]] for x in ("start", "end", "words"))
+                    gone = sorted((x["number"], x["last"], x["run"]) for x in named.as_py() if raw[start[x["number"]] : end[x["last"]]].tobytes() == x["bytes"])
+                    drop = {j for low, high, _ in gone for j in range(low, high + 1)}
+                    for (_, j, run_), (k, _, other) in zip(gone, gone[1:]):
+                        if run_ == other and not words[j + 1 : k].any():
                             drop.update(range(j + 1, k))
-                    out.append(b"\n".join(x for j, x in enumerate(lines) if j not in drop).decode("utf-8"))
+                    out.append(b"\n".join(raw[x:y].tobytes() for j, (x, y) in enumerate(zip(start, end)) if j not in drop).decode("utf-8"))
                 columns = [pa.array(out, pa.string()) if f.name == text_col else part.column(f.name) for f in schema.fields]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
+        ts.release()
 
     return docs.mapInArrow(run, schema)
 
 
-def _later(occurrences: DataFrame, key: str, n_rows: int) -> DataFrame:
-    """Occurrences that are not the first of their key, with the first one's id and number. Minima are pre-aggregated."""
-    first = stored(occurrences.groupBy(key).agg(F.count("*").alias("c"), F.min(F.struct("id", "number")).alias("first")).filter("c > 1"), "line-firsts")
-    return join_groups(occurrences, first, [key], "c", n_rows).drop("c").filter(F.struct("id", "number") != F.col("first"))
-
+def _later(occurrences: DataFrame, key: str) -> DataFrame:
+    """Occurrences that are not the first of their key, with the first one's id and number.
 
-def _candidates(docs: DataFrame, min_words: int) -> DataFrame:
-    """(id, low, high): runs of chunks, by place, that occur more than once, if they and the ``MARGIN`` at both sides have more than ``min_words`` words."""
-    occurrences = stored(_occurrences(docs), "line-chunks")
-    common = stored(occurrences.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "line-repeated")
-    repeated = join_groups(occurrences, common, ["key"], "c", occurrences.count())
-    # Rows that repeat an id have the same places and ranks.
-    island = F.col("place") - F.dense_rank().over(Window.partitionBy("id").orderBy("place"))
-    runs = repeated.withColumn("island", island).groupBy("id", "island").agg(F.min("place").alias("low"), F.max("place").alias("high"), (F.sum("words") + F.max_by("after", "place") + F.min_by("before", "place")).alias("total"))
-    return runs.filter(F.col("total") > min_words).select("id", "low", "high")
+    Firsts are pre-aggregated; a Bloom filter keeps keys that occur once from
+    being shuffled for the join, and the largest groups' firsts are broadcast.
+    """
+    first = stored(occurrences.groupBy(key).agg(F.count("*").alias("c"), F.min(F.struct("id", "number")).alias("first")).filter("c > 1"), "line-firsts")
+    total = first.agg(F.count("*").alias("keys"), F.coalesce(F.sum("c"), F.lit(0)).alias("rows")).first()
+    again, _ = bloom.split_by_keys(occurrences, key, first, total["keys"])
+    return join_groups(again, first, [key], "c", total["rows"]).drop("c").filter(F.struct("id", "number") != F.col("first"))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, number, run, key, first_id, first_number) of the lines to remove from (id, text) rows.
-
-    Repeated chunks tell where to look (``_candidates``): a passage that occurs
-    twice and has more than ``min_words`` words has a chunk of its own in both
-    places, and all of its lines lie in repeated chunks or within ``MARGIN``
-    chunks of them. There, a line counts as repeated where an earlier occurrence
-    (smaller id, then place) exists; neighbouring repeated lines belong to one
-    run where their succession, too, has an earlier occurrence. Lines without
-    words carry a run on and are part of the succession. Runs of more than
-    ``min_words`` words go, their first occurrences and shorter runs stay.
+    """(id, number, last, run, key, first_id, first_number) of the lines to remove from (id, text) rows.
+
+    Two steps find what has an earlier occurrence (smaller id, then place).
+    First, chunks of several lines: most of a repeated passage lies in them.
+    Then single lines, for what chunks leave at its ends or of a passage too
+    short to hold a chunk; lines of chunks found before need not be looked at
+    again, for their first occurrence is still there. Neighbouring pieces belong
+    to one run where their succession, too, has an earlier occurrence; lines
+    without words carry a run on and are part of the succession. Runs of more
+    than ``min_words`` words go, their first occurrences and shorter runs stay.
     """
-    found = stored(_candidates(docs, min_words), "line-candidates")
-    holding, _ = bloom.split_by_keys(docs, "id", found.select("id").distinct(), found.count())
-    ranges = found.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    lines = stored(_lines_of(holding.join(ranges, "id").dropDuplicates(["id", "text"])), "line-lines")
-    n_rows = lines.count()
-    again = _later(lines.select("id", "number", "place", "key", "words"), "key", n_rows)
-    linked = _later(lines.filter("pair is not null").select("id", "number", "pair"), "pair", n_rows).select("id", "number", F.lit(True).alias("linked")).distinct()
-    both = again.join(linked, ["id", "number"], "left")
-    in_text = Window.partitionBy("id").orderBy("place")
-    fresh = F.coalesce((F.lag("place").over(in_text) != F.col("place") - 1) | F.lag("linked").over(in_text).isNull(), F.lit(True))
-    runs = both.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(in_text))
+    chunks = stored(_chunks(docs), "line-chunks")
+    whole = stored(_later(chunks, "key"), "line-later-chunks")
+    n = whole.count()
+    ranges = whole.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    holding, others = bloom.split_by_keys(docs, "id", whole.select("id").distinct(), n)
+    marked = holding.join(ranges, "id", "left").select("id", "text", "ranges")
+    lines = stored(_lines(marked.unionByName(others.withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType)))), "line-lines")
+
+    single = _later(lines.filter("key is not null").select("id", "number", "place", "words", "key"), "key")
+    single = single.select("id", "key", "number", F.col("number").alias("last"), F.col("place").alias("low"), F.col("place").alias("high"), "words", "first")
+    linked = _later(lines.filter("pair is not null").select("id", "number", "pair"), "pair").select("id", F.col("number").alias("last"), F.lit(True).alias("linked"))
+    pieces = whole.select(*single.columns).unionByName(single).dropDuplicates(["id", "low"]).join(linked.distinct(), ["id", "last"], "left")
+    in_text = Window.partitionBy("id").orderBy("low")
+    fresh = F.coalesce((F.lag("high").over(in_text) != F.col("low") - 1) | F.lag("linked").over(in_text).isNull(), F.lit(True))
+    runs = pieces.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(in_text))
     total = F.sum("words").over(Window.partitionBy("id", "run"))
-    return runs.withColumn("total", total).filter(F.col("total") > min_words).select("id", "number", "run", "key", F.col("first.id").alias("first_id"), F.col("first.number").alias("first_number"))
+    return runs.withColumn("total", total).filter(F.col("total") > min_words).select("id", "number", "last", "run", "key", F.col("first.id").alias("first_id"), F.col("first.number").alias("first_number"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Remove passages of more than ``min_words`` words that an earlier document or place has.
 
-    Texts are cut at line feeds into content-defined chunks (``line_chunks``),
-    which find the candidates; runs of lines that repeat (``repeated_lines``)
-    are removed where their bytes equal those of the first occurrence. Only
-    documents with such runs are shuffled, told apart by a Bloom filter; the others pass straight
-    through. A key that a third of all documents have is pre-aggregated and its
-    first occurrence broadcast.
+    Texts are cut at line feeds into content-defined chunks of several lines
+    (``line_chunks``); chunks, then lines, that have an earlier occurrence make
+    the runs to remove (``repeated_lines``), and go where their bytes equal those
+    of the first occurrence. Only documents with such runs are shuffled, told
+    apart by a Bloom filter; the others pass straight through. A passage that a
+    third of all documents have is pre-aggregated, and its bytes are dealt to
+    parts of ``SPLIT`` removals.
 
     Returns every input row with all its columns, ``text_col`` without the
     removed lines (empty if all went). Null texts and rows with a null id stay
-    as they are; rows repeating an id count as one document. An empty table
-    gives an empty result.
+    as they are. Rows repeating an id and its text count as one document; with
+    unlike texts they are documents of their own, in the order of a hash of the
+    text. An empty table gives an empty result.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+    # What a document is known by: its id and a hash of its text.
+    own = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    keyed = docs.withColumn("__id", F.when(F.col(id_col).isNotNull() & F.col(text_col).isNotNull(), own))
+    texts = keyed.filter("__id is not null").select(F.col("__id").alias("id"), F.col(text_col).alias("text"))
     remove = stored(repeated_lines(texts, min_words), "line-removals")
     n = remove.count()
 
-    sources = remove.select(F.col("first_id").alias("id"), F.col("first_number").alias("number"), "key").distinct()
-    named = sources.groupBy("id").agg(F.collect_list(F.struct("number", "key")).alias("lines"))
+    sources = remove.select(F.col("first_id").alias("id"), F.col("first_number").alias("number"), (F.col("first_number") + F.col("last") - F.col("number")).alias("last"), "key").distinct()
+    named = sources.groupBy("id").agg(F.collect_list(F.struct("number", "last", "key")).alias("units"))
     holding, _ = bloom.split_by_keys(texts, "id", sources.select("id").distinct(), n)
-    first_texts = _texts_of(holding.join(named, "id").dropDuplicates(["id"]).select("text", "lines"))
-    compared = remove.select("id", "number", "run", "key").join(first_texts, "key")
-    gone = compared.groupBy("id").agg(F.collect_list(F.struct("number", "run", "bytes")).alias("__named")).withColumnRenamed("id", "__id")
-
-    touched, untouched = bloom.split_by_keys(docs, id_col, remove.select(F.col("id").alias(id_col)).distinct(), n)
-    cleaned = _without(touched.join(gone, touched[id_col] == F.col("__id"), "left").drop("__id"), docs.schema, text_col)
-    return untouched.unionByName(cleaned)
+    first_texts = _texts_of(holding.join(named, "id").dropDuplicates(["id"]).select("text", "units"))
+
+    parts = F.ceil(F.col("c") / SPLIT)
+    counts = stored(remove.groupBy("key").agg(F.count("*").alias("c")), "line-removal-counts")
+    dealt = join_groups(remove.select("id", "number", "last", "run", "key"), counts, ["key"], "c", n).withColumn("part", F.pmod(F.xxhash64("id"), parts))
+    copies = first_texts.join(counts, "key").select("key", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    compared = dealt.join(copies, ["key", "part"])
+    gone = compared.groupBy("id").agg(F.collect_list(F.struct("number", "last", "run", "bytes")).alias("__named")).withColumnRenamed("id", "__id")
+
+    touched, untouched = bloom.split_by_keys(keyed, "__id", remove.select(F.col("id").alias("__id")).distinct(), n)
+    cleaned = _without(touched.join(gone, "__id", "left"), docs.schema, text_col)
+    return untouched.drop("__id").unionByName(cleaned)
