@@ -80,8 +80,9 @@ def schema_paths(schema: T.StructType, prefix: str = "") -> list[str]:
     return found
 
 
-def _by_fingerprint(layouts: Iterable[Layout]) -> dict[str, Layout]:
-    return {fingerprint(x.paths): x for x in layouts}
+def _by_precedence(layouts: Iterable[Layout]) -> list[tuple[str, Layout]]:
+    """(fingerprint, layout), those of more paths first, then as listed."""
+    return [(fingerprint(x.paths), x) for x in sorted(layouts, key=lambda x: -len(x.paths))]
 
 
 def _said(role: Column | str, text: Column) -> Column:
@@ -97,15 +98,21 @@ def _canonical_role(role: Column) -> Column:
 def turns_of_frame(df: DataFrame, id_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Canonical turns (conv_id, turn, role, text) of typed records.
 
-    The fingerprint is taken of the schema's field paths, restricted to paths
-    that some layout uses, so that further columns do not matter. Raises
-    ``ValueError`` if no layout has it. Null role or text counts as empty.
+    The fingerprint is that of the schema's field paths which some layout uses.
+    If no layout has it, as further columns have names that layouts use too, the
+    layout of most paths decides among those whose paths are all there (the
+    first listed, if several have as many). Other columns do not matter. Raises
+    ``ValueError`` if none fits. Null role or text counts as empty; a null list
+    of turns gives no rows.
     """
     known = set(_vocabulary(layouts))
-    found = fingerprint(p for p in schema_paths(df.schema) if p in known and p != id_col)
-    layout = _by_fingerprint(layouts).get(found)
-    if layout is None:
-        raise ValueError(f"no layout has the fingerprint {found} of {schema_paths(df.schema)}")
+    found = {p for p in schema_paths(df.schema) if p in known and p != id_col}
+    ordered = _by_precedence(layouts)
+    exact = [x for mark, x in ordered if mark == fingerprint(found)]
+    fitting = exact or [x for _, x in ordered if found.issuperset(x.paths)]
+    if not fitting:
+        raise ValueError(f"no layout has the fingerprint {fingerprint(found)} of {schema_paths(df.schema)}")
+    layout = fitting[0]
     record_id = F.col(id_col).alias("conv_id")
     if layout.row:
         turn, role, text = (F.col(c) for c in layout.row)
@@ -121,19 +128,25 @@ def turns_of_frame(df: DataFrame, id_col: str, layouts: tuple[Layout, ...] = LAY
 def turns_of_json(df: DataFrame, id_col: str, json_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> tuple[DataFrame, DataFrame]:
     """Canonical turns of JSON records of any mix of layouts, and the records that fit none.
 
-    Each record's fingerprint is the hash of those known paths that it has
-    (array elements are judged by the first). Row-per-turn layouts need typed
-    columns and are not looked for. Text that is not JSON fits no layout.
+    Each record's fingerprint is the hash of those known paths that it has (a
+    path inside an array counts if any element has it). A record without a
+    layout of its own is read by the layout of most paths whose paths it has,
+    the first listed among equals. Row-per-turn layouts need typed columns and
+    are not looked for. Text that is not JSON fits no layout.
     """
     layouts = tuple(x for x in layouts if not x.row)
     record = F.try_parse_json(F.col(json_col))
 
     def has(path: str) -> Column:
-        return F.try_variant_get(F.col("v"), "$." + path.replace("[]", "[0]"), "variant").isNotNull()
+        outer, _, inner = path.partition("[].")
+        if not inner:
+            return F.try_variant_get(F.col("v"), f"$.{path}", "variant").isNotNull()
+        items = F.try_variant_get(F.col("v"), f"$.{outer}", "array<variant>")
+        return F.coalesce(F.exists(items, lambda x: F.try_variant_get(x, f"$.{inner}", "variant").isNotNull()), F.lit(False))
 
     paths = F.array_compact(F.array(*[F.when(has(p), F.lit(p)) for p in _vocabulary(layouts)]))
     marked = df.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("json"), record.alias("v"))
-    marked = marked.withColumn("fingerprint", F.sha2(F.array_join(paths, "\n"), 256))
+    marked = marked.withColumn("paths", paths).withColumn("fingerprint", F.sha2(F.array_join("paths", "\n"), 256))
 
     def at(path: str) -> Column:
         return F.try_variant_get(F.col("v"), f"$.{path}", "string")
@@ -143,12 +156,14 @@ def turns_of_json(df: DataFrame, id_col: str, json_col: str, layouts: tuple[Layo
         return F.transform(items, lambda t: _said(_canonical_role(t[x.role]), t[x.text]))
 
     turns = F.lit(None).cast(TURN)
-    for mark, x in _by_fingerprint(layouts).items():
+    ordered = _by_precedence(layouts)
+    fits = [(F.col("fingerprint") == mark, x) for mark, x in ordered] + [(F.size(F.array_except(F.array(*map(F.lit, x.paths)), "paths")) == 0, x) for _, x in ordered]
+    for fit, x in reversed(fits):
         if x.turns:
             own = listed(x)
         else:
             own = F.array(*[_said(role, F.concat_ws("\n", *[F.nullif(at(p), F.lit("")) for p in path.split("\n")])) for role, path in x.parts])
-        turns = F.when(F.col("fingerprint") == mark, own).otherwise(turns)
+        turns = F.when(fit, own).otherwise(turns)
     mapped = marked.withColumn("turns", turns)
     fitting = mapped.select("conv_id", F.posexplode("turns").alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
     return fitting, mapped.filter("turns is null").select("conv_id", "json", "fingerprint")
