@@ -359,6 +359,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
                 offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, out_col])
+        ts.release()
 
     return kept.mapInArrow(run, schema)
 
@@ -389,13 +390,14 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there, back = encoder(path, pattern), decoder(path)
         for batch in batches:
-            for a, b in ts.slices(batch.column(text_col), 2 << 20):
+            for a, b in ts.slices(batch.column(text_col)):
                 part = batch.slice(a, b - a)
                 found = [there.encode(text.as_py() or "") for text in part.column(text_col)]
                 texts = ["".join(back.decode_stream(ids[i : i + CHUNK] for i in range(0, len(ids), CHUNK))) for ids in found]
                 offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(texts, pa.string())], [*part.schema.names, ids_col, out_col])
+        ts.release()
 
     return kept.mapInArrow(run, schema)
 

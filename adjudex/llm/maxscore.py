@@ -140,7 +140,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     """
     parts = vectors.select(F.col(id_col).cast("long").alias("id"), integer_components(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).filter("id is not null and v is not null")
     ready = stored(parts, "vectors")
-    queries = ready.filter("q").groupBy("id").agg(F.min("v").alias("v"))
+    queries = stored(ready.filter("q").groupBy("id").agg(F.min("v").alias("v")), "queries")
     blocks = max(1, -(-queries.count() // query_block))
     spark = vectors.sparkSession
 

@@ -42,6 +42,7 @@ def _distinct_words(docs: DataFrame) -> DataFrame:
                 words, first = ts.words_of(part.column("text"))
                 lists = [np.unique(words[first[i] : first[i + 1]]).view(np.int64) for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in rest), pa.array(lists, pa.list_(pa.int64()))], [*(f.name for f in rest), "words"])
+        ts.release()
 
     return docs.mapInArrow(run, schema)
 
@@ -118,13 +119,15 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], i
     """Fit a chain on at most ``sample_rows`` labelled documents, taken in the order of a hash of their ids.
 
     ``labels`` has the id and a 0/1 column for each category; rows with a null
-    are left out. A category's words are the ``features`` of the largest
+    are left out, and of an id with several rows a category holds if any says so.
+    A category's words are the ``features`` of the largest
     chi-square among those in five documents or more, counted in Spark. Earlier
     categories enter a model as log-odds: out-of-fold ones in training (folds by
     the hash of the id), the final models' in use. Without labelled documents
     every probability is one half and nothing exceeds the thresholds.
     """
-    named = labels.select(F.col(id_col).alias("id"), *[F.col(c).cast("int").alias(f"c{i}") for i, c in enumerate(categories)]).dropna().dropDuplicates(["id"])
+    named = labels.select(F.col(id_col).alias("id"), *[F.col(c).cast("int").alias(f"c{i}") for i, c in enumerate(categories)]).dropna()
+    named = named.groupBy("id").agg(*[F.max(f"c{i}").alias(f"c{i}") for i in range(len(categories))])
     spread = named.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # At most sample_rows short rows: a bounded broadcast.
@@ -209,11 +212,12 @@ def score_chain(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in ts.slices(batch.column(text_col), 1 << 20):
+            for a, b in ts.slices(batch.column(text_col)):
                 part = batch.slice(a, b - a)
                 p = chain_probabilities(chain, part.column(text_col))
                 columns = [c for i, t in enumerate(chain.thresholds) for c in (pa.array(p[:, i]), pa.array(p[:, i] > t))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *names])
+        ts.release()
 
     return kept.mapInArrow(run, schema)
 
