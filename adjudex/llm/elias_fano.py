@@ -6,8 +6,8 @@ nothing is copied before it is decoded, and decoding goes block by block.
 
 from __future__ import annotations
 
+import mmap
 import struct
-import tempfile
 
 import numpy as np
 import zstandard
@@ -140,11 +140,23 @@ class EliasFano:
         return place, value
 
 
+def _codes_at(buffer: np.ndarray, bits: int, n: int, places: np.ndarray) -> np.ndarray:
+    """Of ``n`` packed codes those at ascending places, decoded block by block."""
+    out = np.zeros(len(places), np.int64)
+    which = places // BLOCK
+    edges = np.flatnonzero(np.diff(which, prepend=-1))
+    for a, z in zip(edges, [*edges[1:], len(places)]):
+        b = int(which[a])
+        values = read_bits(buffer, bits, b * BLOCK, min(n, (b + 1) * BLOCK))
+        out[a:z] = values[places[a:z] - b * BLOCK]
+    return out
+
+
 class TrieLevel:
     """The children of contexts: a level of an n-gram trie.
 
     * contexts, ascending (Elias-Fano), with a quantised back-off weight each;
-    * pointers to where a context's children begin (Elias-Fano);
+    * pointers to where a context's children begin (Elias-Fano); a context may have none;
     * children: words made ascending over all contexts, as each context's words
       start from the last value of the context before it (Elias-Fano);
     * a quantised log-probability for each child.
@@ -165,53 +177,58 @@ class TrieLevel:
         self.backoffs = buffer[at + n_codes : at + n_codes + n_backoff]
 
     @staticmethod
-    def write(context: np.ndarray, word: np.ndarray, codes: np.ndarray, backoff: np.ndarray, bits: int) -> bytes:
-        """From children in the order of (context, word); ``backoff`` has a code for each distinct context."""
-        first = np.flatnonzero(np.diff(context, prepend=-1))
-        last = np.append(first[1:], len(context)) - 1
-        # Each context's words follow the last value of the context before.
-        top = np.cumsum(word[last] + 1)
-        base = np.concatenate([[0], top[:-1]]).astype(np.int64)[: len(first)]
-        values = word + np.repeat(base, last - first + 1)
+    def write(context: np.ndarray, word: np.ndarray, codes: np.ndarray, backoff: np.ndarray, bits: int, contexts: np.ndarray | None = None) -> bytes:
+        """From children in the order of (context, word).
+
+        ``contexts`` are all contexts in order, by default those that have
+        children; ``backoff`` has a code for each.
+        """
+        if contexts is None:
+            contexts = context[np.flatnonzero(np.diff(context, prepend=-1))]
+        first = np.searchsorted(context, contexts)
+        size = np.searchsorted(context, contexts, "right") - first
+        # Each context's words follow the last value of the contexts before.
+        top = np.zeros(len(contexts), np.int64)
+        top[size > 0] = word[(first + size - 1)[size > 0]] + 1
+        values = word + np.repeat(np.cumsum(top) - top, size)
         packed, kept = write_bits(codes, bits), write_bits(backoff, bits)
         head = struct.pack("<qqq", bits, len(packed), len(kept))
-        return head + EliasFano.write(context[first]) + EliasFano.write(np.append(first, len(context))) + EliasFano.write(values) + packed + kept
+        return head + EliasFano.write(contexts) + EliasFano.write(np.append(first, len(context))) + EliasFano.write(values) + packed + kept
 
     @classmethod
     def mapped(cls, data: bytes) -> TrieLevel:
-        """The level in a file without a name, mapped into memory; the file goes with it."""
-        held = tempfile.TemporaryFile()
+        """The level in a memory map of its own."""
+        held = mmap.mmap(-1, max(1, len(data)))
         held.write(data)
-        held.flush()
-        return cls(np.memmap(held, np.uint8, "r"))
+        return cls(np.frombuffer(held, np.uint8))
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The place of each child, -1 if there is none; pairs in ascending order.
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each child, its context's number), -1 where there is none; pairs in ascending order.
 
         The context's place gives the range of its children by two pointers and
         the value that they count from; a successor search for the word relative
-        to it finds the child.
+        to it finds the child. Only blocks that hold any of these are decoded.
         """
-        out = np.full(len(context), -1, np.int64)
-        number, value = self.contexts.successors(context)
-        known = np.flatnonzero(value == context)
-        if not len(known):
-            return out
-        pointers = self.pointers.all()
-        begin, end = pointers[number[known]], pointers[number[known] + 1]
-        base = np.where(begin > 0, self.children.at(np.maximum(begin - 1, 0)) + 1, 0)
-        place, value = self.children.successors(base + word[known])
-        hit = (value == base + word[known]) & (place < end)
-        out[known[hit]] = place[hit]
-        return out
+        place, number = np.full(len(context), -1, np.int64), np.full(len(context), -1, np.int64)
+        edges = np.flatnonzero(np.diff(context, prepend=-1))
+        size = np.diff(np.append(edges, len(context)))
+        found, value = self.contexts.successors(context[edges])
+        held = value == context[edges]
+        found = found[held]
+        begin, end = self.pointers.at(found), self.pointers.at(found + 1)
+        base = np.where(begin > 0, self.children.at(np.maximum(begin - 1, 0)) + 1, 0) if self.children.n else begin
+        known = np.flatnonzero(np.repeat(held, size))
+        spread = [np.repeat(x, size[held]) for x in (found, base, end)]
+        number[known] = spread[0]
+        at, value = self.children.successors(spread[1] + word[known])
+        hit = (value == spread[1] + word[known]) & (at < spread[2])
+        place[known[hit]] = at[hit]
+        return place, number
 
     def code(self, places: np.ndarray) -> np.ndarray:
         """The quantised log-probabilities at ascending places."""
-        out = np.zeros(len(places), np.int64)
-        which = places // BLOCK
-        edges = np.flatnonzero(np.diff(which, prepend=-1))
-        for a, z in zip(edges, [*edges[1:], len(places)]):
-            b = int(which[a])
-            values = read_bits(self.codes, self.bits, b * BLOCK, min(self.children.n, (b + 1) * BLOCK))
-            out[a:z] = values[places[a:z] - b * BLOCK]
-        return out
+        return _codes_at(self.codes, self.bits, self.children.n, places)
+
+    def backoff(self, numbers: np.ndarray) -> np.ndarray:
+        """The quantised back-off weights of contexts with ascending numbers."""
+        return _codes_at(self.backoffs, self.bits, self.contexts.n, numbers)

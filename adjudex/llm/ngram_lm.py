@@ -10,8 +10,9 @@ one row a chunk, however frequent.
 Probabilities are smoothed with a Dirichlet prior: p(w | h) = (c(hw) + m p(w |
 h')) / (c(h) + m), where h' is h without its first word and p(w) = (c + 0.5) /
 (N + 0.5 (V + 1)). A word not seen after h has the back-off weight m / (c(h) +
-m) times p(w | h'). Contexts seen less than a level's least count back off
-fully. Both are quantised on a logarithmic scale.
+m) times p(w | h'), which the trie holds for each context. Both are quantised on
+a logarithmic scale. All contexts seen in training count; ``least`` may be
+raised to leave out rare ones, which then back off fully.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
+from .common import stored
 from .elias_fano import TrieLevel, pack, pack_sorted, unpack, unpack_sorted
 
 #: The hash that stands for the end of a text.
@@ -43,7 +45,7 @@ class Settings:
 
     order: int = 3
     mass: tuple[float, ...] = (12.0, 4.0)
-    least: tuple[int, ...] = (2, 2)
+    least: tuple[int, ...] = (1, 1)
     bits: int = 12
     chunk_words: int = 1 << 20
     shard_tokens: int = 1 << 21
@@ -86,7 +88,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, ids, words, counts = 0, 0, [], [], []
         for batch in batches:
-            for a, b in ts.slices(batch.column("text"), 1 << 20):
+            for a, b in ts.slices(batch.column("text")):
                 hashes, first = ts.words_of(batch.column("text").slice(a, b - a))
                 size = np.diff(first) + 1
                 tokens = np.full(len(hashes) + b - a, END, np.uint64)
@@ -100,6 +102,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataF
                     number, held, ids, words, counts = number + 1, 0, [], [], []
         if ids:
             yield row(number, ids, words, counts)
+        ts.release()
 
     return kept.mapInArrow(run, _spark(_CHUNK))
 
@@ -110,6 +113,9 @@ _ASK = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("data", pa.list
 _ANSWER = pa.schema([("kind", pa.int32()), ("level", pa.int32()), ("shard", pa.int64()), ("chunk", pa.int64()), ("known", pa.int64()), ("data", pa.list_(pa.binary()))])
 
 
+_MODEL = pa.schema([("level", pa.int32()), ("shard", pa.int64()), ("known", pa.int64()), ("data", pa.list_(pa.binary()))])
+
+
 def _spark(schema: pa.Schema) -> T.StructType:
     kinds = {pa.int64(): T.LongType(), pa.int32(): T.IntegerType(), pa.binary(): T.BinaryType(), pa.list_(pa.binary()): T.ArrayType(T.BinaryType()), pa.float64(): T.DoubleType(), pa.bool_(): T.BooleanType()}
     return T.StructType([T.StructField(f.name, kinds[f.type]) for f in schema])
@@ -158,15 +164,15 @@ class _State:
         seen = np.zeros_like(self.gram)
         before[1:], seen[1:] = self.gram[:-1], self.gram_count[:-1]
         self.valid = np.flatnonzero((self.place >= level - 1) & (before > 0) & (seen >= s.least[level - 2]))
-        self.context_count = seen[self.valid]
-        known = self.word_number[self.token[self.valid]] > 0
-        self.asking = np.flatnonzero(known)
-        rows = self.valid[self.asking]
+        rows = self.valid
         context, local = np.unique(before[rows], return_inverse=True)
+        # Words that training doesn't have are one word, numbered 0.
         n_words = len(self.word_number)
-        gram, first, inverse = np.unique(local * n_words + self.token[rows], return_index=True, return_inverse=True)
+        token = np.where(self.word_number[self.token[rows]] > 0, self.token[rows], n_words)
+        gram, first, inverse = np.unique(local * (n_words + 1) + token, return_index=True, return_inverse=True)
         self.inverse = inverse
-        own, word = context[gram // n_words], self.word_number[gram % n_words]
+        numbers = np.append(self.word_number, 0)
+        own, word = context[gram // (n_words + 1)], numbers[gram % (n_words + 1)]
         n_own = seen[rows][first]
         trained = np.bincount(inverse, weights=self.trained[rows], minlength=len(gram)).astype(np.int64)
         prior = _quantise(self.score[rows][first], s.bits)
@@ -195,15 +201,11 @@ class _State:
             more = place > 0
             number[part] = np.where(more, (place - 1) * self.shards + k + 1, 0)
             count[part[more]] = counts
-        mass = s.mass[level - 2]
-        backoff = _dequantise(_quantise(np.log10(mass / (self.context_count + mass)), s.bits), s.bits)
-        raised = backoff + self.score[self.valid]
         found = code[self.inverse]
-        hit = found > 0
-        raised[self.asking[hit]] = _dequantise(found[hit] - 1, s.bits)
-        self.score[self.valid] = raised
+        # An even code is the context's back-off weight, an odd one the n-gram's probability.
+        self.score[self.valid] = _dequantise(found >> 1, s.bits) + np.where(found & 1, 0.0, self.score[self.valid])
         gram, gram_count = np.zeros_like(self.gram), np.zeros_like(self.gram_count)
-        rows = self.valid[self.asking]
+        rows = self.valid
         gram[rows], gram_count[rows] = number[self.inverse], count[self.inverse]
         self.gram, self.gram_count = gram, gram_count
 
@@ -238,7 +240,7 @@ def _answer_words(s: Settings, keep: bool):
             own = inverse[at : at + len(w)]
             at += len(w)
             out.append({"kind": 0, "level": 1, "shard": shard, "chunk": r["chunk"], "known": 0, "data": [pack(total[own]), pack(rank[own])]})
-        level = [every[known].tobytes(), pack(rank[known]), pack(_quantise(np.log10((total[known] + 0.5) / 1e15), s.bits))]
+        level = [every[known].tobytes(), pack(rank[known]), pack(total[known])]
         out.append({"kind": 1, "level": 1, "shard": shard, "chunk": -1 - shard, "known": len(known), "data": level if keep else []})
         return pa.Table.from_pylist(out, _ANSWER)
 
@@ -306,15 +308,16 @@ def _answer_grams(level: int, s: Settings, keep: bool):
         seen = np.flatnonzero(total)
         c, w, n, known = asked_context[seen], asked_word[seen], count[one[seen]], total[seen]
         p = np.log10((known + mass * 10 ** _dequantise(prior[one[seen]], s.bits)) / (n + mass))
+        edge = np.flatnonzero(np.diff(asked_context, prepend=-1))
+        weight = _quantise(np.log10(mass / (count[one[edge]] + mass)), s.bits)
+        data = TrieLevel.write(c, w, _quantise(p, s.bits), weight, s.bits, asked_context[edge])
         del context, word, count, train, prior, order
-        edge = np.flatnonzero(np.diff(c, prepend=-1))
-        data = TrieLevel.write(c, w, _quantise(p, s.bits), _quantise(np.log10(mass / (n[edge] + mass)), s.bits), s.bits)
         # All chunks' n-grams, each once and in order, meet the trie in one pass over its blocks.
         trie = TrieLevel.mapped(data)
-        place = trie.find(asked_context, asked_word)
+        place, number = trie.find(asked_context, asked_word)
         hit = place >= 0
-        code = np.zeros(len(place), np.int64)
-        code[hit] = trie.code(place[hit]) + 1
+        code = trie.backoff(number) * 2
+        code[hit] = trie.code(place[hit]) * 2 + 1
         onward = hit & (total >= least) if least else np.zeros(len(place), bool)
         number = np.where(onward, place + 1, 0)
         out, at = [], 0
@@ -356,17 +359,18 @@ def _score(level: int, shards: int, train_tokens: int, known_words: int, s: Sett
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), keep_model: bool = True) -> tuple[DataFrame, DataFrame]:
     """Train on the documents that aren't held out and score all of them.
 
-    Returns the scores and the model. Scores: id, ``held_out`` (crc32 of the id
-    as text, modulo ``held_out_of``, is ``held_out_is``), ``n_tokens``,
-    ``n_known``, ``train_tokens``, ``base_score`` and ``score``, the sums of
-    log10 probabilities by single words and by the model. Model: (level, shard,
-    known, data) of the trie shards; level 1 holds word hashes, numbers and
-    counts. Without ``keep_model`` a shard's trie goes once it has answered, and
-    ``data`` is empty.
+    Returns the scores and the model, both stored. Scores: id, ``held_out``
+    (crc32 of the id as text, modulo ``held_out_of``, is ``held_out_is``),
+    ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``,
+    the sums of log10 probabilities by single words and by the model. Model:
+    (level, shard, known, data) of the trie shards; level 1 holds word hashes,
+    numbers and quantised probabilities. Without ``keep_model`` a shard's trie
+    goes once it has answered, and ``data`` is empty. The bucketed tables of
+    chunks and answers are dropped at the end.
 
     A text's tokens are its words (A-Z as a-z) and one end. Null and empty
     texts have only the end. Rows with a null id are trained on; rows that
-    repeat are scored, and counted, each. With no training tokens every word is
+    repeat are scored, and counted, each; very long texts make long chunks. With no training tokens every word is
     unknown. An empty table gives empty results. Other columns are ignored.
     """
     s = settings
@@ -397,4 +401,17 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         answers = answered(with_answers(_ask_grams(level, shards, train, known, s), _ASK), _answer_grams(level, s, keep_model))
     scores = with_answers(_score(s.order, shards, train, known, s), _SCORED)
     scores = scores.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score")
-    return scores, answers.filter("kind = 1").select("level", "shard", "known", "data")
+    scores = stored(scores, "lm-scores")
+
+    def probabilities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["level"] == 1 and r["data"]:
+                    codes = _quantise(np.log10((unpack(r["data"][2]) + 0.5) / (train + 0.5 * (known + 1))), s.bits)
+                    r["data"][2] = pack(codes)
+                yield pa.RecordBatch.from_pylist([r], _MODEL)
+
+    model = stored(answers.filter("kind = 1").select(*_MODEL.names).mapInArrow(probabilities, _spark(_MODEL)), "lm-model")
+    for name in (chunk_table, answer_table):
+        spark.sql(f"DROP TABLE {name}")
+    return scores, model
