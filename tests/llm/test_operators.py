@@ -71,8 +71,8 @@ def test_shard_keeps_ties_by_id():
 # Language model
 
 
-def test_model_against_counts(spark, documents):
-    s = ngram_lm.Settings(chunk_words=3000, hot_context=50, least=(2, 4))
+@pytest.mark.parametrize("s", [ngram_lm.Settings(), ngram_lm.Settings(chunk_words=3000, hot_context=50, shard_tokens=4000, least=(2, 4))])
+def test_model_against_counts(spark, documents, s):
     scores, model = ngram_lm.score_corpus(documents, settings=s)
     texts = {r["doc_id"]: words(r["text"]) + [None] for r in documents.collect()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
@@ -98,6 +98,12 @@ def test_model_against_counts(spark, documents):
         assert r["n_known"] == sum(count[1][(x,)] > 0 for x in w)
         assert abs(r["base_score"] - base) < 1e-6 and abs(r["score"] - score) < 0.004 * len(w)
     assert {r["level"] for r in model.select("level").distinct().collect()} == {1, 2, 3}
+    # Single words' probabilities, as the model has them.
+    codes = Counter()
+    for r in model.filter("level = 1").collect():
+        codes.update(ngram_lm.unpack(r["data"][2]).tolist())
+    assert codes == Counter(ngram_lm._quantise(np.log10([(c + 0.5) / (total + 0.5 * (kinds + 1)) for c in count[1].values()]), s.bits).tolist())
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lm_")]
 
 
 def test_model_on_odd_tables(spark, odd, empty):
@@ -128,11 +134,12 @@ def test_url_filter(spark):
 def test_bloom_filters_pass_all_members(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     n = bloom.blocks_for(3000)
-    made = bloom.filter_table(keys, "key", n)
-    probe = spark.range(6000).select(F.concat(F.lit("k"), "id").alias("key"), "id").withColumn("block", bloom.block_of(F.col("key"), n)).join(made, "block", "left")
-    passed = probe.withColumn("p", bloom.may_contain(F.col("bitmap"), F.col("key"))).groupBy((F.col("id") < 3000).alias("member")).agg(F.avg(F.col("p").cast("int")).alias("share"))
-    share = table(passed, "member", "share")
+    made = bloom.filter_table(bloom.places(keys, "key", n))
+    probe = bloom.marked(spark.range(6000).select(F.concat(F.lit("k"), "id").alias("key"), "id"), "key", made, n, "p")
+    share = table(probe.groupBy((F.col("id") < 3000).alias("member")).agg(F.avg(F.col("p").cast("int")).alias("share")), "member", "share")
     assert share[True] == (1.0,) and share[False][0] < 0.1
+    twice = bloom.filter_table(bloom.repeated_places(keys.unionByName(keys.limit(10)), "key", n))
+    assert 10 <= bloom.marked(keys, "key", twice, n, "p").filter("p").count() < 20
     words_ = bloom.words_for(3000)
     tested = spark.range(6000).select(F.concat(F.lit("k"), "id").alias("key"), "id").withColumn("w", bloom.filter_words(keys, "key", words_).scalar())
     share = table(tested.withColumn("p", bloom.words_may_contain(F.col("w"), F.col("key"), words_)).groupBy((F.col("id") < 3000).alias("member")).agg(F.avg(F.col("p").cast("int")).alias("share")), "member", "share")
@@ -183,14 +190,61 @@ def test_line_dedup_takes_short_lines_at_the_ends(spark):
     assert {i: got[i][0] for i in left} == left
 
 
+def without_repeats(rows, min_words=50):
+    """Line dedup by a walk over all lines in the order of (id, place): what is left of each text."""
+    lines_seen, pairs_seen, out = set(), set(), {}
+    for i, text in sorted(rows):
+        lines = text.split("\n")
+        worded = [j for j, x in enumerate(lines) if words(x)]
+        runs, open_ = [], False
+        for k, j in enumerate(worded):
+            if lines[j] in lines_seen:
+                runs[-1].append(j) if open_ else runs.append([j])
+            lines_seen.add(lines[j])
+            pair = tuple(lines[j : worded[k + 1] + 1]) if k + 1 < len(worded) else None
+            open_ = pair in pairs_seen and bool(runs) and runs[-1][-1] == j
+            pairs_seen.add(pair)
+        drop = {j for r in runs if sum(len(words(lines[j])) for j in r) > min_words for j in range(r[0], r[-1] + 1)}
+        out[i] = "\n".join(x for j, x in enumerate(lines) if j not in drop)
+    return out
+
+
+def test_line_dedup_against_a_walk(spark, documents):
+    rng = np.random.default_rng(9)
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    pool = [" ".join(f"v{rng.integers(0, 12)}" for _ in range(int(rng.integers(1, 16)))) for _ in range(60)]
+    for i in range(120):
+        at = int(rng.integers(0, 40))
+        middle = pool[at : at + int(rng.integers(3, 18))]
+        rows.append((10_000 + i, "\n".join(["", *pool[:1], *middle, f"own {i}", *(["", ""] if i % 3 else []), *middle[: i % 5], *rng.choice(pool, i % 4).tolist()])))
+    got = table(line_dedup.line_dedup(spark.createDataFrame(rows, DOC).repartition(3)), "doc_id", "text")
+    assert {i: t[0] for i, t in got.items()} == without_repeats(rows)
+    assert sum(len(t) for _, t in rows) > sum(len(t[0]) for t in got.values())
+
+
+def test_line_dedup_with_repeated_ids(spark):
+    """Rows of one id with unlike texts are documents of their own; equal rows are one."""
+    p = passage("p")
+    rows = [(1, "\n".join(["a", *p])), (1, "\n".join(["x", "y", "b", *p])), (1, None), (1, "short"), (2, "\n".join(["q", *p])), (2, "\n".join(["q", *p])), (None, "\n".join(p))]
+    df = spark.createDataFrame([(i, t, "clash", "r", 1) for i, t in rows], DOC + ", key string, run string, number int")
+    for parts in (1, 3):
+        got = line_dedup.line_dedup(df.repartition(parts))
+        assert got.columns == df.columns
+        left = sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect())
+        assert [x for x in left if x[0] != 1] == [(0, "\n".join(p)), (2, "q"), (2, "q")]
+        of_one = [t for i, t in left if i == 1]
+        assert len(of_one) == 4 and "short" in of_one and "" in of_one and sum(p[0] in t for t in of_one) == 1
+
+
 def test_chunk_boundaries_resist_shifts():
     import pyarrow as pa
 
-    lines = passage("z", 40, 4)
+    lines = passage("z", 400, 4)
     a = line_dedup.line_chunks(pa.array(["\n".join(lines)]))
     b = line_dedup.line_chunks(pa.array(["\n".join(["new first line", *lines])]))
     assert len(set(a["key"].tolist()) & set(b["key"].tolist())) >= len(a["key"]) - 2
     assert len(set(a["key"].tolist())) == len(a["key"])
+    assert 3 < len(lines) / len(a["key"]) < 5
 
 
 def test_chunks_give_the_text_back():
@@ -215,13 +269,86 @@ def test_line_dedup_on_odd_tables(spark, odd, empty):
 # Mixing
 
 
-def test_budgets_go_to_siblings_first():
+def budgets_by_hand(supply, weights, total, max_epochs):
+    """Budgets of leaves, node by node: full children drop out until the rest can take its shares."""
+    held = defaultdict(float)
+    for path, n in supply.items():
+        for d in range(len(path) + 1):
+            held[path[:d]] += n
+    budget = {(): min(total, held[()] * max_epochs)}
+    for d in range(max(map(len, supply), default=0)):
+        for node in [p for p in held if len(p) == d]:
+            own = [p for p in held if len(p) == d + 1 and p[:d] == node]
+            weight = {p: weights.get(p, held[p] / held[node] if held[node] else 0) for p in own}
+            left, open_ = budget[node], {p for p in own if weight[p] > 0 and held[p] > 0}
+            budget |= dict.fromkeys(own, 0.0)
+            while open_:
+                level = left / sum(weight[p] for p in open_)
+                full = {p for p in open_ if held[p] * max_epochs <= level * weight[p]}
+                budget |= {p: held[p] * max_epochs if p in full else level * weight[p] for p in open_}
+                if not full:
+                    break
+                left -= sum(held[p] * max_epochs for p in full)
+                open_ -= full
+    return {p: budget[p] for p in supply}
+
+
+def spark_budgets(spark, supply, weights, total, max_epochs):
+    names = [f"l{i}" for i in range(max(map(len, supply), default=1))]
+    leaves = spark.createDataFrame([(*p, n) for p, n in supply.items()], ", ".join([*(f"{n} string" for n in names), "n long"]))
+    return {tuple(r[n] for n in names): r["budget"] for r in mixing.leaf_budgets(leaves, names, weights, total, max_epochs).collect()}
+
+
+def test_budgets_go_to_siblings_first(spark):
     supply = {("a", "en"): 100, ("a", "de"): 10, ("b", "en"): 1000}
     weights = {("a",): 0.5, ("b",): 0.5, ("a", "en"): 0.5, ("a", "de"): 0.5}
-    assert mixing.leaf_budgets(supply, weights, 100, 1) == {("a", "en"): 40, ("a", "de"): 10, ("b", "en"): 50}
-    assert mixing.leaf_budgets(supply, weights, 400, 1) == {("a", "en"): 100, ("a", "de"): 10, ("b", "en"): 290}
-    assert mixing.leaf_budgets(supply, weights, 60, 3)[("a", "de")] == 15
-    assert mixing.leaf_budgets({}, weights, 10, 1) == {}
+    assert spark_budgets(spark, supply, weights, 100, 1) == {("a", "en"): 40, ("a", "de"): 10, ("b", "en"): 50}
+    assert spark_budgets(spark, supply, weights, 400, 1) == pytest.approx({("a", "en"): 100, ("a", "de"): 10, ("b", "en"): 290})
+    assert spark_budgets(spark, supply, weights, 60, 3)[("a", "de")] == 15
+    assert spark_budgets(spark, {}, weights, 10, 1) == {}
+
+
+def test_budgets_against_a_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    for share, epochs in ((0.3, 1), (0.97, 1), (1.0, 4), (9.0, 2)):
+        supply = {(f"d{i % 3}", f"l{i % 7}", f"s{i}"): int(rng.choice([0, 3, 50, 900, 40_000])) for i in range(60)}
+        weights = {(f"d{i}",): float(rng.random()) for i in range(3)} | {("d1", f"l{i}"): float(rng.integers(0, 3)) for i in range(7)}
+        total = share * sum(supply.values())
+        assert spark_budgets(spark, supply, weights, total, epochs) == pytest.approx(budgets_by_hand(supply, weights, total, epochs), rel=1e-9, abs=1e-6)
+
+
+def hashed(spark, docs, epochs, seed=17):
+    """The seeded order's keys, by (id, epoch)."""
+    each = docs.select("doc_id").distinct().withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs))))
+    return table(each.select(F.struct("doc_id", "epoch").alias("k"), F.xxhash64("doc_id", F.lit(seed), F.col("epoch")).alias("h")), "k", "h")
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_mix_against_a_sorted_prefix(spark, monkeypatch, limit):
+    """Every row and epoch as a loop over sorted leaves takes them, the plan broadcast or joined."""
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", limit)
+    rows = [(i, " ".join(["w"] * (i * 7 % 11)), "ab"[i % 5 == 0], f"s{i % 4}") for i in range(400)] + [(7, "w w", "a", "s3")] * 2 + [(900, None, "c", None), (901, "x", None, "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string, source string").withColumns({n: F.lit(n) for n in ("whole", "rest", "slice", "stop", "__l0", "EPOCH", "n")})
+    weights = {("a",): 0.1, ("b",): 0.8}
+    got = Counter((r["doc_id"], r["epoch"]) for r in mixing.mix(docs, {"kind": F.col("kind"), "source": F.col("source")}, weights, 0.9, 3).collect())
+    leaves = defaultdict(list)
+    for i, t, kind, source in rows:
+        leaves[kind or "", source or ""].append((i, len((t or "").split())))
+    supply = {k: sum(n for _, n in v) for k, v in leaves.items()}
+    budget = budgets_by_hand(supply, weights, 0.9 * sum(supply.values()), 3)
+    key, want = hashed(spark, docs, 3), Counter()
+    for k, v in leaves.items():
+        left, n = math.floor(budget[k] + 1e-6), supply[k]
+        whole = min(3, left // n) if n else 1
+        want.update((i, e) for e in range(whole) for i, _ in v)
+        left = left - whole * n if whole < 3 and n else 0
+        for h in sorted({key[i, whole] for i, _ in v}) if left > 0 else []:
+            same = [(i, m) for i, m in v if key[i, whole] == h]
+            left -= sum(m for _, m in same)
+            if left < 0:
+                break
+            want.update((i, whole) for i, _ in same)
+    assert got == want
 
 
 def test_mix_takes_prefixes(spark):
@@ -230,7 +357,7 @@ def test_mix_takes_prefixes(spark):
     weights = {("a",): 0.2, ("b",): 0.8}
     got = mixing.mix(docs, {"kind": F.col("kind")}, weights, 0.9, 3)
     supply = {k: sum(i % 7 for i, _, x in rows if x == k) for k in "ab"}
-    budget = mixing.leaf_budgets({(k,): v for k, v in supply.items()}, weights, 0.9 * sum(supply.values()), 3)
+    budget = budgets_by_hand({(k,): v for k, v in supply.items()}, weights, 0.9 * sum(supply.values()), 3)
     taken = table(got.groupBy("kind").agg(F.sum("n_tokens").alias("n"), F.max("epoch").alias("e")), "kind", "n", "e")
     for k in "ab":
         assert budget[k,] - 6 <= taken[k][0] <= budget[k,] + 1e-6
@@ -316,6 +443,33 @@ def test_large_group_of_near_copies(spark):
     assert {i: c[0] for i, c in got.items()} == label
 
 
+def test_repeated_ids_with_unlike_texts(spark):
+    """All texts of an id belong to its component, whichever row has them."""
+    a, b, c = (" ".join(f"{t}{i}" for i in range(30)) for t in "abc")
+    rows = [(0, b), (1, a), (1, b), (2, a), (5, c), (5, c + " z"), (6, None), (6, c), (7, "")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, DOC)).collect())
+    assert got == [(0, 26, 0), (1, 26, 0), (1, 26, 0), (2, 26, 0), (5, 26, 5), (5, 27, 5), (6, 0, 6), (6, 26, 5), (7, 0, 7)]
+
+
+def test_large_buckets_of_unlike_sizes(spark, monkeypatch):
+    """Buckets that pivots don't settle are compared in tiles; blocks are small here."""
+    from adjudex.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "_PIVOTS", 0)
+    monkeypatch.setattr(near_dedup, "_BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "_SMALL", 4)
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(90):
+        w = [f"w{j}" for j in range(int(rng.integers(80, 160)))]
+        for j in rng.choice(len(w), 2, replace=False):
+            w[j] = f"n{i}x{j}"
+        rows.append((i, " ".join(w)))
+    _, label = brute(dict(rows), 3, 85)
+    got = table(near_duplicates(spark.createDataFrame(rows, DOC), k=3, percent=85, bands=26, rows=5), "doc_id", "component_id")
+    assert {i: c[0] for i, c in got.items()} == label
+
+
 def test_near_duplicates_on_odd_tables(spark, odd, empty):
     got = near_duplicates(odd)
     assert got.count() == 10
@@ -369,6 +523,19 @@ def test_layouts_give_one_form(spark):
     both, _ = turns_of_json(spark.createDataFrame([(1, '{"instruction":"a","input":"b","output":"c"}')], "id long, record string"), "id", "record")
     assert [r["text"] for r in both.orderBy("turn").collect()] == ["a\nb", "c"]
     assert fingerprint(["b", "a"]) == fingerprint(["a", "b", "a"])
+    wide = ['{"prompt":"hi","response":"yes","output":"x","answer":null}', '{"messages":[{"role":"user"},{"role":"assistant","content":"yes"}],"prompt":"no"}', '{"messages":[]}', '{"prompt":"a","answer":"b"}']
+    turns, rest = turns_of_json(spark.createDataFrame([(i, f) for i, f in enumerate(wide)], "id long, record string"), "id", "record")
+    got = sorted((r["conv_id"], r["turn"], r["role"], r["text"]) for r in turns.collect())
+    assert got == [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", ""), (1, 1, "assistant", "yes")]
+    assert {r["conv_id"] for r in rest.collect()} == {2, 3}
+
+
+def test_columns_that_other_layouts_use_too(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    plain = sorted(map(tuple, turns_of_frame(df, "conv_id").collect()))
+    for extra in (["prompt"], ["response", "input"], ["system", "prompt", "response"], ["instruction", "output", "messages"], ["conversations", "segment"]):
+        assert sorted(map(tuple, turns_of_frame(df.withColumns({c: F.lit("x") for c in extra}), "conv_id").collect())) == plain
 
 
 def test_formatting_reads_back(spark):

@@ -74,8 +74,15 @@ def test_trie_level():
     pairs = np.unique(np.stack([rng.integers(0, 900, 30000) * 5, rng.integers(0, 4000, 30000)], 1), axis=0)
     c, w = pairs.T
     codes = rng.integers(0, 1 << 12, len(c))
-    level = ef.TrieLevel.mapped(ef.TrieLevel.write(c, w, codes, rng.integers(0, 1 << 12, len(np.unique(c))), 12))
-    assert (level.find(c, w) == np.arange(len(c))).all() and (level.code(np.arange(len(c))) == codes).all()
+    contexts = np.unique(np.append(c, np.arange(0, 4600, 7)))
+    backoffs = rng.integers(0, 1 << 12, len(contexts))
+    level = ef.TrieLevel.mapped(ef.TrieLevel.write(c, w, codes, backoffs, 12, contexts))
+    place, number = level.find(c, w)
+    assert (place == np.arange(len(c))).all() and (level.code(np.arange(len(c))) == codes).all()
+    assert (contexts[number] == c).all() and (level.backoff(number) == backoffs[number]).all()
     ask = np.unique(np.stack([rng.integers(0, 4600, 5000), rng.integers(0, 4100, 5000)], 1), axis=0).T
     known = {(a, b): i for i, (a, b) in enumerate(zip(c.tolist(), w.tolist()))}
-    assert level.find(*ask).tolist() == [known.get((a, b), -1) for a, b in zip(*(x.tolist() for x in ask))]
+    assert level.find(*ask)[0].tolist() == [known.get((a, b), -1) for a, b in zip(*(x.tolist() for x in ask))]
+    assert [contexts[i] if i >= 0 else -1 for i in level.find(*ask)[1]] == [a if a in set(contexts.tolist()) else -1 for a in ask[0].tolist()]
+    empty = ef.TrieLevel.mapped(ef.TrieLevel.write(c[:0], w[:0], codes[:0], backoffs, 12, contexts))
+    assert (empty.find(c, w)[0] == -1).all() and (empty.backoff(empty.find(c, w)[1]) == backoffs[np.searchsorted(contexts, c)]).all()
