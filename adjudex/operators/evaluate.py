@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adjudex.functions import scalars as S
 
-from .rules import SEVERITIES, Evidence, Facts, Rule, condition_column, missing_facts, predicate_column
+from .rules import OPERATORS, SEVERITIES, Evidence, Facts, Leaf, Rule, absent_facts, condition_column, leaf_column, leaves, render, sorted_names, temporal_column
 
 #: Of a policy's decision, the verdict that decides first.
 DECISIONS = (("VIOLATION", "NON_COMPLIANT"), ("ACTION_REQUIRED", "ACTION_REQUIRED"), ("INDETERMINATE", "INDETERMINATE"), ("COMPLIANT", "COMPLIANT"))
 
+#: Nodes of a rule table that is broadcast to facts.
+MAX_RULE_NODES = 200_000
+
 
 def count_evidence(evidence: DataFrame, key: str, needs: Mapping[str, Evidence]) -> DataFrame:
     """A row for each subject with, for each need, the number of items of its type whose attributes match.
@@ -32,14 +36,17 @@ def count_evidence(evidence: DataFrame, key: str, needs: Mapping[str, Evidence])
     return evidence.groupBy(key).agg(*counts)
 
 
-def verdict_column(rule: Rule, predicate: Column, evidence_counts: Sequence[Column], supplied: Column, exceptions: Sequence[Column], include_needs_review: bool = False) -> Column:
-    """The verdict of a rule: unknown predicates first, then the rule type's table, then exceptions."""
-    lacking = [n < e.min_count for n, e in zip(evidence_counts, rule.evidence) if e.mandatory]
-    mandatory = any(e.mandatory for e in rule.evidence)
-    missing = F.lit(False)
-    for x in lacking:
-        missing = missing | F.coalesce(x, F.lit(True))
-    status = F.when(F.lit(mandatory) & ~supplied, "NOT_SUPPLIED").when(missing, "MISSING").otherwise("OK") if rule.evidence else F.lit("OK")
+def evidence_status(rule: Rule, counts: Sequence[Column], supplied: Column) -> Column:
+    """OK, MISSING (a mandatory need is not met) or NOT_SUPPLIED."""
+    mandatory = [n < e.min_count for n, e in zip(counts, rule.evidence) if e.mandatory]
+    if not mandatory:
+        return F.lit("OK")
+    lacking = reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(True)) for x in mandatory])
+    return F.when(~supplied, "NOT_SUPPLIED").when(lacking, "MISSING").otherwise("OK")
+
+
+def base_verdict(rule: Rule, predicate: Column, status: Column) -> Column:
+    """The rule type's verdict before exceptions; an unknown predicate comes first."""
     by_evidence = F.when(status == "MISSING", "VIOLATION").when(status == "NOT_SUPPLIED", "INDETERMINATE")
     if rule.rule_type == "PROHIBIT":
         verdict = F.when(predicate, "VIOLATION").otherwise("COMPLIANT")
@@ -47,51 +54,146 @@ def verdict_column(rule: Rule, predicate: Column, evidence_counts: Sequence[Colu
         verdict = F.when(~predicate, "VIOLATION").otherwise(by_evidence.otherwise("COMPLIANT"))
     else:
         verdict = F.when(~predicate, "NOT_APPLICABLE").otherwise(by_evidence.otherwise("COMPLIANT" if rule.evidence else "ACTION_REQUIRED"))
-    verdict = F.when(predicate.isNull(), "INDETERMINATE").otherwise(verdict)
-    if exceptions:
-        some = F.lit(False)
-        for x in exceptions:
-            some = some | x
-        verdict = F.when(verdict.isin("VIOLATION", "ACTION_REQUIRED"), F.when(some, "EXEMPT").when(some.isNull(), "INDETERMINATE").otherwise(verdict)).otherwise(verdict)
-    return F.lit("INDETERMINATE") if rule.status != "VALID" and not include_needs_review else verdict
+    return F.when(predicate.isNull(), "INDETERMINATE").otherwise(verdict)
 
 
-def evaluate(subjects: DataFrame, rules: Sequence[Rule], facts: Facts, evidence: DataFrame | None = None, key: str = "subject_id", include_needs_review: bool = False) -> DataFrame:
-    """A row for each subject row and rule: rule_id, verdict, severity, action, exception, missing_facts.
+def with_exceptions(verdict: Column, exceptions: Sequence[Column]) -> Column:
+    if not exceptions:
+        return verdict
+    some = reduce(lambda a, b: a | b, exceptions)
+    return F.when(verdict.isin("VIOLATION", "ACTION_REQUIRED"), F.when(some, "EXEMPT").when(some.isNull(), "INDETERMINATE").otherwise(verdict)).otherwise(verdict)
+
+
+def verdict_column(rule: Rule, predicate: Column, evidence_counts: Sequence[Column], supplied: Column, exceptions: Sequence[Column], include_needs_review: bool = False) -> Column:
+    """The verdict of a rule: unknown predicates first, then the rule type's table, then exceptions."""
+    if rule.status != "VALID" and not include_needs_review:
+        return F.lit("INDETERMINATE")
+    return with_exceptions(base_verdict(rule, predicate, evidence_status(rule, evidence_counts, supplied)), exceptions)
 
-    Compiled mode: all rules are columns of one projection, made into rows by
-    one ``inline``. Evidence is aggregated by subject first and joined once;
+
+def _reasons(rule: Rule, predicate: Column, status: Column, base: Column, verdict: Column) -> Column:
+    """Codes of why a rule came to its verdict."""
+    fired = rule.rule_type == "TRIGGER"
+    found = [
+        F.when(predicate.isNull(), "condition_unknown"),
+        F.when(~predicate, "trigger_not_met" if fired else "condition_false" if rule.rule_type == "REQUIRE" else None),
+        F.when(predicate & (base == "VIOLATION") & (status == "MISSING"), "evidence_missing"),
+        F.when(predicate & (base == "INDETERMINATE") & (status == "NOT_SUPPLIED"), "evidence_not_supplied"),
+        F.when(F.lit(fired) & (base == "COMPLIANT"), "action_evidenced"),
+        F.when(base == "ACTION_REQUIRED", "action_required"),
+        F.when(verdict == "EXEMPT", "exception_applies"),
+        F.when(base.isin("VIOLATION", "ACTION_REQUIRED") & (verdict == "INDETERMINATE"), "exception_unknown"),
+    ]
+    return F.array_compact(F.array(*[x.cast("string") for x in found]))
+
+
+def evaluate(subjects: DataFrame, rules: Sequence[Rule], facts: Facts, evidence: DataFrame | None = None, key: str = "subject_id", include_needs_review: bool = False, details: bool = False) -> DataFrame:
+    """A row for each subject row and rule: rule_id, verdict, severity, action, exception_applied, missing_facts.
+
+    Compiled mode: facts are bound to the columns' types; one projection gives
+    each distinct leaf once, further ones combine them, and one ``inline`` makes
+    rows of the rules. Evidence is aggregated by subject first and joined once;
     without an ``evidence`` table it counts as not supplied, unless the subjects
-    say so row by row in ``evidence_supplied``.
+    say so row by row in ``evidence_supplied``. Absent facts of exceptions are
+    missing only where the exceptions were looked at, and a rule that needs
+    review misses nothing.
+
+    With ``details`` there are also ``reasons`` (codes), ``missing_evidence``
+    (type, required, found), ``evidence_satisfied`` (types), ``notes`` (facts
+    without a unit that were taken in the rule's) and ``trace`` (test, result).
     """
+    facts = facts.bind(subjects)
     needs = {f"__n{i}_{j}": e for i, r in enumerate(rules) for j, e in enumerate(r.evidence)}
     rows = subjects
     if evidence is not None and needs:
         rows = rows.join(count_evidence(evidence, key, needs), key, "left")
-    if "evidence_supplied" in subjects.columns:
-        supplied = F.coalesce(F.col("evidence_supplied"), F.lit(False))
-    else:
-        supplied = F.lit(evidence is not None)
-    out = []
+    run = [r.status == "VALID" or include_needs_review for r in rules]
+
+    # Every distinct test and fact once.
+    tests: dict[str, tuple[str, Column]] = {}
+    there: dict[tuple[str, str], tuple[str, Column]] = {}
+
+    def leaf(x: Leaf) -> Column:
+        name, _ = tests.setdefault(repr(x), (f"__t{len(tests)}", leaf_column(x, facts)))
+        return F.col(name)
+
+    def present(entity: str, path: str) -> Column:
+        name, _ = there.setdefault((entity, path), (f"__p{len(there)}", facts.present(entity, path)))
+        return F.col(name)
+
+    first, second, third, out = {}, {}, {}, []
+    first["__s"] = F.coalesce(F.col("evidence_supplied"), F.lit(False)) if "evidence_supplied" in subjects.columns else F.lit(evidence is not None)
     for i, rule in enumerate(rules):
+        if not run[i]:
+            continue
+        parts = [condition_column(rule.condition, facts, leaf)] if rule.condition is not None else []
+        if rule.temporal is not None:
+            first[f"__m{i}"] = temporal_column(rule.temporal, facts)
+            parts.append(F.col(f"__m{i}"))
         counts = [F.coalesce(F.col(f"__n{i}_{j}"), F.lit(0)) if evidence is not None else F.lit(0) for j in range(len(rule.evidence))]
-        tests = [condition_column(x.condition, facts) for x in rule.exceptions]
-        verdict = verdict_column(rule, predicate_column(rule, facts), counts, supplied, tests, include_needs_review)
-        hit = F.coalesce(*[F.when(t, F.lit(x.description)) for t, x in zip(tests, rule.exceptions)]) if tests else F.lit(None).cast("string")
-        out.append(
-            F.struct(
-                F.lit(rule.rule_id).alias("rule_id"),
-                verdict.alias("verdict"),
-                F.when(verdict.isin("VIOLATION", "ACTION_REQUIRED"), F.lit(rule.severity)).alias("severity"),
-                F.when(verdict.isin("VIOLATION", "ACTION_REQUIRED"), F.lit(rule.action).cast("string")).alias("action"),
-                F.when(verdict == "EXEMPT", hit).alias("exception_applied"),
-                missing_facts(rule, facts).alias("missing_facts"),
-            )
-        )
-    kept = [c for c in subjects.columns]
+        second[f"__h{i}"] = reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
+        second[f"__e{i}"] = evidence_status(rule, counts, F.col("__s"))
+        third[f"__b{i}"] = base_verdict(rule, F.col(f"__h{i}"), F.col(f"__e{i}"))
+        exceptions = [condition_column(x.condition, facts, leaf) for x in rule.exceptions]
+        for j, x in enumerate(exceptions):
+            second[f"__x{i}_{j}"] = x
+    verdicts = {f"__v{i}": with_exceptions(F.col(f"__b{i}"), [F.col(f"__x{i}_{j}") for j in range(len(r.exceptions))]) if run[i] else F.lit("INDETERMINATE") for i, r in enumerate(rules)}
+
+    for i, rule in enumerate(rules):
+        verdict, none = F.col(f"__v{i}"), F.lit(None).cast("string")
+        acts = verdict.isin("VIOLATION", "ACTION_REQUIRED")
+        hit, missing = none, []
+        if run[i]:
+            tried = [F.when(F.col(f"__x{i}_{j}"), F.lit(x.description)) for j, x in enumerate(rule.exceptions)]
+            hit = F.coalesce(*tried) if tried else none
+            missing = absent_facts([rule.condition] if rule.condition else [], rule.temporal, facts, present)
+            looked = F.col(f"__b{i}").isin("VIOLATION", "ACTION_REQUIRED")
+            missing += [F.when(looked, x) for x in absent_facts([x.condition for x in rule.exceptions], None, facts, present)]
+        fields = [
+            F.lit(rule.rule_id).alias("rule_id"),
+            verdict.alias("verdict"),
+            F.when(acts, F.lit(rule.severity)).alias("severity"),
+            F.when(acts, F.lit(rule.action).cast("string")).alias("action"),
+            F.when(verdict == "EXEMPT", hit).alias("exception_applied"),
+            sorted_names(missing).alias("missing_facts"),
+        ]
+        if details:
+            fields += _details(rule, i, run[i], evidence is not None, facts, leaf)
+        out.append(F.struct(*fields))
+
+    kept = subjects.columns
+    counted = [F.col(n) for n in needs] if evidence is not None else []
+    rows = rows.select(*kept, *counted, *[c.alias(n) for n, c in tests.values()], *[c.alias(n) for n, c in there.values()], *[c.alias(n) for n, c in first.items()])
+    for made in (second, third, verdicts):
+        rows = rows.withColumns(made) if made else rows
     return rows.select(*kept, F.inline(F.array(*out)))
 
 
+def _details(rule: Rule, i: int, run: bool, supplied: bool, facts: Facts, leaf) -> list[Column]:
+    need = "struct<type:string,required:int,found:bigint>"
+    if not run:
+        empty = {"reasons": "array<string>", "missing_evidence": f"array<{need}>", "evidence_satisfied": "array<string>", "notes": "array<string>", "trace": "array<struct<test:string,result:boolean>>"}
+        return [(F.array(F.lit("needs_review")) if n == "reasons" else F.array().cast(t)).alias(n) for n, t in empty.items()]
+    holds, status, base, verdict = (F.col(f"__{c}{i}") for c in "hebv")
+    engaged = F.lit(rule.rule_type == "REQUIRE") | (F.lit(rule.rule_type == "TRIGGER") & F.coalesce(holds, F.lit(False)))
+    asked = engaged & F.col("__s")
+    counts = [F.coalesce(F.col(f"__n{i}_{j}"), F.lit(0)).cast("long") if supplied else F.lit(0).cast("long") for j in range(len(rule.evidence))]
+    lacking = [F.when(asked & (n < e.min_count), F.struct(F.lit(e.type).alias("type"), F.lit(e.min_count).alias("required"), n.alias("found"))) for n, e in zip(counts, rule.evidence) if e.mandatory]
+    met = [F.when(asked & (n >= e.min_count), F.lit(e.type)) for n, e in zip(counts, rule.evidence)]
+    looked = base.isin("VIOLATION", "ACTION_REQUIRED")
+    bare = []
+    for when, tree in [(F.lit(True), rule.condition), *((looked, x.condition) for x in rule.exceptions)]:
+        bare += [F.when(when & facts.without_unit(x), F.lit(f"{x.entity}.{x.path} taken in {x.unit}")) for x in leaves(tree) if x.unit and not facts.strict_units]
+    trace = [F.when(when, F.struct(F.lit(render(x)).alias("test"), leaf(x).alias("result"))) for when, tree in [(F.lit(True), rule.condition), *((looked, x.condition) for x in rule.exceptions)] for x in leaves(tree)]
+    return [
+        _reasons(rule, holds, status, base, verdict).alias("reasons"),
+        (F.array_compact(F.array(*lacking)) if lacking else F.array().cast(f"array<{need}>")).alias("missing_evidence"),
+        (F.array_compact(F.array(*met)) if met else F.array().cast("array<string>")).alias("evidence_satisfied"),
+        sorted_names(bare).alias("notes"),
+        (F.array_compact(F.array(*trace)) if trace else F.array().cast("array<struct<test:string,result:boolean>>")).alias("trace"),
+    ]
+
+
 def decision(verdict: Column) -> Column:
     """The decision over a group of verdicts, by priority; NOT_APPLICABLE where nothing else is (exempt alone included)."""
     out = F.when(F.lit(False), "")
@@ -124,35 +226,99 @@ def fan_out(subjects: DataFrame, records: str, index: str = "record_index", reco
     return subjects.select("*", F.posexplode_outer(records).alias(index, record)).drop(records)
 
 
-def evaluate_tabular(facts: DataFrame, nodes: DataFrame, key: str = "subject_id", max_depth: int = 6) -> DataFrame:
+def _fold(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Values of parents from their children's rows (value, fallback, negate and the parent's logic, n, n_true, n_false).
+
+    A child without a row has its fallback, the value that it has without any
+    fact; how many of these are true or false comes from the rule table.
+    """
+    v = F.when(F.col("negate"), ~F.col("value")).otherwise(F.col("value"))
+    f = F.when(F.col("negate"), ~F.col("fallback")).otherwise(F.col("fallback"))
+    held = rows.groupBy(*keys, "logic", "n", "n_true", "n_false").agg(F.count_if(v).alias("t"), F.count_if(~v).alias("f"), F.count_if(f).alias("ft"), F.count_if(~f).alias("ff"))
+    yes, no = F.col("t") + F.col("n_true") - F.col("ft"), F.col("f") + F.col("n_false") - F.col("ff")
+    every = F.when(no > 0, F.lit(False)).when(yes == F.col("n"), F.lit(True))
+    some = F.when(yes > 0, F.lit(True)).when(no == F.col("n"), F.lit(False))
+    return held.select(*keys, F.when(F.col("logic").isin("AND", "NOT"), every).otherwise(some).alias("value"))
+
+
+def _leaf_values(met: DataFrame) -> Column:
+    """The value of a leaf row of text ``raw`` against op, number, text, items, low, high and inclusive."""
+    raw, op, n, x = F.col("raw"), F.col("op"), F.col("number"), S.as_number(F.col("raw"))
+
+    def same(value: Column) -> Column:
+        number = S.as_number(value)
+        close = F.abs(x - number) <= F.greatest(1e-9 * F.greatest(F.abs(x), F.abs(number)), F.lit(1e-9))
+        return F.coalesce(close, S.normal_text(raw) == S.normal_text(value))
+
+    equal = F.when(n.isNotNull(), F.abs(x - n) <= F.greatest(1e-9 * F.greatest(F.abs(x), F.abs(n)), F.lit(1e-9))).otherwise(same(F.col("text")))
+    listed = F.exists("items", same)
+    inside = F.when(F.coalesce(F.col("inclusive"), F.lit(True)), (x >= F.col("low")) & (x <= F.col("high"))).otherwise((x > F.col("low")) & (x < F.col("high")))
+    held = F.contains(S.normal_text(raw), S.normal_text(F.col("text")))
+    there = S.present(raw)
+    tests = {">": x > n, ">=": x >= n, "<": x < n, "<=": x <= n, "==": equal, "!=": ~equal, "in": listed, "not_in": ~listed, "between": inside, "not_between": ~inside, "contains": held, "not_contains": ~held}
+    value = reduce(lambda a, kv: a.when(op == kv[0], F.when(there, kv[1])), tests.items(), F.when(op == "exists", there).when(op == "not_exists", ~there))
+    return value
+
+
+def evaluate_tabular(facts: DataFrame, nodes: DataFrame, key: str = "subject_id", max_depth: int = 6, subjects: DataFrame | None = None) -> DataFrame:
     """Data-driven mode: conditions as a table of nodes, facts as a long table.
 
     ``nodes``: rule_id, node_id, parent_id (NULL at the root), depth (root 1),
-    logic (AND, OR, NOT; NULL for a leaf), path, op (``> >= < <= == !=``),
-    number, text. ``facts``: key, path, raw. Leaves meet facts in an equi join on
-    the path, and each depth is folded into its parents by a Kleene aggregate,
-    at most ``max_depth`` times. Returns (key, rule_id, result). A rule is
-    evaluated for every subject; a fact that isn't there is unknown.
+    logic (AND, OR, NOT, IMPLIES; NULL for a leaf; an implication's first child
+    is that of the smaller id), path, op (all of the rule language's), number,
+    text, and where used items (array of text), low, high, inclusive. ``facts``:
+    key, path, raw. Facts meet leaves in an equi join on the path, so a subject's
+    rows are its facts, not all leaves; each depth is folded into its parents by
+    a Kleene aggregate, at most ``max_depth`` times, where children that a
+    subject has no fact for count by what they are worth without facts.
+
+    Returns (key, rule_id, result) for every row of ``subjects`` (by default
+    those that have a fact) and every rule.
     """
-    subjects = facts.select(key).distinct()
-    leaf = nodes.filter("logic is null")
-    # The rule table is small beside the facts; Spark broadcasts it by its size.
-    grid = subjects.join(leaf.select("rule_id", "node_id", "parent_id", "depth", "path", "op", "number", "text"), how="cross")
-    met = grid.join(facts.select(key, "path", "raw"), [key, "path"], "left")
-    x, n = S.as_number(F.col("raw")), F.col("number")
-    same = F.when(n.isNotNull(), F.abs(x - n) <= F.greatest(1e-9 * F.greatest(F.abs(x), F.abs(n)), F.lit(1e-9))).otherwise(S.normal_text(F.col("raw")) == S.normal_text(F.col("text")))
-    op = F.col("op")
-    value = F.when(op == ">", x > n).when(op == ">=", x >= n).when(op == "<", x < n).when(op == "<=", x <= n).when(op == "==", same).when(op == "!=", ~same)
-    done = met.select(key, "rule_id", "node_id", "parent_id", "depth", value.alias("value"))
-    inner = nodes.filter("logic is not null").select("rule_id", F.col("node_id").alias("own"), F.col("parent_id").alias("above"), "logic")
-    roots = done.filter("parent_id is null").select(key, "rule_id", F.col("value").alias("result"))
-    level = done
+    unknown = set(r["op"] for r in nodes.filter("logic is null").select("op").distinct().collect()) - set(OPERATORS)
+    if unknown:
+        raise ValueError(f"unknown operators {sorted(map(str, unknown))}")
+    for name, kind in (("items", "array<string>"), ("low", "double"), ("high", "double"), ("inclusive", "boolean")):
+        if name not in nodes.columns:
+            nodes = nodes.withColumn(name, F.lit(None).cast(kind))
+    own = ["rule_id", "node_id", "parent_id", "depth"]
+    above = nodes.select("rule_id", F.col("node_id").alias("parent_id"), F.col("logic").alias("above"))
+    firsts = nodes.groupBy("rule_id", "parent_id").agg(F.min("node_id").alias("first"))
+    tree = nodes.join(above, ["rule_id", "parent_id"], "left").join(firsts, ["rule_id", "parent_id"], "left")
+    negate = F.coalesce((F.col("above") == "NOT") | ((F.col("above") == "IMPLIES") & (F.col("node_id") == F.col("first"))), F.lit(False))
+    tree = tree.withColumn("negate", negate)
+    # What nodes are worth without any fact, level by level over the rule table alone.
+    bare = F.when(F.col("op") == "exists", F.lit(False)).when(F.col("op") == "not_exists", F.lit(True))
+    known = tree.filter("logic is null").select(*own, "negate", bare.alias("fallback"))
+    for d in range(max_depth, 0, -1):
+        inner = tree.filter((F.col("depth") == d) & F.col("logic").isNotNull()).select(*own, "negate", "logic")
+        kids = known.select("rule_id", F.col("parent_id").alias("node_id"), F.when(F.col("negate"), ~F.col("fallback")).otherwise(F.col("fallback")).alias("v"))
+        counted = kids.groupBy("rule_id", "node_id").agg(F.count("*").alias("n"), F.count_if("v").alias("n_true"), F.count_if(~F.col("v")).alias("n_false"))
+        made = inner.join(counted, ["rule_id", "node_id"])
+        every = F.when(F.col("n_false") > 0, F.lit(False)).when(F.col("n_true") == F.col("n"), F.lit(True))
+        some = F.when(F.col("n_true") > 0, F.lit(True)).when(F.col("n_false") == F.col("n"), F.lit(False))
+        known = known.unionByName(made.select(*own, "negate", F.when(F.col("logic").isin("AND", "NOT"), every).otherwise(some).alias("fallback")))
+    kids = known.select("rule_id", F.col("parent_id").alias("node_id"), F.when(F.col("negate"), ~F.col("fallback")).otherwise(F.col("fallback")).alias("v"))
+    counted = kids.groupBy("rule_id", "node_id").agg(F.count("*").alias("n"), F.count_if("v").alias("n_true"), F.count_if(~F.col("v")).alias("n_false"))
+    # The rule table, closed off from the facts' plan: a row for each node.
+    table = tree.join(known.select("rule_id", "node_id", "fallback"), ["rule_id", "node_id"]).join(counted, ["rule_id", "node_id"], "left")
+    rows = table.select(*own, "logic", "negate", "fallback", "n", "n_true", "n_false", "path", "op", "number", "text", "items", "low", "high", "inclusive").toArrow()
+    if len(rows) > MAX_RULE_NODES:
+        raise ValueError(f"more than {MAX_RULE_NODES} rule nodes")
+    table = facts.sparkSession.createDataFrame(rows)
+
+    met = facts.select(key, "path", "raw").join(F.broadcast(table.filter("logic is null")), "path")
+    level = met.select(key, *own, "negate", "fallback", _leaf_values(met).alias("value"))
+    roots = level.filter("parent_id is null").select(key, "rule_id", "value")
+    inner = F.broadcast(table.filter("logic is not null").select("rule_id", F.col("node_id").alias("parent_id"), "logic", "n", "n_true", "n_false"))
+    placed = F.broadcast(table.filter("logic is not null").select(*own, "negate", "fallback"))
     for d in range(max_depth, 1, -1):
-        ready = level.filter(F.col("depth") == d)
-        folded = ready.join(F.broadcast(inner), (ready["rule_id"] == inner["rule_id"]) & (ready["parent_id"] == inner["own"])).groupBy(key, ready["rule_id"], "own", "above", "logic")
-        v = F.col("value")
-        up = folded.agg(F.when(F.col("logic") == "AND", S.kleene_all(v)).when(F.col("logic") == "OR", S.kleene_any(v)).otherwise(~S.kleene_all(v)).alias("value"))
-        up = up.select(key, "rule_id", F.col("own").alias("node_id"), F.col("above").alias("parent_id"), F.lit(d - 1).alias("depth"), "value")
-        roots = roots.unionByName(up.filter("parent_id is null").select(key, "rule_id", F.col("value").alias("result")))
+        up = _fold(level.filter(F.col("depth") == d).join(inner, ["rule_id", "parent_id"]), [key, "rule_id", "parent_id"])
+        up = up.withColumnRenamed("parent_id", "node_id").join(placed, ["rule_id", "node_id"]).select(key, *own, "negate", "fallback", "value")
+        roots = roots.unionByName(up.filter("parent_id is null").select(key, "rule_id", "value"))
         level = level.filter(F.col("depth") < d).unionByName(up.filter("parent_id is not null"))
-    return roots
+    every = (subjects if subjects is not None else facts).select(key).distinct()
+    listed = table.filter("parent_id is null").agg(F.collect_list(F.struct("rule_id", "fallback")).alias("r"))
+    wanted = every.select(key, F.inline(listed.scalar()))
+    result = F.when(F.col("seen"), F.col("value")).otherwise(F.col("fallback"))
+    return wanted.join(roots.withColumn("seen", F.lit(True)), [key, "rule_id"], "left").select(key, "rule_id", result.alias("result"))

@@ -8,12 +8,14 @@ SQL's own.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
-from datetime import datetime
+from collections.abc import Sequence
+from dataclasses import dataclass, field, replace
+from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adjudex.functions import scalars as S
 
@@ -27,22 +29,49 @@ MAX_DEPTH, MAX_NODES = 6, 50
 _NOW = ("now", "today", "evaluation_date")
 
 
-def is_date(value: object) -> bool:
-    """Whether a literal is a date's text, read as the fact side is."""
+# Formats of dates with a month's name.
+_NAMED = ("%d %b %Y", "%d %B %Y", "%b %d, %Y", "%B %d, %Y", "%b %d %Y", "%B %d %Y")
+
+
+def read_date(value: object) -> datetime | None:
+    """A literal's date, read as the fact side is: ISO 8601 or with a month's name, in UTC without a zone."""
     text = value.strip() if isinstance(value, str) else ""
-    if not re.search(r"\d{4}", text):
-        return False
+    found = None
     try:
-        datetime.fromisoformat(text)
-        return True
+        found = datetime.fromisoformat(text)
     except ValueError:
-        return bool(re.fullmatch(r"\d{1,2} [A-Za-z]+ \d{4}|[A-Za-z]+ \d{1,2},? \d{4}", text))
+        for form in _NAMED:
+            try:
+                found = datetime.strptime(text, form)
+                break
+            except ValueError:
+                continue
+    return found.astimezone(timezone.utc).replace(tzinfo=None) if found is not None and found.tzinfo else found
+
+
+def is_date(value: object) -> bool:
+    """Whether a literal is a date's text."""
+    return read_date(value) is not None and bool(re.search(r"\d{4}", str(value)))
+
+
+def _moment(value: str) -> Column:
+    return F.lit(read_date(value).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def _numeric(value: object) -> bool:
     return isinstance(value, (int, float)) and not isinstance(value, bool) and abs(value) < float("inf")
 
 
+def _number(value: object) -> float | None:
+    """The number of a literal, which may be text such as ``10,000``."""
+    if isinstance(value, str):
+        try:
+            value = float(value.strip().replace(",", ""))
+        except ValueError:
+            return None
+    return float(value) if _numeric(value) else None
+
+
 @dataclass(frozen=True)
 class Leaf:
     entity: str
@@ -63,9 +92,14 @@ class Leaf:
         elif self.op in ("in", "not_in"):
             ok = isinstance(v, (list, tuple)) and len(v) > 0
         elif self.op in ("between", "not_between"):
-            ok = isinstance(v, (list, tuple)) and len(v) == 2 and (all(map(_numeric, v)) or all(map(is_date, v))) and v[0] <= v[1]
+            read = _number if isinstance(v, (list, tuple)) and all(_number(x) is not None for x in v) else read_date
+            ok = isinstance(v, (list, tuple)) and len(v) == 2 and (read is _number or all(map(is_date, v))) and read(v[0]) <= read(v[1])
+            if ok and read is _number:
+                object.__setattr__(self, "value", [_number(x) for x in v])
         elif self.op in ORDERING:
-            ok = _numeric(v) or is_date(v)
+            ok = _number(v) is not None or is_date(v)
+            if ok and isinstance(v, str) and _number(v) is not None:
+                object.__setattr__(self, "value", _number(v))
         else:
             ok = isinstance(v, (str, int, float, bool))
         if not ok:
@@ -104,7 +138,7 @@ class Temporal:
         if self.kind in ("within", "older_than") and not (self.amount and 0 < self.amount < float("inf") and self.unit in TIME_UNITS and (self.unit not in ("months", "years") or self.amount == int(self.amount))):
             raise ValueError(f"bad span {self.amount} {self.unit}")
         if self.kind == "between":
-            if not (is_date(self.start) and is_date(self.end)) or datetime.fromisoformat(self.start) > datetime.fromisoformat(self.end):
+            if not (is_date(self.start) and is_date(self.end)) or read_date(self.start) > read_date(self.end):
                 raise ValueError(f"bad interval {self.start} to {self.end}")
         elif not self.reference:
             raise ValueError("a reference is needed")
@@ -174,15 +208,18 @@ def render(node: Node) -> str:
         return " ".join(parts)
     if node.logic == "NOT":
         return f"NOT ({render(node.children[0])})"
-    joint = " => " if node.logic == "IMPLIES" else f" {node.logic} "
-    return "(" + joint.join(map(render, node.children)) + ")"
+    return "(" + f" {node.logic} ".join(map(render, node.children)) + ")"
 
 
 @dataclass(frozen=True)
 class Facts:
     """Where facts are: a column for each ``entity.path`` (names in lower case), with its unit where it has one.
 
-    ``now`` is the evaluation date; there is no wall clock behind it.
+    ``now`` is the evaluation date; there is no wall clock behind it. ``types``
+    has the columns' types once the facts are bound to a table (``bind``): then
+    numbers, dates and booleans are compared as they are, lists are searched
+    item by item, and only text is parsed. A fact without a known type is read
+    as text.
     """
 
     columns: dict[str, Column]
@@ -190,6 +227,40 @@ class Facts:
     now: Column | None = None
     rates: dict[str, float] = field(default_factory=dict)
     strict_units: bool = False
+    types: dict[str, T.DataType] = field(default_factory=dict)
+
+    def bind(self, df: DataFrame) -> Facts:
+        """These facts with the types that their columns have in ``df``."""
+        schema = df.select(*[c.alias(f"c{i}") for i, c in enumerate(self.columns.values())]).schema
+        return replace(self, types={n: f.dataType for n, f in zip(self.columns, schema)})
+
+    def kind(self, entity: str, path: str) -> str:
+        """number, moment, boolean, list or text."""
+        found = self.types.get(f"{entity}.{path}".lower())
+        kinds = {T.NumericType: "number", T.DateType: "moment", T.TimestampType: "moment", T.TimestampNTZType: "moment", T.BooleanType: "boolean", T.ArrayType: "list"}
+        return next((k for t, k in kinds.items() if isinstance(found, t)), "text")
+
+    def present(self, entity: str, path: str) -> Column:
+        """Whether the fact is there and not blank; never NULL."""
+        raw = self.of(entity, path)
+        return S.present(raw) if self.kind(entity, path) == "text" else raw.isNotNull()
+
+    def moment(self, entity: str, path: str) -> Column:
+        raw, kind = self.of(entity, path), self.kind(entity, path)
+        if kind == "text":
+            return S.as_timestamp(raw)
+        return raw.cast("timestamp_ntz") if kind == "moment" else F.lit(None).cast("timestamp_ntz")
+
+    def plain_number(self, entity: str, path: str) -> Column:
+        """The fact as a number, whatever its unit."""
+        raw, kind = self.of(entity, path), self.kind(entity, path)
+        if kind == "text":
+            return S.as_number(raw)
+        if kind != "number":
+            return F.lit(None).cast("double")
+        value = raw.cast("double")
+        exact = isinstance(self.types[f"{entity}.{path}".lower()], (T.IntegralType, T.DecimalType))
+        return value if exact else F.when(F.abs(value) < float("inf"), value)
 
     def of(self, entity: str, path: str) -> Column:
         found = self.columns.get(f"{entity}.{path}".lower())
@@ -198,40 +269,49 @@ class Facts:
     def number(self, leaf: Leaf) -> Column:
         """The fact as a number in the rule's unit; NULL if it can't be."""
         name = f"{leaf.entity}.{leaf.path}".lower()
-        raw = self.of(leaf.entity, leaf.path)
+        raw, plain = self.of(leaf.entity, leaf.path), self.plain_number(leaf.entity, leaf.path)
         if name in self.units:
-            value, unit = S.as_number(raw), S.unit_name(self.units[name])
+            value, unit = plain, S.unit_name(self.units[name])
+        elif self.kind(leaf.entity, leaf.path) != "text":
+            value, unit = plain, F.lit(None).cast("string")
         else:
             q = S.parse_quantity(raw)
-            value, unit = F.coalesce(q["value"], S.as_number(raw)), q["unit"]
+            value, unit = F.coalesce(q["value"], plain), q["unit"]
         if not leaf.unit:
             return value
         wanted = S.unit_name(F.lit(leaf.unit))
         bare = F.lit(None).cast("double") if self.strict_units else value
         return F.when(unit.isNull(), bare).otherwise(S.convert(value, unit, wanted, self.rates))
 
+    def without_unit(self, leaf: Leaf) -> Column:
+        """Whether the fact is a number without a unit of its own; never NULL."""
+        name = f"{leaf.entity}.{leaf.path}".lower()
+        unit = F.lit(None).cast("string")
+        if name in self.units:
+            unit = S.unit_name(self.units[name])
+        elif self.kind(leaf.entity, leaf.path) == "text":
+            unit = S.parse_quantity(self.of(leaf.entity, leaf.path))["unit"]
+        return F.coalesce(unit.isNull() & self.plain_number(leaf.entity, leaf.path).isNotNull(), F.lit(False))
+
 
 def _close(a: Column, b: float) -> Column:
     return F.abs(a - b) <= F.greatest(1e-9 * F.greatest(F.abs(a), F.lit(abs(float(b)))), F.lit(1e-9))
 
 
 def _equal(leaf: Leaf, value: object, facts: Facts) -> Column:
-    raw = facts.of(leaf.entity, leaf.path)
-    there = S.present(raw)
+    raw, kind = facts.of(leaf.entity, leaf.path), facts.kind(leaf.entity, leaf.path)
+    there = facts.present(leaf.entity, leaf.path)
     if isinstance(value, bool):
-        return F.when(there, S.as_boolean(raw) == value)
+        own = raw if kind == "boolean" else S.as_boolean(raw) if kind == "text" else F.lit(None).cast("boolean")
+        return F.when(there, own == value)
     if _numeric(value):
         return F.when(there, _close(facts.number(leaf), value))
-    text = S.normal_text(raw) == S.normal_text(F.lit(value))
-    if is_date(value):
-        text = F.coalesce(S.as_timestamp(raw) == S.as_timestamp(F.lit(value)), text)
-    else:
-        try:
-            number = float(str(value).strip().replace(",", ""))
-            text = F.coalesce(_close(S.as_number(raw), number), text) if abs(number) < float("inf") else text
-        except ValueError:
-            pass
-    return F.when(there, text)
+    same = S.normal_text(raw) == S.normal_text(F.lit(value))
+    if is_date(value) and kind in ("text", "moment"):
+        same = F.coalesce(facts.moment(leaf.entity, leaf.path) == _moment(value), same)
+    elif _number(value) is not None and kind in ("text", "number"):
+        same = F.coalesce(_close(facts.plain_number(leaf.entity, leaf.path), _number(value)), same)
+    return F.when(there, same)
 
 
 def _any(items: list[Column]) -> Column:
@@ -244,16 +324,15 @@ def _any(items: list[Column]) -> Column:
 def leaf_column(leaf: Leaf, facts: Facts) -> Column:
     """True, false or, for a missing or unreadable fact, NULL."""
     raw, op, v = facts.of(leaf.entity, leaf.path), leaf.op, leaf.value
-    if op == "exists":
-        return S.present(raw)
-    if op == "not_exists":
-        return ~S.present(raw)
+    there = facts.present(leaf.entity, leaf.path)
+    if op in ("exists", "not_exists"):
+        return there if op == "exists" else ~there
     if op in ORDERING or op in ("between", "not_between"):
         first = v[0] if isinstance(v, (list, tuple)) else v
         if _numeric(first):
             x, ends = facts.number(leaf), [F.lit(float(e)) for e in (v if isinstance(v, (list, tuple)) else [v])]
         else:
-            x, ends = S.as_timestamp(raw), [S.as_timestamp(F.lit(e)) for e in (v if isinstance(v, (list, tuple)) else [v])]
+            x, ends = facts.moment(leaf.entity, leaf.path), [_moment(e) for e in (v if isinstance(v, (list, tuple)) else [v])]
         if op in ORDERING:
             return {">": x > ends[0], ">=": x >= ends[0], "<": x < ends[0], "<=": x <= ends[0]}[op]
         inside = (x >= ends[0]) & (x <= ends[1]) if leaf.inclusive else (x > ends[0]) & (x < ends[1])
@@ -264,7 +343,13 @@ def leaf_column(leaf: Leaf, facts: Facts) -> Column:
     if op in ("in", "not_in"):
         found = _any([_equal(leaf, x, facts) for x in v])
         return found if op == "in" else ~found
-    held = F.when(S.present(raw), F.contains(S.normal_text(raw), S.normal_text(F.lit(str(v)))))
+    kind = facts.kind(leaf.entity, leaf.path)
+    if kind == "list":
+        held = list_contains(raw, str(v))
+    elif kind == "text":
+        held = F.when(there, F.contains(S.normal_text(raw), S.normal_text(F.lit(str(v)))))
+    else:
+        held = F.lit(None).cast("boolean")
     return held if op == "contains" else ~held
 
 
@@ -273,10 +358,11 @@ def list_contains(items: Column, value: str) -> Column:
     return F.exists(F.filter(items, lambda x: x.isNotNull()), lambda x: S.normal_text(x) == S.normal_text(F.lit(value)))
 
 
-def condition_column(node: Node, facts: Facts) -> Column:
+def condition_column(node: Node, facts: Facts, leaf=None) -> Column:
+    """A tree's column; ``leaf`` gives a leaf's, by default ``leaf_column``."""
     if isinstance(node, Leaf):
-        return leaf_column(node, facts)
-    parts = [condition_column(c, facts) for c in node.children]
+        return leaf(node) if leaf else leaf_column(node, facts)
+    parts = [condition_column(c, facts, leaf) for c in node.children]
     if node.logic == "NOT":
         return ~parts[0]
     if node.logic == "IMPLIES":
@@ -284,19 +370,26 @@ def condition_column(node: Node, facts: Facts) -> Column:
     return reduce(lambda a, b: (a & b) if node.logic == "AND" else (a | b), parts)
 
 
+def reference_fact(t: Temporal) -> tuple[str, str] | None:
+    """(entity, path) of a reference that is another fact."""
+    if t.kind == "between" or t.reference.lower() in _NOW or is_date(t.reference):
+        return None
+    entity, _, path = t.reference.lower().partition(".")
+    return entity, path
+
+
 def temporal_column(t: Temporal, facts: Facts) -> Column:
-    moment = S.as_timestamp(facts.of(t.entity, t.path))
+    moment, other = facts.moment(t.entity, t.path), reference_fact(t)
     if t.kind == "between":
-        return moment.between(S.as_timestamp(F.lit(t.start)), S.as_timestamp(F.lit(t.end)))
-    if t.reference.lower() in _NOW:
-        if facts.now is None:
-            raise ValueError("an evaluation date is needed")
-        reference = facts.now
-    elif is_date(t.reference):
-        reference = S.as_timestamp(F.lit(t.reference))
+        return moment.between(_moment(t.start), _moment(t.end))
+    if other is not None:
+        reference = facts.moment(*other)
+    elif t.reference.lower() not in _NOW:
+        reference = _moment(t.reference)
+    elif facts.now is None:
+        raise ValueError("an evaluation date is needed")
     else:
-        entity, _, path = t.reference.lower().partition(".")
-        reference = S.as_timestamp(facts.of(entity, path))
+        reference = facts.now
     if t.kind == "before":
         return moment < reference
     if t.kind == "after":
@@ -314,12 +407,21 @@ def predicate_column(rule: Rule, facts: Facts) -> Column:
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
-def missing_facts(rule: Rule, facts: Facts) -> Column:
-    """Sorted distinct names of the facts that a rule reads and that are not there or unreadable as it needs them."""
-    gaps = []
-    for leaf in [*leaves(rule.condition), *(x for e in rule.exceptions for x in leaves(e.condition))]:
-        if leaf.op not in ("exists", "not_exists"):
-            gaps.append(F.when(leaf_column(leaf, facts).isNull(), F.lit(f"{leaf.entity}.{leaf.path}")))
-    if rule.temporal is not None:
-        gaps.append(F.when(~S.present(facts.of(rule.temporal.entity, rule.temporal.path)), F.lit(f"{rule.temporal.entity}.{rule.temporal.path}")))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*gaps)))) if gaps else F.array().cast("array<string>")
+def absent_facts(nodes: Sequence[Node], temporal: Temporal | None, facts: Facts, present=None) -> list[Column]:
+    """A column for each fact that the trees and the temporal constraint read: its name where it is absent, else NULL.
+
+    A value that is there but unreadable is unknown, not absent. The fact that a
+    temporal constraint refers to counts where its own date is readable.
+    """
+    there = present or (lambda e, p: facts.present(e, p))
+    names = {(x.entity, x.path): None for n in nodes for x in leaves(n) if x.op not in ("exists", "not_exists")}
+    gaps = [F.when(~there(e, p), F.lit(f"{e}.{p}")) for e, p in names]
+    if temporal is not None:
+        gaps.append(F.when(~there(temporal.entity, temporal.path), F.lit(f"{temporal.entity}.{temporal.path}")))
+        if (other := reference_fact(temporal)) is not None:
+            gaps.append(F.when(facts.moment(temporal.entity, temporal.path).isNotNull() & ~there(*other), F.lit(temporal.reference)))
+    return gaps
+
+
+def sorted_names(items: Sequence[Column]) -> Column:
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*items)))) if items else F.array().cast("array<string>")

@@ -45,8 +45,9 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _order_facts(**more) -> Facts:
-    return Facts({f"order.{c[2:]}": F.col(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")}, **more)
+def _order_facts(orders: DataFrame | None = None, **more) -> Facts:
+    facts = Facts({f"order.{c[2:]}": F.col(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")}, **more)
+    return facts.bind(orders) if orders is not None else facts
 
 
 PRICE_CAP = Rule("ORD-1", "REQUIRE", Leaf("order", "totalprice", "<=", 400000), exceptions=(Exemption("finished orders", Leaf("order", "orderstatus", "==", "F")),), severity="high", action="review_order")
@@ -94,9 +95,10 @@ def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o_orderdate >= TIMESTAMP '1995-06-01' AS late, o_totalprice BETWEEN 50000 AND 150000 AS mid, NOT (o_totalprice > 50000 AND o_totalprice < 150000) AS outside FROM orders"""
 )
 def leaf_ordering_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, p = _order_facts(), "totalprice"
+    orders = _t(spark, sf_dir, "orders")
+    f, p = _order_facts(orders), "totalprice"
     tests = {"gt": Leaf("order", p, ">", 100000), "ge": Leaf("order", p, ">=", 100000), "lt": Leaf("order", p, "<", 100000), "le": Leaf("order", p, "<=", 100000), "late": Leaf("order", "orderdate", ">=", "1995-06-01"), "mid": Leaf("order", p, "between", [50000, 150000]), "outside": Leaf("order", p, "not_between", [50000, 150000], inclusive=False)}
-    return _t(spark, sf_dir, "orders").select("o_orderkey", *[leaf_column(t, f).alias(n) for n, t in tests.items()])
+    return orders.select("o_orderkey", *[leaf_column(t, f).alias(n) for n, t in tests.items()])
 
 
 @query(
@@ -104,7 +106,7 @@ def leaf_ordering_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     contains(lower(p_type), 'steel') AS has, NOT contains(lower(p_type), 'steel') AS has_not, lower(p_brand) = 'brand#11' AS same, p_size <> 7 AS differs, true AS there, true AS not_there FROM part"""
 )
 def leaf_membership_and_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = Facts({f"part.{c}": F.col(f"p_{c}") for c in ("brand", "type", "size")})
+    f = Facts({f"part.{c}": F.col(f"p_{c}") for c in ("brand", "type", "size")}).bind(_t(spark, sf_dir, "part"))
     tests = {"in_set": Leaf("part", "brand", "in", ["Brand#11", "BRAND#22"]), "not_in_set": Leaf("part", "brand", "not_in", ["brand#11", "brand#22"]), "sized": Leaf("part", "size", "in", [1, 5, 9]), "has": Leaf("part", "type", "contains", "Steel"), "has_not": Leaf("part", "type", "not_contains", "STEEL"), "same": Leaf("part", "brand", "==", " brand#11 "), "differs": Leaf("part", "size", "!=", 7), "there": Leaf("part", "brand", "exists"), "not_there": Leaf("part", "colour", "not_exists")}
     return _t(spark, sf_dir, "part").select("p_partkey", *[leaf_column(t, f).alias(n) for n, t in tests.items()])
 
@@ -117,13 +119,13 @@ WITH e AS (SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE value
 @query(_KLEENE_SQL + "SELECT event_id, (v > 50 AND k > 50) AS both_, (v > 50 OR k > 50) AS either, NOT (v > 50) AS neither, (NOT (v > 50) OR k > 50) AS implied FROM e")
 def kleene_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("v"), F.when(~F.col("event_type").isin("view", "error"), F.get_json_object("props", "$.k")).alias("k"))
-    f = Facts({"event.v": F.col("v"), "event.k": F.col("k")})
+    f = Facts({"event.v": F.col("v"), "event.k": F.col("k")}).bind(events)
     a, b = Leaf("event", "v", ">", 50), Leaf("event", "k", ">", 50)
     tests = {"both_": Group("AND", (a, b)), "either": Group("OR", (a, b)), "neither": Group("NOT", (a,)), "implied": Group("IMPLIES", (a, b))}
     return events.select("event_id", *[condition_column(t, f).alias(n) for n, t in tests.items()])
 
 
-@query(_KLEENE_SQL + "SELECT event_id AS subject_id, 'R' AS rule_id, ((v > 50 AND k > 50) OR v <= 10) AS result FROM e WHERE v IS NOT NULL OR k IS NOT NULL")
+@query(_KLEENE_SQL + "SELECT event_id AS subject_id, 'R' AS rule_id, ((v > 50 AND k > 50) OR v <= 10) AS result FROM e")
 def kleene_tabular(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _t(spark, sf_dir, "events")
     v = events.filter("event_type <> 'error'").select(F.col("event_id").alias("subject_id"), F.lit("event.v").alias("path"), F.col("value").cast("string").alias("raw"))
@@ -132,7 +134,7 @@ def kleene_tabular(spark: SparkSession, sf_dir: str) -> DataFrame:
         [("R", 1, None, 1, "OR", None, None, None), ("R", 2, 1, 2, "AND", None, None, None), ("R", 3, 2, 3, None, "event.v", ">", 50.0), ("R", 4, 2, 3, None, "event.k", ">", 50.0), ("R", 5, 1, 2, None, "event.v", "<=", 10.0)],
         "rule_id string, node_id int, parent_id int, depth int, logic string, path string, op string, number double",
     ).withColumn("text", F.lit(None).cast("string"))
-    return E.evaluate_tabular(v.unionByName(k), nodes, max_depth=3)
+    return E.evaluate_tabular(v.unionByName(k), nodes, max_depth=3, subjects=events.select(F.col("event_id").alias("subject_id")))
 
 
 @query(
@@ -141,7 +143,7 @@ def kleene_tabular(spark: SparkSession, sf_dir: str) -> DataFrame:
     o_orderdate BETWEEN TIMESTAMP '1994-02-01' AND TIMESTAMP '1994-12-31' AS inside FROM orders"""
 )
 def temporal_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _order_facts(now=F.lit("1996-01-01").cast("timestamp_ntz"))
+    f = _order_facts(_t(spark, sf_dir, "orders"), now=F.lit("1996-01-01").cast("timestamp_ntz"))
     made = {"within_after": Temporal("within", "order", "orderdate", "1996-01-01", 6, "months"), "within_before": Temporal("within", "order", "orderdate", "now", 90, "days", "before"), "around": Temporal("within", "order", "orderdate", "now", 1, "years", "either"), "old": Temporal("older_than", "order", "orderdate", "now", 2, "weeks"), "before_": Temporal("before", "order", "orderdate", "1996-01-01"), "after_": Temporal("after", "order", "orderdate", "now"), "inside": Temporal("between", "order", "orderdate", start="1994-02-01", end="1994-12-31")}
     return _t(spark, sf_dir, "orders").select("o_orderkey", *[temporal_column(t, f).alias(n) for n, t in made.items()])
 
@@ -149,7 +151,7 @@ def temporal_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAY AS on_time FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def temporal_field_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    f = Facts({"line.shipdate": F.col("l_shipdate"), "order.orderdate": F.col("o_orderdate")})
+    f = Facts({"line.shipdate": F.col("l_shipdate"), "order.orderdate": F.col("o_orderdate")}).bind(both)
     return both.select("l_orderkey", "l_linenumber", temporal_column(Temporal("within", "line", "shipdate", "order.orderdate", 30, "days"), f).alias("on_time"))
 
 
@@ -160,7 +162,7 @@ def temporal_field_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.when(F.col("event_id") % 4 == 0, "hours").when(F.col("event_id") % 4 == 1, "min").when(F.col("event_id") % 4 == 2, "kg")
     events = _t(spark, sf_dir, "events").withColumn("u", unit)
-    f = Facts({"event.length": F.col("value")}, {"event.length": F.col("u")})
+    f = Facts({"event.length": F.col("value")}, {"event.length": F.col("u")}).bind(events)
     days = S.convert(F.col("value"), S.unit_name(F.col("u")), F.lit("days"))
     return events.select("event_id", leaf_column(Leaf("event", "length", ">", 3000, "minutes"), f).alias("over_50_hours"), F.round(days, 3).alias("days"))
 
@@ -168,7 +170,7 @@ def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_totalprice > 200000 WHEN 1 THEN o_totalprice * 1.25 > 200000 ELSE o_totalprice / 80.0 > 200000 END AS over FROM orders")
 def fx_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.when(F.col("o_orderkey") % 3 == 0, "usd").when(F.col("o_orderkey") % 3 == 1, "£").otherwise("INR")
-    f = Facts({"order.total": F.col("o_totalprice")}, {"order.total": unit}, rates={"GBP->USD": 1.25, "USD->INR": 80.0})
+    f = Facts({"order.total": F.col("o_totalprice")}, {"order.total": unit}, rates={"GBP->USD": 1.25, "USD->INR": 80.0}).bind(_t(spark, sf_dir, "orders"))
     return _t(spark, sf_dir, "orders").select("o_orderkey", leaf_column(Leaf("order", "total", ">", 200000, "USD"), f).alias("over"))
 
 
