@@ -59,8 +59,9 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: Texts may be long, so that fewer rows than usual are read, handed to Python or held back by a Parquet writer at once.
-_SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.parquet.columnarReaderBatchSize": 512, "parquet.block.size": 16 << 20}
+#: Texts may be long, so that fewer rows than usual are read, handed to Python or held back by a Parquet writer at once;
+#: and an operator has many jobs, whose plans the driver keeps as text.
+_SMALL = {"spark.sql.maxPlanStringLength": 10_000, "spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.parquet.columnarReaderBatchSize": 512, "parquet.block.size": 16 << 20}
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -22,7 +22,7 @@ _SMALL = 48
 #: A block of a tile has so many members at most, and about so many shingles.
 _BLOCK, _BLOCK_SHINGLES = 256, 1 << 20
 #: Times that large buckets are compared with one more pivot each before tiles are made.
-_PIVOTS = 3
+_PIVOTS = 1
 
 
 def distinct_shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -51,15 +51,19 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
-    """Weights (the constant last) of ridge logistic regression, by limited-memory quasi-Newton steps with backtracking."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
+    """Weights (the constant last) of ridge logistic regression, by limited-memory quasi-Newton steps with backtracking.
+
+    Only rows where ``counts`` is true count; so a fold needs no copy of ``x``.
+    """
+    held = np.ones(len(y), x.dtype) if counts is None else counts.astype(x.dtype)
     penalty = np.full(x.shape[1] + 1, ridge)
     penalty[-1] = 1e-3
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         z = x @ w[:-1].astype(x.dtype) + x.dtype.type(w[-1])
-        value = np.logaddexp(0, z).sum() - z[y > 0].sum() + 0.5 * (penalty * w * w).sum()
-        gap = (_sigmoid(z) - y).astype(x.dtype)
+        value = (held * np.logaddexp(0, z)).sum() - (held * z)[y > 0].sum() + 0.5 * (penalty * w * w).sum()
+        gap = (held * (_sigmoid(z) - y)).astype(x.dtype)
         return float(value), np.append(x.T @ gap, gap.sum()) + penalty * w
 
     w = np.zeros(x.shape[1] + 1)
@@ -152,27 +156,29 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], i
     lists = rows.column("words").combine_chunks()
     bounds = lists.offsets.to_numpy()
     row = np.repeat(np.arange(len(rows)), np.diff(bounds))
-    x = np.zeros((len(rows), len(words)), np.float32)
+    # One matrix for all models: the words, then the earlier categories' log-odds as they are made.
+    x = np.zeros((len(rows), len(words) + len(categories)), np.float32)
     x[row, np.searchsorted(words, lists.values.to_numpy().view(np.uint64)[bounds[0] : bounds[-1]])] = 1
     fold = rows.column("fold").to_numpy()
-    weights, thresholds, fed = [], [], np.zeros((len(rows), 0), np.float32)
+    weights, thresholds = [], []
     for i in range(len(categories)):
         y = rows.column(f"c{i}").to_numpy().astype(np.float32) if len(rows) else np.zeros(0, np.float32)
-        own = np.hstack([x, fed])
+        own = x[:, : len(words) + i]
         if not 0 < y.sum() < len(y):
             weights.append(np.zeros(own.shape[1] + 1))
             thresholds.append(1.0)
-            fed = np.hstack([fed, np.zeros((len(rows), 1), np.float32)])
             continue
         out = np.full(len(y), y.mean())
         for k in range(FOLDS):
             inside = fold == k
             if inside.any() and 0 < y[~inside].sum() < (~inside).sum():
-                w = fit_logistic(own[~inside], y[~inside])
-                out[inside] = _sigmoid(own[inside] @ w[:-1] + w[-1])
+                w = fit_logistic(own, y, ~inside)
+                out[inside] = _sigmoid((own @ w[:-1].astype(np.float32))[inside] + w[-1])
         weights.append(fit_logistic(own, y))
         thresholds.append(_best_threshold(out, y))
-        fed = np.hstack([fed, _log_odds(out)[:, None].astype(np.float32)])
+        x[:, len(words) + i] = _log_odds(out)
+    del rows, lists, row, x
+    ts.release()
     return Chain(tuple(categories), words, weights, thresholds)
 
 
