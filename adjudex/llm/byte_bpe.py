@@ -38,6 +38,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines) if token}
 
 
+#: States, and pieces of either generation, that a worker keeps: about 200 MB in all. Fewer take longer and change no result.
+MAX_STATES, MAX_PIECES = 260_000, 120_000
 _NODE = (1 << 24) - 1
 _BEFORE = _NODE << 24
 _PLACE = (1 << 32) - 1
@@ -50,7 +52,7 @@ class Transducer:
     costs time and changes no result.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 260_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks = ranks
         self.max_states = max_states
         self.token_bytes = {rank: token for token, rank in ranks.items()}
@@ -194,7 +196,7 @@ class Transducer:
 class _Pieces(dict):
     """Tokens, as 32-bit numbers, of short pieces met before: two generations of at most ``size``, the older of which goes when the newer is full."""
 
-    def __init__(self, transducer: Transducer, size: int = 120_000, longest: int = 48):
+    def __init__(self, transducer: Transducer, size: int = MAX_PIECES, longest: int = 48):
         super().__init__()
         self.transducer, self.size, self.longest = transducer, size, longest
         self.older: dict[str, bytes] = {}
@@ -286,13 +288,19 @@ class Utf8Machine:
 class Encoder:
     """A vocabulary's encoder with a splitting pattern."""
 
-    def __init__(self, path: str, pattern: str):
-        self.transducer = Transducer(load_ranks(path))
+    def __init__(self, path: str, pattern: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES):
+        self.transducer = Transducer(load_ranks(path), max_states)
         self.find = regex.compile(pattern).findall
         plain = ascii_pattern(pattern)
         # The standard library's expressions are faster, but know no character properties.
         self.find_ascii = re.compile(plain, re.ASCII).findall if plain else self.find
-        self.pieces = _Pieces(self.transducer)
+        self.pieces = _Pieces(self.transducer, max_pieces)
+
+    def forget(self) -> None:
+        """Drop the states and pieces made so far: a worker is kept for other stages, which need the memory."""
+        self.transducer._clear()
+        self.pieces.clear()
+        self.pieces.older = {}
 
     def encode(self, text: str) -> np.ndarray:
         find = self.find_ascii if text.isascii() else self.find
@@ -325,9 +333,9 @@ class Decoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES) -> Encoder:
     """One encoder for a worker process."""
-    return Encoder(path, pattern)
+    return Encoder(path, pattern, max_states, max_pieces)
 
 
 @lru_cache(maxsize=2)
@@ -359,6 +367,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
                 offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, out_col])
+        own.forget()
         ts.release()
 
     return kept.mapInArrow(run, schema)
@@ -382,13 +391,13 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     return encoded.mapInArrow(run, schema)
 
 
-def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``encode``, then ``decode`` of its tokens, in one pass and one worker a task."""
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded", max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES) -> DataFrame:
+    """``encode``, then ``decode`` of its tokens, in one pass and one worker a task, whose tables are bounded."""
     kept = docs.drop(*{ids_col, out_col} - {text_col})
     schema = T.StructType([*kept.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False), T.StructField(out_col, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there, back = encoder(path, pattern), decoder(path)
+        there, back = encoder(path, pattern, max_states, max_pieces), decoder(path)
         for batch in batches:
             for a, b in ts.slices(batch.column(text_col)):
                 part = batch.slice(a, b - a)
@@ -397,6 +406,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str =
                 offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(texts, pa.string())], [*part.schema.names, ids_col, out_col])
+        there.forget()
         ts.release()
 
     return kept.mapInArrow(run, schema)
