@@ -31,6 +31,7 @@ UNIT_FACTORS = {
 _NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?)?$"
 _ISO_ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)$"
+# Formats of dates with a month's name.
 _NAMED_DATES = ("d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy")
 
 
@@ -72,7 +73,7 @@ def is_date_text(value: Column) -> Column:
 
 def normal_text(value: Column) -> Column:
     """Trimmed, white space collapsed, lower case, with ß as ss (as case folding has it)."""
-    return F.replace(F.lower(F.regexp_replace(F.trim(value.cast("string")), r"\s+", " ")), F.lit("ß"), F.lit("ss"))
+    return F.replace(F.lower(F.trim(F.regexp_replace(value.cast("string"), r"\s+", " "))), F.lit("ß"), F.lit("ss"))
 
 
 def snake_case(value: Column) -> Column:
@@ -86,7 +87,7 @@ def as_boolean(value: Column) -> Column:
 
 def present(value: Column) -> Column:
     """Whether a value is there and not blank; never NULL."""
-    return F.coalesce(F.length(F.trim(value.cast("string"))) > 0, F.lit(False))
+    return F.coalesce(value.cast("string").rlike(r"\S"), F.lit(False))
 
 
 def unit_name(unit: Column) -> Column:
@@ -126,6 +127,7 @@ def convert(value: Column, src: Column, dst: Column, rates: Mapping[str, float]
     return F.when(src == dst, value).when((kind == "currency") & (unit_dimension(dst) == "currency"), money).otherwise(linear)
 
 
+# Fixed value: the pattern of an amount with its unit.
 _QUANTITY = r"(?i)^\s*(₹|rs\.?|inr|\$|usd|€|eur|£|gbp)?\s*(-?[\d,]+(?:\.\d+)?)\s*(%|[A-Za-z]+\.?)?\s*$"
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 from collections.abc import Sequence
 
@@ -15,6 +14,7 @@ from pyspark.sql import types as T
 Z95 = 1.959963984540054
 MIN_CLUSTERS = 20
 MIN_DISCORDANT = 10
+MAX_VERSIONS = 50
 
 
 def wilson(k: Column, n: Column, z: float = Z95) -> Column:
@@ -27,13 +27,32 @@ def wilson(k: Column, n: Column, z: float = Z95) -> Column:
     return F.when(n > 0, F.struct(p.alias("estimate"), F.greatest(F.lit(0.0), centre - half).alias("low"), F.least(F.lit(1.0), centre + half).alias("high")))
 
 
-@F.udf(T.DoubleType())
-def binomial_two_sided(b, c):
-    """Exact two-sided p of b against c at one half, on one aggregated row."""
-    n = (b or 0) + (c or 0)
-    if not n:
-        return None
-    return min(1.0, 2 * sum(math.comb(n, i) for i in range(min(b, c) + 1)) / 2**n)
+def log_factorial(n: Column) -> Column:
+    """ln n!, by Stirling's series from 10 on; to about 1e-12."""
+    x = n.cast("double") + 1
+    far = F.greatest(x, F.lit(10.0))
+    series = (far - 0.5) * F.log(far) - far + 0.9189385332046727 + 1 / (12 * far) - 1 / (360 * F.pow(far, 3)) + 1 / (1260 * F.pow(far, 5)) - 1 / (1680 * F.pow(far, 7))
+    return F.when(x < 10, F.log(F.factorial(F.least(n, F.lit(9)).cast("int")).cast("double"))).otherwise(series)
+
+
+def binomial_two_sided(b: Column, c: Column) -> Column:
+    """Exact two-sided p of b against c at one half; NULL without any.
+
+    The smaller tail is summed from its largest term outwards, as far as terms
+    matter: below e-40 of the first, nothing changes any more. The terms fall by
+    k / (n - k + 1) and faster, so their number is at most some times the root of n.
+    """
+    n, m = (b + c).cast("double"), F.least(b, c).cast("double")
+    first = log_factorial(n) - log_factorial(m) - log_factorial(n - m) - n * 0.6931471805599453
+    terms = F.least(m, F.ceil(10 * F.sqrt(n)) + 10).cast("int")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def step(acc: Column, i: Column) -> Column:
+        term = acc["term"] * (m - i + 1) / (n - m + i)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    tail = F.aggregate(F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>")), start, step, lambda a: a["total"])
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * F.exp(first) * tail))
 
 
 def mcnemar(pairs: DataFrame, a: str, b: str, *groups: str, at_least: int = MIN_DISCORDANT) -> DataFrame:
@@ -44,7 +63,7 @@ def mcnemar(pairs: DataFrame, a: str, b: str, *groups: str, at_least: int = MIN_
     """
     left, right = F.col(a), F.col(b)
     out = pairs.filter(left.isNotNull() & right.isNotNull()).groupBy(*groups).agg(F.count("*").alias("n_pairs"), F.count_if(left & ~right).alias("b"), F.count_if(~left & right).alias("c"))
-    out = out.withColumn("discordant", F.col("b") + F.col("c")).withColumn("p_value", binomial_two_sided("b", "c"))
+    out = out.withColumn("discordant", F.col("b") + F.col("c")).withColumn("p_value", binomial_two_sided(F.col("b"), F.col("c")))
     return out.withColumn("p_value_ref", F.when(F.col("discordant") > 0, F.lit(1.0))).withColumn("reported", F.col("discordant") >= at_least)
 
 
@@ -62,6 +81,29 @@ def holm(p: str, order: Sequence[str], *families: str):
     return run
 
 
+def version_pairs(scored: DataFrame, version: str, record: str, kind: str, correct: str) -> DataFrame:
+    """Paired tests of all pairs of versions: overall (``kind`` NULL) and by kind, adjusted within a pair.
+
+    Versions are few and become columns of one pivot by record, so that pairs of
+    versions, not of records, are made. Only tests with enough discordant pairs
+    have a p-value, and only these are the family of Holm's adjustment by kind.
+    """
+    names = sorted(r[0] for r in scored.select(version).distinct().limit(MAX_VERSIONS + 1).collect())
+    if len(names) > MAX_VERSIONS:
+        raise ValueError(f"more than {MAX_VERSIONS} versions")
+    wide = scored.groupBy(record, kind).pivot(version, names).agg(F.bool_and(correct))
+    pairs = [F.struct(F.lit(a).alias("version_a"), F.lit(b).alias("version_b"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(names) for b in names[i + 1 :]]
+    if not pairs:
+        raise ValueError("two versions are needed")
+    each = wide.select(kind, F.inline(F.array(*pairs)))
+    overall = mcnemar(each, "x", "y", "version_a", "version_b").withColumn(kind, F.lit(None).cast(each.schema[kind].dataType))
+    by_kind = mcnemar(each, "x", "y", "version_a", "version_b", kind)
+    tests = overall.unionByName(by_kind).withColumn("p_value", F.when(F.col("reported"), F.col("p_value")))
+    family = F.when(F.col(kind).isNotNull(), F.col("p_value"))
+    adjusted = holm("__family", [kind], "version_a", "version_b")(tests.withColumn("__family", family))
+    return adjusted.select("version_a", "version_b", kind, "n_pairs", "b", "c", "discordant", "p_value", "p_adjusted", "reported")
+
+
 def cluster_bootstrap(df: DataFrame, group: str, cluster: str, correct: str, resamples: int = 2000) -> DataFrame:
     """95% percentile interval of accuracy by resampling whole clusters.
 

@@ -88,7 +88,7 @@ def quoted(clause: Column, policy: Column) -> Column:
     """Whether a clause is in the policy, white space and case aside; false for a blank one."""
 
     def plain(x: Column) -> Column:
-        return F.regexp_replace(F.lower(F.trim(F.coalesce(x, F.lit("")))), r"\s+", " ")
+        return F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"\s+", " "))
 
     return (plain(clause) != "") & F.contains(plain(policy), plain(clause))
 

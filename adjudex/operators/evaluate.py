@@ -260,6 +260,29 @@ def _leaf_values(met: DataFrame) -> Column:
     return value
 
 
+def _rule_table(nodes: DataFrame) -> tuple[list[tuple], str]:
+    """The rule table's rows, bounded by ``MAX_RULE_NODES``, with what each node is worth without any fact."""
+    kept = "rule_id, node_id, parent_id, depth, logic, path, op, number, text, items, low, high, inclusive".split(", ")
+    rows = [r.asDict() for r in nodes.limit(MAX_RULE_NODES + 1).collect()]
+    if len(rows) > MAX_RULE_NODES:
+        raise ValueError(f"more than {MAX_RULE_NODES} rule nodes")
+    children: dict[tuple, list[dict]] = {}
+    for r in sorted(rows, key=lambda r: -r["depth"]):
+        children.setdefault((r["rule_id"], r["parent_id"]), []).append(r)
+        if r["logic"] is None and r["op"] not in OPERATORS:
+            raise ValueError(f"unknown operator {r['op']}")
+        own = sorted(children.get((r["rule_id"], r["node_id"]), []), key=lambda c: c["node_id"])
+        worth = []
+        for i, c in enumerate(own):
+            c["negate"] = r["logic"] == "NOT" or (r["logic"] == "IMPLIES" and i == 0)
+            worth.append(None if c["fallback"] is None else c["fallback"] != c["negate"])
+        r |= {"n": len(own), "n_true": worth.count(True), "n_false": worth.count(False), "negate": False}
+        decides = r["logic"] not in ("AND", "NOT")
+        r["fallback"] = {"exists": False, "not_exists": True}.get(r["op"]) if r["logic"] is None else decides if decides in worth else None if None in worth else not decides
+    schema = "rule_id string, node_id long, parent_id long, depth int, logic string, path string, op string, number double, text string, items array<string>, low double, high double, inclusive boolean, negate boolean, fallback boolean, n long, n_true long, n_false long"
+    return [(*(r.get(c) for c in kept), r["negate"], r["fallback"], r["n"], r["n_true"], r["n_false"]) for r in rows], schema
+
+
 def evaluate_tabular(facts: DataFrame, nodes: DataFrame, key: str = "subject_id", max_depth: int = 6, subjects: DataFrame | None = None) -> DataFrame:
     """Data-driven mode: conditions as a table of nodes, facts as a long table.
 
@@ -275,38 +298,8 @@ def evaluate_tabular(facts: DataFrame, nodes: DataFrame, key: str = "subject_id"
     Returns (key, rule_id, result) for every row of ``subjects`` (by default
     those that have a fact) and every rule.
     """
-    unknown = set(r["op"] for r in nodes.filter("logic is null").select("op").distinct().collect()) - set(OPERATORS)
-    if unknown:
-        raise ValueError(f"unknown operators {sorted(map(str, unknown))}")
-    for name, kind in (("items", "array<string>"), ("low", "double"), ("high", "double"), ("inclusive", "boolean")):
-        if name not in nodes.columns:
-            nodes = nodes.withColumn(name, F.lit(None).cast(kind))
     own = ["rule_id", "node_id", "parent_id", "depth"]
-    above = nodes.select("rule_id", F.col("node_id").alias("parent_id"), F.col("logic").alias("above"))
-    firsts = nodes.groupBy("rule_id", "parent_id").agg(F.min("node_id").alias("first"))
-    tree = nodes.join(above, ["rule_id", "parent_id"], "left").join(firsts, ["rule_id", "parent_id"], "left")
-    negate = F.coalesce((F.col("above") == "NOT") | ((F.col("above") == "IMPLIES") & (F.col("node_id") == F.col("first"))), F.lit(False))
-    tree = tree.withColumn("negate", negate)
-    # What nodes are worth without any fact, level by level over the rule table alone.
-    bare = F.when(F.col("op") == "exists", F.lit(False)).when(F.col("op") == "not_exists", F.lit(True))
-    known = tree.filter("logic is null").select(*own, "negate", bare.alias("fallback"))
-    for d in range(max_depth, 0, -1):
-        inner = tree.filter((F.col("depth") == d) & F.col("logic").isNotNull()).select(*own, "negate", "logic")
-        kids = known.select("rule_id", F.col("parent_id").alias("node_id"), F.when(F.col("negate"), ~F.col("fallback")).otherwise(F.col("fallback")).alias("v"))
-        counted = kids.groupBy("rule_id", "node_id").agg(F.count("*").alias("n"), F.count_if("v").alias("n_true"), F.count_if(~F.col("v")).alias("n_false"))
-        made = inner.join(counted, ["rule_id", "node_id"])
-        every = F.when(F.col("n_false") > 0, F.lit(False)).when(F.col("n_true") == F.col("n"), F.lit(True))
-        some = F.when(F.col("n_true") > 0, F.lit(True)).when(F.col("n_false") == F.col("n"), F.lit(False))
-        known = known.unionByName(made.select(*own, "negate", F.when(F.col("logic").isin("AND", "NOT"), every).otherwise(some).alias("fallback")))
-    kids = known.select("rule_id", F.col("parent_id").alias("node_id"), F.when(F.col("negate"), ~F.col("fallback")).otherwise(F.col("fallback")).alias("v"))
-    counted = kids.groupBy("rule_id", "node_id").agg(F.count("*").alias("n"), F.count_if("v").alias("n_true"), F.count_if(~F.col("v")).alias("n_false"))
-    # The rule table, closed off from the facts' plan: a row for each node.
-    table = tree.join(known.select("rule_id", "node_id", "fallback"), ["rule_id", "node_id"]).join(counted, ["rule_id", "node_id"], "left")
-    rows = table.select(*own, "logic", "negate", "fallback", "n", "n_true", "n_false", "path", "op", "number", "text", "items", "low", "high", "inclusive").toArrow()
-    if len(rows) > MAX_RULE_NODES:
-        raise ValueError(f"more than {MAX_RULE_NODES} rule nodes")
-    table = facts.sparkSession.createDataFrame(rows)
-
+    table = facts.sparkSession.createDataFrame(*_rule_table(nodes))
     met = facts.select(key, "path", "raw").join(F.broadcast(table.filter("logic is null")), "path")
     level = met.select(key, *own, "negate", "fallback", _leaf_values(met).alias("value"))
     roots = level.filter("parent_id is null").select(key, "rule_id", "value")

@@ -112,11 +112,32 @@ def decision_rates(committed: Column, expects_none: Column, escalated: Column, e
 
 
 def usable_confidence(value: Column) -> Column:
-    """Numbers from 0 to 1; NULL for others, NaN included."""
-    number = value.try_cast("double")
+    """Numbers from 0 to 1; NULL for others: text, booleans and NaN included."""
+    number = F.when(~F.typeof(value).isin("string", "boolean"), value.try_cast("double"))
     return F.when(~F.isnan(number) & number.between(0.0, 1.0), number)
 
 
+def only_confidence(entries: Column) -> Column:
+    """The confidence of a list that has exactly one entry; NULL for any other list."""
+    return F.when(F.size(entries) == 1, usable_confidence(F.get(entries, F.lit(0))))
+
+
+def missing_flag_accuracy(expected: Column, predicted: Column) -> Column:
+    """How often a list is predicted to be empty just where it is; unanswered rows don't count. An aggregate."""
+    return boolean_accuracy(F.when(predicted.isNotNull(), (F.size(predicted) > 0) == (F.size(expected) > 0)))
+
+
+def macro_by(grouped: DataFrame, measures: Sequence[str], *above: str) -> DataFrame:
+    """Plain means over groups with a measured value, and how many these are."""
+    return grouped.groupBy(*above).agg(*[c for m in measures for c in (F.avg(m).alias(m), F.count(m).alias(f"n_{m}"))])
+
+
+def in_order(df: DataFrame, key: str, canonical: Sequence[str]) -> DataFrame:
+    """Rows sorted by a key: first the canonical ones in their order, then the others by name."""
+    place = F.array_position(F.array(*map(F.lit, canonical)), F.col(key))
+    return df.orderBy(F.when(place > 0, place).otherwise(len(canonical) + 1), key)
+
+
 def calibration_bins(df: DataFrame, confidence: str, correct: str, *groups: str) -> DataFrame:
     """Ten equal bins (1.0 in the last): count, mean confidence, accuracy and squared error sum."""
     c, ok = F.col(confidence), F.col(correct).cast("int")

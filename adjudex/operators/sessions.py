@@ -57,10 +57,31 @@ def session_title(prompt: Column, limit: int = 30) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit("..."))).otherwise(text)
 
 
-def round_robin(order: Column, n: int) -> Column:
-    return F.pmod(F.row_number().over(Window.orderBy(order)) - 1, F.lit(n))
+def round_robin(rows: DataFrame, order: str, n: int, name: str = "turn_of") -> DataFrame:
+    """Adds each row's place in the order, modulo ``n``: numbers inside range partitions, and the partitions' offsets, a row each."""
+    dealt = rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    inside = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1)
+    # One row for each partition.
+    return inside.join(F.broadcast(before), "__part").withColumn(name, F.pmod(F.col("__at") + F.col("__before"), F.lit(n)).cast("int")).drop("__part", "__at", "__before")
 
 
+def without_marker(messages: DataFrame, text: str, marker: str) -> DataFrame:
+    """Messages that don't begin with a marker; ``last_n`` then gives the recent ones."""
+    return messages.filter(~F.coalesce(F.startswith(F.col(text), F.lit(marker)), F.lit(False)))
+
+
+def newest_first(rows: DataFrame, moment: str = "created_at") -> DataFrame:
+    return rows.orderBy(F.desc_nulls_last(moment), "id")
+
+
+def ranked_by_suitability(candidates: DataFrame, score: str, *groups: str) -> DataFrame:
+    """Adds ``place`` from 1 by falling score inside each group; equal scores share one."""
+    return candidates.withColumn("place", F.rank().over(Window.partitionBy(*groups).orderBy(F.desc_nulls_last(score))))
+
+
+# Phrases of warnings, points, and labels of outcomes.
 def is_fatal(event: Column) -> Column:
     e = F.lower(event)
     return F.contains(e, F.lit("fatal strike 3")) | F.contains(e, F.lit("auto-terminated"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from adjudex.functions import scalars as S
 from adjudex.functions import stats, textlint
 from adjudex.operators import evaluate as E
-from adjudex.operators import graph, metrics, perturb, sessions, validate
+from adjudex.operators import compiler, graph, metrics, perturb, sessions, validate
 from adjudex.operators.rules import Evidence, Exemption, Facts, Group, Leaf, Rule, Temporal, condition_column, leaf_column, temporal_column
 from adjudex.streaming import interview
 
@@ -373,10 +373,81 @@ def mcnemar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.mcnemar(rows, "x", "y", "lang").select("lang", "n_pairs", "b", "c", "discordant")
 
 
-@query()
+_BINOMIAL = "least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0)))))"
+
+
+@query(
+    _LABELS_SQL
+    + f""", k AS (SELECT source, count(*) AS n_pairs, count(*) FILTER (expected = by_size AND expected <> by_chance) AS b, count(*) FILTER (expected <> by_size AND expected = by_chance) AS c FROM r GROUP BY source),
+    p AS (SELECT *, CASE WHEN b + c >= 10 THEN {_BINOMIAL} END AS p FROM k), o AS (SELECT source, p, row_number() OVER (ORDER BY p, source) AS i, count(*) OVER () AS m FROM p WHERE p IS NOT NULL),
+    a AS (SELECT source, max(least(1.0, (m - i + 1) * p)) OVER (ORDER BY p, source ROWS UNBOUNDED PRECEDING) AS h FROM o)
+    SELECT source, n_pairs, b, c, round(p, 8) AS p_value, round(h, 8) AS p_adjusted FROM p LEFT JOIN a USING (source)"""
+)
 def mcnemar_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only tests with enough discordant pairs have a p-value and are in the family."""
     rows = _scored_labels(spark, sf_dir).select("source", (F.col("expected") == F.col("by_size")).alias("x"), (F.col("expected") == F.col("by_chance")).alias("y"))
-    return stats.holm("p_value", ["source"])(stats.mcnemar(rows, "x", "y", "source"))
+    tests = stats.mcnemar(rows, "x", "y", "source").withColumn("p_value", F.when(F.col("reported"), F.col("p_value")))
+    adjusted = stats.holm("p_value", ["source"])(tests)
+    return adjusted.select("source", "n_pairs", "b", "c", F.round("p_value", 8).alias("p_value"), F.round("p_adjusted", 8).alias("p_adjusted"))
+
+
+@query(
+    _LABELS_SQL
+    + f""", v AS (SELECT lang, doc_id, expected = by_size AS a1, expected = by_chance AS a2, expected = 'good' AS a3 FROM r),
+    w AS (SELECT 'by_chance' AS version_a, 'by_size' AS version_b, lang, a2 AS x, a1 AS y FROM v UNION ALL SELECT 'always', 'by_chance', lang, a3, a2 FROM v UNION ALL SELECT 'always', 'by_size', lang, a3, a1 FROM v),
+    k AS (SELECT version_a, version_b, lang, count(*) AS n_pairs, count(*) FILTER (x AND NOT y) AS b, count(*) FILTER (y AND NOT x) AS c FROM w GROUP BY GROUPING SETS ((version_a, version_b), (version_a, version_b, lang))),
+    p AS (SELECT *, CASE WHEN b + c >= 10 THEN {_BINOMIAL} END AS p FROM k),
+    o AS (SELECT version_a, version_b, lang, p, row_number() OVER (PARTITION BY version_a, version_b ORDER BY p, lang) AS i, count(*) OVER (PARTITION BY version_a, version_b) AS m FROM p WHERE p IS NOT NULL AND lang IS NOT NULL),
+    a AS (SELECT version_a, version_b, lang, max(least(1.0, (m - i + 1) * p)) OVER (PARTITION BY version_a, version_b ORDER BY p, lang ROWS UNBOUNDED PRECEDING) AS h FROM o)
+    SELECT version_a, version_b, lang, n_pairs, b, c, round(p, 8) AS p_value, round(h, 8) AS p_adjusted FROM p LEFT JOIN a USING (version_a, version_b, lang)"""
+)
+def version_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = F.array(*[F.struct(F.lit(n).alias("version"), (F.col("expected") == c).alias("ok")) for n, c in (("by_size", F.col("by_size")), ("by_chance", F.col("by_chance")), ("always", F.lit("good")))])
+    scored = _scored_labels(spark, sf_dir).select("doc_id", "lang", F.inline(answers))
+    tests = stats.version_pairs(scored, "version", "doc_id", "lang", "ok")
+    return tests.select("version_a", "version_b", "lang", "n_pairs", "b", "c", F.round("p_value", 8).alias("p_value"), F.round("p_adjusted", 8).alias("p_adjusted"))
+
+
+def _policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A policy of one clause for each part, and an answer with one rule: five forms of answers in turn."""
+    size, amount = F.col("p_size").cast("string"), (F.col("p_size") * 1000).cast("string")
+    form = F.pmod("p_partkey", F.lit(5))
+    above = F.concat(F.lit("Orders above "), amount, F.lit(" USD require legal review."))
+    ban = F.concat(F.lit("Contractors must not ship parts of size "), size, F.lit("."))
+    text = F.when(form.isin(0, 1, 3), above).when(form == 2, "Shipments must be timely.").otherwise(ban)
+
+    def rule(kind: str, leaf: Column, confidence: Column, more: str = "") -> Column:
+        return F.concat(F.lit(f'{{"rules":[{{"rule_type":"{kind}",{more}"condition":{{'), leaf, F.lit('},"action":"act on it","confidence":'), confidence, F.lit(',"source_text":"'), text, F.lit('"}]}'))
+
+    def order(op: str, value: Column) -> Column:
+        return F.concat(F.lit(f'"entity":"order","field":"total","operator":"{op}","unit":"USD","value":'), value)
+
+    proof, sure = '"required_evidence":[{"type":"legal review"}],', F.lit("0.9")
+    answer = (
+        F.when(form == 0, rule("TRIGGER", order(">", amount), sure, proof))
+        .when(form == 1, rule("TRIGGER", order(">", (F.col("p_size") * 1000 + 1).cast("string")), sure, proof))
+        .when(form == 2, rule("REQUIRE", F.lit('"entity":"shipment","field":"timely","operator":"==","value":true'), sure))
+        .when(form == 3, rule("TRIGGER", order("~", amount), sure, proof))
+        .otherwise(rule("PROHIBIT", F.concat(F.lit('"entity":"part","field":"size","operator":"==","value":'), size), F.when(F.col("p_size") < 25, "0.9").otherwise("0.5")))
+    )
+    return _t(spark, sf_dir, "part").select(F.concat(F.lit("P-"), F.col("p_partkey").cast("string")).alias("policy_id"), text.alias("policy_text"), answer.alias("answer"))
+
+
+@query(
+    """WITH f AS (SELECT p_partkey % 5 AS form, p_size < 25 AS sure FROM part), r AS (SELECT CASE WHEN form = 0 OR (form = 4 AND sure) THEN 'VALID' WHEN form = 3 THEN 'REJECTED' ELSE 'NEEDS_REVIEW' END AS status, CASE form WHEN 0 THEN 'TRIGGER' WHEN 1 THEN 'TRIGGER' WHEN 2 THEN 'REQUIRE' WHEN 3 THEN 'TRIGGER' ELSE 'PROHIBIT' END AS rule_type FROM f)
+    SELECT status, rule_type, count(*) AS n, round(sum(CASE status WHEN 'VALID' THEN 0.9 WHEN 'NEEDS_REVIEW' THEN 0.49 END), 2) AS confidence FROM r GROUP BY ALL"""
+)
+def compile_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules, _ = compiler.compile_policies(_policies(spark, sf_dir))
+    return rules.groupBy("status", "rule_type").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 2).alias("confidence"))
+
+
+@query(
+    """SELECT 'P-' || p_partkey AS policy_id, CASE WHEN p_partkey % 5 = 3 THEN 'REJECTED' WHEN p_partkey % 5 = 0 OR (p_partkey % 5 = 4 AND p_size < 25) THEN 'COMPILED' ELSE 'COMPILED_WITH_REVIEW' END AS status, 1 AS extracted,
+    CASE WHEN p_partkey % 5 = 0 OR (p_partkey % 5 = 4 AND p_size < 25) THEN 1 ELSE 0 END AS valid, CASE WHEN p_partkey % 5 = 3 THEN 1 ELSE 0 END AS rejected FROM part"""
+)
+def policy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compiler.compile_policies(_policies(spark, sf_dir))[1].select("policy_id", "status", "extracted", "valid", "rejected")
 
 
 @query(

@@ -120,8 +120,8 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A small result as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """CSV files with a header, as many as the result has partitions."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def ordinary(files: DataFrame, flag: str = "is_sensitive") -> DataFrame:
