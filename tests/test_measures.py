@@ -19,6 +19,9 @@ def test_calibration_by_hand(spark):
 
 def test_unusable_confidences(spark):
     rows = spark.createDataFrame([("nan",), ("inf",), ("high",), ("1.5",), ("0.5",)], "c string")
+    # Text is no confidence, whatever it says.
+    assert [r[0] for r in rows.select(metrics.usable_confidence(F.col("c"))).collect()] == [None] * 5
+    rows = spark.createDataFrame([(float("nan"),), (float("inf"),), (-0.1,), (1.5,), (0.5,)], "c double")
     assert [r[0] for r in rows.select(metrics.usable_confidence(F.col("c"))).collect()] == [None, None, None, None, 0.5]
 
 
