@@ -38,18 +38,21 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines) if token}
 
 
-#: States, and pieces of either generation, that a worker keeps: about 200 MB in all. Fewer take longer and change no result.
-MAX_STATES, MAX_PIECES = 260_000, 120_000
+#: States, and pieces of either generation, that a worker keeps: about 100 MB in all. Fewer take longer and change no result.
+MAX_STATES, MAX_PIECES = 80_000, 100_000
 _NODE = (1 << 24) - 1
 _BEFORE = _NODE << 24
 _PLACE = (1 << 32) - 1
+_LOW = (1 << 48) - 1
+#: Bytes of one piece between two looks at the size of the table.
+SPAN = 1024
 
 
 class Transducer:
     """Encodes byte strings by the merge ranks of a vocabulary.
 
-    ``max_states`` bounds the table: when it is full, it starts anew, which
-    costs time and changes no result.
+    ``max_states`` bounds the table: when it is full, what further bytes add is
+    dropped after each ``SPAN`` bytes, which costs time and changes no result.
     """
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
@@ -72,10 +75,10 @@ class Transducer:
                     self._has_longer.append(0)
             self._token[node] = rank
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._fits: dict[int, bool] = {}
         self._clear()
 
     def _clear(self) -> None:
+        self._fits: dict[int, bool] = {}
         # A guess is one number: node, 1 + the token before (0: none), and the place of its pending tokens in a pool.
         self._pool: list[tuple[int, ...]] = [()]
         self._places: dict[tuple[int, ...], int] = {(): 0}
@@ -85,6 +88,33 @@ class Transducer:
         # By state and byte: the next state, and the place of what the step emits.
         self._steps: dict[int, int] = {}
         self._ends: list[tuple[int, ...]] = [()]
+        # Sizes of the tables when they were full.
+        self._full: tuple[int, ...] = ()
+
+    def _trim(self, state: int) -> int:
+        """Drop what was added to full tables; the number that the state has then."""
+        if len(self._fits) > 2 * self.max_states:
+            self._fits.clear()
+        tables = self._steps, self._ids, self._places
+        if not self._full:
+            self._full = tuple(map(len, tables))
+        if len(self._steps) == self._full[0]:
+            return state
+        guesses = [(guess & _LOW, self._pool[guess >> 48]) for guess in self._guesses[state]]
+        for rows, size in zip(tables, self._full):
+            while len(rows) > size:
+                rows.popitem()
+        _, states, places = self._full
+        del self._guesses[states:], self._ends[states:], self._pool[places:]
+        return self._state(tuple([low | self._place(pending) << 48 for low, pending in guesses]))
+
+    def _state(self, key: tuple[int, ...]) -> int:
+        state = self._ids.get(key)
+        if state is None:
+            state = self._ids[key] = len(self._guesses)
+            self._guesses.append(key)
+            self._ends.append(self._pool[key[-1] >> 48])
+        return state
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The pair whose merge makes the token; None for a single byte; (-1, -1) if merges never make it."""
@@ -156,12 +186,7 @@ class Transducer:
         lows.append(last + 1 << 24)
         chains.append(chain)
         place = self._place
-        key = tuple([low | place(pending[agreed:]) << 48 for low, pending in zip(lows, chains)])
-        to = self._ids.get(key)
-        if to is None:
-            to = self._ids[key] = len(self._guesses)
-            self._guesses.append(key)
-            self._ends.append(pool[key[-1] >> 48])
+        to = self._state(tuple([low | place(pending[agreed:]) << 48 for low, pending in zip(lows, chains)]))
         made = self._steps[state << 8 | byte] = to << 32 | place(chain[:agreed])
         return made
 
@@ -177,18 +202,19 @@ class Transducer:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self._guesses) > self.max_states:
-            self._clear()
         out: list[int] = []
         state, known, pool = 0, self._steps.get, self._pool
-        for byte in data:
-            step = known(state << 8 | byte)
-            if step is None:
-                step = self._step(state, byte)
-            state = step >> 32
-            step &= _PLACE
-            if step:
-                out += pool[step]
+        for at in range(0, len(data), SPAN):
+            if len(self._guesses) > self.max_states:
+                state = self._trim(state)
+            for byte in data[at : at + SPAN]:
+                step = known(state << 8 | byte)
+                if step is None:
+                    step = self._step(state, byte)
+                state = step >> 32
+                step &= _PLACE
+                if step:
+                    out += pool[step]
         out += self._ends[state]
         return out
 

@@ -33,6 +33,12 @@ def test_a_full_table_changes_nothing(reference):
     small.transducer.max_states, small.pieces.size = 20, 3
     text = "The quick brown foxes jumped over thirteen extraordinarily lazy hippopotamuses. " * 3
     assert small.encode(text).tolist() == reference.encode_ordinary(text)
+    draw = random.Random(5)
+    for letters in ("abcdefgh", "中文字é😀ab", "="):
+        # One piece of many spans, whose states the full table does not keep.
+        text = "".join(draw.choice(letters) for _ in range(3 * byte_bpe.SPAN))
+        assert small.encode(text).tolist() == reference.encode_ordinary(text)
+    assert len(small.transducer._guesses) < 3 * byte_bpe.SPAN
 
 
 def test_streaming_decode():
