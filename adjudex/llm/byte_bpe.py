@@ -38,8 +38,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines) if token}
 
 
-#: States, and pieces of either generation, that a worker keeps: about 100 MB in all. Fewer take longer and change no result.
-MAX_STATES, MAX_PIECES = 80_000, 100_000
+#: States, and pieces of either generation, that a worker keeps: about 140 MB in all. Fewer take longer and change no result.
+MAX_STATES, MAX_PIECES = 260_000, 120_000
 _NODE = (1 << 24) - 1
 _BEFORE = _NODE << 24
 _PLACE = (1 << 32) - 1
@@ -393,7 +393,6 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
                 offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, out_col])
-        own.forget()
         ts.release()
 
     return kept.mapInArrow(run, schema)
@@ -417,8 +416,11 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     return encoded.mapInArrow(run, schema)
 
 
-def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded", max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES) -> DataFrame:
-    """``encode``, then ``decode`` of its tokens, in one pass and one worker a task, whose tables are bounded."""
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded", max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES, forget: bool = False) -> DataFrame:
+    """``encode``, then ``decode`` of its tokens, in one pass and one worker a task, whose tables are bounded.
+
+    A worker keeps its tables for the next task, or forgets them after each, which takes longer.
+    """
     kept = docs.drop(*{ids_col, out_col} - {text_col})
     schema = T.StructType([*kept.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False), T.StructField(out_col, T.StringType(), False)])
 
@@ -432,7 +434,8 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str =
                 offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(texts, pa.string())], [*part.schema.names, ids_col, out_col])
-        there.forget()
+        if forget:
+            there.forget()
         ts.release()
 
     return kept.mapInArrow(run, schema)
