@@ -52,7 +52,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens, and whether the ids decode to the text."""
     small_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    both = encode_and_decode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
+    # Executors hold what earlier stages left, so the tables are smaller than the operator's own and don't outlast a task.
+    texts = docs.select("doc_id", "lang", "source", "text")
+    both = encode_and_decode(texts, path, public_tokenizers.PATTERN, max_states=80_000, max_pieces=100_000, forget=True)
     return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
