@@ -57,17 +57,23 @@ def missing_references(references: DataFrame, supplied: DataFrame, key: str) ->
     return references.join(supplied.select(key).distinct(), key, "left_anti")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The table, with its lineage cut in the folder of ``spark.checkpoint.dir``; as it is where that is unset."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", "") else df
+
+
 def traverse(edges: DataFrame, seeds: DataFrame, max_hops: int = 5) -> DataFrame:
     """(root, id, hop): what each seed reaches over directed edges (src, dst), at the least number of hops.
 
     Breadth first: a hop joins the frontier with the edges and drops what the
-    root has reached already. Filter edges that must not be followed before.
+    root has reached already, and is stored, so that plans stay short. Filter
+    edges that must not be followed before.
     """
     reached = seeds.select(F.col("id").alias("root"), "id", F.lit(0).alias("hop"))
     frontier = reached
     for hop in range(1, max_hops + 1):
         step = frontier.join(edges, frontier["id"] == edges["src"]).select("root", F.col("dst").alias("id")).distinct()
-        frontier = step.join(reached.select("root", "id"), ["root", "id"], "left_anti").withColumn("hop", F.lit(hop))
+        frontier = cut(step.join(reached.select("root", "id"), ["root", "id"], "left_anti").withColumn("hop", F.lit(hop)))
         reached = reached.unionByName(frontier)
     return reached
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from adjudex.functions import scalars as S
 from adjudex.functions import stats, textlint
 from adjudex.operators import evaluate as E
-from adjudex.operators import compiler, graph, metrics, perturb, sessions, validate
+from adjudex.operators import cases, compiler, evidence, graph, metrics, perturb, sessions, validate
 from adjudex.operators.rules import Evidence, Exemption, Facts, Group, Leaf, Rule, Temporal, condition_column, leaf_column, temporal_column
 from adjudex.streaming import interview
 
@@ -592,3 +592,65 @@ def shared_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unpaired_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")).distinct()
     return validate.unpaired(a, b, "key")
+
+
+def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchase orders from customers, invoices from orders (every fifth from another vendor) and an approval of every third invoice."""
+    customers, orders = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")
+
+    def paper(rows: DataFrame, letter: str, key: str, *parts: object) -> DataFrame:
+        text = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+        return rows.select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("doc_id"), text.alias("text"))
+
+    vendor = F.when(F.col("o_orderkey") % 5 == 0, F.lit("Other Works")).otherwise(F.concat(F.lit("Firm"), F.col("o_custkey").cast("string")))
+    number = F.col("o_orderkey")
+    bought = paper(customers, "c", "c_custkey", "Purchase Order No: PO-", F.col("c_custkey"), "\nSupplier: Firm", F.col("c_custkey"), " Pvt Ltd")
+    billed = paper(orders, "i", "o_orderkey", "Invoice No: INV-", number, "\nPO Number: PO", F.col("o_custkey"), "\nVendor: ", vendor, " Ltd\nApproval ID: APR-", number, "\nBilled INR ", F.col("o_totalprice"))
+    agreed = paper(orders.filter("o_orderkey % 3 = 0"), "a", "o_orderkey", "Approval ID: APR-", number, "\nStatus: granted")
+    return bought.unionByName(billed).unionByName(agreed)
+
+
+@query(
+    """SELECT 'c' || c_custkey AS a, 'i' || o_orderkey AS b, 'PO' || c_custkey AS identifier, CASE WHEN o_orderkey % 5 = 0 THEN 'CONFLICTING' ELSE 'EXPLICIT' END AS status,
+        'PURCHASE_ORDER_TO_PURCHASE_ORDER' AS relationship, CASE WHEN o_orderkey % 5 = 0 THEN 'vendor' ELSE '' END AS conflicts FROM orders JOIN customer ON o_custkey = c_custkey
+    UNION ALL SELECT 'a' || o_orderkey, 'i' || o_orderkey, 'APR' || o_orderkey, 'EXPLICIT', 'APPROVAL_TO_APPROVAL', '' FROM orders WHERE o_orderkey % 3 = 0"""
+)
+def evidence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evidence.links(evidence.facts(_papers(spark, sf_dir)))
+    return found.select("a", "b", "identifier", "status", "relationship", F.array_join("conflicts", ",").alias("conflicts"))
+
+
+@query(
+    """WITH l AS (SELECT 'c' || o_custkey AS root, o_orderkey AS k FROM orders WHERE o_orderkey % 5 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer))
+    SELECT 'c' || c_custkey AS root, 'c' || c_custkey AS id, 0 AS hop, 'c' || c_custkey AS path FROM customer UNION ALL SELECT root, 'i' || k, 1, root || '>i' || k FROM l
+    UNION ALL SELECT root, 'a' || k, 2, root || '>i' || k || '>a' || k FROM l WHERE k % 3 = 0"""
+)
+def evidence_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = evidence.traversable(evidence.links(evidence.facts(_papers(spark, sf_dir))))
+    seeds = _t(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
+    return evidence.explore(members, seeds, 2).withColumn("path", F.array_join("path", ">"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'VERIFICATION_FAILED' WHEN o_orderkey % 4 = 0 THEN 'APPLICABILITY_MISMATCH' WHEN o_orderkey % 7 = 0 THEN 'SEVERAL_RULES_ON_LINE' END AS reason,
+    'SATISFIED' AS replayed FROM orders"""
+)
+def counterfactual_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = F.lit("FORBID"), F.lit(">="), F.lit(150000.0)
+    change = graph.counterfactual(*rule, F.col("o_totalprice"))
+    verified = F.when(F.col("o_orderstatus") == "F", "FAILED").otherwise("VERIFIED")
+    applicable = F.when(F.col("o_orderkey") % 4 == 0, "MISMATCH").otherwise("VERIFIED")
+    reason = evidence.unresolved_reason(verified, applicable, F.lit(True), F.when(F.col("o_orderkey") % 7 == 0, 2).otherwise(1))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", reason.alias("reason"), evidence.replay(*rule, F.col("o_totalprice"), change).alias("replayed"))
+
+
+@query(
+    """SELECT lang, CASE WHEN count(*) FILTER (quality = 0 AND toxic = 1) > 0 THEN 'NON_COMPLIANT' WHEN count(*) FILTER (quality = 0) > 0 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'COMPLIANT' END AS predicted_decision,
+    count(*) FILTER (quality = 0) > 0 AS predicted_escalation, CASE WHEN count(*) FILTER (toxic = 1) > 0 THEN true WHEN count(*) FILTER (toxic = 0) = count(*) THEN false END AS predicted_contradiction_detected
+    FROM labels JOIN documents USING (doc_id) GROUP BY lang"""
+)
+def decisions_to_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    outcome = F.when((F.col("quality") == 0) & (F.col("toxic") == 1), "VIOLATION").when(F.col("quality") == 0, "NO_CONCLUSION").otherwise("SATISFIED")
+    verification = F.when(F.col("quality") == 0, "ESCALATE").otherwise("VERIFIED")
+    return cases.complete_predictions(rows.select("lang", outcome.alias("outcome"), verification.alias("verification"), (F.col("toxic") == 1).alias("contradiction")), "lang")
