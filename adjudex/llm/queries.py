@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import round_trip_digests
 from .chat_format import conversation_digests, format_turns, turns_of_frame
-from .common import table
+from .common import stored, table
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .maxscore import top_k
 from .mixing import mix_documents
 from .near_dedup import near_duplicates
 from .ngram_lm import score_corpus
+from .prefix_trie import ordered_turns, prefix_trie, share_openings
+from .structure_repair import structure_report
 from .toxicity import corpus_chain, score_chain
 from .url_filter import url_filter
 
@@ -72,6 +74,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_turns(turns))
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*share_openings(stored(ordered_turns(table(spark, sf_dir, "conversations")), "turns")))
+
+
 _WS = "[\\x20\\x09-\\x0D]"
 
 _OP1_SQL = """
@@ -121,10 +131,45 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+# CRC-32 bit by bit: each byte is xored in, then eight steps follow, marked -1.
+_CRC32 = """xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(
+    string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, v: CASE WHEN v >= 0 THEN xor(a, v) ELSE xor(a >> 1, (a & 1) * 3988292384) END))"""
+
+_OP13_SQL = rf"""
+WITH o AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n FROM o GROUP BY c),
+h AS (SELECT c, n, c - c % 100 AS head, {_CRC32} % 6 AS h FROM n),
+t AS (
+  SELECT h.c, o.i + 1 AS d, role, text FROM h JOIN o ON o.c = h.head AND o.i < h.h
+  UNION ALL
+  SELECT h.c, o.i - h.h + least(h.h, coalesce(m.n, 0)) + 1, role, text FROM h JOIN o ON o.c = h.c AND o.i >= h.h LEFT JOIN n m ON m.c = h.head),
+p AS (
+  SELECT c, d, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY d)) AS k,
+         length(text) AS chars FROM t
+  UNION ALL SELECT c, 0, '', 0 FROM n),
+e AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+z AS (SELECT p.d, p.k, sha256(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c)) AS s FROM p JOIN e USING (c, d) GROUP BY p.d, p.k),
+x AS (SELECT d, k, min(c) AS c, count(*) AS n_convs, max(chars) AS chars FROM p GROUP BY d, k),
+y AS (SELECT x.*, u.c AS up FROM x LEFT JOIN p ON p.c = x.c AND p.d = x.d - 1 LEFT JOIN x u ON u.d = p.d AND u.k = p.k),
+w AS (SELECT up AS c, d - 1 AS d, count(*) AS n_children FROM y WHERE d > 0 GROUP BY up, d),
+v AS (SELECT y.*, coalesce(w.n_children, 0) AS n_children FROM y LEFT JOIN w ON w.c = y.c AND w.d = y.d),
+s AS (
+  SELECT p.d, p.k, count(*) FILTER (v.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.chars) AS saved
+  FROM v JOIN p ON p.c = v.c AND p.d <= v.d GROUP BY p.d, p.k)
+SELECT v.c AS conv_id, CAST(v.d AS BIGINT) AS depth, v.up AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens,
+       coalesce(z.s, sha256('')) AS ends_sha256
+FROM v JOIN s USING (d, k) LEFT JOIN z USING (d, k)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_maxscore, op2_ngram_lm, op3_url_filter, op4_line_dedup, op5_mixing, op6_toxicity, op7_near_dedup, op8_exact_dedup, op9_byte_bpe, op10_chat_format)}
+    found = (op1_maxscore, op2_ngram_lm, op3_url_filter, op4_line_dedup, op5_mixing, op6_toxicity, op7_near_dedup, op8_exact_dedup, op9_byte_bpe, op10_chat_format)
+    return {f.__name__: f for f in (*found, op12_structure_repair, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_maxscore": _OP1_SQL, "op3_url_filter": _OP3_SQL, "op8_exact_dedup": _OP8_SQL, "op10_chat_format": _OP10_SQL}
+    return {"op1_maxscore": _OP1_SQL, "op3_url_filter": _OP3_SQL, "op8_exact_dedup": _OP8_SQL, "op10_chat_format": _OP10_SQL, "op13_prefix_trie": _OP13_SQL}
