@@ -19,6 +19,7 @@ from .near_dedup import near_duplicates
 from .ngram_lm import score_corpus
 from .prefix_trie import ordered_turns, prefix_trie, share_openings
 from .structure_repair import structure_report
+from .suffix_dedup import suffix_dedup
 from .toxicity import corpus_chain, score_chain
 from .url_filter import url_filter
 
@@ -74,6 +75,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_turns(turns))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_report(table(spark, sf_dir, "conversations"))
 
@@ -131,6 +138,21 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+_OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, p, md5_number(substr(x, 2 * p + 1, 400)) AS k FROM (SELECT r, x, unnest(range(CAST(length(x) / 2 - 199 AS BIGINT))) AS p FROM d)),
+f AS (SELECT r, p FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+g AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM f),
+s AS (SELECT r, min(p) AS a, max(p) + 200 AS b FROM (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS run FROM g) GROUP BY r, run),
+t AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS after FROM s),
+u AS (
+  SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(x, 2 * after + 1, 2 * (a - after)), '' ORDER BY a) AS kept
+  FROM t JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(x) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN u USING (r)
+"""
+
 # CRC-32 bit by bit: each byte is xored in, then eight steps follow, marked -1.
 _CRC32 = """xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(
     string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
@@ -168,8 +190,8 @@ FROM v JOIN s USING (d, k) LEFT JOIN z USING (d, k)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_maxscore, op2_ngram_lm, op3_url_filter, op4_line_dedup, op5_mixing, op6_toxicity, op7_near_dedup, op8_exact_dedup, op9_byte_bpe, op10_chat_format)
-    return {f.__name__: f for f in (*found, op12_structure_repair, op13_prefix_trie)}
+    return {f.__name__: f for f in (*found, op11_suffix_dedup, op12_structure_repair, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_maxscore": _OP1_SQL, "op3_url_filter": _OP3_SQL, "op8_exact_dedup": _OP8_SQL, "op10_chat_format": _OP10_SQL, "op13_prefix_trie": _OP13_SQL}
+    return {"op1_maxscore": _OP1_SQL, "op3_url_filter": _OP3_SQL, "op8_exact_dedup": _OP8_SQL, "op10_chat_format": _OP10_SQL, "op11_suffix_dedup": _OP11_SQL, "op13_prefix_trie": _OP13_SQL}
