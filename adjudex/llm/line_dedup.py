@@ -251,8 +251,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     removed lines (empty if all went). Null texts and rows with a null id stay
     as they are. Rows repeating an id and its text count as one document; with
     unlike texts they are documents of their own, in the order of a hash of the
-    text. An empty table gives an empty result.
+    text. An empty table gives an empty result. Columns may have any names.
     """
+    columns = docs.columns
+    id_col, text_col = (f"c{columns.index(c)}" for c in (id_col, text_col))
+    docs = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     # What a document is known by: its id and a hash of its text.
     own = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
     keyed = docs.withColumn("__id", F.when(F.col(id_col).isNotNull() & F.col(text_col).isNotNull(), own))
@@ -274,4 +277,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     touched, untouched = bloom.split_by_keys(keyed, "__id", remove.select(F.col("id").alias("__id")).distinct(), n)
     cleaned = _without(touched.join(gone, "__id", "left"), docs.schema, text_col)
-    return untouched.drop("__id").unionByName(cleaned)
+    return untouched.drop("__id").unionByName(cleaned).toDF(*columns)

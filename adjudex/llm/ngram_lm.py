@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
-from .common import stored
+from .common import shared_dir, stored
 from .elias_fano import TrieLevel, pack, pack_sorted, unpack, unpack_sorted
 
 #: The hash that stands for the end of a text.
@@ -374,11 +374,19 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     unknown. An empty table gives empty results. Other columns are ignored.
     """
     s = settings
+    spark = docs.sparkSession
+    # Chunks and answers are bucketed alike: chunks never move again, answers move once. Their database is in the shared folder.
+    database = f"lm_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{shared_dir(spark).rstrip('/')}/{database}'")
+    try:
+        return _score_corpus(docs, id_col, text_col, s, keep_model, f"{database}.chunks", f"{database}.answers")
+    finally:
+        spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
+def _score_corpus(docs: DataFrame, id_col: str, text_col: str, s: Settings, keep_model: bool, chunk_table: str, answer_table: str) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    run = uuid.uuid4().hex
-    # Chunks and answers are bucketed alike: chunks never move again, answers move once.
-    chunk_table, answer_table = f"lm_chunks_{run}", f"lm_answers_{run}"
 
     def save(df: DataFrame, name: str) -> DataFrame:
         df.write.bucketBy(buckets, "chunk").sortBy("chunk").format("parquet").mode("append").saveAsTable(name)
@@ -411,7 +419,4 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     r["data"][2] = pack(codes)
                 yield pa.RecordBatch.from_pylist([r], _MODEL)
 
-    model = stored(answers.filter("kind = 1").select(*_MODEL.names).mapInArrow(probabilities, _spark(_MODEL)), "lm-model")
-    for name in (chunk_table, answer_table):
-        spark.sql(f"DROP TABLE {name}")
-    return scores, model
+    return scores, stored(answers.filter("kind = 1").select(*_MODEL.names).mapInArrow(probabilities, _spark(_MODEL)), "lm-model")

@@ -122,7 +122,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.nda
     rolled = np.zeros(n, np.uint64)
     for j in range(k):
         part = np.zeros(n, np.uint64)
-        part[: n - j] = words[j:]
+        part[: max(n - j, 0)] = words[j:]
         rolled = rolled * np.uint64(_BASE) + part
     h = mix(rolled)
     text = np.repeat(np.arange(len(counts)), counts)

@@ -124,6 +124,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], i
 
     ``labels`` has the id and a 0/1 column for each category; rows with a null
     are left out, and of an id with several rows a category holds if any says so.
+    Of a document id with several rows the text of the least hash is taken.
     A category's words are the ``features`` of the largest
     chi-square among those in five documents or more, counted in Spark. Earlier
     categories enter a model as log-odds: out-of-fold ones in training (folds by
@@ -135,7 +136,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], i
     spread = named.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # At most sample_rows short rows: a bounded broadcast.
-    seen = _distinct_words(texts.join(F.broadcast(spread), "id")).cache()
+    one = texts.join(F.broadcast(spread), "id").groupBy("id", *[f"c{i}" for i in range(len(categories))]).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    seen = _distinct_words(one).cache()
     total = seen.agg(F.count("*").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(categories))]).first()
     n = total["n"]
     chosen: set[int] = set()

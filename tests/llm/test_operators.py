@@ -549,3 +549,22 @@ def test_formatting_reads_back(spark):
     assert conversation_digests(format_turns(turns.limit(0))).count() == 0
     with pytest.raises(ValueError):
         turns_of_frame(spark.range(1), "id")
+
+
+def test_a_fit_takes_one_text_of_a_repeated_id(spark, monkeypatch):
+    from adjudex.llm import toxicity
+
+    seen = []
+    whole = toxicity._distinct_words
+    monkeypatch.setattr(toxicity, "_distinct_words", lambda df: seen.append(df.count()) or whole(df))
+    docs = spark.createDataFrame([(i, f"text {i} {j}") for i in range(5) for j in range(60)] + [(9, None)], DOC)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)] + [(9, 1)], "doc_id long, bad int")
+    fit_chain(docs, labels, ("bad",), sample_rows=6)
+    assert seen == [6]
+
+
+def test_line_dedup_takes_columns_of_any_name(spark):
+    p = " ".join(f"w{j}" for j in range(60))
+    docs = spark.createDataFrame([(i, f"{p}\nown {i}", 1, "x", 2) for i in (1, 2)], DOC + ", __id int, __named string, __maybe int")
+    got = {r["doc_id"]: (r["text"], r["__id"], r["__named"], r["__maybe"]) for r in line_dedup.line_dedup(docs).collect()}
+    assert got == {1: (f"{p}\nown 1", 1, "x", 2), 2: ("own 2", 1, "x", 2)}

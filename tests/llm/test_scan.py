@@ -86,3 +86,9 @@ def test_trie_level():
     assert [contexts[i] if i >= 0 else -1 for i in level.find(*ask)[1]] == [a if a in set(contexts.tolist()) else -1 for a in ask[0].tolist()]
     empty = ef.TrieLevel.mapped(ef.TrieLevel.write(c[:0], w[:0], codes[:0], backoffs, 12, contexts))
     assert (empty.find(c, w)[0] == -1).all() and (empty.backoff(empty.find(c, w)[1]) == backoffs[np.searchsorted(contexts, c)]).all()
+
+
+def test_shingles_of_fewer_words_than_one_has():
+    words, first = ts.words_of(pa.array(["one two"]))
+    h, text = ts.shingle_hashes(words, first, 5)
+    assert len(h) == 1 and text.tolist() == [0]
