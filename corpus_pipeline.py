@@ -20,18 +20,33 @@ from adjudex.llm.toxicity import corpus_chain, score_chain
 ORACLE_SQL = None
 
 
+def aside(docs: DataFrame, *own: str) -> dict[str, str]:
+    """Other names for all columns but a stage's ``own``, longer than any, so that none is taken for one that the stage adds."""
+    return {c: f"{max(docs.columns, key=len)}_{i}" for i, c in enumerate(docs.columns) if c not in own}
+
+
+def back(out: DataFrame, docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return out.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain, fitted on the ``labels`` of ``docs``, doesn't find toxic."""
+    """Documents that the classifier chain, fitted on the ``labels`` of ``docs``, doesn't find toxic.
+
+    Null, empty and very long texts are judged as they are; rows that repeat
+    are judged each; columns named as the chain's own are kept as they were.
+    """
     small_batches(spark)
     chain = corpus_chain(docs, table(spark, sf_dir, "labels"))
-    return score_chain(docs, chain).filter("not is_toxic").select(*docs.columns)
+    names = aside(docs, "text")
+    return back(score_chain(docs.withColumnsRenamed(names), chain).filter("not is_toxic"), docs, names)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document has; documents that had words and have none left go."""
     small_batches(spark)
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    left = line_dedup(docs.withColumn("__had_words", has_words)).filter(~F.col("__had_words") | has_words)
+    mark = max(docs.columns, key=len) + "_"  # no column's name, being longer than each
+    left = line_dedup(docs.withColumn(mark, has_words)).filter(~F.col(mark) | has_words)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -43,13 +58,17 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Nine tenths of the tokens, in the target weights, each document once at most."""
+    """Nine tenths of the tokens, in the target weights, each document once at most.
+
+    A null text has no tokens; rows that repeat count each.
+    """
     small_batches(spark)
-    return mix_documents(docs, 0.9, 1).select(*docs.columns)
+    names = aside(docs, "doc_id", "text", "lang", "source")
+    return back(mix_documents(docs.withColumnsRenamed(names), 0.9, 1), docs, names)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids, n_tokens, and whether the ids decode to the text."""
+    """doc_id, lang, source, ids, n_tokens, and whether the ids decode to the text; a null text counts as empty, other columns go."""
     small_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     # Executors hold what earlier stages left, so the tables are smaller than the operator's own and don't outlast a task.
