@@ -27,17 +27,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from . import textscan as ts
 from .common import bucketed, join_groups, stored
 
 #: Bytes of a string that is removed where it is repeated.
 LENGTH = 200
 _ID = ["u1", "u2"]
-_ANCHOR = pa.struct([("pos", pa.int64()), ("gram", pa.int64()), ("hull", pa.int64())])
-_SCANNED = pa.schema([("u1", pa.int64()), ("u2", pa.int64()), ("doc_id", pa.int64()), ("body", pa.binary()), ("anchors", pa.list_(_ANCHOR))])
-_SCANNED_SQL = "u1 long, u2 long, doc_id long, body binary, anchors array<struct<pos: long, gram: long, hull: long>>"
+_ANCHOR = pa.schema([(c, pa.int64()) for c in ("u1", "u2", "pos", "gram", "hull")])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 _KEPT_SQL = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
+#: Classes of a bucket that is refined inside a task; larger buckets are halved by Spark first.
+TASK_CLASSES = 10_000
+#: Records that a task refines at once, more only for the sake of a whole bucket.
+TASK_RECORDS = 4096
 #: Bits for a span's width, under its start, in a packed long.
 _WIDTH = 24
 
@@ -111,25 +114,26 @@ def _texts(raw: np.ndarray, bounds: np.ndarray, length: int, size: int) -> Itera
 def _scan(length: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body = batch["body"]
-            raw, bounds = ts.text_bytes(body)
-            found = list(_texts(raw, bounds, length, size))
-            text, pos, gram, hull = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4)]
-            first = np.searchsorted(text, np.arange(len(bounds)))
-            items = pa.StructArray.from_arrays([pa.array(x) for x in (pos, gram, hull)], fields=list(_ANCHOR))
-            own = pa.ListArray.from_arrays(pa.array(first, pa.int32()), items)
-            yield pa.RecordBatch.from_arrays([batch["u1"], batch["u2"], batch["doc_id"].cast(pa.int64()), body, own], schema=_SCANNED)
+            u1, u2 = (batch[c].to_numpy() for c in _ID)
+            for text, *columns in _texts(*ts.text_bytes(batch["body"]), length, size):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u1[text], u2[text], *columns)], schema=_ANCHOR)
         ts.release()
 
     return run
 
 
-def scanned(docs: DataFrame, length: int = LENGTH, size: int = ts.SLICE_BYTES) -> DataFrame:
-    """(u1, u2, doc_id, body, anchors) of each row, in buckets of the 128 bits u1 and u2 that stand for id and text."""
+def bodies(docs: DataFrame) -> DataFrame:
+    """(u1, u2, doc_id, body) of each row: 128 bits that stand for id and text, the id, and the text in UTF-8."""
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"))
-    rows = rows.select(F.xxhash64("doc_id", "body").alias("u1"), F.xxhash64(F.lit(1), "body", "doc_id").alias("u2"), "doc_id", "body")
-    return bucketed(rows.mapInArrow(_scan(length, size), _SCANNED_SQL), _ID, "suffix-texts")
+    return rows.select(F.xxhash64("doc_id", "body").alias("u1"), F.xxhash64(F.lit(1), "body", "doc_id").alias("u2"), "doc_id", "body")
+
+
+def _of_texts(texts: DataFrame, wanted: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(texts whose ids may be among ``wanted``, the others), told apart by a Bloom filter, so that only the first need shuffle."""
+    keyed = texts.withColumn("uid", F.struct(*_ID))
+    some, others = bloom.split_by_keys(keyed, "uid", wanted.select(F.struct(*_ID).alias("uid")).distinct(), n)
+    return some.drop("uid"), others.drop("uid")
 
 
 def _span(start: Column, end: Column) -> Column:
@@ -139,13 +143,14 @@ def _span(start: Column, end: Column) -> Column:
 
 
 def _contexts(texts: DataFrame, records: DataFrame, length: int) -> DataFrame:
-    """(u1, u2, pos, size, context): the bytes of all strings of each record's anchor, read from the texts where they lie."""
+    """(u1, u2, pos, size, context): the bytes of all strings of each record's anchor; only texts that have one are shuffled."""
     span = cells(length)
     asked = records.groupBy(*_ID).agg(F.collect_list("pos").alias("places"))
     low = lambda p: F.greatest(p - (span - 1), F.lit(0))
     cut = F.transform("places", lambda p: F.struct(p.alias("pos"), F.substring(F.col("body"), (low(p) + 1).cast("int"), (p + length - low(p)).cast("int")).alias("context")))
-    found = texts.select(*_ID, "body").join(asked, _ID).select(*_ID, F.octet_length("body").cast("long").alias("size"), F.explode(cut).alias("x"))
-    return bucketed(found.select(*_ID, "x.pos", "size", "x.context").dropDuplicates([*_ID, "pos"]), _ID, "suffix-contexts")
+    some, _ = _of_texts(texts.select(*_ID, "body"), records, records.count())
+    found = some.join(asked, _ID).select(*_ID, F.octet_length("body").cast("long").alias("size"), F.explode(cut).alias("x"))
+    return bucketed(found.select(*_ID, "x.pos", "size", "x.context").dropDuplicates([*_ID, "pos"]), [*_ID, "pos"], "suffix-contexts")
 
 
 def _halves(records: DataFrame, contexts: DataFrame, length: int, half: int) -> DataFrame:
@@ -175,45 +180,138 @@ def _halves(records: DataFrame, contexts: DataFrame, length: int, half: int) ->
     return both.filter("c is not null").select(*_ID, "pos", "live", "c.*")
 
 
-def _open(classes: DataFrame) -> DataFrame:
-    """One record of each class of a bucket that has two classes or more and a live one: a class of one live record lives on."""
-    classes = classes.withColumn("live", F.col("live") & (F.col("n") == 1))
-    buckets = stored(classes.groupBy("bucket").agg(F.count("*").alias("m"), F.bool_or("live").alias("any")).filter("m > 1 and any"), "suffix-open")
-    n = classes.count()
-    return join_groups(classes, buckets, ["bucket"], "m", n).select("one.*", "bucket", "live")
+def _ranks(*keys: np.ndarray) -> np.ndarray:
+    """Equal rows' common number, by sorting: bucket pointers."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def refined(raw: np.ndarray, at: np.ndarray, pos: np.ndarray, size: np.ndarray, cell: np.ndarray, bucket: np.ndarray, live: np.ndarray, length: int, half: int) -> tuple[np.ndarray, ...]:
+    """(record, start, end) of what is repeated of whole buckets' records, whose cells of ``2 * half`` strings begin at ``cell``.
+
+    Record i's context is in ``raw`` from ``at[i]``. As in ``_halves``, with all
+    of a level's buckets refined by one sort on (bucket, later identifier), and
+    the ranks as the identifiers of the next.
+    """
+    span = cells(length)
+    base = np.maximum(pos - (span - 1), 0)
+    up, down = ts._powers(1 << max(12, (len(raw) + 1).bit_length()))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(ts.EXACT[raw] * up[: len(raw)], out=total[1:])
+
+    def identifier(i: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        a, b = at[i] + start - base[i], at[i] + end - base[i]
+        return ts.mix((total[b] - total[a]) * down[a])
+
+    out: list[tuple[np.ndarray, ...]] = []
+    i, l, b, alive = np.arange(len(pos)), cell, bucket, live  # noqa: E741
+    while half and len(i):
+        i, b, alive = np.tile(i, 2), np.tile(b, 2), np.tile(alive, 2)
+        side = np.repeat([0, 1], len(l))
+        near = np.concatenate([l, l + half])
+        p, n = pos[i], size[i]
+        keep = np.maximum(near, p + length - n) <= np.minimum(near + half - 1, p)
+        i, b, alive, side, near, p, n = (x[keep] for x in (i, b, alive, side, near, p, n))
+        start = np.where(side == 0, p - near - 2 * half + 1 + length, p - near)
+        b = _ranks(b, side, identifier(i, start, start + half))
+        low, high = np.maximum(p - near - half + 1, 0), np.minimum(p - near + length, n)
+        clipped = (low - (p - near - half + 1)).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + (p - near + length - high).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)
+        hull = _ranks(b, ts.mix(identifier(i, low, high) + clipped))
+        members = np.bincount(hull)[hull] if len(hull) else hull
+        found = alive & (members > 1)
+        out.append((i[found], low[found], high[found]))
+        alone = alive & (members == 1)
+        _, first = np.unique(hull, return_index=True)
+        classes = np.bincount(b[first], minlength=int(b.max(initial=-1)) + 1)
+        some = np.zeros(len(classes), bool)
+        some[b[alone]] = True
+        first = first[(classes[b[first]] > 1) & some[b[first]]]
+        i, l, b, alive = i[first], near[first], b[first], alone[first]  # noqa: E741
+        half //= 2
+    return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3))
+
 
+def _refine(length: int, half: int):
+    """Refine the buckets of a stream of records in the order of their buckets; emits packed spans."""
+    schema = pa.schema([(c, pa.int64()) for c in (*_ID, "span")])
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(u1, u2, span): packed spans, some overlapping, of all bytes of ``scanned`` texts in a string that also begins anywhere else.
+    def spans(part: pa.RecordBatch) -> pa.RecordBatch:
+        raw, bounds = ts.text_bytes(part["context"])
+        u1, u2, *rest = (part[c].to_numpy() for c in (*_ID, "pos", "size", "l", "bucket"))
+        i, low, high = refined(raw, bounds[:-1], *rest, part["live"].to_numpy(zero_copy_only=False), length, half)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (u1[i], u2[i], (low << _WIDTH) + (high - low))], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(x.num_rows for x in held) < TASK_RECORDS:
+                continue
+            whole = pa.concat_batches(held)
+            buckets = whole["bucket"].to_numpy()
+            # The last bucket may go on in the next batch.
+            end = int(np.flatnonzero(np.append(True, buckets != buckets[-1]))[-1])
+            if end:
+                yield spans(whole.slice(0, end))
+            held = [whole.slice(end)]
+        if held:
+            yield spans(pa.concat_batches(held))
+        ts.release()
+
+    return run
+
+
+def _classes(records: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(records with their class's size ``n``, records that go on) of one level.
+
+    A class is what a bucket's members of one hull are. Buckets go on if they
+    have two classes or more, one of them a live record of its own; there, each
+    larger class leaves a record that lives no more.
+    """
+    classes = stored(records.groupBy("bucket", "hull").agg(F.count("*").alias("n"), F.bool_or("live").alias("live")), "suffix-classes")
+    sized = stored(join_groups(records, classes.select("bucket", "hull", "n"), ["bucket", "hull"], "n", n_rows), "suffix-sized")
+    alone = F.col("live") & (F.col("n") == 1)
+    buckets = stored(classes.groupBy("bucket").agg(F.count("*").alias("m"), F.bool_or(alone).alias("any")).filter("m > 1 and any").drop("any"), "suffix-open")
+    some, _ = bloom.split_by_keys(sized, "bucket", buckets, buckets.count())
+    reps = some.groupBy("bucket", "hull").agg(F.min(F.struct(*_ID, "pos", "l")).alias("one"), F.bool_or(alone).alias("live"))
+    return sized, stored(join_groups(reps, buckets, ["bucket"], "m", n_rows).select("one.*", "bucket", "live", "m"), "suffix-records")
+
+
+def repeated_spans(texts: DataFrame, length: int = LENGTH, size: int = ts.SLICE_BYTES) -> DataFrame:
+    """(u1, u2, span): packed spans, some overlapping, of all bytes of ``bodies`` in a string that also begins anywhere else.
 
     Buckets are 64-bit digests that are refined inside the bucket above, so
     only strings that share a q-gram could ever be taken for each other.
     """
     span = cells(length)
-    every = texts.select(*_ID, F.explode("anchors").alias("a")).select(*_ID, "a.pos", F.col("a.gram").alias("bucket"), "a.hull")
-    n_anchors = texts.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0]
-    # Initial q-gram buckets. Where all hulls are equal, all is repeated.
-    grams = every.groupBy("bucket").agg(F.count("*").alias("n"), (F.min("hull") == F.max("hull")).alias("even")).filter("n > 1")
-    members = stored(join_groups(every, stored(grams, "suffix-grams"), ["bucket"], "n", n_anchors), "suffix-members")
-    whole = _span(F.col("pos") - (span - 1), F.col("pos") + length)
-    spans = members.filter("even").select(*_ID, whole)
-
-    mixed = members.filter("not even").drop("n")
-    one = F.min(F.struct(*_ID, "pos", F.lit(0).cast("long").alias("l"))).alias("one")
-    classes = stored(mixed.groupBy("bucket", "hull").agg(F.count("*").alias("n"), one, F.lit(True).alias("live")), "suffix-classes")
-    again = join_groups(mixed, classes.filter("n > 1").select("bucket", "hull", "n"), ["bucket", "hull"], "n", n_anchors)
-    spans = spans.unionByName(again.select(*_ID, whole))
-
-    records = stored(_open(classes), "suffix-records")
+    scan = ", ".join(f"{c} long" for c in _ANCHOR.names)
+    every = stored(texts.select(*_ID, "body").mapInArrow(_scan(length, size), scan), "suffix-anchors").withColumnRenamed("gram", "bucket")
+    # Initial q-gram buckets; those of one member are settled.
+    repeated = stored(every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "suffix-grams")
+    n_anchors = every.count()
+    members, _ = bloom.split_by_keys(every, "bucket", repeated, repeated.count())
+    records = members.select(*_ID, "pos", F.lit(0).cast("long").alias("l"), "bucket", "hull", F.lit(True).alias("live"))
+    sized, records = _classes(records, n_anchors)
+    spans = sized.filter("n > 1").select(*_ID, _span(F.col("pos") - (span - 1), F.col("pos") + length))
+
     contexts = _contexts(texts, records, length)
     half = span // 2
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while half and not records.isEmpty():
-        refined = stored(_halves(records, contexts, length, half), "suffix-refined")
-        one = F.min(F.struct(*_ID, "pos", "l")).alias("one")
-        classes = stored(refined.groupBy("bucket", "hull").agg(F.count("*").alias("n"), one, F.bool_or("live").alias("live")), "suffix-classes")
-        again = join_groups(refined.filter("live"), classes.filter("n > 1").select("bucket", "hull", "n"), ["bucket", "hull"], "n", n_anchors)
-        spans = spans.unionByName(again.select(*_ID, _span(F.col("low"), F.col("high"))))
-        records = stored(_open(classes), "suffix-records")
+        small = records.filter(F.col("m") <= TASK_CLASSES).drop("m").join(contexts, [*_ID, "pos"])
+        dealt = small.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_refine(length, half), "u1 long, u2 long, span long")
+        spans = spans.unionByName(stored(dealt, "suffix-refined"))
+        large = records.filter(F.col("m") > TASK_CLASSES).drop("m")
+        if large.isEmpty():
+            break
+        sized, records = _classes(stored(_halves(large, contexts, length, half), "suffix-halves"), n_anchors)
+        spans = spans.unionByName(sized.filter("live and n > 1").select(*_ID, _span(F.col("low"), F.col("high"))))
         half //= 2
     return spans
 
@@ -253,7 +351,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ids, are texts of their own, so each is a repetition of the other. Other
     columns are ignored. An empty table gives an empty result.
     """
-    texts = scanned(docs, length)
-    spans = stored(repeated_spans(texts, length), "suffix-spans").groupBy(*_ID).agg(F.collect_list("span").alias("packed"))
-    none = F.array().cast("array<long>")
-    return texts.select(*_ID, "doc_id", "body").join(spans, _ID, "left").select("doc_id", "body", F.coalesce("packed", none).alias("packed")).mapInArrow(_remove, _KEPT_SQL)
+    texts = bodies(docs)
+    spans = repeated_spans(texts, length)
+    marked, whole = _of_texts(texts, spans, texts.count())
+    named = marked.join(spans.groupBy(*_ID).agg(F.collect_list("span").alias("packed")), _ID, "left").select("doc_id", "body", "packed")
+    every = named.unionByName(whole.select("doc_id", "body", F.lit(None).cast("array<long>").alias("packed")))
+    return every.withColumn("packed", F.coalesce("packed", F.array().cast("array<long>"))).mapInArrow(_remove, _KEPT_SQL)

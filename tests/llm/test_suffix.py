@@ -45,8 +45,10 @@ def pieces(seed, n):
     return [*rows, *rows[:3], (None, shared[0]), (None, None), (500, ""), (501, "a" * 500), (502, "xy" * 300 + "é")]
 
 
-@pytest.mark.parametrize(("seed", "length"), [(1, 200), (2, 40), (3, 7)])
-def test_against_all_strings(spark, seed, length):
+@pytest.mark.parametrize(("seed", "length", "classes", "records"), [(1, 200, 10_000, 4096), (2, 40, 3, 5), (3, 7, 0, 4096), (4, 200, 4, 1)])
+def test_against_all_strings(spark, monkeypatch, seed, length, classes, records):
+    monkeypatch.setattr(sd, "TASK_CLASSES", classes)
+    monkeypatch.setattr(sd, "TASK_RECORDS", records)
     rows = pieces(seed, 50)
     assert run(spark, rows, length) == brute(rows, length)
 
