@@ -139,6 +139,14 @@ def parse_quantity(value: Column) -> Column:
     return F.when(text.rlike(_QUANTITY) & number.isNotNull(), F.struct(number.alias("value"), unit_name(named).alias("unit")))
 
 
+def shift_by(moment: Column, amount: Column, unit: Column, sign: int = 1) -> Column:
+    """``shift`` where amount and unit (one of the time units) are columns too."""
+    months = (F.when(unit == "years", 12).when(unit == "months", 1) * amount * sign).cast("int")
+    seconds = F.element_at(_map(UNIT_FACTORS["time"]), unit) * amount * sign
+    by_time = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.when(months.isNull(), seconds).cast("decimal(18,6)"))
+    return F.coalesce(moment + F.make_ym_interval(F.lit(0), months), moment + by_time)
+
+
 def shift(moment: Column, amount: float, unit: str, sign: int = 1) -> Column:
     """A calendar-aware shift; months and years keep the day or take the month's last."""
     if unit in ("months", "years"):

@@ -56,6 +56,31 @@ def _levels(root: Column) -> list[Column]:
     return out
 
 
+def node_levels(root: Column) -> Column:
+    """All nodes of a tree as (node, parent, depth, negate, variant), a child's name being its parent's and its place.
+
+    ``negate``: the parent is NOT, or an implication of which it is the first.
+    """
+
+    def made(node: Column, parent: Column, depth: int, negate: Column, variant: Column) -> Column:
+        return F.struct(node.alias("node"), parent.alias("parent"), F.lit(depth).alias("depth"), negate.alias("negate"), variant.alias("variant"))
+
+    top = made(F.lit("0"), F.lit(None).cast("string"), 1, F.lit(False), root)
+    levels = [F.when(root.isNotNull() & (F.schema_of_variant(root) != "VOID"), F.array(top)).otherwise(F.filter(F.array(top), lambda _: F.lit(False)))]
+
+    def below(depth: int):
+        def children_of(n: Column) -> Column:
+            logic = F.coalesce(_get(n["variant"], "$.logic", "string"), F.lit(""))
+            children = F.coalesce(_get(n["variant"], "$.children", "array<variant>"), F.array().cast("array<variant>"))
+            return F.transform(children, lambda c, i: made(F.concat(n["node"], F.lit("."), i.cast("string")), n["node"], depth, (logic == "NOT") | ((logic == "IMPLIES") & (i == 0)), c))
+
+        return children_of
+
+    for depth in range(2, MAX_DEPTH + 1):
+        levels.append(F.flatten(F.transform(levels[-1], below(depth))))
+    return F.concat(*levels)
+
+
 def _is_group(n: Column) -> Column:
     return _get(n, "$.logic", "variant").isNotNull() | _get(n, "$.children", "variant").isNotNull()
 
@@ -71,7 +96,7 @@ def _kind(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
-def _is_number(v: Column) -> Column:
+def is_number(v: Column) -> Column:
     return _kind(v).rlike(r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)")
 
 
@@ -134,7 +159,7 @@ def check(rules: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame
             "__evidence": F.coalesce(_get(v, "$.required_evidence", _EVIDENCE), F.array().cast(_EVIDENCE)),
             "__exceptions": F.coalesce(_get(v, "$.exception", _EXCEPTIONS), F.array().cast(_EXCEPTIONS)),
             "__stated_severity": _get(v, "$.severity", "variant"),
-            "__confidence": F.when(_is_number(_get(v, "$.confidence", "variant")), _get(v, "$.confidence", "double")),
+            "__confidence": F.when(is_number(_get(v, "$.confidence", "variant")), _get(v, "$.confidence", "double")),
             "action": F.btrim(F.regexp_replace(F.lower(F.trim(_get(v, "$.action", "string"))), "[^a-z0-9]+", "_"), F.lit("_")),
             "__said": _get(v, "$.ambiguities", "variant"),
             "__entity": _name(_get(v, "$.entity", "string")),
@@ -222,8 +247,8 @@ def check(rules: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame
 
     # Numbers that a rule uses must be stated.
     def numbers(x: Column) -> Column:
-        one = F.when(_is_number(x["value"]), F.array(_get(x["value"], "$", "double")))
-        several = F.transform(F.filter(F.coalesce(_get(x["value"], "$", "array<variant>"), F.array().cast("array<variant>")), _is_number), lambda i: _get(i, "$", "double"))
+        one = F.when(is_number(x["value"]), F.array(_get(x["value"], "$", "double")))
+        several = F.transform(F.filter(F.coalesce(_get(x["value"], "$", "array<variant>"), F.array().cast("array<variant>")), is_number), lambda i: _get(i, "$", "double"))
         return F.coalesce(one, several)
 
     counts = F.transform(F.filter("evidence", lambda e: e["min_count"] > 1), lambda e: e["min_count"].cast("double"))
@@ -247,7 +272,7 @@ def check(rules: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame
         "severity_unclear": F.col("severity_source") == "ambiguous",
     }
     singles = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in more.items()], F.when(vague.isNotNull(), F.concat(F.lit("vague: "), vague))))
-    unitless = F.transform(F.filter("leaves", lambda x: x["op"].isin(*ORDERING) & _is_number(x["value"]) & x["unit"].isNull()), lambda x: F.concat(F.lit("no_unit: "), x["entity"], F.lit("."), x["field"]))
+    unitless = F.transform(F.filter("leaves", lambda x: x["op"].isin(*ORDERING) & is_number(x["value"]) & x["unit"].isNull()), lambda x: F.concat(F.lit("no_unit: "), x["entity"], F.lit("."), x["field"]))
     discarded = F.col("__severity").isNotNull() & (F.col("severity_source") == "schema_default")
     issues = F.concat(unitless, F.array_compact(F.array(F.when(discarded, F.lit("severity_discarded")), F.when(F.col("__timing"), F.lit("timing_on_evidence")), F.when(F.col("__retype"), F.lit("retyped_as_trigger")))))
     rows = rows.withColumns({"ambiguities": F.array_distinct(F.concat(said, unstated, found, singles)), "issues": issues})

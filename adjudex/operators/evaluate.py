@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from adjudex.functions import scalars as S
 
-from .rules import OPERATORS, SEVERITIES, Evidence, Facts, Leaf, Rule, absent_facts, condition_column, leaf_column, leaves, render, sorted_names, temporal_column
+from .rules import OPERATORS, ORDERING, SEVERITIES, Evidence, Facts, Leaf, Rule, absent_facts, condition_column, is_date, leaf_column, leaves, render, sorted_names, temporal_column
 
 #: Of a policy's decision, the verdict that decides first.
 DECISIONS = (("VIOLATION", "NON_COMPLIANT"), ("ACTION_REQUIRED", "ACTION_REQUIRED"), ("INDETERMINATE", "INDETERMINATE"), ("COMPLIANT", "COMPLIANT"))
@@ -255,7 +255,13 @@ def _leaf_values(met: DataFrame) -> Column:
     inside = F.when(F.coalesce(F.col("inclusive"), F.lit(True)), (x >= F.col("low")) & (x <= F.col("high"))).otherwise((x > F.col("low")) & (x < F.col("high")))
     held = F.contains(S.normal_text(raw), S.normal_text(F.col("text")))
     there = S.present(raw)
-    tests = {">": x > n, ">=": x >= n, "<": x < n, "<=": x <= n, "==": equal, "!=": ~equal, "in": listed, "not_in": ~listed, "between": inside, "not_between": ~inside, "contains": held, "not_contains": ~held}
+    # A threshold that is no number is a date's text (``_rule_table`` sees to it).
+    at, limit = S.as_timestamp(raw), S.as_timestamp(F.col("text"))
+
+    def than(number: Column, moment: Column) -> Column:
+        return F.when(n.isNotNull(), number).otherwise(moment)
+
+    tests = {">": than(x > n, at > limit), ">=": than(x >= n, at >= limit), "<": than(x < n, at < limit), "<=": than(x <= n, at <= limit), "==": equal, "!=": ~equal, "in": listed, "not_in": ~listed, "between": inside, "not_between": ~inside, "contains": held, "not_contains": ~held}
     value = reduce(lambda a, kv: a.when(op == kv[0], F.when(there, kv[1])), tests.items(), F.when(op == "exists", there).when(op == "not_exists", ~there))
     return value
 
@@ -271,6 +277,8 @@ def _rule_table(nodes: DataFrame) -> tuple[list[tuple], str]:
         children.setdefault((r["rule_id"], r["parent_id"]), []).append(r)
         if r["logic"] is None and r["op"] not in OPERATORS:
             raise ValueError(f"unknown operator {r['op']}")
+        if r["op"] in ORDERING and r["number"] is None and not is_date(r["text"]):
+            raise ValueError(f"{r['text']!r} is neither a number nor a date")
         own = sorted(children.get((r["rule_id"], r["node_id"]), []), key=lambda c: c["node_id"])
         worth = []
         for i, c in enumerate(own):
@@ -289,7 +297,9 @@ def evaluate_tabular(facts: DataFrame, nodes: DataFrame, key: str = "subject_id"
     ``nodes``: rule_id, node_id, parent_id (NULL at the root), depth (root 1),
     logic (AND, OR, NOT, IMPLIES; NULL for a leaf; an implication's first child
     is that of the smaller id), path, op (all of the rule language's), number,
-    text, and where used items (array of text), low, high, inclusive. ``facts``:
+    text (for an ordering, a date's, if there is no number), and where used items
+    (array of text), low, high, inclusive. Typed rules with units, booleans and
+    evidence are ``ruletables``. ``facts``:
     key, path, raw. Facts meet leaves in an equi join on the path, so a subject's
     rows are its facts, not all leaves; each depth is folded into its parents by
     a Kleene aggregate, at most ``max_depth`` times, where children that a
@@ -300,7 +310,8 @@ def evaluate_tabular(facts: DataFrame, nodes: DataFrame, key: str = "subject_id"
     """
     own = ["rule_id", "node_id", "parent_id", "depth"]
     table = facts.sparkSession.createDataFrame(*_rule_table(nodes))
-    met = facts.select(key, "path", "raw").join(F.broadcast(table.filter("logic is null")), "path")
+    # Rows that repeat a subject's path count once; of unlike values the least text is taken.
+    met = facts.groupBy(key, "path").agg(F.min("raw").alias("raw")).join(F.broadcast(table.filter("logic is null")), "path")
     level = met.select(key, *own, "negate", "fallback", _leaf_values(met).alias("value"))
     roots = level.filter("parent_id is null").select(key, "rule_id", "value")
     inner = F.broadcast(table.filter("logic is not null").select("rule_id", F.col("node_id").alias("parent_id"), "logic", "n", "n_true", "n_false"))

@@ -56,35 +56,68 @@ def facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return lines.filter(F.col("text").rlike(r"[:=\d]")).select("id", "line", "text", F.inline(stated)).select("id", "line", "field", "value", "text")
 
 
+#: The kinds of documents in the order in which a relationship names them.
+_KINDS = ("purchase_order", "invoice", "payment", "approval", "reference")
+
+
 def _claims(found: DataFrame) -> DataFrame:
-    """A document's invoice and vendor: the smallest, if it states several."""
-    own = found.filter(F.col("field").isin("invoice", "vendor")).groupBy("id")
-    return own.agg(*[F.min(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in ("invoice", "vendor")])
+    """A document's invoice and vendor, the smallest if it states several, and its kind, the identifying field that it states first."""
+    own = {f: F.min(F.when(F.col("field") == f, F.col("value"))) for f in ("invoice", "vendor")}
+    rank = F.array_position(F.array(*map(F.lit, IDENTIFYING)), F.col("field"))
+    kind = F.min_by("field", F.when(rank > 0, F.struct("line", rank)))
+    return found.groupBy("id").agg(*[c.alias(n) for n, c in own.items()], kind.alias("kind"))
 
 
-def links(found: DataFrame) -> DataFrame:
-    """(a, b, identifier, status, relationship, conflicts, score) from the facts of documents.
+def link_classes(found: DataFrame) -> DataFrame:
+    """(value, field, vendor, id, invoice, kind, rep, n): what documents state an identifier, in classes of one field and vendor.
+
+    ``rep`` is a class's smallest document (id, invoice, kind), ``n`` its size.
+    Two documents of an identifier agree unless their vendors are known and
+    differ, so classes and their vendors hold all of its links.
+    """
+    found = graph.cut(found.filter(F.col("field").isin(*IDENTIFYING, "vendor")).select("id", "line", "field", "value"))
+    stated = found.filter(F.col("field").isin(*IDENTIFYING)).select("value", "field", "id").distinct().join(_claims(found), "id")
+    stated = stated.withColumn("of", F.coalesce("vendor", F.lit("")))
+    # A table of its own, so that a class of very many documents can be split in the join.
+    reps = graph.cut(stated.groupBy("value", "field", "of").agg(F.min(F.struct("id", "invoice", "kind")).alias("rep"), F.count("*").alias("n")))
+    return stated.join(reps, ["value", "field", "of"]).drop("of")
 
-    ``a`` is the smallest document that states the identifier. EXPLICIT where
-    both state it as the same field, CONFLICTING where they then name different
-    vendors (``conflicts``: the fields that differ), WEAK where it is another
-    field in each. Rows number as the mentions do. The facts it needs, far
-    smaller than the texts, are stored once.
+
+def links(found: DataFrame) -> DataFrame:
+    """(a, b, identifier, status, relationship, conflicts, score) from the facts of documents, ``a`` being the smaller id.
+
+    An identifier's documents fall into classes by the field that states it and
+    by vendor (``link_classes``). In a class each is EXPLICIT with the smallest.
+    Of an identifier's classes of one field, that without a vendor is EXPLICIT
+    with each other one, and those of unlike vendors are CONFLICTING: the class
+    of the smallest document with each other, by their smallest documents
+    (``conflicts``: what differs; any two of these classes conflict alike).
+    Where it is another field in each, the fields' smallest documents are WEAK.
+    So rows number as the mentions do, documents that agree are tied whatever
+    others say, and nothing is paired. A relationship names the kinds of both
+    documents.
     """
-    found = graph.cut(found.filter(F.col("field").isin(*IDENTIFYING, "vendor")).select("id", "field", "value"))
-    stated = found.filter(F.col("field").isin(*IDENTIFYING)).groupBy("value", "id").agg(F.array_sort(F.collect_set("field")).alias("fields"))
-    hub = stated.groupBy("value").agg(F.min_by(F.struct("id", "fields"), "id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    star = stated.join(hub, "value").filter("id <> hub.id").select(F.col("hub.id").alias("a"), F.col("id").alias("b"), "value", F.col("hub.fields").alias("of_a"), "fields")
-    claims = _claims(found)
-    for side in ("a", "b"):
-        star = star.join(claims.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("invoice", "vendor")]), side, "left")
-    differ = F.array_compact(F.array(*[F.when(F.col(f"{c}_a") != F.col(f"{c}_b"), F.lit(c)) for c in ("invoice", "vendor")]))
-    common = F.array_intersect("of_a", "fields")
-    status = graph.link_status(F.size(common) > 0, F.array_contains("conflicts", "vendor"), F.lit(1.0))
+    members = link_classes(found)
+    end = lambda c: F.struct(F.col(f"{c}.id" if c else "id").alias("id"), F.col(f"{c}.invoice" if c else "invoice").alias("invoice"), F.col(f"{c}.kind" if c else "kind").alias("kind"))
+    within = members.filter("id <> rep.id").select("value", F.lit("EXPLICIT").alias("status"), F.col("rep").alias("x"), end("").alias("y"), F.lit(False).alias("other"))
+    classes = graph.cut(members.filter("id = rep.id").select("value", "field", "vendor", "rep"))
+    hubs = classes.groupBy("value", "field").agg(
+        F.min(F.when(F.col("vendor").isNull(), F.col("rep"))).alias("open"), F.min(F.when(F.col("vendor").isNotNull(), F.col("rep"))).alias("first"), F.min("rep").alias("rep")
+    )
+    named = classes.filter("vendor is not null").drop("rep").join(classes.select("value", "field", "vendor", "rep"), ["value", "field", "vendor"]).join(graph.cut(hubs).drop("rep"), ["value", "field"])
+    agreeing = named.filter("open is not null").select("value", F.lit("EXPLICIT").alias("status"), F.col("open").alias("x"), F.col("rep").alias("y"), F.lit(False).alias("other"))
+    unlike = named.filter("rep.id <> first.id").select("value", F.lit("CONFLICTING").alias("status"), F.col("first").alias("x"), F.col("rep").alias("y"), F.lit(True).alias("other"))
+    across = hubs.join(hubs.groupBy("value").agg(F.min(F.struct("rep", "field")).alias("hub")), "value").filter("field <> hub.field and rep.id <> hub.rep.id")
+    weak = across.select("value", F.lit("WEAK").alias("status"), F.col("hub.rep").alias("x"), F.col("rep").alias("y"), F.lit(False).alias("other"))
+    every = within.unionByName(agreeing).unionByName(unlike).unionByName(weak)
+    a, b = F.least("x", "y"), F.greatest("x", "y")
+    rank = F.array(*map(F.lit, _KINDS))
+    ends = [F.array_sort(F.array(*[F.struct(F.array_position(rank, F.col(c)["kind"]).alias("r"), F.upper(F.col(c)["kind"]).alias("k")) for c in "ab"]))[i]["k"] for i in (0, 1)]
+    differ = F.array_compact(F.array(F.when(F.col("a.invoice") != F.col("b.invoice"), F.lit("invoice")), F.when(F.col("other"), F.lit("vendor"))))
     score = F.when(F.col("status") == "EXPLICIT", 1.0).when(F.col("status") == "CONFLICTING", 0.5).otherwise(0.25)
-    ends = [F.upper(F.coalesce(F.get(common, F.lit(0)), F.get(c, F.lit(0)))) for c in ("of_a", "fields")]
-    rows = star.withColumn("conflicts", differ).withColumn("status", status).withColumn("relationship", F.concat_ws("_TO_", *ends))
-    return rows.select("a", "b", F.col("value").alias("identifier"), "status", "relationship", "conflicts", score.alias("score"))
+    rows = every.select("value", "status", "other", a.alias("a"), b.alias("b"))
+    rows = rows.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("value").alias("identifier"), "status", F.concat_ws("_TO_", *ends).alias("relationship"), differ.alias("conflicts"), score.alias("score"))
+    return rows.dropDuplicates(["a", "b", "identifier", "status"])
 
 
 def similar_links(pairs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -105,8 +138,12 @@ def nodes_and_edges(found: DataFrame, linked: DataFrame) -> tuple[DataFrame, Dat
 
 
 def traversable(linked: DataFrame, barred: DataFrame | None = None) -> DataFrame:
-    """(identifier, id): who may be reached through which identifier, by EXPLICIT links only; ``barred`` ids (policy documents) by none."""
-    good = linked.filter("status = 'EXPLICIT'")
+    """(identifier, id): who may be reached through which identifier, by EXPLICIT links only; ``barred`` ids (policy documents) by none.
+
+    An identifier that unlike vendors share counts once for each of their classes, named by its smallest document.
+    """
+    own = F.concat_ws("|", "identifier", F.col("a").cast("string")).alias("identifier")
+    good = linked.filter("status = 'EXPLICIT'").select(own, "a", "b")
     members = good.select("identifier", F.col("a").alias("id")).unionByName(good.select("identifier", F.col("b").alias("id"))).distinct()
     return members if barred is None else members.join(barred.select("id").distinct(), "id", "left_anti").select("identifier", "id")
 

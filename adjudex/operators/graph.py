@@ -6,6 +6,9 @@ wording here are our choice.
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -58,8 +61,17 @@ def missing_references(references: DataFrame, supplied: DataFrame, key: str) ->
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The table, with its lineage cut in the folder of ``spark.checkpoint.dir``; as it is where that is unset."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", "") else df
+    """The table, with its lineage cut in the folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder is set if everything runs in one
+    process, as in tests; on a cluster that raises ``RuntimeError``.
+    """
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
 
 
 def traverse(edges: DataFrame, seeds: DataFrame, max_hops: int = 5) -> DataFrame:
@@ -127,12 +139,22 @@ def amounts_match(transactions: DataFrame, reference: str, amount: str) -> DataF
     return g.select(reference, F.when(F.col("n") < 2, "INCONCLUSIVE").when(F.col("lo") == F.col("hi"), "SATISFIED").otherwise("VIOLATION").alias("verdict"))
 
 
-def approval_evidence(text: Column) -> Column:
-    """The type of evidence that a text is of approval, with its timing: written_approval, before_payment or after_payment; NULL if it denies it or names none."""
-    said = text.rlike(r"(?i)\b(written approval|approved in writing|approval)\b.{0,80}\b(granted|given|obtained|signed|attached)\b|\b(approved)\b")
-    denied = text.rlike(r"(?i)\b(no|not|without|never|pending|refused|denied)\b.{0,40}\b(approv\w+)\b|\bapproval\b.{0,40}\b(pending|refused|denied|not)\b")
-    timing = F.when(text.rlike(r"(?i)\bbefore (the )?payment\b|\bprior to (the )?payment\b"), "before_payment").when(text.rlike(r"(?i)\bafter (the )?payment\b"), "after_payment").otherwise("unstated")
-    return F.when(said & ~denied, F.struct(F.lit("written_approval").alias("type"), timing.alias("timing")))
+def approval_evidence(text: Column, role: str | None = None) -> Column:
+    """A text's evidence of written approval (type, timing: before_payment, after_payment or unstated); NULL if it has none.
+
+    With ``role`` the approval must be that person's: named after it (``approval
+    from the ...``) or before it (``... approved in writing``) in one sentence.
+    A bare "approved" is no written approval, and a sentence that denies it or
+    says that nobody gave it is none; timing is that sentence's.
+    """
+    who = r"[^.;]{0,60}?" if role is None else rf"(?:the\s+)?{re.escape(role)}\b"
+    given = rf"\bwritten\s+approval\s+(?:from|by|of)\s+{who}" if role else r"\bwritten\s+approval\b"
+    wrote = rf"\b{re.escape(role)}\s+(?:has\s+)?approved\b[^.;]*\bin\s+writing\b" if role else r"\bapproved\b[^.;]*\bin\s+writing\b"
+    denied = r"(?i)\b(no|not|nobody|none|never|without|pending|refused|denied|rejected|missing|lacks?)\b"
+    said = F.filter(F.split(text, r"(?<=[.;])\s+|\n"), lambda s: s.rlike(f"(?i)({given}|{wrote})") & ~s.rlike(denied))
+    first = F.get(said, 0)
+    timing = F.when(first.rlike(r"(?i)\b(before|prior to) (the )?payment\b"), "before_payment").when(first.rlike(r"(?i)\bafter (the )?payment\b"), "after_payment").otherwise("unstated")
+    return F.when(first.isNotNull(), F.struct(F.lit("written_approval").alias("type"), timing.alias("timing")))
 
 
 def grounding(claim: Column, evidence: Column, located: Column, heuristic: Column) -> Column:

@@ -8,13 +8,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adjudex.functions import scalars as S
 from adjudex.functions import stats, textlint
 from adjudex.operators import evaluate as E
-from adjudex.operators import cases, compiler, evidence, graph, metrics, perturb, sessions, validate
+from adjudex.operators import cases, compiler, evidence, graph, metrics, perturb, ruletables, sessions, validate
 from adjudex.operators.rules import Evidence, Exemption, Facts, Group, Leaf, Rule, Temporal, condition_column, leaf_column, temporal_column
 from adjudex.streaming import interview
 
@@ -450,6 +450,43 @@ def policy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compiler.compile_policies(_policies(spark, sf_dir))[1].select("policy_id", "status", "extracted", "valid", "rejected")
 
 
+_RULES_SQL = """WITH p AS (SELECT p_partkey, p_partkey % 5 AS form, p_size FROM part),
+    a AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+    l AS (SELECT l_orderkey, bool_and(l_returnflag <> 'R') AS timely FROM lineitem GROUP BY l_orderkey),
+    v AS (SELECT o_orderkey, CASE
+        WHEN form IN (0, 1) THEN CASE WHEN o_totalprice <= p_size * 1000 + form THEN 'NOT_APPLICABLE' WHEN o_orderpriority = '1-URGENT' THEN 'COMPLIANT' ELSE 'VIOLATION' END
+        WHEN form = 2 THEN CASE WHEN o_orderstatus = 'P' THEN 'INDETERMINATE' WHEN timely THEN 'COMPLIANT' ELSE 'VIOLATION' END
+        ELSE CASE WHEN o_orderkey % 50 + 1 = p_size THEN 'VIOLATION' ELSE 'COMPLIANT' END END AS verdict
+        FROM a JOIN p ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN l USING (l_orderkey) WHERE form <> 3)
+    SELECT o_orderkey AS subject_id, count(*) FILTER (verdict = 'VIOLATION') AS n_violation, count(*) FILTER (verdict = 'COMPLIANT') AS n_compliant,
+        count(*) FILTER (verdict = 'NOT_APPLICABLE') AS n_not_applicable, count(*) FILTER (verdict = 'INDETERMINATE') AS n_indeterminate,
+        CASE WHEN count(*) FILTER (verdict = 'VIOLATION') > 0 THEN 'NON_COMPLIANT' WHEN count(*) FILTER (verdict = 'INDETERMINATE') > 0 THEN 'INDETERMINATE'
+        WHEN count(*) FILTER (verdict = 'COMPLIANT') > 0 THEN 'COMPLIANT' ELSE 'NOT_APPLICABLE' END AS decision
+    FROM v GROUP BY o_orderkey"""
+
+
+@query(_RULES_SQL)
+def compiled_rule_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order against the compiled policies of the parts that it contains: from the model's answers to decisions, all as tables."""
+    rules, _ = compiler.compile_policies(_policies(spark, sf_dir))
+    tables = ruletables.rule_tables(graph.cut(rules))
+    orders, lines = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
+    applies = lines.select(F.col("l_orderkey").alias("subject_id"), F.concat(F.lit("P-"), F.col("l_partkey").cast("string")).alias("policy_id"))
+
+    def fact(name: str, raw: Column) -> Column:
+        return F.struct(F.lit(name).alias("fact"), raw.alias("raw"))
+
+    timely = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.when(F.bool_and(F.col("l_returnflag") != "R"), "yes").otherwise("no").alias("timely"))
+    own = [
+        fact("order.total", F.concat(F.format_number("o_totalprice", 2), F.lit(" USD"))), fact("shipment.timely", F.when(F.col("o_orderstatus") != "P", F.col("timely"))),
+        fact("part.size", (F.col("o_orderkey") % 50 + 1).cast("string")),
+    ]
+    facts = orders.join(timely, "o_orderkey").select(F.col("o_orderkey").alias("subject_id"), F.inline(F.array(*own))).filter("raw is not null")
+    reviewed = orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("subject_id"), F.lit("Legal review").alias("type"), F.create_map(F.lit("by"), F.lit("counsel")).alias("attrs"))
+    verdicts = ruletables.evaluate_rules(applies, tables, facts, reviewed, include_needs_review=True)
+    return E.decide(verdicts, "subject_id").select("subject_id", "n_violation", "n_compliant", "n_not_applicable", "n_indeterminate", "decision")
+
+
 @query(
     """WITH p AS (SELECT n_nationkey, (n_nationkey * 37 % 25 + 1) / 500.0 AS p FROM nation), r AS (SELECT *, row_number() OVER (ORDER BY p, n_nationkey) AS k, count(*) OVER () AS m FROM p)
     SELECT n_nationkey, round(max(least(1.0, (m - k + 1) * p)) OVER (ORDER BY p, n_nationkey ROWS UNBOUNDED PRECEDING), 9) AS p_adjusted FROM r"""
@@ -611,9 +648,23 @@ def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT 'c' || c_custkey AS a, 'i' || o_orderkey AS b, 'PO' || c_custkey AS identifier, CASE WHEN o_orderkey % 5 = 0 THEN 'CONFLICTING' ELSE 'EXPLICIT' END AS status,
-        'PURCHASE_ORDER_TO_PURCHASE_ORDER' AS relationship, CASE WHEN o_orderkey % 5 = 0 THEN 'vendor' ELSE '' END AS conflicts FROM orders JOIN customer ON o_custkey = c_custkey
-    UNION ALL SELECT 'a' || o_orderkey, 'i' || o_orderkey, 'APR' || o_orderkey, 'EXPLICIT', 'APPROVAL_TO_APPROVAL', '' FROM orders WHERE o_orderkey % 3 = 0"""
+    """WITH m AS (
+        SELECT 'PO' || c_custkey AS v, 'c' || c_custkey AS id, 'firm' || c_custkey AS vendor, 1 AS kind, NULL AS invoice FROM customer
+        UNION ALL SELECT 'PO' || o_custkey, 'i' || o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'other' ELSE 'firm' || o_custkey END, 2, o_orderkey FROM orders
+        UNION ALL SELECT 'APR' || o_orderkey, 'i' || o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'other' ELSE 'firm' || o_custkey END, 2, o_orderkey FROM orders
+        UNION ALL SELECT 'APR' || o_orderkey, 'a' || o_orderkey, NULL, 3, NULL FROM orders WHERE o_orderkey % 3 = 0),
+    p AS (
+        SELECT x.v, x.id AS a, y.id AS b, x.vendor IS NOT NULL AND y.vendor IS NOT NULL AND x.vendor <> y.vendor AS unlike, x.invoice <> y.invoice AS other_invoice,
+            x.vendor IS NOT DISTINCT FROM y.vendor AS same, least(x.kind, y.kind) AS k1, greatest(x.kind, y.kind) AS k2
+        FROM m x JOIN m y ON x.v = y.v AND x.id < y.id),
+    f AS (SELECT v, vendor, min(id) AS id FROM m GROUP BY v, vendor),
+    g AS (SELECT v, min(id) AS id FROM f WHERE vendor IS NOT NULL GROUP BY v)
+    SELECT a, b, p.v AS identifier, CASE WHEN unlike THEN 'CONFLICTING' ELSE 'EXPLICIT' END AS status,
+        CASE k1 WHEN 1 THEN 'PURCHASE_ORDER' WHEN 2 THEN 'INVOICE' ELSE 'APPROVAL' END || '_TO_' || CASE k2 WHEN 1 THEN 'PURCHASE_ORDER' WHEN 2 THEN 'INVOICE' ELSE 'APPROVAL' END AS relationship,
+        concat_ws(',', CASE WHEN other_invoice THEN 'invoice' END, CASE WHEN unlike THEN 'vendor' END) AS conflicts
+    FROM p WHERE CASE WHEN same THEN EXISTS (SELECT 1 FROM f WHERE f.v = p.v AND f.id = p.a)
+        WHEN unlike THEN EXISTS (SELECT 1 FROM g WHERE g.v = p.v AND g.id IN (p.a, p.b)) AND EXISTS (SELECT 1 FROM f WHERE f.v = p.v AND f.id = p.a) AND EXISTS (SELECT 1 FROM f WHERE f.v = p.v AND f.id = p.b)
+        ELSE EXISTS (SELECT 1 FROM f WHERE f.v = p.v AND f.id = p.a) AND EXISTS (SELECT 1 FROM f WHERE f.v = p.v AND f.id = p.b) END"""
 )
 def evidence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = evidence.links(evidence.facts(_papers(spark, sf_dir)))

@@ -120,3 +120,65 @@ def test_predictions_and_what_is_skipped(spark):
     assert ("d", "INSUFFICIENT_EVIDENCE") in rows(asked, "case_id", "predicted_decision")
     proof = spark.createDataFrame([("a", "compiled", True), ("f", "compiled", False)], "case_id string, component string, used boolean")
     assert rows(cases.compiled_only(done, proof), "case_id") == [("a",)] and rows(cases.pilot(records, 2), "case_id") == [("a",), ("b",)]
+
+
+def test_documents_that_agree_are_tied_whatever_a_third_says(spark):
+    docs = papers(spark, a="Invoice No: INV-1\nPO Number: PO-77\nVendor: Acme Supplies\n", b="Invoice No: INV-2\nPO Number: PO-77\nVendor: Globex Corp\n", c="PO Number: PO-77\nVendor: Globex\n")
+    got = evidence.links(evidence.facts(docs))
+    want = [("a", "b", "CONFLICTING", ["invoice", "vendor"]), ("b", "c", "EXPLICIT", [])]
+    assert rows(got, "a", "b", "status", "conflicts") == want
+    members = evidence.traversable(got)
+    assert rows(evidence.explore(members, spark.createDataFrame([("b",)], "id string"), 2), "id") == [("b",), ("c",)]
+
+
+def test_links_are_those_of_pairs(spark):
+    import itertools
+    import random
+
+    r = random.Random(4)
+    texts, vendor, po = {}, {}, {}
+    for i in range(60):
+        k = f"d{i:02d}"
+        vendor[k], po[k] = r.choice(["Elm", "Oak", "Ash", None]), r.randint(1, 9)
+        texts[k] = f"PO Number: PO-{po[k]}\n" + (f"Vendor: {vendor[k]}\n" if vendor[k] else "")
+    got = evidence.links(evidence.facts(papers(spark, **texts))).collect()
+    tied = {(x["a"], x["b"]): x["status"] for x in got}
+
+    def agree(x, y):
+        return po[x] == po[y] and (vendor[x] is None or vendor[y] is None or vendor[x] == vendor[y])
+
+    def groups(pairs):
+        label = {k: k for k in texts}
+        for _ in range(len(texts)):
+            for x, y in pairs:
+                label[x] = label[y] = min(label[x], label[y])
+        return label
+
+    assert all((status == "EXPLICIT") == agree(*pair) and po[pair[0]] == po[pair[1]] for pair, status in tied.items())
+    assert groups([p for p, s in tied.items() if s == "EXPLICIT"]) == groups([p for p in itertools.combinations(texts, 2) if agree(*p)])
+    classes = evidence.link_classes(evidence.facts(papers(spark, **texts)))
+    assert {x["id"] for x in classes.collect()} == set(texts)
+
+
+def test_a_relationship_names_the_kinds_of_documents(spark):
+    got = evidence.links(evidence.facts(papers(spark, a=INVOICE, b=ORDER, c=APPROVAL)))
+    assert rows(got, "a", "b", "relationship") == [("a", "b", "PURCHASE_ORDER_TO_INVOICE"), ("b", "c", "PURCHASE_ORDER_TO_APPROVAL")]
+
+
+def test_written_approval_needs_its_approver(spark):
+    role = "Director of Finance"
+    texts = {
+        "Attachment: written approval from the Director of Finance, dated before payment.": ("written_approval", "before_payment"),
+        "Attachment: written approval from the Director of Finance, dated after payment.": ("written_approval", "after_payment"),
+        "Attachment: written approval from the Manager, dated before payment. The Director of Finance was copied.": None,
+        "No written approval from the Director of Finance was attached, dated before payment.": None,
+        "The vendor approved the invoice.": None,
+        "Nobody approved this.": None,
+        "The Director of Finance approved it in writing.": ("written_approval", "unstated"),
+        "Purchased for $3,400.": None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["e"] and tuple(r["e"]) for r in df.select("t", graph.approval_evidence(F.col("t"), role).alias("e")).collect()}
+    assert got == texts
+    anyone = {r["t"]: r["e"] is not None for r in df.select("t", graph.approval_evidence(F.col("t")).alias("e")).collect()}
+    assert [anyone[t] for t in texts] == [True, True, True, False, False, False, True, False]
