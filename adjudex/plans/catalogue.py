@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from adjudex.functions import scalars as S
 from adjudex.functions import stats, textlint
 from adjudex.operators import evaluate as E
-from adjudex.operators import cases, compiler, evidence, graph, metrics, perturb, ruletables, sessions, validate
+from adjudex.operators import cases, compiler, contradictions, evidence, graph, metrics, perturb, ruletables, sessions, similar, validate
 from adjudex.operators.rules import Evidence, Exemption, Facts, Group, Leaf, Rule, Temporal, condition_column, leaf_column, temporal_column
 from adjudex.streaming import interview
 
@@ -647,6 +647,54 @@ def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bought.unionByName(billed).unionByName(agreed)
 
 
+@query(
+    r"""WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')), ' '), lambda x: x <> ''))) AS s FROM documents),
+    r AS (SELECT min(doc_id) AS rep, s, len(s) AS n FROM w WHERE len(s) > 0 GROUP BY s),
+    e AS (SELECT rep, n, unnest(s) AS word FROM r),
+    p AS (SELECT x.rep AS a, y.rep AS b, x.n AS na, y.n AS nb, count(*) AS common FROM e x JOIN e y ON x.word = y.word AND x.rep < y.rep GROUP BY ALL)
+    SELECT a, b, 'WEAK' AS status, common, round(common / (na + nb - common), 9) AS score FROM p WHERE common >= 0.8 * (na + nb - common) - 1e-9"""
+)
+def doc_semantic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of unlike documents of which four fifths of the words are the same."""
+    found, _ = similar.semantic_links(_t(spark, sf_dir, "documents").select("doc_id", "text"), 0.8)
+    return found.select("a", "b", "status", "common", F.round("score", 9).alias("score"))
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey AS k, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS total, max(CAST(round(l_extendedprice * 100) AS BIGINT)) AS most, count(*) AS n,
+            min(CAST(l_shipdate AS DATE)) AS shipped FROM lineitem GROUP BY l_orderkey),
+    d AS (SELECT o_orderkey AS k, o_orderkey % 3 = 0 AS more, o_orderpriority, CAST(o_orderdate AS DATE) AS ordered, l.* EXCLUDE (k) FROM orders JOIN l ON l.k = o_orderkey),
+    f AS (
+        SELECT 'i' || k AS a, 'l' || k AS b, 'total' AS name, CASE WHEN NOT more THEN 'CONSISTENT' WHEN (total + 100000 - most) / (total + 100000) <= 0.01 THEN 'MINOR_CONTRADICTION' ELSE 'MAJOR_CONTRADICTION' END AS category, NULL AS difference FROM d
+        UNION ALL SELECT 'i' || k, 'l' || k, 'day', CASE abs(date_diff('day', ordered, shipped)) WHEN 0 THEN 'CONSISTENT' WHEN 1 THEN 'MINOR_CONTRADICTION' ELSE 'MAJOR_CONTRADICTION' END, NULL FROM d
+        UNION ALL SELECT 'i' || k, 'p' || k, 'total', CASE WHEN o_orderpriority = '1-URGENT' THEN 'MAJOR_CONTRADICTION' WHEN o_orderpriority = '2-HIGH' THEN 'CONSISTENT' ELSE 'UNRESOLVED' END,
+            CASE WHEN o_orderpriority = '2-HIGH' THEN 'partial_payment' END FROM d)
+    SELECT * FROM f"""
+)
+def contradiction_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's invoice against its lines, which should add up to it (every third is billed more), and against a payment of too much or of a part."""
+    orders, lines = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    by_order = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(cents).alias("items"), F.sum(cents).alias("total"), F.min("l_shipdate").alias("shipped"))
+    both = graph.cut(orders.select("o_orderkey", "o_orderdate", "o_orderpriority").join(by_order, "o_orderkey"))
+    key, billed = F.col("o_orderkey").cast("string"), F.col("total") + F.when(F.col("o_orderkey") % 3 == 0, 100000).otherwise(0)
+    ids = {letter: F.concat(F.lit(letter), key) for letter in "ilp"}
+    links = both.select(F.explode(F.array(*[F.struct(ids["i"].alias("a"), ids[x].alias("b")) for x in "lp"])).alias("x")).select("x.*", F.lit("EXPLICIT").alias("status"))
+
+    def claim(letter: str, name: str, field: str, values: Column, settles: bool = False) -> Column:
+        says = F.lit(settles) & (F.col("o_orderpriority") == "2-HIGH")
+        return F.struct(ids[letter].alias("id"), F.lit(name).alias("name"), F.lit(field).alias("field"), values.alias("values"), F.lit(settles).alias("settles"), says.alias("says_partial"))
+
+    paid = F.when(F.col("o_orderpriority") == "1-URGENT", billed + 500000).otherwise(F.floor(billed / 2))
+    texts = lambda *c: F.array(*[x.cast("string") for x in c])
+    made = [
+        claim("i", "total", "amount", texts(billed)), claim("l", "total", "amount", F.transform("items", lambda x: x.cast("string"))), claim("p", "total", "amount", texts(paid), True),
+        claim("i", "day", "date", texts(F.col("o_orderdate").cast("date"))), claim("l", "day", "date", texts(F.col("shipped").cast("date"))),
+    ]
+    found = contradictions.findings(links, both.select(F.inline(F.array(*made))))
+    return found.select("a", "b", "name", "category", "difference")
+
+
 @query(
     """WITH m AS (
         SELECT 'PO' || c_custkey AS v, 'c' || c_custkey AS id, 'firm' || c_custkey AS vendor, 1 AS kind, NULL AS invoice FROM customer
