@@ -140,7 +140,10 @@ FROM e GROUP BY conv_id
 
 _OP11_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (SELECT r, p, md5_number(substr(x, 2 * p + 1, 400)) AS k FROM (SELECT r, x, unnest(range(CAST(length(x) / 2 - 199 AS BIGINT))) AS p FROM d)),
+c AS (SELECT r, 4096 * j AS o, substr(x, 8192 * j + 1, 8590) AS y FROM (SELECT r, x, unnest(range(CAST(ceil(length(x) / 8192) AS BIGINT))) AS j FROM d)),
+w AS (
+  SELECT r, o + i AS p, md5_number(substr(y, 2 * i + 1, 400)) AS k
+  FROM (SELECT r, o, y, unnest(range(least(4096, CAST(length(y) / 2 - 199 AS BIGINT)))) AS i FROM c)),
 f AS (SELECT r, p FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
 g AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM f),
 s AS (SELECT r, min(p) AS a, max(p) + 200 AS b FROM (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS run FROM g) GROUP BY r, run),
