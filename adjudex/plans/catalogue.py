@@ -201,38 +201,46 @@ def sentence_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.count_if(textlint.states_number(F.col("s"))).alias("with_number"))
 
 
-_CLAUSES = (
-    (1, "Expenses over $2,000 must have written approval within 2 weeks.", "high"),
-    (2, "Severity: critical. No employee may share passwords.", "critical"),
-    (3, "Reports should be timely unless exempted.", "medium"),
-    (4, "Discounts between 5% and 20% are of low priority.", "high"),
-    (5, "Severe incidents are escalated in one day.", "high"),
-    (6, "Payments not exceeding 1.5 lakh need no review.", None),
-)
-
-
-def _clauses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_CLAUSES, "clause_id int, clause string, returned string")
+def _clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clause for each part, six forms in turn, with its size in it, and the severity that a model returned for it."""
+    n, form = F.col("p_size"), F.pmod("p_partkey", F.lit(6))
+    even, text = n % 2 == 0, n.cast("string")
+    clause = (
+        F.when(form == 0, F.concat(F.lit("Expenses over $"), F.format_number(n * 1000, 0), F.lit(" must have written approval within "), text, F.lit(" weeks.")))
+        .when(form == 1, "Severity: critical. No employee may share passwords.").when(form == 2, "Reports should be timely unless exempted.")
+        .when(form == 3, F.concat(F.lit("Discounts between "), text, F.lit("% and "), (n + 15).cast("string"), F.lit("% are of low priority.")))
+        .when(form == 4, "Severe incidents are escalated in one day.").otherwise(F.concat(F.lit("Payments not exceeding "), text, F.lit(" lakh need no review.")))
+    )
+    returned = F.when(form == 1, F.when(even, "critical").otherwise("high")).when(form == 2, "medium").when(form == 3, F.when(even, "low").otherwise("high")).when(form.isin(0, 4), "high")
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("clause_id"), clause.alias("clause"), returned.alias("returned"), even.alias("timed"))
 
 
 @query(
-    "SELECT * FROM (VALUES (1, 7, 20160.0), (2, 0, NULL), (3, 0, NULL), (4, 4, 20.0), (5, 6, 1440.0), (6, 2, 150000.0)) AS v(clause_id, n_numbers, largest)"
+    """SELECT p_partkey AS clause_id, CASE p_partkey % 6 WHEN 0 THEN 7 WHEN 3 THEN 4 WHEN 4 THEN 6 WHEN 5 THEN 2 ELSE 0 END AS n_numbers,
+    CAST(CASE p_partkey % 6 WHEN 0 THEN p_size * 7 * 24 * 60 WHEN 3 THEN p_size + 15 WHEN 4 THEN 24 * 60 WHEN 5 THEN p_size * 100000 END AS DOUBLE) AS largest FROM part"""
 )
 def number_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = textlint.numbers_in(F.col("clause"))
-    return _clauses(spark).select("clause_id", F.size(pool).alias("n_numbers"), F.array_max(pool).alias("largest"))
+    return _clauses(spark, sf_dir).select("clause_id", F.size(pool).alias("n_numbers"), F.array_max(pool).alias("largest"))
 
 
-@query("SELECT * FROM (VALUES (1, 'schema_default'), (2, 'policy_stated'), (3, 'schema_default'), (4, 'schema_default'), (5, 'ambiguous'), (6, 'schema_default')) AS v(clause_id, severity_source)")
+@query(
+    """SELECT p_partkey AS clause_id, CASE WHEN p_partkey % 6 IN (1, 3) AND p_size % 2 = 0 THEN 'policy_stated' WHEN p_partkey % 6 = 4 THEN 'ambiguous' ELSE 'schema_default' END AS severity_source
+    FROM part"""
+)
 def severity_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clauses(spark).select("clause_id", textlint.severity_grounding(F.col("returned"), F.col("clause"), F.col("clause")).alias("severity_source"))
+    return _clauses(spark, sf_dir).select("clause_id", textlint.severity_grounding(F.col("returned"), F.col("clause"), F.col("clause")).alias("severity_source"))
 
 
-@query("SELECT * FROM (VALUES (1, 'time_limit_dropped', NULL), (2, 'negation_dropped', 'may'), (3, 'exception_dropped', 'timely'), (4, 'range_dropped', NULL), (5, '', NULL), (6, 'negation_dropped', NULL)) AS v(clause_id, findings, vague)")
+@query(
+    """SELECT p_partkey AS clause_id, CASE p_partkey % 6 WHEN 0 THEN CASE WHEN p_size % 2 = 0 THEN '' ELSE 'time_limit_dropped' END WHEN 1 THEN 'negation_dropped' WHEN 2 THEN 'exception_dropped'
+        WHEN 3 THEN 'range_dropped' WHEN 4 THEN '' ELSE 'negation_dropped' END AS findings,
+    CASE p_partkey % 6 WHEN 1 THEN 'may' WHEN 2 THEN 'timely' END AS vague FROM part"""
+)
 def clause_crosschecks(spark: SparkSession, sf_dir: str) -> DataFrame:
     no = F.lit(False)
-    found = textlint.crosschecks(F.col("clause"), negated=no, excepted=no, timed=no, ranged=no)
-    return _clauses(spark).select("clause_id", F.array_join(found, ",").alias("findings"), textlint.ambiguity(F.col("clause")).alias("vague"))
+    found = textlint.crosschecks(F.col("clause"), negated=no, excepted=no, timed=F.col("timed"), ranged=no)
+    return _clauses(spark, sf_dir).select("clause_id", F.array_join(found, ",").alias("findings"), textlint.ambiguity(F.col("clause")).alias("vague"))
 
 
 @query("WITH h AS (SELECT sha256(text) AS content_hash, source FROM documents) SELECT content_hash, count(*) AS n_rows, count(DISTINCT source) AS n_splits FROM h GROUP BY 1 HAVING count(DISTINCT source) > 1")
@@ -345,10 +353,9 @@ def grouped_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(pred) AS BIGINT) AS predicted, CAST(sum(exp) AS BIGINT) AS expected, round(sum(tp) / sum(pred), 6) AS precision_, round(sum(tp) / sum(exp), 6) AS recall, round(2 * sum(tp) / (sum(pred) + sum(exp)), 6) AS f1 FROM g"""
 )
 def retrieval_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = lambda c: F.collect_list(F.when(F.col(c) == "good", F.col("doc_id")))
-    sets = _scored_labels(spark, sf_dir).groupBy("source").agg(good("expected").alias("e"), good("by_size").alias("p"))
-    o = metrics.set_overlap(F.col("e"), F.col("p"))
-    total = sets.agg(*[F.sum(c).cast("long").alias(n) for n, c in o.items()])
+    e, p = F.col("expected") == "good", F.col("by_size") == "good"
+    counts = _scored_labels(spark, sf_dir).groupBy("source").agg(F.count_if(e & p).alias("tp"), F.count_if(p).alias("predicted"), F.count_if(e).alias("expected"))
+    total = counts.agg(*[F.sum(c).alias(c) for c in ("tp", "predicted", "expected")])
     tp, p, e = F.col("tp"), F.col("predicted"), F.col("expected")
     return total.select(tp, p, e, F.round(metrics.ratio(tp, p), 6).alias("precision_"), F.round(metrics.ratio(tp, e), 6).alias("recall"), F.round(metrics.f1_counts(tp, p, e), 6).alias("f1"))
 
