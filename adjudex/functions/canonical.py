@@ -34,7 +34,7 @@ def quoted(text: Column) -> Column:
 def _double(x: Column) -> Column:
     """The shortest text that reads back as the number, as Python writes it: an exponent below -4 or from 16 on."""
     text = x.cast("string")
-    sign, rest = F.when(text.startswith("-"), "-").otherwise(""), F.ltrim(F.lit("-"), text)
+    sign, rest = F.when(text.startswith("-"), "-").otherwise(""), F.ltrim(text, F.lit("-"))
     exponent = F.split_part(rest, F.lit("E"), F.lit(2)).try_cast("int")
     digits = F.regexp_replace(F.replace(F.split_part(rest, F.lit("E"), F.lit(1)), F.lit("."), F.lit("")), "0+$", "")
     point = exponent + 1
@@ -42,7 +42,7 @@ def _double(x: Column) -> Column:
     whole = F.concat(F.rpad(digits, point, "0"), F.lit(".0"))
     mixed = F.concat(F.left(digits, point), F.lit("."), F.substring(digits, point + 1, F.length(digits)))
     plain = F.when(point <= 0, small).when(F.length(digits) <= point, whole).otherwise(mixed)
-    tail = F.concat(F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    tail = F.concat(F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.when(F.abs(exponent) < 10, "0").otherwise(""), F.abs(exponent).cast("string"))
     head = F.when(F.length(digits) > 1, F.concat(F.left(digits, F.lit(1)), F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise(digits)
     scaled = F.when((exponent < -4) | (exponent >= 16), F.concat(head, tail)).otherwise(plain)
     return F.when(text.contains("E"), F.concat(sign, scaled)).otherwise(text)

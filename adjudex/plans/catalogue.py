@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adjudex.functions import scalars as S
-from adjudex.functions import stats, textlint
+from adjudex.functions import canonical, stats, textlint
 from adjudex.operators import evaluate as E
-from adjudex.operators import cases, compiler, contradictions, evidence, graph, metrics, perturb, ruletables, sessions, similar, validate
+from adjudex.operators import cases, compiler, contradictions, evidence, graph, intervals, metrics, perturb, ruletables, sessions, similar, validate
 from adjudex.operators.rules import Evidence, Exemption, Facts, Group, Leaf, Rule, Temporal, condition_column, leaf_column, temporal_column
-from adjudex.streaming import interview
+from adjudex.streaming import evaluation, interview
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -760,3 +760,79 @@ def decisions_to_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = F.when((F.col("quality") == 0) & (F.col("toxic") == 1), "VIOLATION").when(F.col("quality") == 0, "NO_CONCLUSION").otherwise("SATISFIED")
     verification = F.when(F.col("quality") == 0, "ESCALATE").otherwise("VERIFIED")
     return cases.complete_predictions(rows.select("lang", outcome.alias("outcome"), verification.alias("verification"), (F.col("toxic") == 1).alias("contradiction")), "lang")
+
+
+@query(
+    """WITH e AS (
+        SELECT user_id, epoch_us(ts) AS us, event_type = 'purchase' AND event_id % 5 = 0 AS closes, event_type, event_id, value,
+            CASE event_type WHEN 'click' THEN 15 WHEN 'error' THEN 20 ELSE 0 END AS lost, ['communication', 'technical', 'problem_solving'][event_id % 3 + 1] AS named FROM events),
+    f AS (SELECT *, CASE WHEN us - lag(us) OVER o <= 43200000000 AND NOT lag(closes) OVER o THEN 0 ELSE 1 END AS fresh FROM e WINDOW o AS (PARTITION BY user_id ORDER BY us, closes)),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us, closes ROWS UNBOUNDED PRECEDING) AS episode FROM f),
+    h AS (
+        SELECT user_id, min(us) AS start_us, max(us) AS end_us, CASE WHEN bool_or(closes) THEN 'disconnect' ELSE 'idle' END AS ended_by,
+            count(*) FILTER (event_type IN ('click', 'error')) AS events, count(*) FILTER (event_type = 'signup') AS answers, greatest(0, least(100, 100 - sum(lost))) AS integrity,
+            coalesce(CAST(printf('%.1f', sum(event_id % 11) FILTER (event_type = 'signup') * 10.0::DOUBLE / nullif(count(*) FILTER (event_type = 'signup'), 0)) AS DOUBLE), 0) AS qa,
+            arg_max(value, us) FILTER (event_type = 'view' AND named = 'communication') AS c, arg_max(value, us) FILTER (event_type = 'view' AND named = 'technical') AS t,
+            arg_max(value, us) FILTER (event_type = 'view' AND named = 'problem_solving') AS p
+        FROM g GROUP BY user_id, episode),
+    i AS (SELECT *, CAST(printf('%.1f', qa * 0.7::DOUBLE + integrity * 0.3::DOUBLE) AS DOUBLE) AS suitability FROM h)
+    SELECT user_id, start_us, end_us, ended_by, events, answers, qa AS qa_score, CAST(integrity AS INTEGER) AS integrity,
+        CASE WHEN integrity < 100 THEN 'Warning/Violations Detected' ELSE 'Clean' END AS proctoring_status,
+        least(coalesce(c, qa), qa + 15) AS communication, least(coalesce(t, qa), qa + 10) AS technical, least(coalesce(p, qa), qa + 10) AS problem_solving, suitability,
+        CASE WHEN suitability < 50 THEN 'Do Not Hire' WHEN suitability < 70 THEN 'Consider with Reservations' ELSE 'Recommend Hire' END AS outcome FROM i"""
+)
+def session_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as messages of interviews, which end at every fifth purchase or after twelve hours of silence."""
+    e = F.col("event_type")
+    kind = F.when(e == "signup", "answer").when(e.isin("click", "error"), "event").when(e == "view", "competency")
+    kind = kind.when((e == "purchase") & (F.col("event_id") % 5 == 0), "disconnect").otherwise("note")
+    named = F.element_at(F.array(*map(F.lit, evaluation.ROOM)), (F.col("event_id") % 3 + 1).cast("int"))
+    content = F.when(e == "click", "Candidate switched tabs").when(e == "error", "No face detected").otherwise(named)
+    score = F.when(e == "signup", (F.col("event_id") % 11).cast("double")).when(e == "view", F.col("value"))
+    rows = _t(spark, sf_dir, "events").select("user_id", "ts", kind.alias("kind"), content.alias("content"), score.alias("score"))
+    found = evaluation.evaluate_sessions(rows, "user_id", "ts", "kind", "content", "score", "12 hours")
+    return found.withColumnsRenamed({"session": "user_id"}).withColumns({"start_us": F.unix_micros("started"), "end_us": F.unix_micros("ended")}).drop("started", "ended")
+
+
+@query(
+    """SELECT event_id, o_orderkey FROM events JOIN orders ON ts - INTERVAL 25 YEAR >= o_orderdate + to_minutes(o_orderkey % 1440)
+    AND ts - INTERVAL 25 YEAR <= o_orderdate + to_minutes(o_orderkey % 1440) + to_minutes(CASE WHEN o_orderkey % 100 = 0 THEN 14400 ELSE o_orderkey % 700 END) WHERE event_type = 'error'"""
+)
+def orders_open_at_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors with every order that was open at their time of day and year; orders are open for minutes to days, and no key ties the two."""
+    key, minutes = F.col("o_orderkey"), lambda c: F.make_dt_interval(mins=c.cast("int"))
+    opened = F.col("o_orderdate").cast("timestamp") + minutes(key % 1440)
+    closed = opened + minutes(F.when(key % 100 == 0, 14400).otherwise(key % 700))
+    held = _t(spark, sf_dir, "orders").select("o_orderkey", opened.alias("opened"), closed.alias("closed"))
+    errors = _t(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", (F.col("ts").cast("timestamp") - F.expr("INTERVAL 25 YEAR")).alias("moment"))
+    return intervals.interval_join(errors, held, "moment", "opened", "closed").select("event_id", "o_orderkey")
+
+
+@query(
+    """WITH m AS (SELECT o_orderdate + to_minutes(o_orderkey % 1440) AS m, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL)
+    SELECT event_id, o_orderkey FROM (SELECT event_id, ts - INTERVAL 25 YEAR AS t FROM events) ASOF LEFT JOIN m ON t >= m"""
+)
+def latest_order_before_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the latest order before it, whoever's it is."""
+    opened = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))
+    events = _t(spark, sf_dir, "events").select("event_id", (F.col("ts").cast("timestamp") - F.expr("INTERVAL 25 YEAR")).alias("moment"))
+    found = intervals.latest_before(events, _t(spark, sf_dir, "orders").select(opened.alias("opened"), "o_orderkey"), "moment", "opened")
+    return found.select("event_id", F.col("found.o_orderkey").alias("o_orderkey"))
+
+
+@query(
+    r"""WITH c AS (SELECT conv_id, turn, role, '"' || array_to_string(list_transform(regexp_extract_all(text, '(?s).'), lambda c: CASE
+            WHEN ord(c) > 65535 THEN printf('\u%04x\u%04x', 55296 + ((ord(c) - 65536) >> 10), 56320 + ((ord(c) - 65536) & 1023)) WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\'
+            WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r' WHEN c = chr(9) THEN '\t' WHEN ord(c) < 32 OR ord(c) > 126 THEN printf('\u%04x', ord(c)) ELSE c END), '') || '"' AS q
+        FROM conversations),
+    h AS (
+        SELECT conv_id, sha256('{"conv_id":' || conv_id || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || ',"text":' || coalesce(q, 'null') || ',"turn":' || coalesce(turn::VARCHAR, 'null') || '}') AS d
+        FROM c),
+    p AS (
+        SELECT conv_id, count(*) AS n_rows, sum(('0x' || d[1:16])::UBIGINT) AS a, sum(('0x' || d[17:32])::UBIGINT) AS b, sum(('0x' || d[33:48])::UBIGINT) AS e, sum(('0x' || d[49:64])::UBIGINT) AS f
+        FROM h GROUP BY conv_id)
+    SELECT conv_id, n_rows, sha256(concat_ws(',', n_rows, a, b, e, f)) AS fingerprint FROM p"""
+)
+def conversation_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each conversation's turns as canonical JSON, in whatever order they are stored."""
+    return canonical.fingerprint(_t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "conv_id")
