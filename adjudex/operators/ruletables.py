@@ -24,6 +24,8 @@ from .rules import ORDERING
 
 #: Nodes of a rule table that is broadcast; larger ones are joined by a shuffle.
 BROADCAST_NODES = 200_000
+#: Kinds of records whose amount may go by another name.
+TRANSACTIONS = ("transaction", "expense", "payment", "invoice")
 _NOW = ("now", "today", "evaluation_date")
 _RANKED = (*ORDERING, "between", "not_between")
 _LITERAL = "struct<kind:string,number:double,moment:timestamp_ntz,flag:boolean,norm:string,rank:int>"
@@ -90,15 +92,39 @@ def _literals(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("literals", F.transform(items, read)).drop("value")
 
 
-def rule_tables(checked: DataFrame) -> RuleTables:
-    """Tables of the rules of ``compiler.check`` that are not rejected.
+def amount_aliases(checked: DataFrame, records: DataFrame, entities: tuple[str, ...] = TRANSACTIONS) -> DataFrame:
+    """(rule_id, entity, from_field, to_field): amounts that rules call by another name than the records of their entity.
+
+    ``records``: entity, record_id, field, raw. ``total_amount``, ``total`` and
+    the entity's own ``<entity>_amount`` stand for ``amount`` where the entity is
+    one of ``entities``, all its records have an amount, none has the named field,
+    and the rule doesn't read the entity's amount itself. Exceptions count as
+    parts of their rule. A field with a null or blank text is not there.
+    """
+    leaves = _nodes(checked.filter("status <> 'REJECTED'")).filter("op is not null").select("rule_id", F.split_part("fact", F.lit("."), F.lit(1)).alias("entity"), F.expr("substr(fact, instr(fact, '.') + 1)").alias("field"))
+    there = records.select("record_id", *[F.regexp_replace(F.lower(F.trim(c)), r"[\s\-]+", "_").alias(c) for c in ("entity", "field")], S.present(F.col("raw")).alias("there"))
+    each = there.groupBy("entity", "record_id").agg(F.bool_or((F.col("field") == "amount") & F.col("there")).alias("has"))
+    grounded = each.groupBy("entity").agg(F.bool_and(F.coalesce("has", F.lit(False))).alias("all")).filter("all").select("entity")
+    own = F.col("field").isin("total_amount", "total") | (F.col("field") == F.concat("entity", F.lit("_amount")))
+    named = leaves.filter(F.col("entity").isin(*entities) & own).distinct()
+    found = named.join(grounded, "entity").join(there.filter("there").select("entity", "field").distinct(), ["entity", "field"], "left_anti")
+    found = found.join(leaves.filter("field = 'amount'").select("rule_id", "entity").distinct(), ["rule_id", "entity"], "left_anti")
+    return found.select("rule_id", "entity", F.col("field").alias("from_field"), F.lit("amount").alias("to_field"))
+
+
+def rule_tables(checked: DataFrame, aliases: DataFrame | None = None) -> RuleTables:
+    """Tables of the rules of ``compiler.check`` that are not rejected; their leaves read what ``aliases`` (of ``amount_aliases``) name.
 
     ``rules`` keeps policy_id, rule_id, rule_type, severity, action and status,
     and has ``trees`` (nodes from the deepest up; the condition first),
     ``descriptions`` of the exceptions, ``temporal`` and ``evidence``.
     """
     usable = checked.filter("status <> 'REJECTED'")
-    nodes = _literals(_nodes(usable))
+    nodes = _nodes(usable)
+    if aliases is not None:
+        renamed = aliases.select("rule_id", F.concat_ws(".", "entity", "from_field").alias("fact"), F.concat_ws(".", "entity", "to_field").alias("__fact"))
+        nodes = nodes.join(renamed, ["rule_id", "fact"], "left").withColumn("fact", F.coalesce("__fact", "fact")).drop("__fact")
+    nodes = _literals(nodes)
     n_nodes = nodes.count()
 
     # The predicate index: sorted thresholds of every fact, by unit.
@@ -343,3 +369,17 @@ def evaluate_rules(
         F.when(F.col("verdict") == "EXEMPT", F.get("descriptions", first.cast("int") - 1)).alias("exception_applied"),
         F.when(run, F.array_sort(F.array_distinct(gaps))).otherwise(F.array().cast("array<string>")).alias("missing_facts"),
     )
+
+
+def decide_lines(verdicts: DataFrame, line: str, *keys: str) -> DataFrame:
+    """(keys, line, verdict): the rules that one line of a policy was compiled to, merged into one verdict.
+
+    A violation decides, then a required action; a rule that can't be judged
+    keeps its siblings from making the line compliant, so the line has none
+    (NULL). Exempt and inapplicable rules decide only where all others do so:
+    EXEMPT if one is, else NOT_APPLICABLE.
+    """
+    v = F.col("verdict")
+    has = lambda name: F.bool_or(v == name)
+    merged = F.when(has("VIOLATION"), "VIOLATION").when(has("ACTION_REQUIRED"), "ACTION_REQUIRED").when(has("INDETERMINATE") | F.bool_or(v.isNull()), F.lit(None))
+    return verdicts.groupBy(*keys, line).agg(merged.when(has("COMPLIANT"), "COMPLIANT").when(has("EXEMPT"), "EXEMPT").otherwise("NOT_APPLICABLE").alias("verdict"))

@@ -146,3 +146,59 @@ def test_tabular_mode_counts_repeated_facts_once_and_compares_dates(spark):
     assert got == {(1, "R"): True, (2, "R"): None, (3, "R"): None, (1, "D"): True, (2, "D"): False, (3, "D"): None}
     with pytest.raises(ValueError):
         E.evaluate_tabular(facts, spark.createDataFrame([("D", 1, None, 1, None, "d", ">", None, "soon", *rest)], schema))
+
+
+def _leaf(field, entity="expense", op=">", value=2000):
+    return {"entity": entity, "field": field, "operator": op, "value": value, "unit": "USD"}
+
+
+def _alias_rules(spark, *conditions, exception=()):
+    rules = [{"rule_type": "REQUIRE", "condition": c, "exception": list(exception), "action": "act_on_it", "confidence": 0.9, "source_text": "x"} for c in conditions]
+    return compiler.check(compiler.extract(spark.createDataFrame([("P", "x", json.dumps({"rules": rules}))], "policy_id string, policy_text string, answer string")))
+
+
+RECORDS = "entity string, record_id int, field string, raw string"
+OWN = [("expense", 1, "amount", "3400 USD"), ("expense", 1, "currency", "USD")]
+
+
+@pytest.mark.parametrize(
+    "leaf, records, renamed",
+    [
+        (_leaf("total_amount"), OWN, True),
+        (_leaf("expense_amount"), OWN, True),
+        (_leaf("Total"), OWN, True),
+        (_leaf("total_amount"), [*OWN, ("expense", 1, "total_amount", "3400")], False),
+        (_leaf("total_amount"), [("expense", 1, "currency", "USD")], False),
+        (_leaf("total_amount"), [*OWN, ("expense", 2, "currency", "USD")], False),
+        (_leaf("total_amount"), [*OWN, ("expense", 2, "amount", " ")], False),
+        (_leaf("total_amount"), [], False),
+        (_leaf("total_amount", "purchase_order"), [("purchase_order", 1, "amount", "5")], False),
+        (_leaf("balance"), OWN, False),
+        (_leaf("payment_amount"), OWN, False),
+        ({"logic": "AND", "children": [_leaf("total_amount"), _leaf("amount", op="<", value=9000)]}, OWN, False),
+    ],
+)
+def test_amounts_go_by_another_name_only_where_records_bear_it_out(spark, leaf, records, renamed):
+    found = ruletables.amount_aliases(_alias_rules(spark, leaf), spark.createDataFrame(records, RECORDS)).collect()
+    assert [(x.rule_id, x.entity, x.to_field) for x in found] == ([("P-R001", "expense", "amount")] if renamed else [])
+
+
+def test_rules_with_an_alias_are_judged_by_the_amount(spark):
+    checked = _alias_rules(spark, _leaf("total_amount"), _leaf("balance"), exception=[{"description": "small", "condition": _leaf("total", op="<", value=50)}])
+    aliases = ruletables.amount_aliases(checked, spark.createDataFrame(OWN, RECORDS))
+    assert sorted((x.rule_id, x.from_field) for x in aliases.collect()) == [("P-R001", "total"), ("P-R001", "total_amount"), ("P-R002", "total")]
+    facts = spark.createDataFrame([(1, "expense.amount", "3400 USD"), (2, "expense.amount", "30 USD"), (3, "expense.amount", "300 USD")], "subject_id int, fact string, raw string")
+    applies = facts.select("subject_id", F.lit("P").alias("policy_id"))
+
+    def verdicts(tables):
+        rows = ruletables.evaluate_rules(applies, tables, facts, include_needs_review=True).filter("rule_id = 'P-R001'").collect()
+        return {x.subject_id: (x.verdict, x.missing_facts) for x in rows}
+
+    assert verdicts(ruletables.rule_tables(checked, aliases)) == {1: ("COMPLIANT", []), 2: ("EXEMPT", []), 3: ("VIOLATION", [])}
+    assert {v for v, _ in verdicts(ruletables.rule_tables(checked)).values()} == {"INDETERMINATE"}
+
+
+def test_a_sibling_that_cannot_be_judged_keeps_a_line_from_being_compliant(spark):
+    lines = [("a", "COMPLIANT"), ("a", "INDETERMINATE"), ("b", "COMPLIANT"), ("b", "NOT_APPLICABLE"), ("c", "INDETERMINATE"), ("c", "VIOLATION"), ("d", "EXEMPT"), ("d", "NOT_APPLICABLE"), ("e", "NOT_APPLICABLE"), ("f", "ACTION_REQUIRED"), ("f", None)]
+    got = {x.line: x.verdict for x in ruletables.decide_lines(spark.createDataFrame(lines, "line string, verdict string"), "line").collect()}
+    assert got == {"a": None, "b": "COMPLIANT", "c": "VIOLATION", "d": "EXEMPT", "e": "NOT_APPLICABLE", "f": "ACTION_REQUIRED"}
