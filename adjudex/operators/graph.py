@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adjudex.functions import scalars as S
@@ -60,20 +61,33 @@ def missing_references(references: DataFrame, supplied: DataFrame, key: str) ->
     return references.join(supplied.select(key).distinct(), key, "left_anti")
 
 
+def _shared_dir(spark: SparkSession) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The table, with its lineage cut in the folder of ``spark.checkpoint.dir``.
 
     Where that is unset, a temporary folder is set if everything runs in one
     process, as in tests; on a cluster that raises ``RuntimeError``.
     """
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()):
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    _shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Like ``cut``, as Parquet, which takes less room; how rows were dealt out and sorted is lost."""
+    path = f"{_shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def traverse(edges: DataFrame, seeds: DataFrame, max_hops: int = 5) -> DataFrame:
     """(root, id, hop): what each seed reaches over directed edges (src, dst), at the least number of hops.
 
