@@ -296,6 +296,8 @@ def compile_policies(policies: DataFrame, min_confidence: float = MIN_CONFIDENCE
     if not 0 <= min_confidence <= 1:
         raise ValueError("min_confidence must be between 0 and 1")
     known = policies.withColumn("policy_id", F.coalesce("policy_id", policy_id(F.col("policy_text"))))
+    # Many short policies are one small file, whose checks would be one long task. A number that is given isn't lowered by their bytes.
+    known = known.repartition(int(policies.sparkSession.conf.get("spark.sql.shuffle.partitions")), "policy_id")
     text = F.col("policy_text")
     fit = F.coalesce((F.length(F.trim(text)) > 0) & (F.length(text) <= MAX_POLICY_CHARS) & F.col("policy_id").rlike(r"^[A-Za-z0-9_.\-]{1,64}$"), F.lit(False))
     rules = check(extract(known.filter(fit)), min_confidence)

@@ -181,3 +181,13 @@ def test_small_measures(spark):
 def test_next_document_id(spark):
     docs = F.array(*[F.struct(F.lit(i).alias("doc_id"), F.lit("").alias("text")) for i in ("d2", "12a", "x")])
     assert spark.range(1).select(perturb.next_id(docs).alias("i")).first()["i"] == "d13"
+
+
+def test_small_files_are_compiled_in_many_tasks(spark, tmp_path):
+    rows = [(f"P-{i}", f"Orders above {i} USD require review.", '{"rules":[]}') for i in range(40)]
+    spark.createDataFrame(rows, "policy_id string, policy_text string, answer string").coalesce(1).write.parquet(f"{tmp_path}/policies")
+    policies = spark.read.parquet(f"{tmp_path}/policies")
+    assert policies.rdd.getNumPartitions() == 1
+    rules, summary = compiler.compile_policies(policies)
+    assert rules.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert summary.count() == 40
