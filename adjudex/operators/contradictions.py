@@ -54,6 +54,14 @@ def sums_to(items: pd.Series, total: pd.Series) -> pd.Series:
     return pd.Series([one(v, t) for v, t in zip(items, total, strict=True)], dtype=object)
 
 
+def _adds_up(items: Column, total: Column) -> Column:
+    """Whether some of two or more items add up to a total; only where neither all of them nor their size tell does a search begin."""
+    usable = F.filter(items, lambda v: (v > 0) & (v <= total))
+    every = F.aggregate(usable, F.lit(0).cast("decimal(38,0)"), lambda s, v: (s + v).cast("decimal(38,0)"))
+    known = F.when(~(F.size(items) > 1), F.lit(False)).when(total < 0, F.lit(False)).when(every <= total, every == total).when(F.array_contains(usable, total), F.lit(True))
+    return F.coalesce(known, sums_to(F.when(known.isNull(), items), F.when(known.isNull(), total)))
+
+
 def amount_category(a: Column, b: Column, settles: Column, says_partial: Column) -> Column:
     """Of the amounts (arrays of cents) that two documents state.
 
@@ -64,7 +72,7 @@ def amount_category(a: Column, b: Column, settles: Column, says_partial: Column)
     ``MINOR_SHARE`` are. NULL unless both state amounts.
     """
     most_a, most_b = F.array_max(a), F.array_max(b)
-    parts = (F.size(a) > 1) & sums_to(a, most_b) | (F.size(b) > 1) & sums_to(b, most_a)
+    parts = _adds_up(a, most_b) | _adds_up(b, most_a)
     gap = F.abs(most_a - most_b) / F.greatest(most_a, most_b)
     apart = F.when(gap <= MINOR_SHARE, "MINOR_CONTRADICTION").otherwise("MAJOR_CONTRADICTION")
     paid = F.when(most_b < most_a, F.when(says_partial, "CONSISTENT").otherwise("UNRESOLVED")).otherwise("MAJOR_CONTRADICTION")
@@ -93,7 +101,11 @@ def fact_category(a: Column, b: Column) -> Column:
 
 
 def date_category(a: Column, b: Column) -> Column:
-    gap = F.abs(F.date_diff(S.as_timestamp(a).cast("date"), S.as_timestamp(b).cast("date")))
+    return day_category(S.as_timestamp(a).cast("date"), S.as_timestamp(b).cast("date"))
+
+
+def day_category(a: Column, b: Column) -> Column:
+    gap = F.abs(F.date_diff(a, b))
     return F.when(gap == 0, "CONSISTENT").when(gap <= MINOR_DAYS, "MINOR_CONTRADICTION").otherwise("MAJOR_CONTRADICTION")
 
 
@@ -110,9 +122,12 @@ def findings(links: DataFrame, claims: DataFrame) -> DataFrame:
     strong = links.filter("status in ('EXPLICIT', 'CONFLICTING')").select("a", "b").distinct()
     weak = links.filter("status not in ('EXPLICIT', 'CONFLICTING')").select("a", "b").distinct().join(strong, ["a", "b"], "left_anti")
     no = F.lit(False)
-    sided = claims.select("id", "name", "field", "values", F.coalesce("settles", no).alias("settles"), F.coalesce("says_partial", no).alias("partial"))
-    x = sided.select(F.col("id").alias("a"), "name", "field", *[F.col(c).alias(f"{c}_a") for c in ("values", "settles", "partial")])
-    y = sided.select(F.col("id").alias("b"), "name", "field", *[F.col(c).alias(f"{c}_b") for c in ("values", "settles", "partial")])
+    # A date is read once for its claim, not for each link.
+    day = F.when(F.col("field") == "date", S.as_timestamp(F.get("values", F.lit(0))).cast("date"))
+    parts = ("values", "settles", "partial", "day")
+    sided = claims.select("id", "name", "field", "values", F.coalesce("settles", no).alias("settles"), F.coalesce("says_partial", no).alias("partial"), day.alias("day"))
+    x = sided.select(F.col("id").alias("a"), "name", "field", *[F.col(c).alias(f"{c}_a") for c in parts])
+    y = sided.select(F.col("id").alias("b"), "name", "field", *[F.col(c).alias(f"{c}_b") for c in parts])
     both = strong.join(x, "a").join(y, ["b", "name", "field"])
     # Billed first, paid second.
     turned = F.col("settles_a") & ~F.col("settles_b")
@@ -122,10 +137,12 @@ def findings(links: DataFrame, claims: DataFrame) -> DataFrame:
     money = amount_category(*cents, settles, partial)
     u, v = F.get("values_a", F.lit(0)), F.get("values_b", F.lit(0))
     ids = F.when(F.arrays_overlap("values_a", "values_b"), "CONSISTENT").otherwise("MAJOR_CONTRADICTION")
-    kinds = {"amount": money, "date": date_category(u, v), "vendor": name_category(u, v), "identity": name_category(u, v), "transaction_id": ids, "approval_status": status_category(u, v), "factual_claim": fact_category(u, v)}
+    kinds = {"amount": money, "date": day_category(F.col("day_a"), F.col("day_b")), "vendor": name_category(u, v), "identity": name_category(u, v), "transaction_id": ids, "approval_status": status_category(u, v), "factual_claim": fact_category(u, v)}
     category = F.coalesce(*[F.when(F.col("field") == f, c) for f, c in kinds.items()])
+    # Exploded, so that the filter and the difference don't work it out again.
+    both = both.withColumn("category", F.explode(F.array(category)))
     part = (F.col("field") == "amount") & settles & partial & ~F.arrays_overlap("values_a", "values_b")
-    rows = both.withColumn("category", category).select("a", "b", "name", "field", "category", "values_a", "values_b", F.when(part & (F.col("category") == "CONSISTENT"), "partial_payment").alias("difference"))
+    rows = both.select("a", "b", "name", "field", "category", "values_a", "values_b", F.when(part & (F.col("category") == "CONSISTENT"), "partial_payment").alias("difference"))
     none = F.lit(None)
     open_links = weak.select("a", "b", F.lit("link").alias("name"), F.lit("link").alias("field"), F.lit("UNRESOLVED").alias("category"), none.cast("array<string>").alias("values_a"), none.cast("array<string>").alias("values_b"), none.cast("string").alias("difference"))
     return rows.filter("category is not null").unionByName(open_links)
