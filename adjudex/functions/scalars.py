@@ -131,6 +131,13 @@ def convert(value: Column, src: Column, dst: Column, rates: Mapping[str, float]
 _QUANTITY = r"(?i)^\s*(₹|rs\.?|inr|\$|usd|€|eur|£|gbp)?\s*(-?[\d,]+(?:\.\d+)?)\s*(%|[A-Za-z]+\.?)?\s*$"
 
 
+def quantity_parts(value: Column) -> Column:
+    """struct(number, unit) of the texts that ``parse_quantity`` reads, for a projection before it; NULL for other text."""
+    text = value.cast("string")
+    named = F.coalesce(*[F.nullif(F.regexp_extract(text, _QUANTITY, i), F.lit("")) for i in (1, 3)])
+    return F.when(text.rlike(_QUANTITY), F.struct(F.regexp_extract(text, _QUANTITY, 2).alias("number"), named.alias("unit")))
+
+
 def parse_quantity(value: Column) -> Column:
     """struct(value, unit) of ``12``, ``$1,200`` or ``30 days``; NULL for other text."""
     text = value.cast("string")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from adjudex.functions import scalars as S
 from adjudex.functions import textlint
 
+from .graph import stored
 from .rules import LOGIC, MAX_DEPTH, MAX_NODES, OPERATORS, ORDERING, RULE_TYPES, SEVERITIES, TIME_UNITS
 
 MAX_POLICY_CHARS = 20_000
@@ -297,17 +298,32 @@ def compile_policies(policies: DataFrame, min_confidence: float = MIN_CONFIDENCE
         raise ValueError("min_confidence must be between 0 and 1")
     known = policies.withColumn("policy_id", F.coalesce("policy_id", policy_id(F.col("policy_text"))))
     # Many short policies are one small file, whose checks would be one long task. A number that is given isn't lowered by their bytes.
-    known = known.repartition(int(policies.sparkSession.conf.get("spark.sql.shuffle.partitions")), "policy_id")
+    n = int(policies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.col("policy_text")
-    fit = F.coalesce((F.length(F.trim(text)) > 0) & (F.length(text) <= MAX_POLICY_CHARS) & F.col("policy_id").rlike(r"^[A-Za-z0-9_.\-]{1,64}$"), F.lit(False))
-    rules = check(extract(known.filter(fit)), min_confidence)
     answer = S.json_object_in(F.col("answer"))
     unparsed = F.size(F.filter(F.coalesce(_get(answer, "$.unparsed_statements", "array<variant>"), F.array().cast("array<variant>")), lambda u: F.length(F.coalesce(_get(u, "$.text", "string"), F.lit(""))) > 0))
     vague = F.filter(textlint.sentences(text), lambda s: textlint.ambiguity(s).isNotNull())
-    own = known.select("policy_id", fit.alias("fit"), (fit & _get(answer, "$.rules", "array<variant>").isNotNull()).alias("answered"), unparsed.alias("unparsed"), vague.alias("vague_sentences"))
-    counts = rules.groupBy("policy_id").agg(F.count("*").alias("extracted"), *[F.count_if(F.col("status") == s).alias(n) for s, n in (("VALID", "valid"), ("NEEDS_REVIEW", "needs_review"), ("REJECTED", "rejected"))])
+    said = [_get(answer, "$.rules", "array<variant>").isNotNull().alias("answered"), unparsed.alias("unparsed"), vague.alias("vague_sentences")]
+    readable = F.coalesce((F.length(F.trim(text)) > 0) & (F.length(text) <= MAX_POLICY_CHARS), F.lit(False))
+    named = F.coalesce(F.col("policy_id").rlike(r"^[A-Za-z0-9_.\-]{1,64}$"), F.lit(False))
+    known = known.repartition(n, "policy_id")
+    # Policies often say the same: a text with its answer is then checked once, however many policies have it.
+    content = F.md5(F.to_json(F.struct("policy_text", "answer")).cast("binary"))
+    size = policies.agg(F.count("*").alias("rows"), F.count_distinct(content).alias("contents")).first()
+    if 2 * size["contents"] > size["rows"]:
+        rules = check(extract(known.filter(readable & named)), min_confidence)
+        own = known.select("policy_id", (readable & named).alias("fit"), *said)
+    else:
+        known = known.select("policy_id", content.alias("__content"), (readable & named).alias("fit"))
+        contents = policies.select("policy_text", "answer").distinct().select(content.alias("policy_id"), "policy_text", "answer").repartition(n, "policy_id")
+        checked = stored(check(extract(contents.filter(readable)), min_confidence), "checked").withColumnsRenamed({"policy_id": "__content", "rule_id": "__place"})
+        rules = known.filter("fit").drop("fit").join(checked, "__content")
+        place = F.expr("substr(__place, length(__content) + 1)")
+        rules = rules.select("policy_id", F.concat("policy_id", place).alias("rule_id"), *[c for c in checked.columns if not c.startswith("__")])
+        own = known.join(contents.select(F.col("policy_id").alias("__content"), *said), "__content")
+    counts = rules.groupBy("policy_id").agg(F.count("*").alias("extracted"), *[F.count_if(F.col("status") == s).alias(c) for s, c in (("VALID", "valid"), ("NEEDS_REVIEW", "needs_review"), ("REJECTED", "rejected"))])
     both = own.join(counts, "policy_id", "left").na.fill(0, ["extracted", "valid", "needs_review", "rejected"])
     usable = F.col("valid") + F.col("needs_review")
     review = (F.col("needs_review") + F.col("rejected") + F.col("unparsed") + F.size("vague_sentences")) > 0
-    status = F.when(~F.coalesce("answered", F.lit(False)), "FAILED").when(usable == 0, "REJECTED").when(review, "COMPILED_WITH_REVIEW").otherwise("COMPILED")
+    status = F.when(~(F.col("fit") & F.col("answered")), "FAILED").when(usable == 0, "REJECTED").when(review, "COMPILED_WITH_REVIEW").otherwise("COMPILED")
     return rules, both.select("policy_id", status.alias("status"), "extracted", "valid", "needs_review", "rejected", "unparsed", "vague_sentences")

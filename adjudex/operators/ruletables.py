@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from adjudex.functions import scalars as S
 
 from .compiler import is_number, node_levels
+from .graph import stored
 from .rules import ORDERING
 
 #: Nodes of a rule table that is broadcast; larger ones are joined by a shuffle.
@@ -33,16 +34,21 @@ _LITERAL = "struct<kind:string,number:double,moment:timestamp_ntz,flag:boolean,n
 
 @dataclass(frozen=True)
 class RuleTables:
-    """``rules``: a row for each rule, with its trees; ``index``: for each fact and unit, the sorted thresholds; ``needs``: distinct evidence needs."""
+    """``policies``: policy_id, rule_id and form of each rule; ``rules``: a row for each form, with its trees; ``index``: for each fact and unit, the sorted thresholds; ``needs``: distinct evidence needs."""
 
+    policies: DataFrame
     rules: DataFrame
     index: DataFrame
     needs: DataFrame
     n_nodes: int
 
     def small(self, df: DataFrame) -> DataFrame:
-        """``df`` as a side to broadcast, if the rules are few enough."""
-        return F.broadcast(df) if self.n_nodes <= BROADCAST_NODES else df
+        """``df`` as a side to broadcast, if the forms of rules are few enough."""
+        return F.broadcast(df) if self.few else df
+
+    @property
+    def few(self) -> bool:
+        return self.n_nodes <= BROADCAST_NODES
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -115,24 +121,37 @@ def amount_aliases(checked: DataFrame, records: DataFrame, entities: tuple[str,
 def rule_tables(checked: DataFrame, aliases: DataFrame | None = None) -> RuleTables:
     """Tables of the rules of ``compiler.check`` that are not rejected; their leaves read what ``aliases`` (of ``amount_aliases``) name.
 
-    ``rules`` keeps policy_id, rule_id, rule_type, severity, action and status,
-    and has ``trees`` (nodes from the deepest up; the condition first),
+    Rules that say the same, in whatever policies, are one form, so that what is
+    evaluated grows with what is said: ``policies`` has the form of each rule.
+    ``rules`` keeps form, rule_type, severity, action and status, and has
+    ``trees`` (nodes from the deepest up; the condition first),
     ``descriptions`` of the exceptions, ``temporal`` and ``evidence``.
     """
     usable = checked.filter("status <> 'REJECTED'")
-    nodes = _nodes(usable)
+    parts = ["rule_type", "severity", "action", "status", "temporal", "evidence", *[F.try_variant_get("raw", f"$.{c}", "variant").alias(c) for c in ("condition", "exception")]]
+    if aliases is not None:
+        named = aliases.groupBy("rule_id").agg(F.array_sort(F.collect_set(F.struct("entity", "from_field", "to_field"))).alias("aliases"))
+        usable, parts = usable.join(named, "rule_id", "left"), [*parts, "aliases"]
+    usable = usable.withColumn("form", F.unhex(F.md5(F.to_json(F.struct(*parts)).cast("binary"))))
+    policies = stored(usable.select("policy_id", "rule_id", "form"), "rules")
+    first = policies.groupBy("form").agg(F.min("rule_id").alias("rule_id"))
+    forms = stored(usable.drop("policy_id").join(first, ["form", "rule_id"]).dropDuplicates(["form"]).drop("rule_id").withColumnRenamed("form", "rule_id"), "forms")
+    nodes = _nodes(forms)
     if aliases is not None:
-        renamed = aliases.select("rule_id", F.concat_ws(".", "entity", "from_field").alias("fact"), F.concat_ws(".", "entity", "to_field").alias("__fact"))
+        renamed = forms.select("rule_id", F.inline("aliases")).select("rule_id", F.concat_ws(".", "entity", "from_field").alias("fact"), F.concat_ws(".", "entity", "to_field").alias("__fact"))
         nodes = nodes.join(renamed, ["rule_id", "fact"], "left").withColumn("fact", F.coalesce("__fact", "fact")).drop("__fact")
-    nodes = _literals(nodes)
+    nodes = stored(_literals(nodes), "nodes")
     n_nodes = nodes.count()
 
     # The predicate index: sorted thresholds of every fact, by unit.
     ranked = nodes.filter(F.col("op").isin(*_RANKED)).select("fact", "unit", F.explode("literals").alias("x"))
     index = ranked.groupBy("fact", "unit").agg(F.array_sort(F.collect_set("x.number")).alias("bounds"), F.array_sort(F.collect_set(F.when(F.col("x.number").isNull(), F.col("x.moment")))).alias("moments"))
     asked = nodes.filter("op is not null").select("fact", "unit").distinct().join(index, ["fact", "unit"], "left")
-    whole = usable.select(F.explode(F.array(_temporal_fact(), _reference_fact())).alias("fact")).dropna().distinct().withColumn("unit", F.lit(""))
+    whole = forms.select(F.explode(F.array(_temporal_fact(), _reference_fact())).alias("fact")).dropna().distinct().withColumn("unit", F.lit(""))
     index = asked.unionByName(whole.join(asked.select("fact", "unit"), ["fact", "unit"], "left_anti"), allowMissingColumns=True)
+    # Powers of two down to one, for the search in either array.
+    most = F.greatest(F.size(F.coalesce("bounds", F.array().cast("array<double>"))), F.size(F.coalesce("moments", F.array().cast("array<timestamp_ntz>"))))
+    index = index.withColumn("steps", F.transform(F.sequence(F.ceil(F.log2(most + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int")))
 
     both = nodes.join(index, ["fact", "unit"], "left")
     own = F.transform("literals", lambda x: x.withField("rank", F.when(x["number"].isNotNull(), F.array_position("bounds", x["number"])).otherwise(F.array_position("moments", x["moment"])).cast("int")))
@@ -144,8 +163,8 @@ def rule_tables(checked: DataFrame, aliases: DataFrame | None = None) -> RuleTab
 
     described = F.coalesce(F.try_variant_get("raw", "$.exception", "array<struct<description:string>>"), F.array().cast("array<struct<description:string>>"))
     need = lambda e: F.sha1(F.to_json(F.struct(e["type"].alias("t"), F.array_sort(F.map_entries(e["match"])).alias("m"))).cast("binary"))
-    kept = usable.select(
-        "policy_id", "rule_id", "rule_type", "severity", "action", "status", _temporal().alias("__temporal"), _temporal_fact().alias("own_fact"), _reference_fact().alias("reference_fact"),
+    kept = forms.select(
+        "rule_id", "rule_type", "severity", "action", "status", _temporal().alias("__temporal"), _temporal_fact().alias("own_fact"), _reference_fact().alias("reference_fact"),
         F.transform("evidence", lambda e: F.struct(need(e).alias("need"), e["type"].alias("type"), e["match"].alias("match"), e["mandatory"].alias("mandatory"), e["min_count"].alias("min_count"))).alias("evidence"),
         F.transform(described, lambda d: d["description"]).alias("descriptions"),
     )
@@ -153,7 +172,7 @@ def rule_tables(checked: DataFrame, aliases: DataFrame | None = None) -> RuleTab
     # A rule without a condition has no nodes.
     rules = rules.withColumn("trees", F.transform(F.sequence(F.lit(0), F.size("descriptions")), lambda i: F.element_at("by_tree", i))).drop("by_tree")
     needs = kept.select(F.explode("evidence").alias("e")).select("e.need", "e.type", "e.match").dropDuplicates(["need"])
-    return RuleTables(rules, index, needs, n_nodes)
+    return RuleTables(policies, rules.withColumnRenamed("rule_id", "form"), index, needs, n_nodes)
 
 
 def _fact_name(entity: Column, path: Column) -> Column:
@@ -187,22 +206,11 @@ def _reference_fact() -> Column:
     return F.when(t.isNotNull() & (t["kind"] != "between") & ~fixed, reference)
 
 
-def _place(bounds: Column, x: Column) -> Column:
-    """(below, upto): how many of the sorted ``bounds`` are less than ``x``, and at most ``x``, by binary search."""
-
-    def search(goes_on: Callable[[Column], Column]) -> Column:
-        start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
-
-        def step(a: Column, _: Column) -> Column:
-            mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
-            on = F.when(a["lo"] < a["hi"], goes_on(F.get(bounds, mid)))
-            return F.struct(F.when(on, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(on.isNull() | on, a["hi"]).otherwise(mid).alias("hi"))
-
-        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(bounds) + 1)).cast("int"))
-        return F.aggregate(rounds, start, step, lambda a: a["lo"])
-
-    ready = x.isNotNull() & (F.size(bounds) > 0)
-    return F.when(ready, F.struct(search(lambda b: b < x).alias("below"), search(lambda b: b <= x).alias("upto")))
+def _place(bounds: Column, steps: Column, x: Column) -> Column:
+    """(below, upto): how many of the sorted, distinct ``bounds`` are less than ``x``, and at most ``x``, by binary search in falling ``steps``."""
+    below = F.aggregate(steps, F.lit(0), lambda lo, step: F.when(F.get(bounds, lo + step - 1) < x, lo + step).otherwise(lo))
+    here = lambda n: F.struct(n.alias("below"), F.when(F.get(bounds, n) == x, n + 1).otherwise(n).alias("upto"))
+    return F.when(x.isNotNull() & (F.size(bounds) > 0), _let(below, here))
 
 
 def place_facts(facts: DataFrame, tables: RuleTables, key: str = "subject_id", rates: dict[str, float] | None = None, strict_units: bool = False) -> DataFrame:
@@ -216,15 +224,23 @@ def place_facts(facts: DataFrame, tables: RuleTables, key: str = "subject_id", r
     one = facts.select(key, F.lower("fact").alias("fact"), F.struct(F.col("raw").alias("raw"), unit.alias("unit")).alias("v")).groupBy(key, "fact").agg(F.min("v").alias("v"))
     index = tables.index.withColumnRenamed("unit", "wanted")
     rows = one.join(tables.small(index), "fact")
-    raw, quantity, plain = F.col("v.raw"), S.parse_quantity(F.col("v.raw")), S.as_number(F.col("v.raw"))
-    rows = rows.withColumns({"plain": plain, "has": F.when(F.col("v.unit").isNotNull(), S.unit_name(F.col("v.unit"))).otherwise(quantity["unit"]), "moment": S.as_timestamp(raw)})
-    value = F.when(F.col("v.unit").isNotNull(), F.col("plain")).otherwise(F.coalesce(quantity["value"], F.col("plain")))
-    bare = F.lit(None).cast("double") if strict_units else value
-    number = F.when(F.col("wanted") == "", value).when(F.col("has").isNull(), bare).otherwise(S.convert(value, F.col("has"), F.col("wanted"), rates or {}))
-    rows = rows.withColumn("number", number)
+    raw, given, plain = F.col("v.raw"), F.col("v.unit"), F.col("plain")
+    # Each text is taken apart once: a date has a year, and what is a plain number has no unit. What is long is read in a
+    # lambda, as the method that is generated for all of a stage would otherwise be too long for the JVM to compile.
+    rows = rows.withColumns({"plain": S.as_number(raw), "moment": _let(raw, lambda r: F.when(r.rlike(r"\d{4}"), S.as_timestamp(r)))})
+    rows = rows.withColumn("__parts", _let(raw, lambda r: F.when(given.isNull() & plain.isNull(), S.quantity_parts(r))))
+    rows = rows.withColumn("__amount", _let(F.col("__parts.number"), S.as_number))
+    named = F.when(given.isNotNull(), given).when(F.col("__amount").isNotNull(), F.col("__parts.unit"))
+    rows = rows.withColumns({"value": F.coalesce("plain", "__amount"), "has": _let(named, S.unit_name)})
+
+    def in_unit(x: Column) -> Column:
+        bare = F.lit(None).cast("double") if strict_units else x["value"]
+        return F.when(x["wanted"] == "", x["value"]).when(x["has"].isNull(), bare).otherwise(S.convert(x["value"], x["has"], x["wanted"], rates or {}))
+
+    rows = rows.withColumn("number", _let(F.struct("value", "has", "wanted"), in_unit))
     read = F.struct(
-        S.present(raw).alias("there"), "number", F.col("plain").alias("plain"), "moment", S.as_boolean(raw).alias("flag"), S.normal_text(raw).alias("norm"),
-        _place(F.col("bounds"), F.col("number")).alias("at"), _place(F.col("moments"), F.col("moment")).alias("when"),
+        S.present(raw).alias("there"), "number", "plain", "moment", S.as_boolean(raw).alias("flag"), S.normal_text(raw).alias("norm"),
+        _place(F.col("bounds"), F.col("steps"), F.col("number")).alias("at"), _place(F.col("moments"), F.col("steps"), F.col("moment")).alias("when"),
     )
     return rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "fact", "wanted"), read))).alias("facts"))
 
@@ -274,7 +290,10 @@ def tree_value(nodes: Column, facts: Column) -> Column:
         value = F.when(n["logic"].isNotNull(), group).otherwise(_let(F.element_at(facts, n["key"]), lambda f: _leaf_value(n, f)))
         return F.array_append(done, F.struct(n["parent"].alias("parent"), _let(value, lambda v: F.when(n["negate"], ~v).otherwise(v)).alias("v")))
 
-    return F.when(nodes.isNull(), F.lit(True)).otherwise(F.aggregate(nodes, start, fold, lambda d: F.element_at(d, -1)["v"]))
+    # Most trees are one leaf, which needs no fold.
+    only = _let(F.get(nodes, F.lit(0)), lambda n: _let(F.element_at(facts, n["key"]), lambda f: _leaf_value(n, f)))
+    lone = (F.size(nodes) == 1) & F.get(nodes, F.lit(0))["logic"].isNull() & ~F.get(nodes, F.lit(0))["negate"]
+    return F.when(nodes.isNull(), F.lit(True)).when(lone, only).otherwise(F.aggregate(nodes, start, fold, lambda d: F.element_at(d, -1)["v"]))
 
 
 def _absent(nodes: Column, facts: Column) -> Column:
@@ -323,10 +342,15 @@ def evaluate_rules(
     ``place_facts``; ``evidence``: key, ``type``, ``attrs`` (map), or None where
     none was supplied. Verdicts are those of ``evaluate`` on the same rules.
     """
-    rows = applies.select(key, "policy_id").distinct().join(tables.small(tables.rules), "policy_id")
+    rows = applies.select(key, "policy_id").distinct().join(tables.policies, "policy_id")
+    # Trees that are broadcast come after the facts, so that they do not shuffle.
+    if not tables.few:
+        rows = rows.join(tables.rules, "form")
     rows = rows.join(place_facts(facts, tables, key, rates, strict_units), key, "left")
     if evidence is not None:
         rows = rows.join(count_needs(evidence, tables, key), key, "left")
+    if tables.few:
+        rows = rows.join(F.broadcast(tables.rules), "form")
     own, run = F.col("facts"), F.lit(include_needs_review) | (F.col("status") == "VALID")
     trees = F.col("trees")
     today = now if now is not None else F.lit(None).cast("timestamp_ntz")
@@ -338,8 +362,8 @@ def evaluate_rules(
     found = lambda e: F.coalesce(F.element_at("counts", e["need"]), F.lit(0).cast("long")) if evidence is not None else F.lit(0).cast("long")
     lacking = F.exists("evidence", lambda e: e["mandatory"] & (found(e) < e["min_count"]))
     mandatory = F.exists("evidence", lambda e: e["mandatory"])
-    status = F.when(~mandatory, "OK").when(F.lit(evidence is None), "NOT_SUPPLIED").when(lacking, "MISSING").otherwise("OK")
-    by_evidence = F.when(status == "MISSING", "VIOLATION").when(status == "NOT_SUPPLIED", "INDETERMINATE")
+    rows = rows.withColumn("__proof", F.when(~mandatory, "OK").when(F.lit(evidence is None), "NOT_SUPPLIED").when(lacking, "MISSING").otherwise("OK"))
+    by_evidence = F.when(F.col("__proof") == "MISSING", "VIOLATION").when(F.col("__proof") == "NOT_SUPPLIED", "INDETERMINATE")
     holds, kind = F.col("__holds"), F.col("rule_type")
     fired = by_evidence.otherwise(F.when(F.size("evidence") > 0, "COMPLIANT").otherwise("ACTION_REQUIRED"))
     base = (

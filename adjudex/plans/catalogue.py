@@ -476,7 +476,7 @@ _RULES_SQL = """WITH p AS (SELECT p_partkey, p_partkey % 5 AS form, p_size FROM
 def compiled_rule_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order against the compiled policies of the parts that it contains: from the model's answers to decisions, all as tables."""
     rules, _ = compiler.compile_policies(_policies(spark, sf_dir))
-    tables = ruletables.rule_tables(graph.cut(rules))
+    tables = ruletables.rule_tables(rules)
     orders, lines = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
     applies = lines.select(F.col("l_orderkey").alias("subject_id"), F.concat(F.lit("P-"), F.col("l_partkey").cast("string")).alias("policy_id"))
 

@@ -191,3 +191,20 @@ def test_small_files_are_compiled_in_many_tasks(spark, tmp_path):
     rules, summary = compiler.compile_policies(policies)
     assert rules.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert summary.count() == 40
+
+
+def test_a_text_that_many_policies_share_is_checked_once(spark, monkeypatch):
+    rule = lambda n: json.dumps({"rules": [{"rule_type": "REQUIRE", "condition": {"entity": "order", "field": "total", "operator": "<", "value": n, "unit": "USD"}, "action": "act on it", "confidence": 0.9, "source_text": f"Below {n} USD."}] * 2})
+    rows = [(f"P-{i}", f"Below {i % 3} USD.", rule(i % 3)) for i in range(30)] + [("bad id", "Below 1 USD.", rule(1)), ("P-x", None, rule(1)), ("P-y", "Below 1 USD.", None)]
+    policies = spark.createDataFrame(rows, "policy_id string, policy_text string, answer string")
+    counted, check = [], compiler.check
+    monkeypatch.setattr(compiler, "check", lambda rules, least: counted.append(rules.count()) or check(rules, least))
+    rules, summary = compiler.compile_policies(policies)
+    assert counted == [6]
+    monkeypatch.undo()
+    # As without sharing, row by row.
+    alone = compiler.check(compiler.extract(policies.filter("policy_id <> 'bad id' and policy_text is not null")))
+    said = lambda df: sorted((x.policy_id, x.rule_id, x.status, str(x.leaves), tuple(x.ambiguities), tuple(x.errors)) for x in df.collect())
+    assert said(rules) == said(alone) and rules.columns == alone.columns and rules.count() == 60
+    got = {x.policy_id: (x.status, x.extracted) for x in summary.collect()}
+    assert len(got) == 33 and got["bad id"] == got["P-x"] == got["P-y"] == ("FAILED", 0) and got["P-7"][1] == 2

@@ -203,3 +203,26 @@ def test_a_sibling_that_cannot_be_judged_keeps_a_line_from_being_compliant(spark
     lines = [("a", "COMPLIANT"), ("a", "INDETERMINATE"), ("b", "COMPLIANT"), ("b", "NOT_APPLICABLE"), ("c", "INDETERMINATE"), ("c", "VIOLATION"), ("d", "EXEMPT"), ("d", "NOT_APPLICABLE"), ("e", "NOT_APPLICABLE"), ("f", "ACTION_REQUIRED"), ("f", None)]
     got = {x.line: x.verdict for x in ruletables.decide_lines(spark.createDataFrame(lines, "line string, verdict string"), "line").collect()}
     assert got == {"a": None, "b": "COMPLIANT", "c": "VIOLATION", "d": "EXEMPT", "e": "NOT_APPLICABLE", "f": "ACTION_REQUIRED"}
+
+
+def test_rules_that_say_the_same_are_one_form(spark):
+    rule = lambda n: {"rule_type": "PROHIBIT", "condition": _leaf("amount", value=n), "action": "act_on_it", "confidence": 0.9, "source_text": "x"}
+    policies = [(f"P{i}", "x", json.dumps({"rules": [rule(100 * (i % 2)), rule(300)]})) for i in range(12)]
+    checked = graph.cut(compiler.check(compiler.extract(spark.createDataFrame(policies, "policy_id string, policy_text string, answer string"))))
+    tables = ruletables.rule_tables(checked)
+    assert (tables.policies.count(), tables.rules.count(), tables.n_nodes) == (24, 3, 3)
+    facts = spark.createDataFrame([(1, "expense.amount", "USD 250.50"), (2, "expense.amount", "1,000 USD"), (3, "expense.amount", "-5")], "subject_id int, fact string, raw string")
+    applies = facts.select("subject_id", F.explode(F.array(*[F.lit(f"P{i}") for i in range(12)])).alias("policy_id"))
+    got = {(x.subject_id, x.rule_id): x.verdict for x in ruletables.evaluate_rules(applies, tables, facts, include_needs_review=True).collect()}
+    assert len(got) == 72
+    for (subject, rule_id), verdict in got.items():
+        limit = 300 if rule_id.endswith("2") else 100 * (int(rule_id[1:].split("-")[0]) % 2)
+        assert verdict == ("VIOLATION" if {1: 250.5, 2: 1000, 3: -5}[subject] > limit else "COMPLIANT"), (subject, rule_id)
+
+
+def test_thresholds_are_placed_as_by_counting(spark):
+    for n in range(10):
+        bounds = F.array(*[F.lit(2.0 * i) for i in range(n)]).cast("array<double>")
+        steps = F.array(*[F.lit(2**k) for k in range(4, -1, -1)])
+        rows = spark.range(-1, 20).select(F.col("id").cast("double").alias("x"), ruletables._place(bounds, steps, F.col("id").cast("double")).alias("at")).collect()
+        assert [r.at and tuple(r.at) for r in rows] == [(sum(2.0 * i < r.x for i in range(n)), sum(2.0 * i <= r.x for i in range(n))) if n else None for r in rows]
