@@ -16,6 +16,7 @@ SPLIT = 100_000
 BROADCAST_BUCKETS = 100_000
 #: Buckets of a level are eight times as wide as those of the level below; the narrowest are of a second.
 _NARROWEST, _RATIO = 1_000_000, 8
+_WIDTHS = [_NARROWEST * _RATIO**i for i in range(15)]
 
 
 def _micros(moment: Column) -> Column:
@@ -27,12 +28,18 @@ def _bucket(moment: Column, width: Column) -> Column:
     return ((moment - F.pmod(moment, width)) / width).cast("long")
 
 
+def _level(length: Column) -> Column:
+    """A level has lengths of up to eight widths: wider buckets would compare more in vain, narrower ones copy more intervals."""
+    return F.coalesce(*[F.when(length <= w * _RATIO, F.lit(i)) for i, w in enumerate(_WIDTHS[:-1])], F.lit(len(_WIDTHS) - 1))
+
+
 def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, keys: Sequence[str] = (), split: int = SPLIT) -> DataFrame:
     """Inner join: each point with every interval that holds it, ends included, and with equal ``keys`` if any.
 
-    An interval has a level by its length, so that it touches at most two
-    buckets of that level's width however long it is; a point looks in one
-    bucket of each level in use. That is an equal join on level and bucket, of
+    An interval has a level by its length, which is at most eight times that
+    level's width, so that it touches at most nine buckets however long it is
+    and is compared with little more than the points that it holds; a point
+    looks in one bucket of each level in use. That is an equal join on level and bucket, of
     which the ends are then checked, so nothing is compared outside a bucket. A
     bucket that holds more than ``split`` points is dealt to several tasks, to
     which its intervals are copied.
@@ -44,18 +51,15 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str,
     keys = list(keys)
     low, high = _micros(F.col(start)), _micros(F.col(end))
     held = intervals.withColumns({"__low": low, "__high": high}).filter("__low <= __high")
-    # Each level's width holds lengths up to itself; 16 levels hold any two moments.
-    widths = [_NARROWEST * _RATIO**i for i in range(15)]
-    level = F.coalesce(*[F.when(F.col("__high") - F.col("__low") <= w, F.lit(i)) for i, w in enumerate(widths)], F.lit(len(widths) - 1))
-    held = held.withColumn("__level", level)
+    held = held.withColumn("__level", _level(F.col("__high") - F.col("__low")))
     used = sorted(r[0] for r in held.select("__level").distinct().collect())
-    by_level = F.array(*[F.lit(w) for w in widths])
+    by_level = F.array(*[F.lit(w) for w in _WIDTHS])
     width = F.element_at(by_level, F.col("__level") + 1)
     own = F.sequence(_bucket(F.col("__low"), width), _bucket(F.col("__high"), width))
     held = held.withColumn("__bucket", F.explode(own))
 
     moment = _micros(F.col(at))
-    places = [F.struct(F.lit(i).alias("level"), _bucket(F.col("__at"), F.lit(widths[i])).alias("bucket")) for i in used]
+    places = [F.struct(F.lit(i).alias("level"), _bucket(F.col("__at"), F.lit(_WIDTHS[i])).alias("bucket")) for i in used]
     places = F.array(*places) if places else F.array().cast("array<struct<level:int,bucket:bigint>>")
     asked = points.withColumn("__at", moment).filter("__at is not null").withColumn("__place", F.explode(places))
     asked = asked.withColumns({"__level": F.col("__place.level"), "__bucket": F.col("__place.bucket")}).drop("__place")

@@ -37,6 +37,13 @@ def test_interval_join_against_all_pairs(spark):
     assert intervals.interval_join(p.limit(0), h.drop("k"), "t", "a", "b").count() == 0
 
 
+def test_buckets_are_not_wider_than_their_intervals(spark):
+    # Intervals used to be met in buckets of up to eight times their length.
+    lengths = [8_000_001, 9_000_000, 64_000_001, 700 * 60_000_000, 14_400 * 60_000_000, 10**15, 10**18]
+    found = spark.createDataFrame([(x,) for x in lengths], "n bigint").select("n", intervals._level(F.col("n")).alias("level")).collect()
+    assert len(found) == 7 and all(intervals._WIDTHS[x.level] <= x.n <= 8 * intervals._WIDTHS[x.level] for x in found)
+
+
 @pytest.mark.parametrize("keys", [[], ["k"]])
 @pytest.mark.parametrize("width", ["1 hour", "30 days"])
 def test_latest_before_against_all_pairs(spark, keys, width):
