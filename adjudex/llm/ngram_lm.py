@@ -150,52 +150,55 @@ class _State:
             count[places] = unpack(got[0])
             rank = unpack(got[1])
             number[places] = np.where(rank > 0, (rank - 1) * shards + shard + 1, 0)
-        self.word_count, self.word_number = count, number
+        self.word_count = count
+        # Words in the order of their numbers; those that training doesn't have are one word, numbered 0.
+        known = np.flatnonzero(number)
+        known = known[np.argsort(number[known])]
+        self.word_rank, self.numbers = np.zeros(n_words, np.int64), np.append(0, number[known])
+        self.word_rank[known] = np.arange(1, len(known) + 1)
         base = np.log10((count + 0.5) / (train_tokens + 0.5 * (known_words + 1)))
         self.base = base[self.token]
         self.score = self.base.copy()
         #: For each token, the number (from 1; 0: none) and count of the n-gram that ends with it.
         self.gram, self.gram_count = number[self.token], count[self.token]
 
-    def asked(self, level: int) -> Iterator[tuple[int, dict]]:
-        """The distinct n-grams of a level by shard; keeps what is needed to take the answers."""
+    def grams(self, level: int) -> tuple[np.ndarray, ...]:
+        """The distinct n-grams of a level: (a row of ``valid``, context, word, context's count) of each, by context and word, and where shards begin in ``order``."""
         s = self.s
         before = np.zeros_like(self.gram)
         seen = np.zeros_like(self.gram)
         before[1:], seen[1:] = self.gram[:-1], self.gram_count[:-1]
         self.valid = np.flatnonzero((self.place >= level - 1) & (before > 0) & (seen >= s.least[level - 2]))
         rows = self.valid
-        context, local = np.unique(before[rows], return_inverse=True)
-        # Words that training doesn't have are one word, numbered 0.
-        n_words = len(self.word_number)
-        token = np.where(self.word_number[self.token[rows]] > 0, self.token[rows], n_words)
-        gram, first, inverse = np.unique(local * (n_words + 1) + token, return_index=True, return_inverse=True)
-        self.inverse = inverse
-        numbers = np.append(self.word_number, 0)
-        own, word = context[gram // (n_words + 1)], numbers[gram % (n_words + 1)]
+        context, _, local = _distinct(before[rows])
+        gram, first, self.inverse = _distinct(local * len(self.numbers) + self.word_rank[self.token[rows]])
+        own, word = context[gram // len(self.numbers)], self.numbers[gram % len(self.numbers)]
         n_own = seen[rows][first]
-        trained = np.bincount(inverse, weights=self.trained[rows], minlength=len(gram)).astype(np.int64)
-        prior = _quantise(self.score[rows][first], s.bits)
         pieces = 1 + n_own // s.hot_context
-        shard = (ts.mix(own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (word % pieces).astype(np.uint64)) % np.uint64(self.shards)).astype(np.int64)
-        order = _pair_order(own, word)
-        order = order[np.argsort(shard[order], kind="stable")]
-        self.order = order
-        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        shard = (ts.mix(own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (word % pieces).astype(np.uint64)) % np.uint64(self.shards)).astype(np.uint16 if self.shards <= 1 << 16 else np.int64)
+        self.order = np.argsort(shard, kind="stable")
+        cuts = np.append(0, np.cumsum(np.bincount(shard, minlength=self.shards)))
+        return first, own, word, n_own, cuts
+
+    def asked(self, level: int) -> Iterator[tuple[int, dict]]:
+        """The distinct n-grams of a level by shard."""
+        first, own, word, n_own, cuts = self.grams(level)
+        trained = np.bincount(self.inverse, weights=self.trained[self.valid], minlength=len(own)).astype(np.int64)
+        prior = _quantise(self.score[self.valid][first], self.s.bits)
         for k in range(self.shards):
-            part = order[cuts[k] : cuts[k + 1]]
+            part = self.order[cuts[k] : cuts[k + 1]]
             if len(part):
-                yield k, {"at": (cuts[k], cuts[k + 1]), "context": own[part], "word": word[part], "count": n_own[part], "trained": trained[part], "prior": prior[part]}
+                yield k, {"context": own[part], "word": word[part], "count": n_own[part], "trained": trained[part], "prior": prior[part]}
 
     def take(self, level: int, answers: dict[int, list[bytes]]) -> None:
         """Raise the level of all tokens by the answers of its shards."""
         s = self.s
-        asked = [(k, x["at"]) for k, x in self.asked(level)]
+        *_, cuts = self.grams(level)
         n = len(self.order)
         code, number, count = (np.zeros(n, np.int64) for _ in range(3))
-        for k, (a, z) in asked:
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
             got = answers[k]
-            part = self.order[a:z]
+            part = self.order[cuts[k] : cuts[k + 1]]
             code[part] = unpack(got[0])
             place, counts = unpack(got[1]), unpack(got[2])
             more = place > 0
@@ -257,6 +260,23 @@ def _read_state(chunks: pa.Table, answers: pa.Table, upto: int, shards: int, tra
     return state
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values in order, a place of each, which of them each value is); numbers from 0, sorted with their places where both fit into one."""
+    n = len(values)
+    shift = n.bit_length()
+    if int(values.max(initial=0)).bit_length() + shift < 63:
+        packed = np.sort((values << shift) | np.arange(n))
+        order, ordered = packed & ((1 << shift) - 1), packed >> shift
+    else:
+        order = np.argsort(values, kind="stable")
+        ordered = values[order]
+    new = np.ones(n, bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    inverse = np.empty(n, np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], inverse
+
+
 def _pair_order(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The order by context, then word; as one number where they fit into it."""
     shift = int(word.max(initial=0)).bit_length()

@@ -71,6 +71,39 @@ def test_shard_keeps_ties_by_id():
 # Language model
 
 
+@pytest.mark.parametrize("most", [5, 1 << 20, (1 << 62) - 1])
+def test_ngram_distinct_numbers(most):
+    values = np.random.default_rng(3).integers(0, most, 500)
+    values[::3] = most
+    for part in (values, values[:1], values[:0]):
+        got, place, inverse = ngram_lm._distinct(part)
+        want, want_inverse = np.unique(part, return_inverse=True)
+        assert got.tolist() == want.tolist() and inverse.tolist() == want_inverse.tolist()
+        assert part[place].tolist() == want.tolist()
+
+
+def test_ngram_answers_are_taken_without_making_messages_again(monkeypatch):
+    """Runs in this process: a chunk's questions come by shard, context and word, and answers are taken by their places alone."""
+    token = np.array([0, 1, 0, 1, 2, 0, 1, 3], np.int64)
+    word = np.array([11, 5, 8, 7], np.uint64)
+    pack = ngram_lm.pack
+    chunk = {"held": pack(np.array([0])), "size": pack(np.array([len(token)])), "word": word.tobytes(), "token": pack(token)}
+    # The word of hash 7 isn't known; of the others the one of hash 5 is the most frequent in training.
+    answer = {11 % 2: [pack(np.array([3, 9, 0])), pack(np.array([2, 1, 0]))], 8 % 2: [pack(np.array([2])), pack(np.array([1]))]}
+    state = ngram_lm._State(chunk, {1: answer}, 2, 14, 3, ngram_lm.Settings())
+    asked = {k: x for k, x in state.asked(2)}
+    pairs = sorted((int(c), int(w), int(n)) for x in asked.values() for c, w, n in zip(x["context"], x["word"], x["trained"]))
+    number = state.numbers[state.word_rank].tolist()
+    assert number[3] == 0 and len(set(number)) == 4
+    want = Counter((number[a], number[b]) for a, b in zip(token.tolist(), token[1:].tolist()))
+    assert pairs == sorted((a, b, n) for (a, b), n in want.items())
+    for x in asked.values():
+        assert list(zip(x["context"], x["word"])) == sorted(zip(x["context"], x["word"]))
+    monkeypatch.setattr(ngram_lm._State, "asked", None)
+    state.take(2, {k: [pack(np.full(len(x["word"]), 1)), pack(np.arange(1, len(x["word"]) + 1)), pack(x["trained"])] for k, x in asked.items()})
+    assert state.gram_count[1:].tolist() == [want[number[a], number[b]] for a, b in zip(token.tolist(), token[1:].tolist())]
+
+
 @pytest.mark.parametrize("s", [ngram_lm.Settings(), ngram_lm.Settings(chunk_words=3000, hot_context=50, shard_tokens=4000, least=(2, 4))])
 def test_model_against_counts(spark, documents, s):
     scores, model = ngram_lm.score_corpus(documents, settings=s)
