@@ -47,26 +47,67 @@ def _distinct_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _chosen_words(docs: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """(..., words) rows with the places of their words among the sorted ``chosen`` hashes instead, without the others."""
+    schema = T.StructType([*docs.schema.fields[:-1], T.StructField("words", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            at = np.searchsorted(chosen, flat)
+            hit = at < len(chosen)
+            hit[hit] = chosen[at[hit]] == flat[hit]
+            before = np.append(0, np.cumsum(hit))[bounds]
+            places = pa.ListArray.from_arrays(pa.array((before - before[0]).astype(np.int32)), pa.array(at[bounds[0] : bounds[-1]][hit[bounds[0] : bounds[-1]]].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], places], [f.name for f in schema.fields])
+
+    return docs.mapInArrow(run, schema)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
+class Ones:
+    """A matrix of ones at (row, column) and of some full columns after these, as models of words need it; the ones are by row."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, n: int, width: int):
+        self.row, self.column, self.n, self.width = row.astype(np.int32), column.astype(np.int32), n, width
+        self.full: list[np.ndarray] = []
+
+    @property
+    def columns(self) -> int:
+        return self.width + len(self.full)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """The matrix by a column."""
+        z = np.bincount(self.row, weights=w[self.column], minlength=self.n)
+        for c, v in zip(self.full, w[self.width :]):
+            z += v * c
+        return z
+
+    def sums(self, g: np.ndarray) -> np.ndarray:
+        """A row by the matrix."""
+        return np.append(np.bincount(self.column, weights=g[self.row], minlength=self.width), [c @ g for c in self.full])
+
+
+def fit_logistic(x: Ones, y: np.ndarray, counts: np.ndarray | None = None, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
     """Weights (the constant last) of ridge logistic regression, by limited-memory quasi-Newton steps with backtracking.
 
-    Only rows where ``counts`` is true count; so a fold needs no copy of ``x``.
+    Only rows where ``counts`` is true count; so a fold needs no copy of ``x``, of which only the ones are held.
     """
-    held = np.ones(len(y), x.dtype) if counts is None else counts.astype(x.dtype)
-    penalty = np.full(x.shape[1] + 1, ridge)
+    held = np.ones(len(y)) if counts is None else counts.astype(np.float64)
+    penalty = np.full(x.columns + 1, ridge)
     penalty[-1] = 1e-3
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = x @ w[:-1].astype(x.dtype) + x.dtype.type(w[-1])
+        z = x.times(w[:-1]) + w[-1]
         value = (held * np.logaddexp(0, z)).sum() - (held * z)[y > 0].sum() + 0.5 * (penalty * w * w).sum()
-        gap = (held * (_sigmoid(z) - y)).astype(x.dtype)
-        return float(value), np.append(x.T @ gap, gap.sum()) + penalty * w
+        gap = held * (_sigmoid(z) - y)
+        return float(value), np.append(x.sums(gap), gap.sum()) + penalty * w
 
-    w = np.zeros(x.shape[1] + 1)
+    w = np.zeros(x.columns + 1)
     value, slope = loss(w)
     past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
@@ -137,7 +178,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], i
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # At most sample_rows short rows: a bounded broadcast.
     one = texts.join(F.broadcast(spread), "id").groupBy("id", *[f"c{i}" for i in range(len(categories))]).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    seen = _distinct_words(one).cache()
+    # The sample is bounded, so that more tasks than one for 250 rows are more for the driver to keep than they save.
+    seen = _distinct_words(one.coalesce(max(1, sample_rows // 250))).cache()
     total = seen.agg(F.count("*").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(categories))]).first()
     n = total["n"]
     chosen: set[int] = set()
@@ -150,36 +192,36 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], i
         chi2 = gap * gap / (F.col("d").cast("double") * (F.lit(float(n)) - F.col("d") + 1) * float(pos) * float(n - pos))
         chosen |= {r["word"] for r in counts.select("word", chi2.alias("x")).orderBy(F.desc("x"), "word").limit(features).collect()}
     words = np.sort(np.array(sorted(chosen), np.int64).view(np.uint64))
-    wanted = F.array(*[F.lit(w) for w in sorted(chosen)]) if chosen else F.array().cast("array<long>")
-    rows = seen.select("id", *[f"c{i}" for i in range(len(categories))], F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS).cast("long")).alias("fold"), F.array_intersect("words", wanted).alias("words")).orderBy(F.xxhash64("id"), "id").toArrow()
+    fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS).cast("long"))
+    rows = _chosen_words(seen.select(*[f"c{i}" for i in range(len(categories))], fold.alias("fold"), F.xxhash64("id").alias("h"), "id", "words"), words).toArrow()
     counts.unpersist()
     seen.unpersist()
 
+    # In the order of the hash, whatever partitions came first.
+    rows = rows.sort_by([("h", "ascending"), ("id", "ascending")])
     lists = rows.column("words").combine_chunks()
     bounds = lists.offsets.to_numpy()
-    row = np.repeat(np.arange(len(rows)), np.diff(bounds))
     # One matrix for all models: the words, then the earlier categories' log-odds as they are made.
-    x = np.zeros((len(rows), len(words) + len(categories)), np.float32)
-    x[row, np.searchsorted(words, lists.values.to_numpy().view(np.uint64)[bounds[0] : bounds[-1]])] = 1
+    x = Ones(np.repeat(np.arange(len(rows)), np.diff(bounds)), lists.values.to_numpy()[bounds[0] : bounds[-1]], len(rows), len(words))
     fold = rows.column("fold").to_numpy()
     weights, thresholds = [], []
     for i in range(len(categories)):
-        y = rows.column(f"c{i}").to_numpy().astype(np.float32) if len(rows) else np.zeros(0, np.float32)
-        own = x[:, : len(words) + i]
+        y = rows.column(f"c{i}").to_numpy().astype(np.float64)
         if not 0 < y.sum() < len(y):
-            weights.append(np.zeros(own.shape[1] + 1))
+            weights.append(np.zeros(x.columns + 1))
             thresholds.append(1.0)
+            x.full.append(np.zeros(len(y)))
             continue
         out = np.full(len(y), y.mean())
         for k in range(FOLDS):
             inside = fold == k
             if inside.any() and 0 < y[~inside].sum() < (~inside).sum():
-                w = fit_logistic(own, y, ~inside)
-                out[inside] = _sigmoid((own @ w[:-1].astype(np.float32))[inside] + w[-1])
-        weights.append(fit_logistic(own, y))
+                w = fit_logistic(x, y, ~inside)
+                out[inside] = _sigmoid(x.times(w[:-1])[inside] + w[-1])
+        weights.append(fit_logistic(x, y))
         thresholds.append(_best_threshold(out, y))
-        x[:, len(words) + i] = _log_odds(out)
-    del rows, lists, row, x
+        x.full.append(_log_odds(out))
+    del rows, lists, x
     ts.release()
     return Chain(tuple(categories), words, weights, thresholds)
 

@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from adjudex.llm import bloom, line_dedup, mixing, ngram_lm
+from adjudex.llm import bloom, line_dedup, mixing, ngram_lm, toxicity
 from adjudex.llm.chat_format import conversation_digests, escape, fingerprint, format_turns, read_segments, turns_of_frame, turns_of_json, unescape
 from adjudex.llm.components import components
 from adjudex.llm.exact_dedup import exact_dedup
@@ -596,6 +597,39 @@ def test_a_fit_takes_one_text_of_a_repeated_id(spark, monkeypatch):
     assert seen == [6]
 
 
+def test_chain_fits_in_few_tasks_and_little_memory(spark, monkeypatch):
+    """However many partitions a shuffle has, the bounded sample has few, and the driver holds no matrix of documents by words."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    docs = spark.range(0, 2000, 1, 4).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 20), i -> concat('w', pmod(xxhash64(id, i), 600))), if(id % 3 = 0, 'bad', 'good')) AS text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3 = 0) AS bad", "int(doc_id % 2) AS odd")
+    seen, whole = [], toxicity._distinct_words
+    monkeypatch.setattr(toxicity, "_distinct_words", lambda df: seen.append(df.rdd.getNumPartitions()) or whole(df))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "67")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        tracemalloc.start()
+        chain = fit_chain(docs, labels, ("bad", "odd"))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert seen[0] <= toxicity.SAMPLE_ROWS // 250
+    assert peak < 2000 * len(chain.words) * 4
+    got = score_chain(docs, chain)
+    assert got.filter("is_bad != (doc_id % 3 = 0)").count() == 0
+
+
+def test_ones_are_the_matrix():
+    random = np.random.default_rng(5)
+    dense = (random.random((40, 9)) < 0.3).astype(float)
+    x = toxicity.Ones(*np.nonzero(dense), *dense.shape)
+    x.full.append(random.random(40))
+    dense = np.column_stack([dense, x.full[0]])
+    w, g = random.random(10), random.random(40)
+    assert np.allclose(x.times(w), dense @ w) and np.allclose(x.sums(g), dense.T @ g)
+
+
 def test_line_dedup_takes_columns_of_any_name(spark):
     p = " ".join(f"w{j}" for j in range(60))
     docs = spark.createDataFrame([(i, f"{p}\nown {i}", 1, "x", 2) for i in (1, 2)], DOC + ", __id int, __named string, __maybe int")
