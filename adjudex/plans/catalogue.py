@@ -732,7 +732,7 @@ def evidence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT root, 'a' || k, 2, root || '>i' || k || '>a' || k FROM l WHERE k % 3 = 0"""
 )
 def evidence_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = evidence.traversable(evidence.links(evidence.facts(_papers(spark, sf_dir))))
+    members = evidence.members(_papers(spark, sf_dir))
     seeds = _t(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
     return evidence.explore(members, seeds, 2).withColumn("path", F.array_join("path", ">"))
 

@@ -195,3 +195,64 @@ def test_hops_do_not_make_the_members_again(spark):
     members = spark.createDataFrame([("P1", "a"), ("P1", "b"), ("P2", "b"), ("P2", "c")], "identifier string, id string")
     found = evidence.explore(members.mapInArrow(counted, members.schema), spark.createDataFrame([("a",)], "id string"), 2)
     assert {(x["id"], x["hop"]) for x in found.collect()} == {("a", 0), ("b", 1), ("c", 2)} and made.value == 4
+
+
+def random_papers(spark, n=150):
+    import random
+
+    r = random.Random(9)
+    texts = {}
+    for i in range(n):
+        lines = [f"{name}: {prefix}{r.randint(1, 12)}{r.choice(['', '-'])}7" for name, prefix in (("Invoice No", "x"), ("PO Number", "x"), ("Approval ID", "ap-"), ("Purchase Order No", "x")) if r.random() < 0.5]
+        lines += [f"Vendor: {r.choice(['Elm', 'Oak', 'Ash Ltd', 'Ash'])}" for _ in range(r.choice([0, 1, 1, 2]))] + ["no field", "Total: 12", ""]
+        r.shuffle(lines)
+        texts[f"d{i:03d}"] = r.choice(["\n", "\r\n"]).join(lines)
+    return papers(spark, **texts, empty="", none=None)
+
+
+@pytest.mark.parametrize("hot", [10_000, 5])
+def test_members_are_those_of_links(spark, monkeypatch, hot):
+    monkeypatch.setattr(evidence, "_HOT", hot)
+    docs = random_papers(spark)
+    want = rows(evidence.traversable(evidence.links(evidence.facts(docs))), "identifier", "id")
+    got = rows(evidence.members(docs).distinct(), "identifier", "id")
+    assert len(want) > 100 and got == want
+
+
+def test_paths_are_the_smallest_of_the_nearest(spark):
+    docs = random_papers(spark, 40)
+    members = evidence.members(docs)
+    seeds = docs.filter("doc_id < 'd012'").select(F.col("doc_id").alias("id"))
+    held = {}
+    for identifier, i in rows(members, "identifier", "id"):
+        held.setdefault(identifier, set()).add(i)
+    want = []
+    for root in (x["id"] for x in seeds.collect()):
+        reached, frontier = {root: [root]}, {root: [root]}
+        want.append((root, root, 0, [root]))
+        for hop in (1, 2, 3):
+            near = {}
+            for group in held.values():
+                for i in group & set(frontier):
+                    for j in group - set(reached):
+                        near[j] = min(near.get(j, ["~"]), [*frontier[i], j])
+            want += [(root, j, hop, path) for j, path in near.items()]
+            reached, frontier = reached | near, near
+    assert {hop for _, _, hop, _ in want} >= {0, 1, 2} and rows(evidence.explore(members, seeds, 3), "root", "id", "hop", "path") == sorted(want)
+
+
+def test_traversal_stores_little_of_its_own(spark):
+    from pathlib import Path
+
+    n = 20_000
+    text = lambda k, *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    k = F.col("id")
+    bought = spark.range(n // 10).select(F.concat(F.lit("c"), k).alias("doc_id"), text(k, "PO Number: PO-", k, "\nVendor: Firm", k).alias("text"))
+    billed = spark.range(n).select(F.concat(F.lit("i"), k).alias("doc_id"), text(k, "Invoice No: INV-", k, "\nPO Number: PO-", F.floor(k / 10), "\nVendor: Firm", F.floor(k / 10)).alias("text"))
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in shared.rglob("*") if p.is_file())
+    before = size()
+    found = evidence.explore(evidence.members(bought.unionByName(billed)), bought.select(F.col("doc_id").alias("id")), 2)
+    assert found.count() == n + n // 10
+    # 100 bytes a document, some of it for small files.
+    assert size() - before < 100 * n
